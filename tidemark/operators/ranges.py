@@ -30,13 +30,14 @@ def _units(lo: str, hi: str, fine: int, coarse: int) -> Column:
 def first_crossing(
     pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id: Sequence[str], x: Column, line: str,
     lo: str = "lo", hi: str = "hi", columns: Sequence[str] = ("ts", "blk", "px"), order: Sequence[str] = ("ts", "blk", "li"),
-    fine: int = HOUR, coarse: int = DAY, name: str = "hit",
+    fine: int = HOUR, coarse: int = DAY, name: str = "hit", above: bool = False,
 ) -> DataFrame:
     """JON-5 / TRD-7: the first print with lo <= ts <= hi and x >= line, as struct ``name`` (null when none).
 
-    Pass a negated expression and line to search for a fall instead.
+    ``above`` asks for x > line. Pass a negated expression and line to search for a fall instead.
     """
     by, row_id = list(by), list(row_id)
+    reach = (lambda v: v > F.col("_line")) if above else (lambda v: v >= F.col("_line"))
     p = prints.withColumn("_x", x).filter(F.col("_x").isNotNull())
     p = p.select(*by, bucket("ts", fine).alias("_b"), "_x", F.struct(*columns).alias("_p"),
                  F.struct(*order).alias("_o"), F.col("ts").alias("_ts"))
@@ -47,7 +48,7 @@ def first_crossing(
                       F.col(line).alias("_line"))
     units = want.withColumn("_u", F.explode(_units("_lo", "_hi", fine, coarse))).select(
         "*", F.col("_u.level").alias("_lv"), F.col("_u.b").alias("_b")).drop("_u")
-    alive = units.join(highs, [*by, "_lv", "_b"]).filter(F.col("_m") >= F.col("_line"))
+    alive = units.join(highs, [*by, "_lv", "_b"]).filter(reach(F.col("_m")))
     head = (F.col("_lv") == 1) & (F.col("_b") == bucket("_lo", fine))
     tail = (F.col("_lv") == 1) & (F.col("_b") == bucket("_hi", fine))
     start = F.when(F.col("_lv") == 1, F.col("_b") * fine).otherwise(F.col("_b") * coarse)
@@ -60,13 +61,13 @@ def first_crossing(
     fine_of = F.when(F.col("_w.lv") == 1, F.array(F.col("_w.b"))).when(
         F.col("_w.lv") == 2, F.sequence(F.col("_w.b") * r, F.col("_w.b") * r + (r - 1)))
     drilled = (found.filter("_w is not null").withColumn("_b", F.explode(fine_of))
-               .join(h1, [*by, "_b"]).filter(F.col("_m") >= F.col("_line"))
+               .join(h1, [*by, "_b"]).filter(reach(F.col("_m")))
                .groupBy(*rid, "_lo", "_hi", "_line").agg(F.min("_b").alias("_b")))
     edges = found.select(*rid, "_lo", "_hi", "_line",
                          F.explode(F.array_distinct(F.array_compact(F.array("_head", "_tail")))).alias("_b"))
     cand = edges.unionByName(drilled.select(*edges.columns))
     hits = (cand.join(p, [*by, "_b"])
-            .filter((F.col("_x") >= F.col("_line")) & (F.col("_ts") >= F.col("_lo")) & (F.col("_ts") <= F.col("_hi")))
+            .filter(reach(F.col("_x")) & (F.col("_ts") >= F.col("_lo")) & (F.col("_ts") <= F.col("_hi")))
             .groupBy(*row_id).agg(F.min_by("_p", "_o").alias(name)))
     return pos.join(hits, row_id, "left")
 
@@ -93,3 +94,18 @@ def range_extreme(
             .filter((F.col("_ts") >= F.col("_lo")) & (F.col("_ts") <= F.col("_hi"))).select(*row_id, "_k"))
     best = whole.unionByName(part).groupBy(*row_id).agg(F.max("_k").alias("_k"))
     return pos.join(best, row_id, "left").withColumn(name, F.col("_k.p")).drop("_k")
+
+
+def last_below(
+    pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id: Sequence[str], x: Column, line: str,
+    lo: str = "lo", hi: str = "hi", columns: Sequence[str] = ("ts", "px"), order: Sequence[str] = ("ts", "blk", "li"),
+    fine: int = HOUR, coarse: int = DAY, name: str = "hit",
+) -> DataFrame:
+    """The last print with lo <= ts <= hi and x <= line: the first crossing on the reversed time axis."""
+    back = prints.withColumn("_x0", x).select(
+        *by, (-F.col("ts")).alias("ts"), "_x0", *[(-F.col(c)).alias(f"_r{i}") for i, c in enumerate(order)],
+        F.struct(*columns).alias("_p0"))
+    want = pos.withColumn("_l2", -F.col(hi)).withColumn("_h2", -F.col(lo)).withColumn("_n2", -F.col(line))
+    got = first_crossing(want, back, by, row_id, -F.col("_x0"), "_n2", "_l2", "_h2", ("_p0",),
+                         [f"_r{i}" for i in range(len(order))], fine, coarse, "_h0")
+    return got.withColumn(name, F.col("_h0._p0")).drop("_l2", "_h2", "_n2", "_h0")
