@@ -37,7 +37,7 @@ def prefix_at(
     t = lambda c: F.col(c) * F.lit(sign)
     probes = left.select(
         *by, t(left_ts).alias("_t"), F.lit(0 if strict else 1).alias("_side"),
-        *[F.lit(0).cast("long").alias(f"_o{i}") for i in range(len(tie))], F.struct(*left.columns).alias("_l"))
+        *[F.lit(0).cast("long").alias(f"_o{i}") for i in range(len(tie))], F.struct(*left.columns).alias("__left"))
     facts = right.select(
         *by, t(right_ts).alias("_t"), F.lit(1 if strict else 0).alias("_side"),
         *[t(c).cast("long").alias(f"_o{i}") for i, c in enumerate(tie)],
@@ -46,7 +46,7 @@ def prefix_at(
     got = running(
         both, by, ["_t", "_side", *[f"_o{i}" for i in range(len(tie))]],
         {n: (k, F.col(f"_v_{n}")) for n, (k, _) in aggs.items()}, bucket("_t", slice_width))
-    return got.filter(F.col("_l").isNotNull()).select("_l.*", *aggs)
+    return got.filter(F.col("__left").isNotNull()).select("__left.*", *aggs)
 
 
 def asof_backward(

@@ -44,28 +44,29 @@ def first_crossing(
     h1 = p.groupBy(*by, "_b").agg(F.max("_x").alias("_m"))
     h2 = h1.groupBy(*by, F.floor(F.col("_b") * fine / coarse).cast("long").alias("_b")).agg(F.max("_m").alias("_m"))
     highs = h1.withColumn("_lv", F.lit(1)).unionByName(h2.withColumn("_lv", F.lit(2)))
-    want = pos.select(*by, *[c for c in row_id if c not in by], F.col(lo).alias("_lo"), F.col(hi).alias("_hi"),
-                      F.col(line).alias("_line"))
+    rid = list(dict.fromkeys(by + row_id))
+    at = [*rid, "_lo", "_hi", "_line"]
+    want = pos.select(*rid, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.col(line).alias("_line"))
     units = want.withColumn("_u", F.explode(_units("_lo", "_hi", fine, coarse))).select(
-        "*", F.col("_u.level").alias("_lv"), F.col("_u.b").alias("_b")).drop("_u")
+        *at, F.col("_u.level").alias("_lv"), F.col("_u.b").alias("_b"))
     alive = units.join(highs, [*by, "_lv", "_b"]).filter(reach(F.col("_m")))
     head = (F.col("_lv") == 1) & (F.col("_b") == bucket("_lo", fine))
     tail = (F.col("_lv") == 1) & (F.col("_b") == bucket("_hi", fine))
     start = F.when(F.col("_lv") == 1, F.col("_b") * fine).otherwise(F.col("_b") * coarse)
     whole = F.when(~(head | tail), F.struct(start.alias("s"), F.col("_lv").alias("lv"), F.col("_b").alias("b")))
-    rid = list(dict.fromkeys(by + row_id))
-    found = alive.groupBy(*rid, "_lo", "_hi", "_line").agg(
+    found = alive.groupBy(*at).agg(
         F.max(F.when(head, F.col("_b"))).alias("_head"), F.max(F.when(tail, F.col("_b"))).alias("_tail"),
         F.min(whole).alias("_w"))
+    # open up the first whole unit: itself, or the fine buckets of a coarse one
     r = coarse // fine
-    fine_of = F.when(F.col("_w.lv") == 1, F.array(F.col("_w.b"))).when(
-        F.col("_w.lv") == 2, F.sequence(F.col("_w.b") * r, F.col("_w.b") * r + (r - 1)))
-    drilled = (found.filter("_w is not null").withColumn("_b", F.explode(fine_of))
-               .join(h1, [*by, "_b"]).filter(reach(F.col("_m")))
-               .groupBy(*rid, "_lo", "_hi", "_line").agg(F.min("_b").alias("_b")))
-    edges = found.select(*rid, "_lo", "_hi", "_line",
-                         F.explode(F.array_distinct(F.array_compact(F.array("_head", "_tail")))).alias("_b"))
-    cand = edges.unionByName(drilled.select(*edges.columns))
+    inner = F.when(F.col("_w.lv") == 1, F.array(F.col("_w.b"))).when(
+        F.col("_w.lv") == 2, F.sequence(F.col("_w.b") * r, F.col("_w.b") * r + (r - 1))).otherwise(F.array().cast("array<bigint>"))
+    opened = found.withColumn("_b", F.explode(F.array_distinct(F.concat(F.array_compact(F.array("_head", "_tail")), inner))))
+    kept = opened.join(h1, [*by, "_b"]).filter(reach(F.col("_m")))
+    edge = (F.col("_b") == bucket("_lo", fine)) | (F.col("_b") == bucket("_hi", fine))
+    few = kept.groupBy(*at).agg(
+        F.collect_set(F.when(edge, F.col("_b"))).alias("_e"), F.min(F.when(~edge, F.col("_b"))).alias("_f"))  # two edges at most
+    cand = few.select(*at, F.explode(F.array_compact(F.concat("_e", F.array("_f")))).alias("_b"))
     hits = (cand.join(p, [*by, "_b"])
             .filter(reach(F.col("_x")) & (F.col("_ts") >= F.col("_lo")) & (F.col("_ts") <= F.col("_hi")))
             .groupBy(*row_id).agg(F.min_by("_p", "_o").alias(name)))
@@ -83,16 +84,18 @@ def range_extreme(
     p = prints.filter(x.isNotNull()).select(*by, bucket("ts", fine).alias("_b"), F.col("ts").alias("_ts"), rank.alias("_k"))
     h1 = p.groupBy(*by, "_b").agg(F.max("_k").alias("_k"))
     h2 = h1.groupBy(*by, F.floor(F.col("_b") * fine / coarse).cast("long").alias("_b")).agg(F.max("_k").alias("_k"))
-    highs = h1.withColumn("_lv", F.lit(1)).unionByName(h2.withColumn("_lv", F.lit(2)))
+    none = F.lit(None).cast("long")
+    table = (p.withColumn("_lv", F.lit(0)).unionByName(h1.withColumn("_lv", F.lit(1)).withColumn("_ts", none))
+             .unionByName(h2.withColumn("_lv", F.lit(2)).withColumn("_ts", none)))
     rid = list(dict.fromkeys(by + row_id))
     want = pos.select(*rid, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
     units = want.withColumn("_u", F.explode(_units("_lo", "_hi", fine, coarse))).select(
-        "*", F.col("_u.level").alias("_lv"), F.col("_u.b").alias("_b")).drop("_u")
+        *rid, "_lo", "_hi", F.col("_u.level").alias("_lv"), F.col("_u.b").alias("_b"))
     edge = (F.col("_lv") == 1) & ((F.col("_b") == bucket("_lo", fine)) | (F.col("_b") == bucket("_hi", fine)))
-    whole = units.filter(~edge).join(highs, [*by, "_lv", "_b"]).select(*row_id, "_k")
-    part = (units.filter(edge).join(p, [*by, "_b"])
-            .filter((F.col("_ts") >= F.col("_lo")) & (F.col("_ts") <= F.col("_hi"))).select(*row_id, "_k"))
-    best = whole.unionByName(part).groupBy(*row_id).agg(F.max("_k").alias("_k"))
+    units = units.withColumn("_lv", F.when(edge, F.lit(0)).otherwise(F.col("_lv")))  # edge buckets read prints
+    best = (units.join(table, [*by, "_lv", "_b"])
+            .filter(F.col("_ts").isNull() | ((F.col("_ts") >= F.col("_lo")) & (F.col("_ts") <= F.col("_hi"))))
+            .groupBy(*row_id).agg(F.max("_k").alias("_k")))
     return pos.join(best, row_id, "left").withColumn(name, F.col("_k.p")).drop("_k")
 
 

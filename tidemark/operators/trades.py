@@ -17,6 +17,7 @@ from tidemark.operators import joins as J
 from tidemark.operators.features import thin
 from tidemark.operators.ranges import first_crossing, last_below, range_extreme
 from tidemark.operators.slicing import SLICE, ordered_fold, running, with_halo
+from tidemark.session import cut_lineage
 
 ORDER = ("ts", "blk", "li")
 
@@ -128,7 +129,9 @@ def exit_first_hit(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id:
     p = prints.withColumn("_ok", priceable)
     confirmed = F.greatest(F.col("px") / drain, F.col("low_other") / (2 * drain))
     level = F.when(F.col("deep"), F.col("px") / drain).when(F.col("low_other").isNotNull(), confirmed)
-    base = pos.withColumn("_lo", F.col("entry_ts") + 1).withColumn("_hi", F.col("deadline") - 1).withColumn("_dl", -F.col("entry_px"))
+    # the searches below read the positions several times, and positions are few beside prints
+    base = cut_lineage(pos).withColumn("_lo", F.col("entry_ts") + 1).withColumn("_hi", F.col("deadline") - 1).withColumn(
+        "_dl", -F.col("entry_px"))
     got = first_crossing(base, p.filter("_ok"), by, row_id, F.col("px"), "tp_line", "_lo", "_hi", ("ts", "blk", "px"), ORDER, fine, coarse, "_tp")
     got = got.withColumn("_hi2", F.when(F.col("_tp").isNotNull(), F.col("_tp.ts") + tp_lat).otherwise(F.col("_hi")))
     got = first_crossing(got, p, by, row_id, -level, "_dl", "_lo", "_hi2", ("ts", "blk", "px"), ORDER, fine, coarse, "_dr", above=True)
@@ -208,12 +211,14 @@ def marks(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id: str, hol
             .withColumn("_rug", -F.col("epx") * rug).withColumn("_cap", F.col("epx") * hi))
     sure, other = prints.filter("ok_hi"), prints.filter("not ok_hi")
     # target: first believable print at the line. Prints without ok_hi must also stay below the cap.
+    base = cut_lineage(base)
     a = first_crossing(base, sure, by, [row_id], F.col("px"), "_tpl", "_lo", "_hm", ("ts", "blk", "px"), ORDER, fine, coarse, "_t1")
     # a print without ok_hi may reach the line yet pass the cap: those are found per fine price step below
-    b = _first_between(a, other, by, row_id, "_tpl", "_cap", "_lo", "_hm", fine, coarse, "_t2")
+    b = a.join(_first_between(base, other, by, row_id, "_tpl", "_cap", "_lo", "_hm", fine, coarse, "_t2"), row_id, "left")
     first = F.least(F.struct("_t1.ts", "_t1.blk"), F.struct("_t2.ts", "_t2.blk"))
     c = b.withColumn("_tp_ts", F.when(F.col("_t1").isNull(), F.col("_t2.ts")).when(F.col("_t2").isNull(), F.col("_t1.ts")).otherwise(first["ts"]))
-    c = first_crossing(c, prints, by, [row_id], -F.col("px"), "_rug", "_lo", "_hm", ("ts", "px"), ORDER, fine, coarse, "_r", above=True)
+    fall = first_crossing(base, prints, by, [row_id], -F.col("px"), "_rug", "_lo", "_hm", ("ts", "px"), ORDER, fine, coarse, "_r", above=True)
+    c = cut_lineage(c.join(fall.select(row_id, "_r"), row_id))
     h = c.withColumn("hold", F.explode(F.array(*[F.lit(x) for x in holds]))).withColumn("_end", F.col("ets") + F.col("hold"))
     is_tp = F.col("_tp_ts").isNotNull() & (F.col("_tp_ts") <= F.col("_end"))
     is_rug = F.col("_r").isNotNull() & (F.col("_r.ts") <= F.col("_end")) & (
@@ -253,8 +258,7 @@ def _first_between(pos, prints, by, row_id, lo_line, hi_line, lo, hi, fine, coar
     top = first_crossing(ids.filter((F.col("_lvl") == level(F.col(hi_line))) & (level(F.col(hi_line)) > level(F.col(lo_line)))), p,
                          [*by, "_lvl"], ["_rid"], -F.col("px"), "_neg", lo, hi, ("ts", "blk", "px"), ORDER, fine, coarse, "_c")
     hits = mid.select(row_id, "_c").unionByName(low.select(row_id, "_c")).unionByName(top.select(row_id, "_c"))
-    best = hits.filter(F.col("_c").isNotNull()).groupBy(row_id).agg(F.min_by("_c", F.struct("_c.ts", "_c.blk")).alias(name))
-    return pos.join(best, row_id, "left")
+    return hits.filter(F.col("_c").isNotNull()).groupBy(row_id).agg(F.min_by("_c", F.struct("_c.ts", "_c.blk")).alias(name))
 
 
 def price_sanity(exits: DataFrame, x: float = 20.0) -> DataFrame:
