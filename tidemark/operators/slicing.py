@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalar import bucket, monotone_bucket
-from tidemark.session import cut_lineage
+from tidemark.session import keep_partitions
 
 SLICE = "_slice"
 LADDER = (30 * 86400, 5 * 86400, 86400, 6 * 3600, 3600, 600, 60, 10, 1)
@@ -169,7 +169,7 @@ def ordered_fold(
     spark = df.sparkSession
     if partitions is None:
         partitions = max(spark.sparkContext.defaultParallelism, -(-df.count() // rows_per_partition))
-    rows = cut_lineage(
+    rows = keep_partitions(
         df.repartitionByRange(partitions, *key, *order).sortWithinPartitions(*key, *order)
         .withColumn("_pid", F.spark_partition_id()))
 

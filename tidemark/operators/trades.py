@@ -135,7 +135,7 @@ def exit_first_hit(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id:
     got = first_crossing(base, p.filter("_ok"), by, row_id, F.col("px"), "tp_line", "_lo", "_hi", ("ts", "blk", "px"), ORDER, fine, coarse, "_tp")
     got = got.withColumn("_hi2", F.when(F.col("_tp").isNotNull(), F.col("_tp.ts") + tp_lat).otherwise(F.col("_hi")))
     got = first_crossing(got, p, by, row_id, -level, "_dl", "_lo", "_hi2", ("ts", "blk", "px"), ORDER, fine, coarse, "_dr", above=True)
-    got = got.withColumn("_plan", F.least(F.col("_hi2"), F.lit(data_end))).withColumn("_nx", F.col("_hi2") + 1)
+    got = cut_lineage(got).withColumn("_plan", F.least(F.col("_hi2"), F.lit(data_end))).withColumn("_nx", F.col("_hi2") + 1)
     got = J.asof_backward(got, p, by, "_l", left_ts="_plan", tie=("blk",), columns=("ts", "px", "_ok"), slice_width=slice_width)
     got = J.asof_forward(got, p.filter("_ok"), by, "_w", left_ts="_nx", tie=("blk",), columns=("ts", "px"), slice_width=slice_width)
     late = F.col("_w.ts") <= F.col("_hi2") + wait

@@ -11,6 +11,7 @@ from tidemark.operators import trades as X
 from tidemark.plans.q_features import CANDLES, HIGH_SQL
 from tidemark.plans.q_project import V4, v4
 from tidemark.plans.registry import query
+from tidemark.session import cut_lineage
 from tidemark.plans.standins import CALLS, TAPE, TRADES, calls, ctes, table, tape, trades
 
 D = DAY
@@ -117,7 +118,9 @@ PRINTS = f"""pr AS (SELECT l.*, l.kind = 'v4' OR l.usd >= 30 AS ok, l.usd >= 80
 
 
 def _prints(p):
-    return X.other_extreme(p, ["tok", "pool"], "blk", 5 * D, False, "low_other", 5 * D).withColumn("deep", F.col("usd") >= 80)
+    """The prepared prints, written once: every search of the exit rules reads them."""
+    cols = p.select("tok", "pool", "ts", "blk", "li", "px", "usd", "kind")
+    return cut_lineage(X.other_extreme(cols, ["tok", "pool"], "blk", 5 * D, False, "low_other", 5 * D).withColumn("deep", F.col("usd") >= 80))
 
 
 def exit_sql(pos: str, out: str) -> str:

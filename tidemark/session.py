@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
+    """Write the rows to the shared folder as parquet and read them back.
+
+    Survives executor loss, and what follows prunes columns, skips row groups and knows the size of its input.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_partitions(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint that keeps partitions and their order, for rules that walk partitions."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.persist()  # the checkpoint job reads this instead of computing the rows a second time
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
