@@ -76,12 +76,14 @@ def overlap_pairs(sets: DataFrame, point: str, item: str, share: float, of: str
     w = Window.partitionBy(point).orderBy("f", item)
     ranked = reps.join(freq, item).withColumn("pos", F.row_number().over(w))
     need = F.ceil(share * F.col("n"))
-    prefix = ranked if of == "smaller" else ranked.filter(F.col("pos") <= F.col("n") - need + 1)
+    prefix = ranked.filter(F.col("pos") <= F.col("n") - need + 1)
     a = prefix.select(item, F.col(point).alias("a"), F.col("n").alias("na"))
-    b = prefix.select(item, F.col(point).alias("b"), F.col("n").alias("nb"))
+    # the smaller set must meet the other within its own prefix; for the stricter share both must
+    b = (prefix if of == "larger" else reps).select(item, F.col(point).alias("b"), F.col("n").alias("nb"))
     lo, hi = F.least("na", "nb"), F.greatest("na", "nb")
+    smaller_first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     fits = lo >= share * hi if of == "larger" else F.lit(True)
-    cand = a.join(b, item).filter((F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb").distinct()
+    cand = a.join(b, item).filter(smaller_first & fits).select("a", "b", "na", "nb").distinct()
     common = (cand.join(s.select(F.col(point).alias("a"), item), "a").join(s.select(F.col(point).alias("b"), item), ["b", item])
               .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")))
     base = hi if of == "larger" else lo

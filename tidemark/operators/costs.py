@@ -163,7 +163,7 @@ def views(df: DataFrame) -> DataFrame:
     hop_sell_u, fallback. A fallback exit is capped at 0 in every view; without a route the hop views are null.
     """
     C = F.col
-    cap = lambda x: F.when(C("fallback"), F.least(x, F.lit(0.0))).otherwise(x)
+    cap = lambda x: F.when(C("fallback") & (x > 0), F.lit(0.0)).otherwise(x)  # null stays null
     model = lambda g: 100 * (C(g) * (1 - C("model_sell")) / (1 + C("model_buy")) - 1) - 0.2
     real = lambda g: real_net(C(g), C("cost_buy"), C("cost_sell"), C("clip_eth"))
     lat = lambda g: F.when(C("fallback"), F.least(real("gross_trig"), F.lit(0.0))).otherwise(real(g))
