@@ -90,7 +90,8 @@ def gate_meta(audit: DataFrame, holes: DataFrame, days: DataFrame, cut: int) ->
     a = audit.agg(F.sum("inversions").alias("inversions"), F.max("last_ts").alias("last_ts"))
     h = holes.agg(F.count("*").alias("holes"))
     d = days.agg(F.count("*").alias("days"), (F.max("day") - F.min("day") + 1).alias("span"))
-    one = a.withColumn("_k", F.lit(0)).join(h.withColumn("_k", F.lit(0)), "_k").join(d.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    one = (a.withColumn("holes", h.scalar()).withColumn("days", d.select("days").scalar())
+           .withColumn("span", d.select("span").scalar()))
     ok = (F.col("inversions") == 0) & (F.col("holes") == 0) & (F.col("days") == F.col("span")) & (F.col("last_ts") >= cut - 3600)
     return one.withColumn("empty_days", F.col("span") - F.col("days")).withColumn("G2", F.when(ok, "PASS").otherwise("FAIL")).drop("span")
 

@@ -111,8 +111,8 @@ def main_pool_consistency(df: DataFrame, main: str = "main", ratio: float = 2.0,
     got = J.asof_backward(df, ref, ["tok", main], "_m", ref_age, left_ts="ts", tie=("blk",), columns=("ts", "px"),
                           slice_width=slice_width)
     side = F.col(main).isNotNull() & (F.col(main) != F.col("pool"))
-    q = F.col("px") / F.col("_m.px")
-    return (got.withColumn("checked", side & F.col("_m").isNotNull())
+    q = F.try_divide("px", "_m.px")
+    return (got.withColumn("checked", side & F.coalesce(F.col("_m.px") > 0, F.lit(False)))
             .withColumn("keep", F.when(F.col("checked"), q.between(1 / ratio, ratio)).otherwise(F.lit(True))).drop("_m"))
 
 
@@ -144,8 +144,8 @@ def quote_ref_jump(calls: DataFrame, prints: DataFrame, key: Sequence[str], row_
     pos = calls.withColumn("_lo", F.col("ts") + 1).withColumn("_hi", F.col("ts") + within)
     for c, n in ((px_a, "a"), (px_b, "b")):
         pos = range_extreme(pos, prints, key, [row_id], F.col(c), "_lo", "_hi", ("ts", c), ("ts", "blk"), fine, coarse, f"_{n}")
-    a, b = F.col(f"_a.{px_a}") / F.col("base_a"), F.col(f"_b.{px_b}") / F.col("base_b")
-    r = F.greatest(a / b, b / a)
+    a, b = F.try_divide(f"_a.{px_a}", "base_a"), F.try_divide(f"_b.{px_b}", "base_b")
+    r = F.greatest(F.try_divide(a, b), F.try_divide(b, a))
     return pos.withColumn("mult_a", a).withColumn("mult_b", b).withColumn("jump", r > limit).drop("_a", "_b", "_lo", "_hi")
 
 

@@ -64,14 +64,14 @@ def cost_per_side(kind: Column, lp: Column, take: Column, impact: Column, impact
 
 def buy_price(kind: Column, px: Column, side: Column, clip_eth: Column, depth1: Column, fee: Column) -> Column:
     """CST-5, buy: V4 pays impact and fee; V2/V3 crosses the spread after a sell and slips 0.4 %."""
-    u = clip_eth * S1 / depth1
+    u = F.try_divide(clip_eth * S1, depth1)
     flip = F.when(side == "sell", (1 + fee) / (1 - fee)).otherwise(1.0)
     return px * F.when(kind == "v4", (1 + u) * (1 + fee)).otherwise(flip * (1 + SLIP))
 
 
 def sell_price(kind: Column, px: Column, side: Column, tokens_eth: Column, depth1: Column, fee: Column) -> Column:
     """CST-5, sell: the mirror image, on the value of the tokens held."""
-    w = tokens_eth * S1 / depth1
+    w = F.try_divide(tokens_eth * S1, depth1)
     flip = F.when(side == "buy", (1 - fee) / (1 + fee)).otherwise(1.0)
     return px * F.when(kind == "v4", (1 - fee) / (1 + w)).otherwise(flip * (1 - SLIP))
 
@@ -79,13 +79,13 @@ def sell_price(kind: Column, px: Column, side: Column, tokens_eth: Column, depth
 def constant_product(clip: Column, fee_in: Column, px_in: Column, d_in: Column, fee_out: Column, px_out: Column, d_out: Column) -> Column:
     """CST-6: proceeds of a clip bought and sold along x*y=k curves of the given depths, relative to the clip."""
     c = clip * (1 - fee_in)
-    n = c / (px_in * (1 + c / d_in))
+    n = F.try_divide(c, px_in * (1 + F.try_divide(c, d_in)))
     v = n * (1 - fee_out) * px_out
-    return v / (1 + v / d_out) / clip
+    return F.try_divide(v, (1 + F.try_divide(v, d_out)) * clip)
 
 
 def leg_rate(fee: Column, depth: Column, size: Column, side: str) -> Column:
-    u = size * S1 / depth
+    u = F.try_divide(size * S1, depth)
     return (1 + fee) * (1 + u) if side == "buy" else (1 - fee) / (1 + u)
 
 
@@ -98,7 +98,7 @@ def hop_route(states: DataFrame, row_id: Sequence[str], side: str, size: str, ba
     g = [*row_id, "leg"]
     ref = states.groupBy(*g).agg(F.max_by("px", F.struct("depth", "px")).alias("_ref"))
     m = leg_rate(F.col("fee"), F.col("depth"), F.col(size), side)
-    ok = states.join(ref, g).filter(F.col("fee").isNotNull() & (F.col("depth") > 0) & (F.abs(F.col("px") / F.col("_ref") - 1) <= band)).withColumn("_m", m)
+    ok = states.join(ref, g).filter(F.col("fee").isNotNull() & (F.col("depth") > 0) & (F.abs(F.try_divide("px", "_ref") - 1) <= band)).withColumn("_m", m)
     best = ok.groupBy(*g).agg((F.min if side == "buy" else F.max)("_m").alias("_m"))
     leg = lambda n: F.max(F.when(F.col("leg") == n, F.col("_m")))
     out = best.groupBy(*row_id).agg(leg("direct").alias("direct"), (leg("first") * leg("second")).alias("via"))
@@ -109,7 +109,7 @@ def hop_route(states: DataFrame, row_id: Sequence[str], side: str, size: str, ba
 def hop_apply(net: Column, clip_eth: Column, buy_mult: Column, sell_mult: Column) -> Column:
     """CST-8: a net return with both conversion legs and half a swap's gas on each; null legs give null."""
     g = gas_pts(clip_eth)
-    return (net + g + 100) * sell_mult / buy_mult - 100 - g - 100 * LATENCY["gas_eth_per_swap"] / clip_eth
+    return F.try_divide((net + g + 100) * sell_mult, buy_mult) - 100 - g - 100 * LATENCY["gas_eth_per_swap"] / clip_eth
 
 
 def hop_exit_mult(sell_mult: Column, entry_fee: Column, entry_impact: Column, size_ratio: Column) -> Column:
@@ -142,7 +142,7 @@ def eth_booking(df: DataFrame, series: DataFrame, entry_ts: str, exit_ts: str, e
     """CST-11: gross multiple in ETH from USD prices: their ratio times ETHUSD(entry) / ETHUSD(exit)."""
     a = J.interp_linear(df, series, (), entry_ts, name="eth_entry")
     b = J.interp_linear(a, series, (), exit_ts, name="eth_exit")
-    return b.withColumn("gross_eth", F.col(exit_px) / F.col(entry_px) * F.col("eth_entry") / F.col("eth_exit"))
+    return b.withColumn("gross_eth", F.try_divide(F.col(exit_px) * F.col("eth_entry"), F.col(entry_px) * F.col("eth_exit")))
 
 
 def real_net(gross: Column, cost_buy: Column, cost_sell: Column, clip_eth: Column) -> Column:
@@ -152,7 +152,7 @@ def real_net(gross: Column, cost_buy: Column, cost_sell: Column, clip_eth: Colum
 def heavy(basis: Column, entry: Column, cost_buy: Column, cost_sell: Column, hook_buy: Column, hook_sell: Column) -> Column:
     """CST-13: at least 1.4 % per side, 1 % more on hook pools, 0.2 points of gas."""
     side = lambda c, h: F.greatest(c, F.lit(0.014)) + F.when(h, 0.01).otherwise(0.0)
-    return 100 * (basis * (1 - side(cost_sell, hook_sell)) / (entry * (1 + side(cost_buy, hook_buy))) - 1) - 0.2
+    return 100 * (F.try_divide(basis * (1 - side(cost_sell, hook_sell)), entry * (1 + side(cost_buy, hook_buy))) - 1) - 0.2
 
 
 def views(df: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def rederive_check(df: DataFrame, checks: dict[str, tuple[Column, Column]], key:
     bad = lambda a, b: F.count_if(F.coalesce(F.abs(a - b) > rel * F.greatest(F.lit(1.0), F.abs(a), F.abs(b)), a.isNotNull() | b.isNotNull()))
     flat = df.agg(F.count("*").alias("rows"), *[bad(a, b).alias(f"bad_{n}") for n, (a, b) in checks.items()])
     dup = df.groupBy(*key).agg(F.count("*").alias("c")).agg(F.sum((F.col("c") > 1).cast("int")).alias("dup_keys"))
-    return flat.withColumn("_k", F.lit(0)).join(dup.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return flat.withColumn("dup_keys", dup.scalar())
 
 
 def cost_source_counts(df: DataFrame, group: Sequence[str], sources: dict[str, str], fallback: str) -> DataFrame:
@@ -207,7 +207,7 @@ def static_route_medians(tokens: DataFrame, states: DataFrame, step: int, lo: in
     m = st.withColumn("_m", leg_rate(fee, F.col(f"state.{depth}"), F.lit(size), "buy")).groupBy("tok", "ts").agg(F.min("_m").alias("_m"))
     per = quantiles_linear(m, ["tok"], "_m", {"buy": 0.5}).withColumnRenamed("n", "moments")
     fb = quantiles_linear(per, [], "buy", {"fallback": 0.5}).select("fallback")
-    return tokens.join(per, "tok", "left").join(F.broadcast(fb)).withColumn("hop_src", F.when(F.col("buy").isNull(), "fallback").otherwise("token")).withColumn(
+    return tokens.join(per, "tok", "left").withColumn("fallback", fb.scalar()).withColumn("hop_src", F.when(F.col("buy").isNull(), "fallback").otherwise("token")).withColumn(
         "buy", F.coalesce("buy", "fallback")).drop("fallback")
 
 

@@ -65,12 +65,11 @@ def unknown_pools(df: DataFrame, known: DataFrame, key: str, ks: Sequence[int] =
     """AGG-4: ids missing from the table with counts and first / last block, and the share the biggest ``ks`` hold."""
     miss = df.join(known.select(key).distinct(), key, "left_anti").groupBy(key).agg(
         F.count("*").alias("n"), F.min("blk").alias("first_blk"), F.max("blk").alias("last_blk"))
-    tops = [F.sum(F.when(F.col("_rk") <= k, F.col("n"))).alias(f"_top{k}") for k in ks]
     ranked = running(miss.withColumn("_neg", -F.col("n")), [], ["_neg", key], {"_rk": ("count", F.col("n"))},
                      -F.floor(F.log2(F.col("n")) * 8))
-    share = ranked.agg(F.sum("n").alias("_all"), *tops)
-    return ranked.drop("_neg").withColumnRenamed("_rk", "rank").join(F.broadcast(share)).select(
-        key, "n", "first_blk", "last_blk", "rank", *[(F.col(f"_top{k}") / F.col("_all")).alias(f"top{k}_share") for k in ks])
+    share = ranked.agg(*[F.try_divide(F.sum(F.when(F.col("_rk") <= k, F.col("n"))), F.sum("n")).alias(f"s{k}") for k in ks])
+    return ranked.drop("_neg").withColumnRenamed("_rk", "rank").select(
+        key, "n", "first_blk", "last_blk", "rank", *[share.select(f"s{k}").scalar().alias(f"top{k}_share") for k in ks])
 
 
 def launch_volume(df: DataFrame, label: str, width: int = HOUR) -> DataFrame:
@@ -93,7 +92,7 @@ def hour_returns(df: DataFrame, key: Sequence[str], width: int, slice_len: int =
     """Close and volume per key and bucket, with the log return against the key's previous bucket."""
     h = bucket_ohlcv(df, key, width).select(*key, "b", "close", "vol", "n")
     prev = running(h, key, ["b"], {"p": ("last", F.col("close"))}, F.floor(F.col("b") / slice_len), False)
-    return prev.withColumn("r", F.log(F.col("close") / F.col("p"))).drop("p")
+    return prev.withColumn("r", F.log(F.try_divide("close", "p"))).drop("p")
 
 
 def coin_stats(df: DataFrame, key: Sequence[str], width: int = HOUR, vol_n: int = 24, ret_n: int = 49,
@@ -191,7 +190,7 @@ def highs(df: DataFrame, key: Sequence[str], minute: int = 60, ks: Sequence[int]
 
 def dip(px: Column, high: Column) -> Column:
     """WIN-5: share lost from the high."""
-    return F.lit(1.0) - px / high
+    return F.lit(1.0) - F.try_divide(px, high)
 
 
 def history_hours(df: DataFrame, key: Sequence[str], min_usd: float = 10.0, hours: int = 72, width: int = HOUR,
@@ -298,7 +297,7 @@ def sell_flags(df: DataFrame, key: Sequence[str], lookback: int = HOUR, last: in
     med = lambda a: F.get(a, F.floor(F.size(a) / 2).cast("int"))
     got = got.withColumn("_s", pick("sell")).withColumn("_b", pick("buy"))
     return got.withColumn("n_sells", F.size("_s")).withColumn(
-        "sell_buy_ratio", F.when((F.size("_s") > 0) & (F.size("_b") > 0), med(F.col("_s")) / med(F.col("_b")))).drop(
+        "sell_buy_ratio", F.when((F.size("_s") > 0) & (F.size("_b") > 0), F.try_divide(med(F.col("_s")), med(F.col("_b"))))).drop(
         "_a", "_r", "_s", "_b", SLICE, "_own")
 
 
@@ -308,7 +307,7 @@ def fee_estimate(df: DataFrame, key: Sequence[str], price: str, amount_token: st
     median of the last five valid estimates."""
     prev = running(df, key, ORDER, {"_lp": ("last", F.col(price))}, bucket("ts", slice_width), include_current=False)
     mid = F.sqrt(F.col(price) * F.col("_lp"))
-    ratio = F.col(amount_quote) / (F.col(amount_token) * mid)
+    ratio = F.try_divide(F.col(amount_quote), F.col(amount_token) * mid)
     f = F.when(F.col("side") == "buy", ratio - 1).otherwise(1 - ratio)
     ok = (F.col("_lp") > 0) & (F.col(price) > 0) & (F.col(amount_token) > 0) & (F.col(amount_quote) > 0)
     est = prev.withColumn("fee", F.when(ok & (f > -0.001) & (f < 0.99), F.greatest(f, F.lit(0.0)))).drop("_lp")
@@ -385,7 +384,7 @@ def runup(signals: DataFrame, prints: DataFrame, key: Sequence[str], back: int =
     s = J.asof_forward(s, prints, key, "_in", left_ts="_t0", tie=("blk",), columns=("ts", "px"), slice_width=slice_width)
     s = J.asof_forward(s, prints, key, "_aft", tol=after, tie=("blk",), columns=("ts", "px"), slice_width=slice_width)
     base = F.coalesce(F.col("_old.px"), F.when(F.col("_in.ts") < F.col("ts"), F.col("_in.px")))
-    return s.withColumn("runup_pct", 100 * (F.col("_now.px") / base - 1)).withColumn(
+    return s.withColumn("runup_pct", 100 * (F.try_divide(F.col("_now.px"), base) - 1)).withColumn(
         "px_at_call", F.coalesce(F.col("_now.px"), F.col("_aft.px"))).drop("_t0", "_now", "_old", "_in", "_aft")
 
 
@@ -402,7 +401,7 @@ def race(calls: DataFrame, candles: DataFrame, key: Sequence[str], row_id: str,
     grid = calls.withColumn("off", F.explode(F.concat(*spans))).withColumn("at", F.col("ts") + F.col("off"))
     got = J.asof_backward(grid, candles, key, "_c", max_age, left_ts="at", columns=("ts", "close"), slice_width=slice_width)
     return got.filter(F.col("_c").isNotNull() & (F.col("_c.ts") > F.col("ts"))).select(
-        row_id, *[c for c in key if c != row_id], "off", (100 * (F.col("_c.close") / F.col(base_px) - 1)).alias("pct"))
+        row_id, *[c for c in key if c != row_id], "off", (100 * (F.try_divide("_c.close", base_px) - 1)).alias("pct"))
 
 
 def peak_after(calls: DataFrame, candles: DataFrame, key: Sequence[str], row_id: str, lo: int, hi: int, base_px: str,
@@ -411,7 +410,7 @@ def peak_after(calls: DataFrame, candles: DataFrame, key: Sequence[str], row_id:
     pos = calls.withColumn("_lo", F.col("ts") + lo + 1).withColumn("_hi", F.col("ts") + hi)
     got = range_extreme(pos, candles, key, [row_id], F.col("high"), "_lo", "_hi", ("ts", "high"), order=("ts",),
                         fine=fine, coarse=coarse, name="_p")
-    return got.withColumn(f"{name}_x", F.col("_p.high") / F.col(base_px)).withColumn(
+    return got.withColumn(f"{name}_x", F.try_divide("_p.high", base_px)).withColumn(
         f"{name}_s", F.col("_p.ts") - F.col("ts")).drop("_p", "_lo", "_hi")
 
 
@@ -433,7 +432,7 @@ def at_call_features(calls: DataFrame, prints: DataFrame, key: Sequence[str], ro
                     "ts", "ts", ("blk",), strict=True, slice_width=slice_width)
     s = J.prefix_at(s, prints, key, {"_o": ("last", F.struct("ts", "px")), "_v0": ("sum", F.col("usd"))},
                     "_t0", "ts", ("blk",), strict=True, slice_width=slice_width)
-    return s.withColumn("move_pct", 100 * (F.col("_n.px") / F.col("_o.px") - 1)).withColumn(
+    return s.withColumn("move_pct", 100 * (F.try_divide("_n.px", "_o.px") - 1)).withColumn(
         "vol_back", F.coalesce("_v1", F.lit(0.0)) - F.coalesce("_v0", F.lit(0.0))).withColumn(
         "depth", F.when(F.col("ts") - F.col("_n.ts") <= depth_age, F.col("_n.usd"))).drop("_t0", "_n", "_o", "_v1", "_v0")
 
@@ -446,7 +445,7 @@ def track_record(closed: DataFrame, min_n: int = 5, clip: float = 50.0, shrink:
     n / (n + ``shrink``).
     """
     n = F.col("n_closed")
-    geo = 100 * (F.exp(F.col("logsum_closed") / n) - 1)
+    geo = 100 * (F.exp(F.try_divide("logsum_closed", n)) - 1)
     small = F.when(n > 1, 100 * ((F.col("sum_closed") - F.col("best_closed")) / (n - 1) - 1)).otherwise(F.lit(0.0))
     raw = F.when(n >= min_n, F.least(F.greatest(geo, F.lit(-clip)), F.lit(clip))).otherwise(small)
     score = raw * n / (n + shrink)

@@ -81,16 +81,16 @@ def _asof(left, right, by, name, tol, strict, left_ts, right_ts, tie, columns, s
 
 def interp_linear(
     left: DataFrame, series: DataFrame, by: Sequence[str] = (), left_ts: str = "ts", x: str = "ts", y: str = "v",
-    name: str = "interp", outside: str = "clamp", slice_width: int = 5 * DAY,
+    name: str = "interp", outside: str = "clamp", slice_width: int = 5 * DAY, step: int | None = None,
 ) -> DataFrame:
     """JON-3: linear value between the neighbouring points; outside the series clamp, or extend the end line.
 
     Each point carries its next point, so one backward as-of yields both neighbours. A sentinel in front of each
-    series makes rows before the first point find it.
+    series makes rows before the first point find it. A series without keys goes through ``_interp_global``.
     """
-    keys = list(by) or ["_k"]
     if not by:
-        left, series = left.withColumn("_k", F.lit(0)), series.withColumn("_k", F.lit(0))
+        return _interp_global(left, series, left_ts, x, y, name, outside, step or 600)
+    keys = list(by)
     pts = series.select(*keys, F.col(x).alias("x"), F.col(y).cast("double").alias("y")).withColumn("nx", -F.col("x"))
     nxt = running(pts, keys, ["nx"], {"n": ("last", F.struct("x", "y"))}, bucket("nx", slice_width), False)
     point = "struct<x:bigint,y:double>"
@@ -112,13 +112,42 @@ def interp_linear(
         before = line(s("n.x"), s("n.y"), F.col("_s2.x"), F.col("_s2.y"))
         after = line(F.col("_s3.x"), F.col("_s3.y"), s("x"), s("y"))
     value = F.when(s("y").isNull(), before).when(s("n").isNull(), after).otherwise(inside)
-    return got.select(*[c for c in left.columns if c != "_k"], value.alias(name))
+    return got.select(*left.columns, value.alias(name))
 
 
-def block_time(left: DataFrame, anchors: DataFrame, blk: str = "blk", name: str = "block_ts",
-               slice_width: int = 1_000_000) -> DataFrame:
+def _interp_global(left, series, left_ts, x, y, name, outside, step):
+    """One series for all rows: its segments, cut at multiples of ``step``, join the rows on the bucket of their time.
+
+    The rows are not shuffled while the segment table is small enough for Spark to broadcast by its own size check;
+    beyond that the join is a sort-merge on the bucket. The two ends are scalar values.
+    """
+    pts = series.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y"), F.lit(0).alias("_k"), (-F.col(x)).alias("nx"))
+    nxt = running(pts, ["_k"], ["nx"], {"n": ("last", F.struct("x", "y"))}, bucket("nx", step * 4096), False)
+    seg = nxt.filter(F.col("n").isNotNull()).select(
+        F.col("x").alias("_x0"), F.col("y").alias("_y0"), F.col("n.x").alias("_x1"), F.col("n.y").alias("_y1"))
+    seg = seg.withColumn("_b", F.explode(F.sequence(bucket("_x0", step), bucket(F.col("_x1") - 1, step))))
+    t = F.col(left_ts)
+    rows = left.withColumn("_b", bucket(left_ts, step))
+    got = rows.join(seg, (rows["_b"] == seg["_b"]) & (t >= seg["_x0"]) & (t < seg["_x1"]), "left")
+    line = lambda x0, y0, x1, y1: y0 + (y1 - y0) * F.try_divide(t - x0, x1 - x0)
+    inside = line(F.col("_x0"), F.col("_y0"), F.col("_x1"), F.col("_y1"))
+    head, tail = pts.agg(F.min_by("y", "x"), F.min("x")), pts.agg(F.max_by("y", "x"), F.max("x"))
+    first = lambda d, i: d.select(d.columns[i]).scalar()
+    y_first, x_first, y_last, x_last = first(head, 0), first(head, 1), first(tail, 0), first(tail, 1)
+    if outside == "clamp":
+        before, after = y_first, y_last
+    else:
+        ends = seg.agg(F.min_by(F.struct("_x1", "_y1"), "_x0").alias("a"), F.max_by(F.struct("_x0", "_y0"), "_x0").alias("z"))
+        pick = lambda c: ends.select(F.col(c)).scalar()
+        before = line(x_first, y_first, pick("a._x1"), pick("a._y1"))
+        after = line(pick("z._x0"), pick("z._y0"), x_last, y_last)
+    value = F.when(F.col("_x0").isNotNull(), inside).when(t < x_first, before).otherwise(after)
+    return got.select(*left.columns, value.alias(name))
+
+
+def block_time(left: DataFrame, anchors: DataFrame, blk: str = "blk", name: str = "block_ts", step: int = 25_000) -> DataFrame:
     """PRJ-17: time of a block by piecewise-linear interpolation, extended outside the anchors."""
-    out = interp_linear(left, anchors, (), blk, "blk", "ts", name, "extend", slice_width)
+    out = interp_linear(left, anchors, (), blk, "blk", "ts", name, "extend", step=step)
     return out.withColumn(name, round_half_up(F.col(name)))
 
 

@@ -73,19 +73,19 @@ def orient(pools: DataFrame, named: DataFrame, pins: DataFrame | None = None, ba
 def price_from_sqrt(df: DataFrame, sqrt_price: str, liquidity: str, dec_token: str, dec_quote: str, token_is_c0: Column,
                     amount_token: str, amount_quote: str) -> DataFrame:
     """PRJ-6: price in quote terms, depth for 1 % and 5 %, side and amounts from the raw swap fields (text integers)."""
-    sp, lq = F.col(sqrt_price).cast("double") / F.pow(F.lit(2.0), F.lit(96)), F.col(liquidity).cast("double")
+    sp, lq = F.col(sqrt_price).try_cast("double") / F.pow(F.lit(2.0), F.lit(96)), F.col(liquidity).try_cast("double")
     raw = sp * sp
-    price = F.when(token_is_c0, raw).otherwise(1 / raw) * F.pow(F.lit(10.0), F.col(dec_token) - F.col(dec_quote))
+    price = F.when(token_is_c0, raw).otherwise(F.try_divide(F.lit(1.0), raw)) * F.pow(F.lit(10.0), F.col(dec_token) - F.col(dec_quote))
     # quote-side depth: L * sqrt(P) in the direction of the quote
-    root = F.when(token_is_c0, sp).otherwise(1 / sp)
+    root = F.when(token_is_c0, sp).otherwise(F.try_divide(F.lit(1.0), sp))
     unit = F.pow(F.lit(10.0), F.col(dec_quote))
     depth = lambda pct: lq * root * (F.sqrt(F.lit(1 + pct)) - 1) / unit
-    at = F.col(amount_token).cast("double")
+    at = F.col(amount_token).try_cast("double")
     return df.select(
         "*", price.alias("price_quote"), depth(0.01).alias("depth1"), depth(0.05).alias("depth5"),
         F.when(at < 0, "buy").when(at > 0, "sell").otherwise("none").alias("side"),
         (F.abs(at) / F.pow(F.lit(10.0), F.col(dec_token))).alias("amount_token"),
-        (F.abs(F.col(amount_quote).cast("double")) / unit).alias("amount_quote"))
+        (F.abs(F.col(amount_quote).try_cast("double")) / unit).alias("amount_quote"))
 
 
 def usd_and_eth(df: DataFrame, digits: int = 7) -> DataFrame:
@@ -132,7 +132,7 @@ def cell_filter(df: DataFrame) -> DataFrame:
 
 def split_cells(trades: DataFrame, filters: DataFrame) -> DataFrame:
     """PRJ-15: derived cells as subsets of a base cell (minimum dip age, minimum sells); nulls fail."""
-    got = trades.withColumnRenamed("cell", "base").join(F.broadcast(filters), "base")
+    got = trades.withColumnRenamed("cell", "base").join(filters, "base")
     ok = lambda lim, x: F.col(lim).isNull() | F.coalesce(F.col(x) >= F.col(lim), F.lit(False))
     return got.filter(ok("min_dip_sec", "dip_sec") & ok("min_sells", "n_sells"))
 
@@ -142,6 +142,6 @@ def depth_band(df: DataFrame, depth: str, half: str, fit: str = "FIT", ps: Seque
     from tidemark.operators.slicing import quantiles_linear
     cuts = quantiles_linear(df.filter(F.col(half) == fit), [], depth, {"c1": ps[0], "c2": ps[1]}).select("c1", "c2")
     d = F.col(depth)
-    return df.join(F.broadcast(cuts)).withColumn(
+    return df.withColumn("c1", cuts.select("c1").scalar()).withColumn("c2", cuts.select("c2").scalar()).withColumn(
         "depth_band", F.when(d.isNull(), "v23").when(d < F.col("c1"), "low").when(d < F.col("c2"), "mid").otherwise("high")
     ).drop("c1", "c2")

@@ -17,7 +17,7 @@ from tidemark.operators.slicing import quantiles_linear, running
 
 def mean_se(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:
     """STA-1: mean and standard error under independence."""
-    return df.groupBy(*group).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("se_iid"))
+    return df.groupBy(*group).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.try_divide(F.stddev_samp(x), F.sqrt(F.count(x))).alias("se_iid"))
 
 
 def cluster_se(df: DataFrame, group: Sequence[str], x: str, key: str, name: str = "se_cluster") -> DataFrame:
@@ -94,7 +94,7 @@ def coin_bootstrap(df: DataFrame, group: Sequence[str], x: str, coin: str, b: in
     d = u.select(*g, "D", F.col("i").alias("k")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     d = d.withColumn("i", (hash_u32(seed, F.col("b"), F.col("k")) % F.col("D")).cast("int"))
     w = d.groupBy(*g, "b", "i").agg(F.count("*").alias("w"))
-    bm = w.join(u.select(*g, "i", "s", "c"), [*g, "i"]).groupBy(*g, "b").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c"))).alias("m"))
+    bm = w.join(u.select(*g, "i", "s", "c"), [*g, "i"]).groupBy(*g, "b").agg((F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("c")))).alias("m"))
     return bm.groupBy(*g).agg(F.percentile("m", 0.025).alias("coin_lo"), F.percentile("m", 0.975).alias("coin_hi"))
 
 
@@ -145,7 +145,7 @@ def reality_check(df: DataFrame, cell: str, x: str, coin: str, day: str, b: int
 
     One set of weights per resample serves every cell; weights join sums per (cell, unit).
     """
-    stat = mean_se(df, [cell], x).withColumn("t", F.col("mean") / F.col("se_iid"))
+    stat = mean_se(df, [cell], x).withColumn("t", F.try_divide("mean", "se_iid"))
     out = stat
     for name, unit in (("day", day), ("coin", coin)):
         units = df.select(unit).distinct().withColumn("_k", F.lit(0))
@@ -162,7 +162,7 @@ def reality_check(df: DataFrame, cell: str, x: str, coin: str, day: str, b: int
         grid = stat.select(cell, "mean", "se_iid").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
         full = grid.join(hit, [cell, "b"], "left")
         bm = F.coalesce("s", F.lit(0.0)) / F.greatest(F.coalesce("c", F.lit(0)), F.lit(1))
-        peak = full.groupBy("b").agg(F.max((bm - F.col("mean")) / F.col("se_iid")).alias("mx"))
+        peak = full.groupBy("b").agg(F.max(F.try_divide(bm - F.col("mean"), F.col("se_iid"))).alias("mx"))
         tests = stat.select(cell, "t").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).join(peak, "b")
         out = out.join(tests.groupBy(cell).agg(F.avg((F.col("mx") >= F.col("t")).cast("int")).alias(f"p_{name}")), cell)
     return out
@@ -217,8 +217,8 @@ def crash_decomposition(df: DataFrame, group: Sequence[str], ret: str, d: str, c
     c = F.col(ret) <= crash
     n = F.count(d)
     return df.groupBy(*group).agg(n.alias("n"), F.count_if(c & F.col(d).isNotNull()).alias("n_crash"), F.avg(d).alias("d_mean"),
-                                  (F.sum(F.when(c, F.col(d)).otherwise(0.0)) / n).alias("d_from_crash"),
-                                  (F.sum(F.when(~c, F.col(d)).otherwise(0.0)) / n).alias("d_from_rest"))
+                                  (F.sum(F.when(c, F.col(d)).otherwise(0.0)) / F.nullif(n, F.lit(0))).alias("d_from_crash"),
+                                  (F.sum(F.when(~c, F.col(d)).otherwise(0.0)) / F.nullif(n, F.lit(0))).alias("d_from_rest"))
 
 
 def neighbour_check(points: DataFrame, dials: Sequence[str], cost: str, test: str, mean: str, row_id: str, min_n: int = 1,
@@ -240,7 +240,7 @@ def neighbour_check(points: DataFrame, dials: Sequence[str], cost: str, test: st
     n, pos = F.when(use, F.col("_ns")).otherwise(F.col("_na")), F.when(use, F.col("_ps")).otherwise(F.col("_pa"))
     return out.withColumn("neighbours", n).withColumn("positive", pos).withColumn(
         "scope", F.when(use, "same test").when(F.col("_na") > 0, "any test")).withColumn(
-        "a3_pass", (F.col("neighbours") >= min_n) & (F.col("positive") / F.col("neighbours") >= min_share)).drop("_ns", "_ps", "_na", "_pa")
+        "a3_pass", (F.col("neighbours") >= min_n) & (F.try_divide("positive", "neighbours") >= min_share)).drop("_ns", "_ps", "_na", "_pa")
 
 
 def screen(points: DataFrame, min_n: int, min_coins: int, min_days: int) -> DataFrame:
@@ -261,7 +261,7 @@ def robust_score(df: DataFrame, min_n: int = 40, min_coins: int = 8) -> DataFram
 
 def tp_gap(df: DataFrame, group: Sequence[str], booked: str, line: str) -> DataFrame:
     """STA-19: how far the booked target sale lies from its line: share below, mean, median and worst gap in percent."""
-    d = df.withColumn("_g", 100 * (F.col(booked) / F.col(line) - 1))
+    d = df.withColumn("_g", 100 * (F.try_divide(booked, line) - 1))
     med = quantiles_linear(d, group, "_g", {"gap_median": 0.5}).drop("n")
     return d.groupBy(*group).agg(F.count("_g").alias("n"), F.avg((F.col("_g") < 0).cast("int")).alias("below"), F.avg("_g").alias("gap_mean"),
                                  F.min("_g").alias("gap_worst")).join(med, list(group))

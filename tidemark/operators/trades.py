@@ -151,8 +151,8 @@ def exit_first_hit(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id:
 
 def trigger_book(pos: DataFrame) -> DataFrame:
     """TRD-12: return at the price of the print that triggered the target, beside the booked one."""
-    return pos.withColumn("ret_trigger", 100 * (F.coalesce("trigger_px", "exit_px") / F.col("entry_px") - 1)).withColumn(
-        "ret_booked", 100 * (F.col("exit_px") / F.col("entry_px") - 1))
+    return pos.withColumn("ret_trigger", 100 * (F.try_divide(F.coalesce("trigger_px", "exit_px"), F.col("entry_px")) - 1)).withColumn(
+        "ret_booked", 100 * (F.try_divide("exit_px", "entry_px") - 1))
 
 
 def greedy_nonoverlap(cands: DataFrame, by: Sequence[str], order: Sequence[str], start: str, end: str, gap: int = 0, **fold) -> DataFrame:
@@ -236,7 +236,7 @@ def marks(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id: str, hol
     px = F.when(F.col("_how") == "oow", None).when(F.col("_how") == "rug", F.col("_r.px")).otherwise(F.coalesce("_m.px", "epx"))
     mts = F.when(F.col("_how") == "oow", None).when(F.col("_how") == "rug", F.col("_r.ts")).otherwise(F.coalesce("_m.ts", "ets"))
     keep = pos.columns
-    return h.select(*keep, "hold", how.alias("how"), px.alias("mpx"), mts.alias("mts"), (100 * (px / F.col("epx") - 1)).alias("g"))
+    return h.select(*keep, "hold", how.alias("how"), px.alias("mpx"), mts.alias("mts"), (100 * (F.try_divide(px, F.col("epx")) - 1)).alias("g"))
 
 
 def _first_between(pos, prints, by, row_id, lo_line, hi_line, lo, hi, fine, coarse, name):
@@ -317,7 +317,7 @@ def exit_overlays(pos: DataFrame, rules: Sequence[dict]) -> DataFrame:
 def clip_shadows(pos: DataFrame, clips: Sequence[float], depth: str, s1: float = 1.01 ** 0.5 - 1, limit: float = 0.10) -> DataFrame:
     """TRD-17: the same entries at other sizes; own impact above ``limit`` does not scale."""
     out = pos.withColumn("clip", F.explode(F.array(*[F.lit(float(c)) for c in clips])))
-    u = F.col("clip") * s1 / F.col(depth)
+    u = F.try_divide(F.col("clip") * s1, F.col(depth))
     return out.withColumn("impact", u).withColumn("noscale", u > limit).withColumn(
         "ret_clip", 100 * ((1 + F.col("ret") / 100) / ((1 + u) * (1 + u)) - 1))
 

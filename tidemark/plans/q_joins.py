@@ -62,7 +62,7 @@ FROM p JOIN q USING (blk)""")
 def _(spark, sf):
     t = tape(spark, sf)
     series = t.filter("pool = 'click'").groupBy((bucket("ts", 21600) * 21600).alias("ts")).agg(F.avg("px").alias("v"))
-    out = J.interp_linear(t.filter("pool = 'purchase'").select("blk", "ts"), series)
+    out = J.interp_linear(t.filter("pool = 'purchase'").select("blk", "ts"), series, step=21600)
     return out.withColumn("interp", F.round("interp", 6))
 
 
@@ -80,7 +80,7 @@ def _(spark, sf):
     t = tape(spark, sf)
     anchors = t.filter("pool = 'click'").groupBy(bucket("ts", D).alias("d")).agg(
         F.min("blk").alias("blk"), F.min_by("ts", "blk").alias("ts"))
-    return J.block_time(t.select("blk"), anchors.select("blk", "ts"))
+    return J.block_time(t.select("blk"), anchors.select("blk", "ts"), step=300)
 
 
 @query("jon_04_asof_multires", ctes(TAPE, f"""

@@ -195,7 +195,7 @@ SELECT pool, count(*) AS n, round(quantile_cont(e, 0.5), 4) AS err_p50, round(qu
 def _(spark, sf):
     t = tape(spark, sf)
     anchors = t.groupBy(F.floor(F.col("ts") / D).alias("d")).agg(F.min("blk").alias("blk"), F.min_by("ts", "blk").alias("ts"))
-    est = J.block_time(t.select("blk", "ts", "pool"), anchors.select("blk", "ts"))
+    est = J.block_time(t.select("blk", "ts", "pool"), anchors.select("blk", "ts"), step=300)
     return rnd(A.holdout_error(est, "block_ts", "ts", ["pool"]), 4, "err_p50", "err_p90")
 
 

@@ -294,7 +294,7 @@ def _(spark, sf):
     p, en = _entries(spark, sf)
     pos = en.filter((F.col("status") == "ok") & (F.col("entry_ts") <= END) & (F.col("pool") == "click")).select("id", "tok", "pool", "entry_ts", "entry_px")
     ex = X.exit_first_hit(X.exit_overlays(pos, RULES), _prints(p), ["tok", "pool"], ["id", "rule"], END, 3600, 3 * D, 30.0, 0.25, FINE, COARSE)
-    return ex.groupBy("rule", "reason").agg(F.count("*").alias("n"), F.round(F.avg(100 * (F.col("exit_px") / F.col("entry_px") - 1)), 4).alias("mean"))
+    return ex.groupBy("rule", "reason").agg(F.count("*").alias("n"), F.round(F.avg(100 * (F.try_divide("exit_px", "entry_px") - 1)), 4).alias("mean"))
 
 
 @query("trd_17_clip_shadows", ctes(TRADES) + """
@@ -375,5 +375,5 @@ def _(spark, sf):
     taken = X.greedy_nonoverlap(ex, ["cell", "tok"], ["entry_ts", "id"], "entry_ts", "exit_ts", 3600).filter("taken")
     return taken.groupBy("cell").agg(
         F.count("*").alias("trades"), F.count_distinct("tok").alias("coins"),
-        F.round(F.avg(100 * (F.col("exit_px") / F.col("entry_px") - 1)), 4).alias("mean_ret"),
+        F.round(F.avg(100 * (F.try_divide("exit_px", "entry_px") - 1)), 4).alias("mean_ret"),
         F.round(F.avg(F.when(F.col("reason") == "tp", 1.0).otherwise(0.0)), 6).alias("tp_share"))
