@@ -18,7 +18,7 @@ def test_entry(spark):
 
 def test_every_query_but_the_stateful_ones_has_sql():
     assert sorted(set(QUERIES) - set(SQL)) == [
-        "cln_03_guard_with_main_pool", "src_07_file_inventory", "str_07_stream_entry_exit"]
+        "src_07_file_inventory", "str_07_stream_entry_exit"]
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -260,7 +260,7 @@ def thin(df: DataFrame, key: Sequence[str], order: Sequence[str], ts: str, gap:
 def dip_episodes(prints: DataFrame, dips: DataFrame, gap: int = 6 * HOUR, recover: float = 1.2, within: int = DAY,
                  fine: int = HOUR, coarse: int = DAY, **kw) -> DataFrame:
     """WIN-13: dips on the main pool thinned to one per ``gap``, each with its first recovery on the same pool."""
-    kept = thin(dips, ["tok"], list(ORDER), "ts", gap, "_kept", **kw).filter("_kept").drop("_kept")
+    kept = thin(dips, ["tok"], list(ORDER), "ts", gap, "_kept", cut=True, **kw).filter("_kept").drop("_kept")
     pos = (kept.withColumn("_lo", F.col("ts") + 1).withColumn("_hi", F.col("ts") + within)
            .withColumn("_line", F.col("px") * recover))
     got = first_crossing(pos, prints, ["tok", "pool"], ["blk"], F.col("px"), "_line", "_lo", "_hi", ("ts", "px"),

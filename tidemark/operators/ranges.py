@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import DAY, HOUR, bucket
 
 
-def _units(lo: str, hi: str, fine: int, coarse: int) -> Column:
-    """Array of (level, b): coarse buckets strictly inside, fine buckets at both edges."""
+def _units(lo: str, hi: str, fine: int, coarse: int | None) -> Column:
+    """Array of (level, b): coarse buckets strictly inside, fine buckets at both edges; all fine without ``coarse``."""
+    if coarse is None:
+        return F.when(F.col(lo) <= F.col(hi), F.transform(
+            F.sequence(bucket(lo, fine), bucket(hi, fine)), lambda b: F.struct(F.lit(1).alias("level"), b.alias("b"))))
     r = coarse // fine
     fl, fh, cl, ch = bucket(lo, fine), bucket(hi, fine), bucket(lo, coarse), bucket(hi, coarse)
     unit = lambda lv: (lambda b: F.struct(F.lit(lv).alias("level"), b.alias("b")))
@@ -30,11 +33,12 @@ def _units(lo: str, hi: str, fine: int, coarse: int) -> Column:
 def first_crossing(
     pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id: Sequence[str], x: Column, line: str,
     lo: str = "lo", hi: str = "hi", columns: Sequence[str] = ("ts", "blk", "px"), order: Sequence[str] = ("ts", "blk", "li"),
-    fine: int = HOUR, coarse: int = DAY, name: str = "hit", above: bool = False,
+    fine: int = HOUR, coarse: int | None = DAY, name: str = "hit", above: bool = False,
 ) -> DataFrame:
     """JON-5 / TRD-7: the first print with lo <= ts <= hi and x >= line, as struct ``name`` (null when none).
 
-    ``above`` asks for x > line. Pass a negated expression and line to search for a fall instead.
+    ``above`` asks for x > line. Without ``coarse`` the range is covered by fine buckets only, which saves two joins
+    where it spans few of them. Pass a negated expression and line to search for a fall instead.
     """
     by, row_id = list(by), list(row_id)
     reach = (lambda v: v > F.col("_line")) if above else (lambda v: v >= F.col("_line"))
@@ -42,8 +46,10 @@ def first_crossing(
     p = p.select(*by, bucket("ts", fine).alias("_b"), "_x", F.struct(*columns).alias("_p"),
                  F.struct(*order).alias("_o"), F.col("ts").alias("_ts"))
     h1 = p.groupBy(*by, "_b").agg(F.max("_x").alias("_m"))
-    h2 = h1.groupBy(*by, F.floor(F.col("_b") * fine / coarse).cast("long").alias("_b")).agg(F.max("_m").alias("_m"))
-    highs = h1.withColumn("_lv", F.lit(1)).unionByName(h2.withColumn("_lv", F.lit(2)))
+    highs = h1.withColumn("_lv", F.lit(1))
+    if coarse is not None:
+        h2 = h1.groupBy(*by, F.floor(F.col("_b") * fine / coarse).cast("long").alias("_b")).agg(F.max("_m").alias("_m"))
+        highs = highs.unionByName(h2.withColumn("_lv", F.lit(2)))
     rid = list(dict.fromkeys(by + row_id))
     at = [*rid, "_lo", "_hi", "_line"]
     want = pos.select(*rid, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.col(line).alias("_line"))
@@ -52,13 +58,23 @@ def first_crossing(
     alive = units.join(highs, [*by, "_lv", "_b"]).filter(reach(F.col("_m")))
     head = (F.col("_lv") == 1) & (F.col("_b") == bucket("_lo", fine))
     tail = (F.col("_lv") == 1) & (F.col("_b") == bucket("_hi", fine))
-    start = F.when(F.col("_lv") == 1, F.col("_b") * fine).otherwise(F.col("_b") * coarse)
+    start = F.when(F.col("_lv") == 1, F.col("_b") * fine).otherwise(F.col("_b") * (coarse or fine))
     whole = F.when(~(head | tail), F.struct(start.alias("s"), F.col("_lv").alias("lv"), F.col("_b").alias("b")))
     found = alive.groupBy(*at).agg(
         F.max(F.when(head, F.col("_b"))).alias("_head"), F.max(F.when(tail, F.col("_b"))).alias("_tail"),
         F.min(whole).alias("_w"))
-    # open up the first whole unit: itself, or the fine buckets of a coarse one
-    r = coarse // fine
+    if coarse is None:
+        cand = found.select(*at, F.explode(F.array_distinct(F.array_compact(F.array("_head", "_tail", F.col("_w.b"))))).alias("_b"))
+    else:
+        cand = _drill(found, h1, by, at, fine, coarse // fine, reach)
+    hits = (cand.join(p, [*by, "_b"])
+            .filter(reach(F.col("_x")) & (F.col("_ts") >= F.col("_lo")) & (F.col("_ts") <= F.col("_hi")))
+            .groupBy(*row_id).agg(F.min_by("_p", "_o").alias(name)))
+    return pos.join(hits, row_id, "left")
+
+
+def _drill(found, h1, by, at, fine, r, reach):
+    """Open up the first whole unit (itself, or the fine buckets of a coarse one) and keep the buckets to read."""
     inner = F.when(F.col("_w.lv") == 1, F.array(F.col("_w.b"))).when(
         F.col("_w.lv") == 2, F.sequence(F.col("_w.b") * r, F.col("_w.b") * r + (r - 1))).otherwise(F.array().cast("array<bigint>"))
     opened = found.withColumn("_b", F.explode(F.array_distinct(F.concat(F.array_compact(F.array("_head", "_tail")), inner))))
@@ -66,11 +82,7 @@ def first_crossing(
     edge = (F.col("_b") == bucket("_lo", fine)) | (F.col("_b") == bucket("_hi", fine))
     few = kept.groupBy(*at).agg(
         F.collect_set(F.when(edge, F.col("_b"))).alias("_e"), F.min(F.when(~edge, F.col("_b"))).alias("_f"))  # two edges at most
-    cand = few.select(*at, F.explode(F.array_compact(F.concat("_e", F.array("_f")))).alias("_b"))
-    hits = (cand.join(p, [*by, "_b"])
-            .filter(reach(F.col("_x")) & (F.col("_ts") >= F.col("_lo")) & (F.col("_ts") <= F.col("_hi")))
-            .groupBy(*row_id).agg(F.min_by("_p", "_o").alias(name)))
-    return pos.join(hits, row_id, "left")
+    return few.select(*at, F.explode(F.array_compact(F.concat("_e", F.array("_f")))).alias("_b"))
 
 
 def range_extreme(
@@ -102,7 +114,7 @@ def range_extreme(
 def last_below(
     pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id: Sequence[str], x: Column, line: str,
     lo: str = "lo", hi: str = "hi", columns: Sequence[str] = ("ts", "px"), order: Sequence[str] = ("ts", "blk", "li"),
-    fine: int = HOUR, coarse: int = DAY, name: str = "hit",
+    fine: int = HOUR, coarse: int | None = DAY, name: str = "hit",
 ) -> DataFrame:
     """The last print with lo <= ts <= hi and x <= line: the first crossing on the reversed time axis."""
     back = prints.withColumn("_x0", x).select(

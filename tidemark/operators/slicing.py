@@ -17,7 +17,7 @@ interval that keeps it below a row target.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalar import bucket, monotone_bucket
-from tidemark.session import keep_partitions
+from tidemark.session import cut_lineage, keep_partitions
 
 SLICE = "_slice"
 LADDER = (30 * 86400, 5 * 86400, 86400, 6 * 3600, 3600, 600, 60, 10, 1)
@@ -153,6 +153,7 @@ def ordered_fold(
     out_fields: Sequence[tuple[str, str]],
     partitions: int | None = None,
     rows_per_partition: int = 2_000_000,
+    cut: bool = False,
 ) -> DataFrame:
     """Fold each key's rows in order with a small carried state, for keys of any size.
 
@@ -161,11 +162,15 @@ def ordered_fold(
     Blocks are cut at Arrow batch boundaries, so no key is ever held whole.
 
     The rows are range-partitioned by (key, order) and written to the checkpoint folder, so a key larger than a
-    partition runs over several. Each partition is folded from a guess; the driver only compares one
-    (key, state) pair per partition boundary and has the wrong ones folded again. The result is exact: it is
-    accepted only once every start state equals the end state before it.
+    partition runs over several. Only keys that cross a partition boundary need a start state: their part in the
+    partition before is folded first, from a guess, and folded again where the guess was wrong, until every start
+    state equals the end state before it. The driver sees one (first key, last key, state) row per partition.
+    ``cut`` writes the input first; use it when the input is costly, as it is read three times (count, range
+    sample, shuffle).
     """
     key, order = list(key), list(order)
+    if cut:
+        df = cut_lineage(df)
     spark = df.sparkSession
     if partitions is None:
         partitions = max(spark.sparkContext.defaultParallelism, -(-df.count() // rows_per_partition))
@@ -173,66 +178,70 @@ def ordered_fold(
         df.repartitionByRange(partitions, *key, *order).sortWithinPartitions(*key, *order)
         .withColumn("_pid", F.spark_partition_id()))
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            change = (pdf[key] != pdf[key].shift()).any(axis=1).cumsum().to_numpy()
-            for _, block in pdf.groupby(change, sort=False):
-                yield tuple(block[key].iloc[0].tolist()), block
-
-    def fold(batches, starts):
-        """Yield (pid, key, block, outputs, start, state) for consecutive blocks of one partition."""
-        current, state = None, None
-        for k, block in blocks(batches):
-            if k != current:
-                pid = int(block["_pid"].iloc[0])
-                state = starts.get(pid) if current is None else None
-                current = k
-            state, outputs = kernel(state, block)
-            yield k, block, outputs, state
-
-    edge_schema = "_pid int, first_key string, last_key string, end string"
-
-    def edges(starts):
-        def run(batches):
-            first = last = end = pid = None
-            for k, block, _, state in fold(batches, starts):
-                pid = int(block["_pid"].iloc[0])
-                first = k if first is None else first
-                last, end = k, state
-            if pid is not None:
-                yield pd.DataFrame({"_pid": [pid], "first_key": [json.dumps(first, default=str)],
-                                    "last_key": [json.dumps(last, default=str)], "end": [json.dumps(end)]})
-        return run
-
-    # one row per partition: bounded by the partition count, never by the data
-    info = {r["_pid"]: r for r in rows.mapInPandas(edges({}), edge_schema).collect()}
-    starts: dict[int, dict | None] = {}
-    while True:
-        stale, before = {}, None
-        for pid in sorted(info):
-            r = info[pid]
-            want = json.loads(before["end"]) if before and before["last_key"] == r["first_key"] else None
-            if want != starts.get(pid):
-                stale[pid] = want
-            before = r
-        if not stale:
-            break
-        starts.update(stale)
-        redo = [p for p in stale if info[p]["first_key"] == info[p]["last_key"]]
-        if not redo:
-            continue
-        again = rows.filter(F.col("_pid").isin(redo)).mapInPandas(edges(dict(starts)), edge_schema).collect()
-        info.update({r["_pid"]: r for r in again})
+    def fold(pdf: pd.DataFrame, starts: dict[int, str], carry: list):
+        """Run the kernel over the key blocks of one batch; ``carry`` holds [key, state] between batches."""
+        keys = list(zip(*[pdf[c].tolist() for c in key]))
+        cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+        pid = int(pdf["_pid"].iloc[0])
+        for a, b in zip(cuts, cuts[1:]):
+            if not carry:
+                carry[:] = [keys[a], json.loads(starts[pid]) if pid in starts else None]
+            elif carry[0] != keys[a]:
+                carry[:] = [keys[a], None]
+            carry[1], out = kernel(carry[1], pdf.iloc[a:b])
+            yield out
+
+    # first and last key of every partition: one row each
+    k = F.struct(*key)
+    spans = rows.groupBy("_pid").agg(F.min(k).alias("a"), F.max(k).alias("z")).orderBy("_pid").collect()
+    crossing = [(p, q) for p, q in zip(spans, spans[1:]) if p["z"] == q["a"]]
+    starts: dict[int, str] = {}
+    if crossing:
+        key_schema = T.StructType([T.StructField("_pid", T.IntegerType()), *[df.schema[c] for c in key]])
+        tails = spark.createDataFrame([(p["_pid"], *p["z"]) for p, _ in crossing], key_schema)
+        # at most one key per partition, so the broadcast is bounded by the partition count
+        tail_rows = rows.join(F.broadcast(tails), ["_pid", *key], "left_semi")
+
+        def ends(starts):
+            def run(batches):
+                carry, pid = [], None
+                for pdf in batches:
+                    if len(pdf):
+                        pid = int(pdf["_pid"].iloc[0])
+                        for _ in fold(pdf, starts, carry):
+                            pass
+                if pid is not None:
+                    yield pd.DataFrame({"_pid": [pid], "end": [json.dumps(carry[1])]})
+            return run
+
+        def measure(pids):
+            got = tail_rows.filter(F.col("_pid").isin(pids)).mapInPandas(ends(dict(starts)), "_pid int, end string")
+            return {r["_pid"]: r["end"] for r in got.collect()}
+
+        end_of = measure([p["_pid"] for p, _ in crossing])
+        while True:
+            stale = [q["_pid"] for p, q in crossing if starts.get(q["_pid"]) != end_of[p["_pid"]]]
+            if not stale:
+                break
+            starts.update({q["_pid"]: end_of[p["_pid"]] for p, q in crossing})
+            # a new start only changes the end of a partition that the key fills entirely
+            redo = [p["_pid"] for p, _ in crossing if p["_pid"] in stale and p["a"] == p["z"]]
+            if redo:
+                end_of.update(measure(redo))
 
     out_schema = T.StructType(list(df.schema.fields) + [
         T.StructField(n, T._parse_datatype_string(t)) for n, t in out_fields])
     names = df.columns
 
     def emit(batches):
-        for _, block, outputs, _ in fold(batches, starts):
-            yield block[names].assign(**{n: outputs[n] for n, _ in out_fields})
+        carry: list = []
+        for pdf in batches:
+            if len(pdf):
+                parts: dict[str, list] = {n: [] for n, _ in out_fields}
+                for out in fold(pdf, starts, carry):
+                    for n in parts:
+                        parts[n].extend(out[n])
+                yield pdf[names].assign(**parts)
 
     return rows.mapInPandas(emit, out_schema)
 

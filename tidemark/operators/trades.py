@@ -61,26 +61,42 @@ def call_candidates(calls: DataFrame, delays: Sequence[int], tps: Sequence[float
         "id", "tok", "caller", "ts", "d.delay", "d.tp")
 
 
+def priceable(min_usd: float) -> Column:
+    return (F.col("kind") == "v4") | (F.col("usd") >= min_usd)
+
+
+def with_next_priceable(prints: DataFrame, by: Sequence[str], min_usd: float = 10.0, slice_width: int = 5 * DAY) -> DataFrame:
+    """Adds ``nx``, the next print of the pool that can be priced. Between a time and the next print nothing changes, so
+    "the last print at t" and "the first priceable print after t" come from one as-of on such prints."""
+    cols = [c for c in ("ts", "blk", "px", "usd", "kind", "depth1_eth") if c in prints.columns]
+    neg = prints.select("*", *[(-F.col(c)).alias(f"_n{c}") for c in ORDER])
+    nx = F.when(priceable(min_usd), F.struct(*cols))
+    return running(neg, by, [f"_n{c}" for c in ORDER], {"nx": ("last", nx)}, bucket("_nts", slice_width), False).drop(
+        *[f"_n{c}" for c in ORDER])
+
+
 def entry_last_state(cands: DataFrame, prints: DataFrame, by: Sequence[str], lat: int = 60, wait: int = HOUR,
                      min_usd: float = 10.0, depth_floor: float = 0.001, slice_width: int = 5 * DAY) -> DataFrame:
     """TRD-5: enter at the pool's last state at sig + lat; if that cannot be priced, at the next print within ``wait`` that can.
 
-    ``prints`` carries kind, usd, px and depth1_eth. Status: ok, nofill, skipDepth.
+    ``prints`` carries kind, usd, px and depth1_eth, and ``nx`` if it was prepared. Status: ok, nofill, skipDepth.
     """
-    priceable = (F.col("kind") == "v4") | (F.col("usd") >= min_usd)
     cols = ("ts", "blk", "px", "usd", "kind", "depth1_eth")
-    c = cands.withColumn("_at", F.col("ts") + lat).withColumn("_nx", F.col("ts") + lat + 1)
-    c = J.asof_backward(c, prints.withColumn("_ok", priceable), by, "_l", left_ts="_at", tie=("blk",), columns=(*cols, "_ok"), slice_width=slice_width)
-    c = J.asof_forward(c, prints.filter(priceable), by, "_f", left_ts="_nx", tie=("blk",), columns=cols, slice_width=slice_width)
-    now, later = F.coalesce(F.col("_l._ok"), F.lit(False)), F.col("_f.ts") <= F.col("_at") + wait
-    plain = lambda s: F.struct(*[F.col(f"{s}.{k}") for k in cols])
-    e = F.when(now, plain("_l")).when(later, plain("_f"))
-    out = c.withColumn("_e", e)
+    if "nx" not in prints.columns:
+        prints = with_next_priceable(prints, by, min_usd, slice_width)
+    state = prints.select(*by, *ORDER, F.struct(*cols).alias("now"), priceable(min_usd).alias("ok"), "nx")
+    # in front of a pool's first print there is no state, only the first priceable print to wait for
+    head = prints.filter(priceable(min_usd)).groupBy(*by).agg(F.min_by(F.struct(*cols), F.struct(*ORDER)).alias("nx")).withColumn(
+        "ts", F.lit(-(2 ** 40))).withColumn("ok", F.lit(False))
+    c = J.asof_backward(cands.withColumn("_at", F.col("ts") + lat), state.unionByName(head, allowMissingColumns=True), by, "_l",
+                        left_ts="_at", tie=("blk",), columns=("ts", "now", "ok", "nx"), slice_width=slice_width)
+    now, later = F.coalesce(F.col("_l.ok"), F.lit(False)), F.col("_l.nx.ts") <= F.col("_at") + wait
+    out = c.withColumn("_e", F.when(now, F.col("_l.now")).when(later, F.col("_l.nx")))
     thin_pool = (F.col("_e.kind") == "v4") & (F.col("_e.depth1_eth") < depth_floor)
     return out.withColumn("status", F.when(F.col("_e").isNull(), "nofill").when(thin_pool, "skipDepth").otherwise("ok")).withColumn(
         "entry_ts", F.greatest(F.col("_e.ts"), F.when(F.col("_e").isNotNull(), F.col("_at")))).withColumn(
         "entry_blk", F.col("_e.blk")).withColumn("entry_px", F.col("_e.px")).withColumn(
-        "entry_delay", F.when(now, F.lit(0)).otherwise(F.col("_e.ts") - F.col("_at"))).drop("_at", "_nx", "_l", "_f", "_e")
+        "entry_delay", F.when(now, F.lit(0)).otherwise(F.col("_e.ts") - F.col("_at"))).drop("_at", "_l", "_e")
 
 
 def entry_first_print(cands: DataFrame, prints: DataFrame, row_id: Sequence[str], delay: str, tol: int = 300,
@@ -116,7 +132,7 @@ def other_extreme(prints: DataFrame, by: Sequence[str], tx: str, lookback: int,
 
 def exit_first_hit(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id: Sequence[str], data_end: int,
                    tp_lat: int = 60, wait: int = DAY, min_usd: float = 10.0, drain: float = 0.05, fine: int = HOUR,
-                   coarse: int = DAY, slice_width: int = 5 * DAY) -> DataFrame:
+                   coarse: int | None = DAY, slice_width: int = 5 * DAY) -> DataFrame:
     """TRD-7: earliest of drain, target and deadline, searched on the entry pool only.
 
     ``pos``: entry_ts, entry_px, deadline, tp_line. ``prints``: px, usd, kind, ``low_other`` (lowest price of other
@@ -125,8 +141,9 @@ def exit_first_hit(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id:
     booked at the last print up to ``tp_lat`` after its trigger, a deadline at the last print before it; a print that
     cannot be priced waits up to ``wait`` for one that can, else the last print is a fallback.
     """
-    priceable = (F.col("kind") == "v4") | (F.col("usd") >= min_usd)
-    p = prints.withColumn("_ok", priceable)
+    if "nx" not in prints.columns:
+        prints = with_next_priceable(prints, by, min_usd, slice_width)
+    p = prints.withColumn("_ok", priceable(min_usd))
     confirmed = F.greatest(F.col("px") / drain, F.col("low_other") / (2 * drain))
     level = F.when(F.col("deep"), F.col("px") / drain).when(F.col("low_other").isNotNull(), confirmed)
     # the searches below read the positions several times, and positions are few beside prints
@@ -135,18 +152,17 @@ def exit_first_hit(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id:
     got = first_crossing(base, p.filter("_ok"), by, row_id, F.col("px"), "tp_line", "_lo", "_hi", ("ts", "blk", "px"), ORDER, fine, coarse, "_tp")
     got = got.withColumn("_hi2", F.when(F.col("_tp").isNotNull(), F.col("_tp.ts") + tp_lat).otherwise(F.col("_hi")))
     got = first_crossing(got, p, by, row_id, -level, "_dl", "_lo", "_hi2", ("ts", "blk", "px"), ORDER, fine, coarse, "_dr", above=True)
-    got = cut_lineage(got).withColumn("_plan", F.least(F.col("_hi2"), F.lit(data_end))).withColumn("_nx", F.col("_hi2") + 1)
-    got = J.asof_backward(got, p, by, "_l", left_ts="_plan", tie=("blk",), columns=("ts", "px", "_ok"), slice_width=slice_width)
-    got = J.asof_forward(got, p.filter("_ok"), by, "_w", left_ts="_nx", tie=("blk",), columns=("ts", "px"), slice_width=slice_width)
-    late = F.col("_w.ts") <= F.col("_hi2") + wait
+    got = cut_lineage(got).withColumn("_plan", F.least(F.col("_hi2"), F.lit(data_end)))
+    got = J.asof_backward(got, p, by, "_l", left_ts="_plan", tie=("blk",), columns=("ts", "px", "_ok", "nx"), slice_width=slice_width)
+    late = F.col("_l.nx.ts") <= F.col("_hi2") + wait
     why = F.when(F.col("_tp").isNotNull(), "tp").otherwise("time")
     kind = (F.when(F.col("_dr").isNotNull(), "drain").when(F.col("_hi2") > data_end, "end").when(F.col("_l._ok"), why)
             .when(late, why).otherwise("fb"))
     use_now = (F.col("_hi2") > data_end) | F.col("_l._ok")
-    px = F.when(F.col("_dr").isNotNull(), F.col("_dr.px")).when(use_now, F.col("_l.px")).when(late, F.col("_w.px")).otherwise(F.col("_l.px"))
-    at = F.when(F.col("_dr").isNotNull(), F.col("_dr.ts")).when(use_now, F.col("_plan")).when(late, F.col("_w.ts")).otherwise(F.col("_hi2") + wait)
+    px = F.when(F.col("_dr").isNotNull(), F.col("_dr.px")).when(use_now, F.col("_l.px")).when(late, F.col("_l.nx.px")).otherwise(F.col("_l.px"))
+    at = F.when(F.col("_dr").isNotNull(), F.col("_dr.ts")).when(use_now, F.col("_plan")).when(late, F.col("_l.nx.ts")).otherwise(F.col("_hi2") + wait)
     return got.withColumn("reason", kind).withColumn("exit_px", px).withColumn("exit_ts", at).withColumn(
-        "trigger_px", F.col("_tp.px")).drop("_lo", "_hi", "_hi2", "_dl", "_tp", "_dr", "_plan", "_nx", "_l", "_w")
+        "trigger_px", F.col("_tp.px")).drop("_lo", "_hi", "_hi2", "_dl", "_tp", "_dr", "_plan", "_l")
 
 
 def trigger_book(pos: DataFrame) -> DataFrame:

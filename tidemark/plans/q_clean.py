@@ -43,10 +43,29 @@ def _(spark, sf):
     return C.bad_print_guard_absorbing(tape(spark, sf), ["tok"], band=BAND).select("blk", "accepted")
 
 
-@query("cln_03_guard_with_main_pool")
+MAIN_GUARD = f"""WITH RECURSIVE {TAPE},
+n AS (SELECT blk, tok AS k, pool, ts, px, usd, row_number() OVER (PARTITION BY tok ORDER BY ts, blk) AS i FROM tape),
+r AS (SELECT k, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS blk, false AS accepted, CAST(NULL AS BOOLEAN) AS checked, CAST([] AS DOUBLE[]) AS seen, CAST(NULL AS VARCHAR) AS hs,
+         CAST(NULL AS DOUBLE) AS hp, CAST([] AS STRUCT(pk VARCHAR, v DOUBLE, t BIGINT, px DOUBLE)[]) AS pools FROM (SELECT DISTINCT k FROM n)
+  UNION ALL
+  SELECT k, i, blk, ok, chk, CASE WHEN NOT valid THEN seen WHEN conf THEN [px, px, px, px, px] WHEN ok THEN list_append(seen, px)[-15:] ELSE seen END,
+         CASE WHEN NOT valid THEN hs WHEN ok THEN NULL ELSE side END, CASE WHEN NOT valid THEN hp WHEN ok THEN NULL ELSE px END,
+         CASE WHEN ok THEN list_append(list_filter(pools, lambda e: e.pk <> pool), {{'pk': pool, 'v': coalesce(list_sum(list_transform(list_filter(pools, lambda e: e.pk = pool),
+           lambda e: e.v * pow(2.0, -(ts - e.t) / 432000.0))), 0) + usd, 't': ts, 'px': px}}) ELSE pools END
+  FROM (SELECT *, valid AND (side IS NULL OR conf) AS ok FROM (
+    SELECT *, valid AND coalesce(hs = side AND px BETWEEN hp / 2 AND hp * 2, false) AS conf FROM (
+      SELECT *, fits AND px > 0 AND usd >= 1 AS valid, CASE WHEN len(seen) >= 5 AND px > list_sort(seen)[len(seen) // 2 + 1] * {BAND} THEN 'up'
+             WHEN len(seen) >= 5 AND px < list_sort(seen)[len(seen) // 2 + 1] / {BAND} THEN 'down' END AS side FROM (
+        SELECT *, CASE WHEN m.pk <> pool THEN ts - m.t <= {3 * D} END AS chk, coalesce(m.pk = pool OR ts - m.t > {3 * D} OR px / m.px BETWEEN 0.25 AND 4, true) AS fits FROM (
+          SELECT n.*, r.seen, r.hs, r.hp, r.pools, list_max(list_transform(r.pools, lambda e: {{'d': e.v * pow(2.0, -(n.ts - e.t) / 432000.0), 'pk': e.pk, 't': e.t, 'px': e.px}})) AS m
+          FROM r JOIN n ON n.k = r.k AND n.i = r.i + 1))))))
+SELECT blk, accepted, checked FROM r WHERE i > 0"""
+
+
+@query("cln_03_guard_with_main_pool", MAIN_GUARD)
 def _(spark, sf):
     out = C.guard_with_main_pool(tape(spark, sf), ratio=4.0, ref_age=3 * D, half_life=5 * D, band=BAND)
-    return out.groupBy("accepted", "checked").agg(F.count("*").alias("n"), F.sum("blk").alias("blk_sum"))
+    return out.select("blk", "accepted", "checked")
 
 
 @query("cln_03_main_pool_consistency", ctes(TAPE, """

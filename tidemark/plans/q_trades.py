@@ -89,7 +89,7 @@ en AS (SELECT id, e1.tok, e1.pool, CASE WHEN lok THEN greatest(lts, sig + {LAT})
 
 
 def _entries(spark, sf):
-    p = v4(spark, sf)
+    p = _prints(v4(spark, sf))
     sig = p.filter("side = 'buy'").select(F.col("blk").alias("id"), "tok", "pool", "ts")
     return p, X.entry_last_state(sig, p, ["tok", "pool"], LAT, WAIT, 30.0, 0.5)
 
@@ -118,9 +118,10 @@ PRINTS = f"""pr AS (SELECT l.*, l.kind = 'v4' OR l.usd >= 30 AS ok, l.usd >= 80
 
 
 def _prints(p):
-    """The prepared prints, written once: every search of the exit rules reads them."""
-    cols = p.select("tok", "pool", "ts", "blk", "li", "px", "usd", "kind")
-    return cut_lineage(X.other_extreme(cols, ["tok", "pool"], "blk", 5 * D, False, "low_other", 5 * D).withColumn("deep", F.col("usd") >= 80))
+    """The prepared prints, written once: entries and every search of the exit rules read them."""
+    cols = p.select("tok", "pool", "ts", "blk", "li", "px", "usd", "kind", "side", "depth1_eth")
+    low = X.other_extreme(cols, ["tok", "pool"], "blk", 5 * D, False, "low_other", 5 * D)
+    return cut_lineage(X.with_next_priceable(low, ["tok", "pool"], 30.0).withColumn("deep", F.col("usd") >= 80))
 
 
 def exit_sql(pos: str, out: str) -> str:
@@ -145,7 +146,7 @@ def _exits(spark, sf):
     p, en = _entries(spark, sf)
     pos = en.filter((F.col("status") == "ok") & (F.col("entry_ts") <= END)).select(
         "id", "tok", "pool", "entry_ts", "entry_px", (F.col("entry_ts") + 8 * D).alias("deadline"), (F.col("entry_px") * 2.0).alias("tp_line"))
-    return X.exit_first_hit(pos, _prints(p), ["tok", "pool"], ["id"], END, 3600, 3 * D, 30.0, 0.25, FINE, COARSE)
+    return X.exit_first_hit(pos, p, ["tok", "pool"], ["id"], END, 3600, 3 * D, 30.0, 0.25, FINE, None)
 
 
 @query("trd_07_exit_first_hit", ctes(TAPE, V4, ENTRY_SQL, PRINTS, POS_SQL, exit_sql("pos", "ex")) + "SELECT id, tok, reason, exit_px, exit_ts FROM ex")
@@ -293,7 +294,7 @@ SELECT rule, reason, count(*) AS n, round(avg(100 * (exit_px / entry_px - 1)), 4
 def _(spark, sf):
     p, en = _entries(spark, sf)
     pos = en.filter((F.col("status") == "ok") & (F.col("entry_ts") <= END) & (F.col("pool") == "click")).select("id", "tok", "pool", "entry_ts", "entry_px")
-    ex = X.exit_first_hit(X.exit_overlays(pos, RULES), _prints(p), ["tok", "pool"], ["id", "rule"], END, 3600, 3 * D, 30.0, 0.25, FINE, COARSE)
+    ex = X.exit_first_hit(X.exit_overlays(pos, RULES), p, ["tok", "pool"], ["id", "rule"], END, 3600, 3 * D, 30.0, 0.25, FINE, COARSE)
     return ex.groupBy("rule", "reason").agg(F.count("*").alias("n"), F.round(F.avg(100 * (F.try_divide("exit_px", "entry_px") - 1)), 4).alias("mean"))
 
 
@@ -365,14 +366,14 @@ sel AS (SELECT cell, tok, id, i, true AS taken, exit_ts + 3600 AS free FROM nn W
 SELECT nn.cell, count(*) AS trades, count(DISTINCT nn.tok) AS coins, round(avg(100 * (exit_px / entry_px - 1)), 4) AS mean_ret,
   round(avg(CASE WHEN reason = 'tp' THEN 1.0 ELSE 0.0 END), 6) AS tp_share FROM nn JOIN sel ON sel.cell = nn.cell AND sel.id = nn.id WHERE sel.taken GROUP BY nn.cell""")
 def _(spark, sf):
-    p = v4(spark, sf)
+    p = _prints(v4(spark, sf))
     hi = W.highs(p, ["tok", "pool"], Q, (2, 8), D, 5).withColumn("dip_now", W.dip(F.col("px"), F.col("high_day")))
     sig = P.with_cells(hi.select(F.col("blk").alias("id"), "tok", "pool", "ts", "dip_now"), STUDY).filter(F.col("dip_now") >= F.col("dip"))
     en = X.entry_last_state(sig, p, ["tok", "pool"], 60, 0, 30.0, 0.0).filter((F.col("status") == "ok") & (F.col("entry_ts") <= END))
     pos = en.select("cell", "id", "tok", "pool", "entry_ts", "entry_px", (F.col("entry_ts") + F.col("hold")).alias("deadline"),
                     (F.col("entry_px") * F.col("tp")).alias("tp_line"))
-    ex = X.exit_first_hit(pos, _prints(p), ["tok", "pool"], ["id", "cell"], END, 3600, 3 * D, 30.0, 0.25, FINE, COARSE)
-    taken = X.greedy_nonoverlap(ex, ["cell", "tok"], ["entry_ts", "id"], "entry_ts", "exit_ts", 3600).filter("taken")
+    ex = X.exit_first_hit(pos, p, ["tok", "pool"], ["id", "cell"], END, 3600, 3 * D, 30.0, 0.25, FINE, None)
+    taken = X.greedy_nonoverlap(ex, ["cell", "tok"], ["entry_ts", "id"], "entry_ts", "exit_ts", 3600, cut=True).filter("taken")
     return taken.groupBy("cell").agg(
         F.count("*").alias("trades"), F.count_distinct("tok").alias("coins"),
         F.round(F.avg(100 * (F.try_divide("exit_px", "entry_px") - 1)), 4).alias("mean_ret"),
