@@ -154,7 +154,7 @@ def reality_check(df: DataFrame, cell: str, x: str, coin: str, day: str, b: int
         if name == "day":
             w = block_draws(size, b, 2, seed).groupBy("b", "i").agg(F.count("*").alias("w"))
         else:
-            spread = units.join(size, "_k").join(order.withColumnRenamed("i", "k"), unit).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+            spread = order.withColumnRenamed("i", "k").withColumn("D", size.select("D").scalar()).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
             w = spread.withColumn("i", hash_u32(seed, "c", F.col("b"), F.col("k")) % F.col("D")).groupBy("b", "i").agg(F.count("*").alias("w"))
         sums = df.groupBy(cell, unit).agg(F.sum(x).alias("s"), F.count(x).alias("c")).join(order, unit)
         # a cell without trades in the drawn units still has mean 0, so every (cell, b) pair must exist

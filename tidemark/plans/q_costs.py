@@ -22,7 +22,7 @@ def rnd(df, digits, *cols):
 @query("cst_01_classify_pool", """
 WITH rc AS (SELECT l_partkey AS pool, min(l_returnflag) AS type, min(l_tax) AS take FROM lineitem WHERE l_quantity > 48 AND l_discount > 0.08 GROUP BY 1),
 tb AS (SELECT p_partkey AS pool, p_type AS type, p_size / 1000.0 AS take FROM part WHERE p_size < 10),
-hk AS (SELECT p_brand AS hook, 'h' || count(*) AS type, 0.03 AS take FROM part WHERE p_size > 42 AND p_type = 'PROMO' GROUP BY 1), vn AS (SELECT 'SMALL' AS venue, 'nohook' AS type, 0.01 AS take)
+hk AS (SELECT p_brand AS hook, 'h' || count(*) AS type, 0.03 AS take FROM part WHERE p_size > 42 AND p_type = 'PROMO' GROUP BY 1), vn AS (SELECT p_type AS venue, 'v' || count(*) AS type, min(p_size / 5000.0) AS take FROM part WHERE p_retailprice > 1080 GROUP BY 1)
 SELECT p_partkey AS pool, CASE WHEN rc.type IS NOT NULL THEN 'receipt' WHEN tb.type IS NOT NULL THEN 'table' WHEN hk.type IS NOT NULL THEN 'hook' WHEN vn.type IS NOT NULL THEN 'venue' ELSE 'unknown' END AS cost_src,
   coalesce(rc.type, tb.type, hk.type, vn.type, 'unknown') AS type, round(CASE WHEN rc.type IS NOT NULL THEN rc.take WHEN tb.type IS NOT NULL THEN tb.take WHEN hk.type IS NOT NULL THEN hk.take ELSE vn.take END::DOUBLE, 6) AS take
 FROM part LEFT JOIN rc ON rc.pool = p_partkey LEFT JOIN tb ON tb.pool = p_partkey LEFT JOIN hk ON hk.hook = p_brand LEFT JOIN vn ON vn.venue = p_type""")
@@ -31,7 +31,7 @@ def _(spark, sf):
     rc = li.filter("l_quantity > 48 and l_discount > 0.08").groupBy(F.col("l_partkey").alias("pool")).agg(F.min("l_returnflag").alias("type"), F.min("l_tax").alias("take"))
     tb = p.filter("p_size < 10").select(F.col("p_partkey").alias("pool"), F.col("p_type").alias("type"), (F.col("p_size") / 1000.0).alias("take"))
     hk = p.filter("p_size > 42 and p_type = 'PROMO'").groupBy(F.col("p_brand").alias("hook")).agg(F.concat(F.lit("h"), F.count("*")).alias("type"), F.lit(0.03).alias("take"))
-    vn = p.select(F.lit("SMALL").alias("venue"), F.lit("nohook").alias("type"), F.lit(0.01).alias("take")).distinct()
+    vn = p.filter("p_retailprice > 1080").groupBy(F.col("p_type").alias("venue")).agg(F.concat(F.lit("v"), F.count("*")).alias("type"), F.min(F.col("p_size") / 5000.0).alias("take"))
     pools = p.select(F.col("p_partkey").alias("pool"), F.col("p_brand").alias("hook"), F.col("p_type").alias("venue"))
     return rnd(K.classify_pool(pools, rc, tb, hk, vn), 6, "take").select("pool", "cost_src", "type", "take")
 
