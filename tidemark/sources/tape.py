@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-V23_SCHEMA = T.StructType.fromDDL(
+V23_SCHEMA = (
     "ts long, blk long, li int, tx string, tok string, sym string, w string, side string, usd double, px double, "
     "kind string, quote string, _corrupt_record string")
-V4_SCHEMA = T.StructType.fromDDL(
+V4_SCHEMA = (
     "ts long, blk long, li int, tx string, tok string, pool string, quote string, quote_addr string, price_quote double, "
     "price_eth double, price_usd double, side string, amount_token double, amount_quote double, usd double, eth_usd double, "
     "liquidity string, tick int, depth1_eth double, depth5_eth double, pad string, pad_key string, hook string, "
