@@ -29,5 +29,5 @@ def test_query(spark, con, sf, name):
         assert rows
         return
     cur = con.execute(SQL[name])
-    diff = compare(rows, df.columns, cur.fetchall(), [d[0] for d in cur.description])
+    diff = compare(rows, df.columns, cur.fetchall(), [d[0] for d in cur.description], tol=2e-6)
     assert diff is None, diff

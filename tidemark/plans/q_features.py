@@ -79,12 +79,12 @@ def _(spark, sf):
 
 
 @query("agg_07_quantile_linear", """
-SELECT o_orderpriority, count(*) AS n, round(quantile_cont(o_totalprice, 0.025), 4) AS p025,
-       round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.975), 4) AS p975
+SELECT o_orderpriority, count(*) AS n, round(quantile_cont(o_totalprice, 0.025), 6) AS p025,
+       round(quantile_cont(o_totalprice, 0.5), 6) AS p50, round(quantile_cont(o_totalprice, 0.975), 6) AS p975
 FROM orders GROUP BY ALL""")
 def _(spark, sf):
     out = quantiles_linear(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", {"p025": 0.025, "p50": 0.5, "p975": 0.975})
-    return out.select("o_orderpriority", "n", *[F.round(c, 4).alias(c) for c in ("p025", "p50", "p975")])
+    return out.select("o_orderpriority", "n", *[F.round(c, 6).alias(c) for c in ("p025", "p50", "p975")])
 
 
 @query("agg_08_index_quantile", ctes(TAPE) + """
