@@ -146,7 +146,7 @@ def _exits(spark, sf):
     p, en = _entries(spark, sf)
     pos = en.filter((F.col("status") == "ok") & (F.col("entry_ts") <= END)).select(
         "id", "tok", "pool", "entry_ts", "entry_px", (F.col("entry_ts") + 8 * D).alias("deadline"), (F.col("entry_px") * 2.0).alias("tp_line"))
-    return X.exit_first_hit(pos, p, ["tok", "pool"], ["id"], END, 3600, 3 * D, 30.0, 0.25, FINE, None)
+    return X.exit_first_hit(pos, p, ["tok", "pool"], ["id"], END, 3600, 3 * D, 30.0, 0.25, 2 * D, None)
 
 
 @query("trd_07_exit_first_hit", ctes(TAPE, V4, ENTRY_SQL, PRINTS, POS_SQL, exit_sql("pos", "ex")) + "SELECT id, tok, reason, exit_px, exit_ts FROM ex")
@@ -372,7 +372,7 @@ def _(spark, sf):
     en = X.entry_last_state(sig, p, ["tok", "pool"], 60, 0, 30.0, 0.0).filter((F.col("status") == "ok") & (F.col("entry_ts") <= END))
     pos = en.select("cell", "id", "tok", "pool", "entry_ts", "entry_px", (F.col("entry_ts") + F.col("hold")).alias("deadline"),
                     (F.col("entry_px") * F.col("tp")).alias("tp_line"))
-    ex = X.exit_first_hit(pos, p, ["tok", "pool"], ["id", "cell"], END, 3600, 3 * D, 30.0, 0.25, FINE, None)
+    ex = X.exit_first_hit(pos, p, ["tok", "pool"], ["id", "cell"], END, 3600, 3 * D, 30.0, 0.25, 2 * D, None)
     taken = X.greedy_nonoverlap(ex, ["cell", "tok"], ["entry_ts", "id"], "entry_ts", "exit_ts", 3600, cut=True).filter("taken")
     return taken.groupBy("cell").agg(
         F.count("*").alias("trades"), F.count_distinct("tok").alias("coins"),
