@@ -8,7 +8,7 @@ from tidemark.functions.scalar import DAY, bucket
 from tidemark.operators import features as W
 from tidemark.operators import project as P
 from tidemark.operators import trades as X
-from tidemark.plans.q_features import CANDLES, HIGH_SQL
+from tidemark.plans.q_features import HIGH_SQL
 from tidemark.plans.q_project import V4, v4
 from tidemark.plans.registry import query
 from tidemark.session import cut_lineage
