@@ -114,11 +114,12 @@ def best_order(docs: DataFrame, rules: dict[str, Rule] = RULES) -> list[str]:
     return sorted(rules, key=lambda n: -found.get(n, 0.0))
 
 
-def cascade(docs: DataFrame, rules: dict[str, Rule] = RULES, order: list[str] | None = None, measures: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with kept (boolean), rules_run (int) and the measures asked for."""
+def cascade(docs: DataFrame, rules: dict[str, Rule] = RULES, order: list[str] | None = None, measures: tuple[str, ...] = (),
+            carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of ``docs`` (all) with kept (boolean), rules_run (int) and the measures asked for."""
     order = order or best_order(docs, rules)
     added = ["kept", "rules_run", *measures]
-    keep = [c for c in docs.columns if c not in added]
+    keep = [c for c in carry or docs.columns if c not in added]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("kept", T.BooleanType()), T.StructField("rules_run", T.IntegerType())]
                           + [T.StructField(m, T.LongType()) for m in measures])
 
@@ -168,7 +169,7 @@ from b
 @query("op2_quality_rules", BASE_SQL)
 def op2_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = cascade(docs, measures=MEASURES)
+    out = cascade(docs, measures=MEASURES, carry=["doc_id"])
     n, r = F.col("n_words"), F.col("n_repeat_words")
     return out.select("doc_id", *MEASURES, ((n < 50) | (100 * r > 50 * n)).alias("base_failed"), "kept")
 
