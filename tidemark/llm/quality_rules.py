@@ -148,15 +148,15 @@ def cascade(docs: DataFrame, rules: dict[str, Rule] = RULES, order: list[str] |
 BASE_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w,
-      list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
-g as (select doc_id, unnest(range(1, len(w) - 1)) as i, unnest(list_transform(range(1, len(w) - 1), i -> w[i:i+2])) as g from w),
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+g as (select doc_id, unnest(range(1, len(w) - 1)) as i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i+2])) as g from w),
 r as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from g) where n > 1),
 k as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i+1, i+2]) as p from r) group by 1),
 m as (select doc_id, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
       cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
       cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words,
       len(lines) as n_lines, length(regexp_replace(t, '[^!]', '', 'g')) as n_bangs,
-      len(list_filter(w, x -> length(x) > 1 and x = upper(x) and x <> lower(x))) as n_caps
+      len(list_filter(w, lambda x: length(x) > 1 and x = upper(x) and x <> lower(x))) as n_caps
       from w left join k using (doc_id)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
