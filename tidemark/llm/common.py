@@ -43,5 +43,9 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c in df.columns if c in DOCUMENT])
 
 
-def rows_of(df: DataFrame, column: str | None = None) -> int:
-    return df.count() if column is None else df.select(column).count()
+def shielded(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage(docs)`` with the columns of ``docs``: those that are not document columns go through it under names that clash with none."""
+    away = {c: f"__extra_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}
+    back = {v: k for k, v in away.items()}
+    out = stage(docs.withColumnsRenamed(away))
+    return out.select([F.col(away.get(c, c)) for c in docs.columns]).withColumnsRenamed(back)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tidemark.llm.common import WORD, n_words, query, table
+from tidemark.llm.common import WORD, n_words, query, shielded, table
 from tidemark.session import cut_lineage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -189,6 +189,10 @@ def _cut_text(frames):
 
 def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
     """The mix as documents: a row per document and pass with the words drawn, placed by shard and shuffled inside it."""
+    return shielded(docs, lambda d: _mixed(d, **kwargs))
+
+
+def _mixed(docs: DataFrame, **kwargs) -> DataFrame:
     columns = docs.columns
     rows = mix(docs, **kwargs).withColumn("_one", F.explode(F.map_values(F.aggregate(
         "pieces", F.create_map().cast("map<bigint,array<struct<pass:bigint,shard:int,start:bigint,length:bigint,place:bigint>>>"),

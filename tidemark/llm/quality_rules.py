@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import SPACES, query, table
+from tidemark.llm.common import SPACES, query, shielded, table
 
 SYMBOLS = "#*$%&|<>"
 SAMPLE_FRACTION = 0.05
@@ -176,4 +176,4 @@ def op2_quality_rules(spark, sf_dir):
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that no rule rejects."""
-    return cascade(docs).filter("kept").select(*docs.columns)
+    return shielded(docs, lambda d: cascade(d).filter("kept"))

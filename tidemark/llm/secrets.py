@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, table
+from tidemark.llm.common import query, shielded, table
 
 _KEY = r"A-Za-z0-9_+/\-"
 CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z_+/\-]*[0-9])[{_KEY}]{{8,}}+={{0,2}}"
@@ -153,6 +153,10 @@ def findings(docs: DataFrame, threshold: float = THRESHOLD, **kwargs) -> DataFra
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD, mask: str = MASK, **kwargs) -> DataFrame:
     """``docs`` with every secret in its text replaced by ``mask``; texts without a secret stay as they are."""
+    return shielded(docs, lambda d: _redact(d, threshold, mask, **kwargs))
+
+
+def _redact(docs: DataFrame, threshold: float, mask: str, **kwargs) -> DataFrame:
     s = score(docs, **kwargs)
     secret = lambda f: f["score"] >= threshold
     pieces = F.transform("_parts", lambda p, i: F.concat(p, F.coalesce(F.when(secret(F.get("found", i)), F.lit(mask)).otherwise(F.get("found", i)["candidate"]), F.lit(""))))
