@@ -20,6 +20,7 @@ from tidemark.llm.common import query, shielded, table
 _KEY = r"A-Za-z0-9_+/\-"
 CANDIDATE = rf"(?<![{_KEY}])(?=[A-Za-z_+/\-]*[0-9])[{_KEY}]{{8,}}+={{0,2}}"
 CONTEXT = 60
+BLOCK = 256  # findings whose lengths are summed at a time for positions
 TREES, DEPTH, ROWS, SEED = 24, 6, 6000, 17
 THRESHOLD = 0.5
 MASK = "<secret>"
@@ -123,6 +124,11 @@ def forest_score(model, feature) -> Column:
     return total / len(roots)
 
 
+def _hold(df: DataFrame) -> DataFrame:
+    """The same rows; arrays computed so far are not computed again inside the functions over arrays that follow."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def score(docs: DataFrame, labelled: DataFrame | None = None, context: int = CONTEXT) -> DataFrame:
     """``docs`` with _parts (stretches between findings) and found: array of (start, candidate, score), start in characters from 0."""
     spark = docs.sparkSession
@@ -132,16 +138,22 @@ def score(docs: DataFrame, labelled: DataFrame | None = None, context: int = CON
     cut = docs.withColumn("_c", F.when(has, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(none)).withColumn(
         "_parts", F.when(F.size("_c") > 0, F.split("text", CANDIDATE, -1)).otherwise(F.array(F.coalesce("text", F.lit("")))))
     sizes = F.transform("_c", lambda c, i: F.length(F.get("_parts", i)) + F.length(c))  # a stretch and the finding after it
-    cut = cut.withColumn("_ends", F.aggregate(sizes, F.array(F.lit(0)).cast("array<int>"), lambda a, x: F.array_append(a, F.element_at(a, -1) + x)))
+    cut = _hold(_hold(cut).withColumn("_sizes", sizes))
+    whole = F.when(F.size("_c") > 0, F.sequence(F.lit(0), F.expr(f"(size(_c) - 1) div {BLOCK}"))).otherwise(F.array().cast("array<int>"))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    cut = _hold(cut.withColumn("_blocks", F.transform(whole, lambda k: total(F.slice("_sizes", k * BLOCK + 1, F.lit(BLOCK))))))
+    cut = _hold(cut.withColumn("_before", F.transform("_blocks", lambda _, k: total(F.slice("_blocks", F.lit(1), k)))))
 
     def described(c: Column, i: Column) -> Column:
         before, after = F.right(F.get("_parts", i), F.lit(context)), F.left(F.get("_parts", i + 1), F.lit(context))
-        return F.struct((F.get("_ends", i + 1) - F.length(c)).alias("start"), c.alias("candidate"), *[x.alias(n) for n, x in features(before, c, after)])
+        block = F.floor(i / BLOCK).cast("int")
+        start = F.get("_before", block) + total(F.slice("_sizes", block * BLOCK + 1, i - block * BLOCK)) + F.length(F.get("_parts", i))
+        return F.struct(start.alias("start"), c.alias("candidate"), *[x.alias(n) for n, x in features(before, c, after)])
 
     names = [n for n, _ in features(F.lit(""), F.lit("a"), F.lit(""))]
     cut = cut.withColumn("_d", F.transform("_c", described))
     found = F.transform("_d", lambda d: F.struct(d["start"].alias("start"), d["candidate"].alias("candidate"), forest_score(model, lambda i: d[names[i]]).alias("score")))
-    return cut.withColumn("found", found).drop("_c", "_ends", "_d")
+    return _hold(cut.withColumn("found", found).select(*docs.columns, "_parts", "found"))
 
 
 def findings(docs: DataFrame, threshold: float = THRESHOLD, **kwargs) -> DataFrame:
