@@ -144,7 +144,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     targets = cut_lineage(source_targets(per.groupBy("source").agg(F.sum("w").alias("source_size")), weights, share, cap))
     plan = _plan(spark, targets, shards, block, min_blocks, seed)
 
-    within = W.partitionBy("_k", "_s").orderBy("_h").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("_k", "_s").orderBy(F.col("_h") < 0, "_h").rowsBetween(W.unboundedPreceding, -1)
     rows = base.withColumn("_s", F.expr(f"shiftrightunsigned(_h, {64 - bits})") if bits else F.lit(0).cast("long"))
     rows = rows.withColumn("_p", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(carry, ["_k", "_s"], "left")
