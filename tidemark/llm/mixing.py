@@ -184,7 +184,7 @@ def _cut_text(frames):
         pdf["text"] = texts
         if "n_chars" in pdf:
             pdf["n_chars"] = [len(t) for t in texts]
-        yield pdf.drop(columns=["size", "_one"])
+        yield pdf.drop(columns=["size", "_one"])  # _shard and _place stay for the shuffle
 
 
 def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
@@ -199,9 +199,9 @@ def _mixed(docs: DataFrame, **kwargs) -> DataFrame:
         lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["pass"]), F.create_map(p["pass"], F.concat(
             F.coalesce(F.try_element_at(m, p["pass"]), F.array()), F.array(p))))))))
     head = F.col("_one")[0]
-    rows = rows.select(*columns, "size", "_one", head["shard"].alias("_shard"), head["place"].alias("_place"))
-    rows = rows.repartition("_shard", F.pmod("_place", F.lit(64))).sortWithinPartitions("_shard", "_place").select(*columns, "size", "_one")
-    return rows.mapInPandas(_cut_text, docs.schema)
+    rows = rows.select(*columns, head["shard"].alias("_shard"), head["place"].alias("_place"), "size", "_one")
+    cut = rows.mapInPandas(_cut_text, T.StructType([*docs.schema.fields, *rows.select("_shard", "_place").schema.fields]))
+    return cut.repartition("_shard", F.pmod("_place", F.lit(64))).sortWithinPartitions("_shard", "_place").select(*columns)
 
 
 @query("op10_mixing")
