@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import bucket, normal_cdf, signif
+from tidemark.functions.scalar import bucket, normal_cdf, normal_sf, signif
 from tidemark.operators import clean as C
 from tidemark.operators import compare as CMP
 from tidemark.operators import features as W
@@ -119,10 +119,7 @@ def test_last_n(spark):
 
 
 def guard_loop(prices, band=20.0, absorbing=False):
-    g, out = C.Guard(band, 15, 5, 2.0, absorbing, None), []
-    for p in prices:
-        out.append(bool(g.valid(p, 10, 0) and g.accept(p)))
-    return out
+    return C.BandFilter(band, 15, 5, 2.0, absorbing).flags(prices).tolist()
 
 
 def test_guard_series():
@@ -136,14 +133,34 @@ def test_guard_series():
     assert guard_loop([1] * 5 + [20, 0.05]) == [True] * 7  # the band's edges belong to it
 
 
+def test_guard_stretches_follow_the_rule():
+    """The stretch-wise filter against the rule read print by print."""
+    rng = random.Random(8)
+    prices = [math.exp(rng.gauss(0, 0.6)) * rng.choice([1] * 30 + [9, 9.5, 1 / 9]) * (1 if i < 700 else 12) for i in range(1500)]
+    for absorbing in (False, True):
+        kept, pending, want = [], None, []
+        for p in prices:
+            mid = sorted(kept[-15:])[len(kept[-15:]) // 2] if len(kept[-15:]) >= 5 else None
+            out = 0 if mid is None else (p > mid * 6) - (p < mid / 6)
+            if not out:
+                kept, pending = [*kept, p], None
+            elif not absorbing and pending and pending[0] == out and 0.5 <= p / pending[1] <= 2:
+                kept, pending, out = [p] * 5, None, 0
+            elif not absorbing:
+                pending = (out, p)
+            want.append(not out)
+        g = C.BandFilter(6.0, 15, 5, 2.0, absorbing)
+        assert g.flags(prices[:333]).tolist() + g.flags(prices[333:]).tolist() == want and not all(want)
+
+
 @pytest.mark.parametrize("parts", [1, 5, 23])
 def test_guard_over_partitions_of_a_hot_key(spark, parts):
     df, rows = hot_tape(spark, 900, heavy=0.3)
     out = {r["blk"]: r["accepted"] for r in C.bad_print_guard(df, ["tok"], band=6.0, partitions=parts).collect()}
     state = {}
     for tok, _, _, blk, _, px, usd, _ in rows:
-        g = state.setdefault(tok, C.Guard(6.0, 15, 5, 2.0, False, None))
-        assert out[blk] == bool(g.valid(px, usd, 0) and g.accept(px))
+        g = state.setdefault(tok, C.BandFilter(6.0, 15, 5, 2.0, False))
+        assert out[blk] == bool(px > 0 and usd >= 1 and g.flags([px])[0])
 
 
 @pytest.mark.parametrize("parts", [1, 19])
@@ -152,7 +169,7 @@ def test_main_pool_guard_is_partition_free(spark, parts):
     out = {r["blk"]: r["accepted"] for r in C.guard_with_main_pool(df, ratio=3.0, ref_age=2000, half_life=4000, band=6.0, partitions=parts).collect()}
     toks = {}
     for tok, pool, ts, blk, _, px, usd, _ in rows:
-        t = toks.setdefault(tok, {"g": C.Guard(6.0, 15, 5, 2.0, False, None), "p": {}})
+        t = toks.setdefault(tok, {"g": C.BandFilter(6.0, 15, 5, 2.0, False), "p": {}})
         best = None
         for k, (v, t0, ref) in t["p"].items():
             d = v * 2.0 ** (-(ts - t0) / 4000)
@@ -161,7 +178,7 @@ def test_main_pool_guard_is_partition_free(spark, parts):
         ok = True
         if best and best[1] != pool and ts - best[2] <= 2000:
             ok = 1 / 3.0 <= px / best[3] <= 3.0
-        ok = bool(ok and t["g"].valid(px, usd, 0) and t["g"].accept(px))
+        ok = bool(ok and px > 0 and usd >= 1 and t["g"].flags([px])[0])
         if ok:
             v, t0, _ = t["p"].get(pool, (0.0, ts, 0.0))
             t["p"][pool] = (v * 2.0 ** (-(ts - t0) / 4000) + usd, ts, px)
@@ -283,3 +300,33 @@ def test_holm_stops_at_the_first_failure(spark):
     assert got([0.001, 0.02]) == [True, True]
     assert got([0.0125, 0.001]) == [True, True] and got([0.025, 0.001]) == [False, True]
     assert got([None, 0.001]) == [False, True]
+
+
+def test_normal_tail_is_relative(spark):
+    zs = [0.0, 0.5, 1.0, 2.0, 2.82, 2.83, 3.0, 5.0, 8.0, 20.0, -1.0, -6.0]
+    rows = spark.createDataFrame([(z,) for z in zs], "z double").select("z", normal_sf(F.col("z")).alias("p")).collect()
+    for r in rows:
+        assert r["p"] == pytest.approx(0.5 * math.erfc(r["z"] / math.sqrt(2)), rel=1e-9)
+
+
+def test_components_of_a_long_path(spark):
+    """Longer than any fixed number of rounds of plain label propagation."""
+    n = 150
+    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = CMP.connected_components(spark.range(n).select(F.col("id").alias("p")), edges, "p").agg(F.max("family"), F.count("*")).first()
+    assert tuple(got) == (0, n)
+
+
+def test_decayed_volume_over_600_days(spark):
+    """At six hours' half-life that is 2,400 half-lives; the main pool must still be the one traded last."""
+    rows = [(1, "a" if i % 3 else "b", i * 86400 * 2, i, 0, 1.0, float(1 + i % 5)) for i in range(300)] + [(1, "c", 86400 * 599, 300, 0, 1.0, 1e9), (1, "a", 86400 * 600, 301, 0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "tok long, pool string, ts long, blk long, li int, px double, usd double")
+    for width in (86400, 50 * 86400):
+        got = {r["blk"]: r for r in W.decayed_volume(df, ["tok", "pool"], slice_width=width).collect()}
+        vol, last = {}, {}
+        for _, pool, ts, blk, _, _, usd in rows:
+            vol[pool] = vol.get(pool, 0.0) * 2.0 ** (-(ts - last.get(pool, ts)) / 21600) + usd
+            last[pool] = ts
+            assert got[blk]["dvol"] == pytest.approx(vol[pool], rel=1e-9)
+        main = {r["blk"]: r["main"] for r in W.main_pool(df, slice_width=width).collect()}
+        assert main[301] == "c" and main[0] is None and main[2] == "a"

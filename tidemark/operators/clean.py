@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,40 +16,75 @@ from tidemark.operators.slicing import ordered_fold, running
 ORDER = ("ts", "blk", "li")
 
 
-class Guard:
-    """State of the bad-print rule for one key: the last accepted prices and the held print."""
+class BandFilter:
+    """The bad-print rule over one key's valid prints: a reference window of kept prices and at most one pending outlier.
 
-    def __init__(self, band: float, window: int, min_n: int, confirm: float, absorbing: bool, state: dict | None):
-        self.band, self.window, self.min_n, self.confirm, self.absorbing = band, window, min_n, confirm, absorbing
-        s = state or {}
-        self.seen, self.held, self.quote = list(s.get("seen", [])), s.get("held"), s.get("quote")
+    Prints inside the band around the window's upper median are found a stretch at a time, by the medians of all windows that the stretch
+    would pass through. Only prints outside are looked at one by one, against the pending outlier.
+    """
+
+    def __init__(self, band: float, size: int, min_n: int, confirm: float, absorbing: bool, state: dict | None = None):
+        self.band, self.size, self.min_n, self.confirm, self.absorbing = band, size, min_n, confirm, absorbing
+        state = state or {}
+        self.kept, self.pending = list(state.get("kept", [])), state.get("pending")
 
     def state(self) -> dict:
-        return {"seen": self.seen, "held": self.held, "quote": self.quote}
-
-    def valid(self, px, usd, quote) -> bool:
-        if self.quote is None and quote is not None:
-            self.quote = quote
-        return px is not None and px > 0 and (usd or 0) >= 1 and quote == self.quote
-
-    def accept(self, px: float) -> bool:
-        """Whether a valid print is kept; an out-of-band print is held until the next one confirms its level."""
-        if len(self.seen) >= self.min_n:
-            ref = sorted(self.seen)[len(self.seen) // 2]
-            side = "up" if px > ref * self.band else "down" if px < ref / self.band else None
-            if side:
-                if self.absorbing:
-                    return False
-                held = self.held
-                confirmed = held and held[0] == side and held[1] / self.confirm <= px <= held[1] * self.confirm
-                if not confirmed:
-                    self.held = [side, px]
-                    return False
-                self.held, self.seen = None, [px] * self.min_n
-                return True
-        self.held = None
-        self.seen = (self.seen + [px])[-self.window:]
-        return True
+        return {"kept": self.kept, "pending": self.pending}
+
+    def flags(self, prices: Sequence[float]) -> np.ndarray:
+        """Whether each of the next prices is kept."""
+        p = np.asarray(prices, dtype=np.float64)
+        out, at, reach = np.zeros(len(p), dtype=bool), 0, 16
+        while at < len(p):
+            full = len(self.kept) == self.size
+            stretch = p[at:at + reach] if full else p[at:at + 1]
+            refs = self._references(stretch) if full else np.array([self._reference()])
+            with np.errstate(over="ignore"):
+                side = np.where(stretch > refs * self.band, 1, 0) - np.where(stretch < refs / self.band, 1, 0)
+            outside = np.flatnonzero(side)
+            inside = int(outside[0]) if len(outside) else len(stretch)
+            if inside:
+                out[at:at + inside] = True
+                self.kept = [*self.kept, *stretch[:inside].tolist()][-self.size:]
+                self.pending = None
+                reach = min(2 * reach, 4096)
+            at += inside
+            if inside < len(stretch):
+                out[at] = self._outlier(int(side[inside]), float(stretch[inside]))
+                at, reach = at + 1, 16
+        return out
+
+    def _reference(self) -> float:
+        """Upper median of the window; a window that is too short puts no print outside."""
+        return float(np.sort(self.kept)[len(self.kept) // 2]) if len(self.kept) >= self.min_n else np.nan
+
+    def _references(self, stretch: np.ndarray) -> np.ndarray:
+        """The reference before each print of a stretch, if all prints before it are kept."""
+        windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([self.kept, stretch[:-1]]), self.size)
+        return np.partition(windows, self.size // 2, axis=1)[:, self.size // 2]
+
+    def _outlier(self, side: int, px: float) -> bool:
+        """A print on ``side`` of the band restarts the window if it confirms the pending one, else it becomes the pending one."""
+        if self.absorbing:
+            return False
+        agrees = self.pending is not None and self.pending[0] == side and 1 / self.confirm <= px / self.pending[1] <= self.confirm
+        self.pending = None if agrees else [side, px]
+        if agrees:
+            self.kept = [px] * self.min_n
+        return agrees
+
+
+def valid_prints(px: Sequence, usd: Sequence, quote: Sequence | None, first_quote):
+    """(mask of prints with a price, at least 1 USD and the key's first quote, that quote)."""
+    p, u = pd.to_numeric(pd.Series(px), errors="coerce"), pd.to_numeric(pd.Series(usd), errors="coerce").fillna(0.0)
+    ok = (p > 0) & (u >= 1)
+    if quote is not None:
+        q = pd.Series(quote)
+        if first_quote is None and q.notna().any():
+            first_quote = q[q.notna()].iloc[0]
+            first_quote = first_quote.item() if hasattr(first_quote, "item") else first_quote
+        ok &= (q == first_quote) if first_quote is not None else q.isna()
+    return ok.to_numpy(), first_quote
 
 
 def bad_print_guard(
@@ -60,11 +97,12 @@ def bad_print_guard(
     ``absorbing`` (CLN-2) out-of-band prints are always rejected.
     """
     def kernel(state, rows):
-        g = Guard(band, window, min_n, confirm, absorbing, state)
-        quotes = rows[quote].tolist() if quote else [0] * len(rows)
-        flags = [g.valid(p, u, q) and g.accept(float(p))
-                 for p, u, q in zip(rows["px"].tolist(), rows["usd"].tolist(), quotes)]
-        return g.state(), {"accepted": flags}
+        state = state or {}
+        g = BandFilter(band, window, min_n, confirm, absorbing, state.get("guard"))
+        flags, first = valid_prints(rows["px"].tolist(), rows["usd"].tolist(), rows[quote].tolist() if quote else None, state.get("quote"))
+        flags = np.array(flags)
+        flags[flags] = g.flags(rows["px"].to_numpy(dtype=float)[flags])
+        return {"guard": g.state(), "quote": first}, {"accepted": flags.tolist()}
     return ordered_fold(df, key, order, kernel, [("accepted", "boolean")], **fold)
 
 
@@ -85,16 +123,17 @@ def guard_with_main_pool(
     """
     def kernel(state, rows):
         pools = dict((state or {}).get("pools", {}))
-        g = Guard(band, window, min_n, confirm, False, (state or {}).get("guard"))
+        g = BandFilter(band, window, min_n, confirm, False, (state or {}).get("guard"))
+        usable, _ = valid_prints(rows["px"].tolist(), rows["usd"].tolist(), None, None)
         acc, chk = [], []
-        for ts, pk, px, usd in zip(rows["ts"].tolist(), rows[pool].tolist(), rows["px"].tolist(), rows["usd"].tolist()):
+        for ts, pk, px, usd, fine in zip(rows["ts"].tolist(), rows[pool].tolist(), rows["px"].tolist(), rows["usd"].tolist(), usable.tolist()):
             checked, fits = None, True
             main = max(pools, key=lambda k: pools[k][0] * 2.0 ** (-(ts - pools[k][1]) / half_life)) if pools else pk
             if main != pk:
                 _, t0, ref = pools[main]
                 checked = bool(ts - t0 <= ref_age)
                 fits = not checked or 1 / ratio <= px / ref <= ratio
-            ok = fits and g.valid(px, usd, 0) and g.accept(float(px))
+            ok = fits and fine and bool(g.flags([px])[0])
             if ok:
                 v, t0, _ = pools.get(pk, (0.0, ts, 0.0))
                 pools[pk] = [v * 2.0 ** (-(ts - t0) / half_life) + (usd or 0.0), int(ts), float(px)]

@@ -92,11 +92,11 @@ def overlap_pairs(sets: DataFrame, point: str, item: str, share: float, of: str
     return close.unionByName(same)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str, rounds: int = 64) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     """SET-6: smallest node id of each component by label propagation with pointer jumping; a table is written per round."""
     both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     lab = cut_lineage(nodes.select(F.col(node).alias("id"), F.col(node).alias("l")))
-    for _ in range(rounds):
+    while True:  # pointer jumping: rounds grow with the logarithm of the longest path
         best = both.join(lab.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
         nxt = lab.join(best.withColumnRenamed("a", "id"), "id", "left").select("id", "l", F.least("l", F.coalesce("m", "l")).alias("n"))
         jump = nxt.join(nxt.select(F.col("id").alias("n"), F.col("n").alias("r")), "n", "left").select(
@@ -105,7 +105,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str, rounds:
         if step.filter(F.col("l") != F.col("n")).isEmpty():
             return step.select(F.col("id").alias(node), F.col("n").alias("family"))
         lab = step.select("id", F.col("n").alias("l"))
-    raise RuntimeError("components did not settle")
 
 
 def overlap_families(sets: DataFrame, point: str, item: str, share: float = 0.8) -> DataFrame:

@@ -19,6 +19,10 @@ from tidemark.operators.slicing import last_n, ordered_fold, quantiles_linear, r
 ORDER = ("ts", "blk", "li")
 
 
+#: Half-lives after which decayed sums start from a new base.
+ERA = 256
+
+
 def bucket_ohlcv(df: DataFrame, key: Sequence[str], width: int) -> DataFrame:
     """AGG-1: open, high, low, close in tape order, volume and count per key and bucket."""
     pos = F.struct(*ORDER)
@@ -130,27 +134,39 @@ def hot(df: DataFrame, key: Sequence[str], width: int = HOUR, short: int = 6, lo
     return got.select(*key, (F.col("b") + 1).alias("t_bucket"), (F.col("a") / short > F.col("z") / long).cast("int").alias("hot"))
 
 
-def decayed_volume(df: DataFrame, key: Sequence[str], t0: int, half_life: int = 6 * HOUR, slice_width: int = 5 * DAY,
+def decayed_volume(df: DataFrame, key: Sequence[str], half_life: int = 6 * HOUR, slice_width: int = 5 * DAY,
                    name: str = "dvol") -> DataFrame:
     """WIN-1: volume with a half-life, including the current print.
 
-    The undecayed score sum(usd * 2^((ts - t0) / half-life)) only grows, so it is a running sum; ``t0`` must lie
-    within 1000 half-lives of the tape (250 days at 6 h) to stay inside a double.
+    Sums run inside eras of ``ERA`` half-lives, undecayed from the era's start, so they only grow and stay inside a double. An era
+    takes over the earlier eras' sums decayed to its start; beyond the last few of them nothing is left that a double can hold.
+    ``{name}_log`` orders the undecayed scores of all eras: log2 of the score plus the era's start in half-lives.
     """
-    up = F.col("usd") * F.pow(F.lit(2.0), (F.col("ts") - t0) / half_life)
-    out = running(df, key, ORDER, {f"{name}_score": ("sum", up), "_seen": ("first", F.col("blk"))}, bucket("ts", slice_width))
-    return out.withColumn(name, F.col(f"{name}_score") * F.pow(F.lit(2.0), -(F.col("ts") - t0) / half_life))
-
-
-def main_pool(df: DataFrame, t0: int, half_life: int = 6 * HOUR, slice_width: int = 5 * DAY) -> DataFrame:
+    era = bucket("ts", ERA * half_life)
+    start = F.col("_era") * (ERA * half_life)
+    up = F.col("usd") * F.pow(F.lit(2.0), (F.col("ts") - start) / half_life)
+    d = df.withColumn("_era", era)
+    part = [*key, "_era"]
+    per_era = d.groupBy(*part).agg(F.sum(up).alias("t"), F.min(F.struct(*ORDER)).alias("f"))
+    w = Window.partitionBy(*key).orderBy("_era")
+    before = F.collect_list(F.struct("_era", "t")).over(w.rangeBetween(-(1100 // ERA + 1), -1))  # a handful of eras
+    carry = per_era.select(*part, F.aggregate(before, F.lit(0.0), lambda a, x: a + F.coalesce(x["t"], F.lit(0.0)) * F.pow(
+        F.lit(2.0), (x["_era"] - F.col("_era")) * float(ERA))).alias("_c"), F.min("f").over(w.rowsBetween(Window.unboundedPreceding, 0))["blk"].alias("_seen"))
+    out = running(d, part, ORDER, {"_s": ("sum", up)}, bucket("ts", slice_width)).join(carry, part)
+    score = F.coalesce("_s", F.lit(0.0)) + F.col("_c")
+    return out.withColumn(name, score * F.pow(F.lit(2.0), -(F.col("ts") - start) / half_life)).withColumn(
+        f"{name}_log", F.coalesce(F.log2(score), F.lit(-1e9)) + F.col("_era") * float(ERA)).drop("_s", "_c", "_era")
+
+
+def main_pool(df: DataFrame, half_life: int = 6 * HOUR, slice_width: int = 5 * DAY) -> DataFrame:
     """WIN-2: the coin's pool with the largest decayed volume before the current print; first seen wins ties.
 
-    Decay scales all pools alike, so the running maximum of the undecayed score decides.
+    Decay scales all pools alike, so the running maximum of the undecayed score decides; scores within 1e-9 of each other are ties.
     """
-    s = decayed_volume(df, ["tok", "pool"], t0, half_life, slice_width)
-    best = F.struct(F.col("dvol_score"), (-F.col("_seen")).alias("first"), F.col("pool"))
+    s = decayed_volume(df, ["tok", "pool"], half_life, slice_width)
+    best = F.struct(F.round("dvol_log", 9), (-F.col("_seen")).alias("first"), F.col("pool"))
     out = running(s, ["tok"], ORDER, {"_m": ("max", best)}, bucket("ts", slice_width), include_current=False)
-    return out.withColumn("main", F.col("_m.pool")).drop("_m", "_seen", "dvol", "dvol_score")
+    return out.withColumn("main", F.col("_m.pool")).drop("_m", "_seen", "dvol", "dvol_log")
 
 
 def highs(df: DataFrame, key: Sequence[str], minute: int = 60, ks: Sequence[int] = (5, 15, 60), hour: int = HOUR,

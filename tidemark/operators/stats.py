@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import DAY, bucket, hash_u32, hash_unit, normal_cdf, poisson1
+from tidemark.functions.scalar import DAY, bucket, hash_u32, hash_unit, normal_sf, poisson1
 from tidemark.operators.slicing import quantiles_linear, running
 
 
@@ -108,7 +108,7 @@ def inference(df: DataFrame, group: Sequence[str], x: str, coin: str, day: str,
     normal = lo <= F.col("boot_lo")
     return out.withColumn("se", se).withColumn("ci_lo", F.when(normal, lo).otherwise(F.col("boot_lo"))).withColumn(
         "ci_hi", F.when(normal, m + 1.96 * F.col("se")).otherwise(F.col("boot_hi"))).withColumn(
-        "p", F.when(F.col("se") > 0, 1 - normal_cdf(m / F.col("se")))).withColumn("mde80", 2.487 * F.col("se")).withColumn(
+        "p", F.when(F.col("se") > 0, normal_sf(m / F.col("se")))).withColumn("mde80", 2.487 * F.col("se")).withColumn(
         "upper95", m + 1.645 * F.col("se"))
 
 

@@ -75,7 +75,7 @@ x AS (SELECT m.*, l.px AS mpx, l.ts AS mts FROM m LEFT JOIN tape l ON l.blk = (S
 SELECT blk, coalesce(main <> pool AND ts - mts <= {3 * D}, false) AS checked,
   CASE WHEN main <> pool AND ts - mts <= {3 * D} THEN px / mpx BETWEEN 0.25 AND 4 ELSE true END AS keep FROM x""")
 def _(spark, sf):
-    m = W.main_pool(tape(spark, sf), T0, 5 * D)
+    m = W.main_pool(tape(spark, sf), 5 * D)
     return C.main_pool_consistency(m, ratio=4.0, ref_age=3 * D).select("blk", F.coalesce("checked", F.lit(False)).alias("checked"), "keep")
 
 

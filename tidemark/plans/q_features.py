@@ -137,7 +137,7 @@ def _(spark, sf):
 SELECT blk, tok, pool, round(sum(usd * pow(2.0, (ts - {T0}) / 432000.0)) OVER (PARTITION BY tok, pool ORDER BY ts, blk)
        * pow(2.0, -(ts - {T0}) / 432000.0), 6) AS dvol FROM tape""")
 def _(spark, sf):
-    out = W.decayed_volume(tape(spark, sf), ["tok", "pool"], T0, 5 * D)
+    out = W.decayed_volume(tape(spark, sf), ["tok", "pool"], 5 * D)
     return out.select("blk", "tok", "pool", F.round("dvol", 6).alias("dvol"))
 
 
@@ -146,7 +146,7 @@ p AS (SELECT l.blk, l.tok, r.pool, sum(r.usd * pow(2.0, (r.ts - l.ts) / 432000.0
       FROM tape l JOIN tape r ON r.tok = l.tok AND r.blk < l.blk GROUP BY ALL)""") + """
 SELECT t.blk, t.tok, (SELECT arg_max(p.pool, (round(p.v, 9), -p.seen)) FROM p WHERE p.blk = t.blk) AS main FROM tape t""")
 def _(spark, sf):
-    return W.main_pool(tape(spark, sf), T0, 5 * D).select("blk", "tok", "main")
+    return W.main_pool(tape(spark, sf), 5 * D).select("blk", "tok", "main")
 
 
 HIGH_SQL = """

@@ -225,8 +225,9 @@ PHI = """(1 - 0.5 * (1 + CASE WHEN {z} >= 0 THEN 1 ELSE -1 END * (1 - ((((1.0614
 
 
 def _p(z: str) -> str:
-    t = f"(1 / (1 + 0.3275911 * abs({z}) / sqrt(2)))"
-    return PHI.format(z=z, t=t)
+    """Upper normal tail by numeric integration of the density over [z, z + 12], Simpson's rule."""
+    y = f"({z} + i * 0.005)"
+    return f"(SELECT sum((CASE WHEN i IN (0, 2400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-{y} * {y} / 2)) * 0.005 / 3 / sqrt(2 * pi()) FROM range(2401) s(i))"
 
 
 @query("sta_01_mean_se", ctes(TRADES) + "SELECT cell, half, count(ret) AS n, round(avg(ret), 6) AS mean, round(stddev_samp(ret) / sqrt(count(ret)), 6) AS se_iid FROM trades GROUP BY ALL")
@@ -254,7 +255,7 @@ mb AS (SELECT cell, stddev_samp(m) AS se FROM mm GROUP BY cell)"""
 
 @query("sta_04_moving_block_se", ctes(TRADES, T2, MB) + "SELECT cell, round(se, 6) AS se_block FROM mb")
 def _(spark, sf):
-    return rnd(S.moving_block_se(t2(spark, sf), ["cell"], "ret", ["ts", "pair"], B, slice_width=400 * D), 6, "se_block")
+    return rnd(S.moving_block_se(t2(spark, sf), ["cell"], "ret", ["ts", "pair"], B, slice_width=30 * D), 6, "se_block")
 
 
 def _pois(expr: str) -> str:
@@ -305,7 +306,7 @@ def _(spark, sf):
     g = ["cell"]
     parts = (S.mean_se(d, g, "ret").join(S.cluster_se(d, g, "ret", "caller", "se_caller"), g).join(S.cluster_se(d, g, "ret", "tok", "se_coin"), g)
              .join(S.cluster_se(d, g, "ret", "mon", "se_day"), g).join(S.pigeonhole_se(d, g, "ret", "tok", "mon", 60), g)
-             .join(S.moving_block_se(d, g, "ret", ["ts", "pair"], B, slice_width=400 * D), g))
+             .join(S.moving_block_se(d, g, "ret", ["ts", "pair"], B, slice_width=30 * D), g))
     return rnd(S.widest_error(parts), 6, "mean", "se", "ci_lo", "ci_hi").select("cell", "n", "mean", "se", "se_winner", "ci_lo", "ci_hi")
 
 
@@ -337,9 +338,9 @@ pp AS (SELECT cell, n, m, se, CASE WHEN n >= 180 THEN {_p('(m / se)')} END AS p
 
 
 def _cellp(spark, sf):
-    from tidemark.functions.scalar import normal_cdf
+    from tidemark.functions.scalar import normal_sf
     m = S.mean_se(t2(spark, sf), ["mon"], "ret").withColumnRenamed("mon", "cell")
-    return m.withColumn("p", F.when(F.col("n") >= 180, 1 - normal_cdf(F.col("mean") / F.col("se_iid"))))
+    return m.withColumn("p", F.when(F.col("n") >= 180, normal_sf(F.col("mean") / F.col("se_iid"))))
 
 
 @query("sta_11_holm", ctes(TRADES, T2, CELLP, """

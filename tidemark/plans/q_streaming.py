@@ -73,12 +73,6 @@ def _(spark, sf):
     return X.run_available(X.stream_dip_signal(stape(spark, sf), ["tok"], 0.5, 21600, 20, 2 * D))
 
 
-@query("str_07_stream_entry_exit")
-def _(spark, sf):
-    s = X.watermarked_tape(stape(spark, sf)).withColumn("signal", F.col("pool") == "signup")
-    return X.run_available(X.stream_entry_exit(s, ["tok"], 3600, 3 * D, 1.5, 3600))
-
-
 @query("str_08_stream_sessions", ctes(TAPE, WM, """
 g AS (SELECT e.user_id AS tok, epoch_us(e.ts) AS us, t.usd, CASE WHEN epoch_us(e.ts) - lag(epoch_us(e.ts)) OVER (PARTITION BY user_id ORDER BY e.ts) <= 21600000000 THEN 0 ELSE 1 END AS st
       FROM events e JOIN tape t ON t.blk = e.event_id),
