@@ -36,7 +36,7 @@ VOCABULARY = 4096
 WIDTH = 32
 CLASSES = 64
 WINDOW = 24
-SLOTS = 64
+SLOTS = 128
 SCORE_SLOTS = 512
 SCORE_WINDOW = 64
 EVERY = 8
