@@ -8,7 +8,7 @@ token's smoothed share among those others, so every text has a probability. Trai
 weights are averaged by tokens seen, and this is done ``rounds`` times. In scoring the state is carried from window to window to the end
 of the document, so whole texts of any length are scored.
 
-The most frequent ``head`` tokens (of up to 64 bytes) are known to every task, so they are counted in place and no hot key is shuffled;
+Up to ``head`` of the most frequent tokens (of up to 64 bytes) are known to every task, so they are counted in place and no hot key is shuffled;
 the other tokens of a document meet their counts in a join.
 
 Defined results: a null or empty text is the end token alone; equal rows are scored separately; a null doc_id counts as the empty text for
@@ -32,6 +32,7 @@ from tidemark.session import cut_lineage
 
 HELD_OUT = 1
 HEAD = 1 << 16
+STEPS = 16
 VOCABULARY = 4096
 WIDTH = 32
 CLASSES = 64
@@ -282,10 +283,18 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, head: int = HEAD, vocabulary: int = VOCABULARY) -> Lexicon:
-    """From the counts table; ``head`` words of up to 64 bytes are all that reaches the driver."""
+    """From the counts table. A histogram of counts (``STEPS`` bins an octave) gives the least count that at most ``head`` words of up to
+    64 bytes reach; these words and the end token are all that comes to the driver."""
     s = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    short = counts.filter(F.octet_length("word") <= 64).orderBy(F.desc("c"), "word").limit(head).collect()
-    rows = sorted(((bytes(r["word"]), r["c"]) for r in short), key=lambda x: (-x[1], x[0]))
+    short = counts.filter(F.octet_length("word") <= 64).withColumn("bin", F.floor(F.log2("c") * STEPS))
+    least, reach = None, 0
+    for r in short.groupBy("bin").agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect():
+        if reach + r["n"] > head:
+            break
+        least, reach = r["bin"], reach + r["n"]
+    end = F.octet_length("word") == 0
+    chosen = short.filter(end if least is None else end | (F.col("bin") >= least)).collect()
+    rows = sorted(((bytes(r["word"]), r["c"]) for r in chosen), key=lambda x: (-x[1], x[0]))
     return Lexicon(rows, s["n"] or 0, s["v"], vocabulary)
 
 
