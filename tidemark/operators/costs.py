@@ -89,8 +89,9 @@ def leg_rate(fee: Column, depth: Column, size: Column, side: str) -> Column:
     return (1 + fee) * (1 + u) if side == "buy" else (1 - fee) / (1 + u)
 
 
-def hop_route(states: DataFrame, row_id: Sequence[str], side: str, size: str, band: float = 0.10) -> DataFrame:
-    """CST-7: best direct leg per row among the pool states at its time, and the product of two legs over the stable coin.
+def hop_route(states: DataFrame, row_id: Sequence[str], side: str, size: str, band: float = 0.10,
+              allow_usdg: bool = False) -> DataFrame:
+    """CST-7: best direct leg per row among the pool states at its time, or with ``allow_usdg`` the product of two legs over the stable coin.
 
     ``states``: row id, leg (direct / first / second), fee, depth, px. Only pools with a known fee and a price within
     10 % of the deepest pool's of the same leg take part.
@@ -101,9 +102,11 @@ def hop_route(states: DataFrame, row_id: Sequence[str], side: str, size: str, ba
     ok = states.join(ref, g).filter(F.col("fee").isNotNull() & (F.col("depth") > 0) & (F.abs(F.try_divide("px", "_ref") - 1) <= band)).withColumn("_m", m)
     best = ok.groupBy(*g).agg((F.min if side == "buy" else F.max)("_m").alias("_m"))
     leg = lambda n: F.max(F.when(F.col("leg") == n, F.col("_m")))
-    out = best.groupBy(*row_id).agg(leg("direct").alias("direct"), (leg("first") * leg("second")).alias("via"))
+    via = leg("first") * leg("second") if allow_usdg else F.max(F.lit(None).cast("double"))
+    out = best.groupBy(*row_id).agg(leg("direct").alias("direct"), via.alias("via"))
     pick = F.least("direct", "via") if side == "buy" else F.greatest("direct", "via")
-    return out.withColumn("mult", pick).withColumn("route", F.when(F.col("direct") == F.col("mult"), "direct").otherwise("via_usdg"))
+    return out.withColumn("mult", pick).withColumn("route", F.when(F.col("direct") == F.col("mult"), "direct").when(
+        F.col("mult").isNotNull(), "via_usdg"))
 
 
 def hop_apply(net: Column, clip_eth: Column, buy_mult: Column, sell_mult: Column) -> Column:
@@ -133,11 +136,6 @@ def gas_pts(clip_eth: Column, round_trip: bool = True) -> Column:
     return F.lit(100 * g) / clip_eth
 
 
-def latency_sec(side: str, p90: bool = False, recent: bool = False) -> float:
-    name = {"buy": "buy_sec", "copy": "copy_buy_sec", "sell": "sell_sec"}[side]
-    return LATENCY[name + ("_recent" if recent and side == "sell" else "") + ("_p90" if p90 else "")]
-
-
 def eth_booking(df: DataFrame, series: DataFrame, entry_ts: str, exit_ts: str, entry_px: str, exit_px: str) -> DataFrame:
     """CST-11: gross multiple in ETH from USD prices: their ratio times ETHUSD(entry) / ETHUSD(exit)."""
     a = J.interp_linear(df, series, (), entry_ts, name="eth_entry")
@@ -145,8 +143,11 @@ def eth_booking(df: DataFrame, series: DataFrame, entry_ts: str, exit_ts: str, e
     return b.withColumn("gross_eth", F.try_divide(F.col(exit_px) * F.col("eth_entry"), F.col(entry_px) * F.col("eth_exit")))
 
 
-def real_net(gross: Column, cost_buy: Column, cost_sell: Column, clip_eth: Column) -> Column:
-    return 100 * (gross * (1 - cost_sell) / (1 + cost_buy) - 1) - gas_pts(clip_eth)
+def real_net(gross: Column, cost_buy: Column, impact_buy: Column, cost_sell: Column, impact_sell: Column, clip_eth: Column) -> Column:
+    """Net return in percent: on each side the costs other than price impact come off first, the impact then compounds."""
+    paid = (1 + (cost_buy - impact_buy)) * (1 + impact_buy)
+    got = F.try_divide(1 - (cost_sell - impact_sell), 1 + impact_sell)
+    return 100 * (F.try_divide(gross * got, paid) - 1) - gas_pts(clip_eth)
 
 
 def heavy(basis: Column, entry: Column, cost_buy: Column, cost_sell: Column, hook_buy: Column, hook_sell: Column) -> Column:
@@ -158,25 +159,36 @@ def heavy(basis: Column, entry: Column, cost_buy: Column, cost_sell: Column, hoo
 def views(df: DataFrame) -> DataFrame:
     """CST-12: the return of each trade under every cost view, as (view, ret) rows.
 
-    Columns: gross, gross_trig, gross_lat, gross_lat90 (ETH multiples of the booked exit, the trigger print and the two
-    latency probes), cost_buy, cost_sell, model_buy, model_sell, hook_buy, hook_sell, clip_eth, hop_buy, hop_sell, hop_buy_u,
-    hop_sell_u, fallback. A fallback exit is capped at 0 in every view; without a route the hop views are null.
+    Columns: gross, gross_trig, gross_lat, gross_lat90 (ETH multiples of the booked exit, the trigger print and the two latency probes),
+    cost_buy, impact_buy, cost_sell, impact_sell (totals and the impact in them), model_buy, model_sell, hook_buy, hook_sell, clip_eth,
+    fallback, quoted (the pool's quote has to be converted), and for the conversion hop_buy, hop_fee, hop_impact (entry leg), hop_sell_60,
+    hop_sell_trig, hop_sell_lat, hop_sell_lat90 (exit legs at each view's own time and size), hop_buy_u, hop_fee_u, hop_impact_u, hop_sell_u
+    (the same over the stable coin). An exit leg that is null falls back to the entry leg's pool at the exit's size. A fallback exit is capped
+    at 0 in every view; a quoted trade without an entry leg has null hop views, one without a quote to convert the plain views.
     """
     C = F.col
     cap = lambda x: F.when(C("fallback") & (x > 0), F.lit(0.0)).otherwise(x)  # null stays null
     model = lambda g: 100 * (C(g) * (1 - C("model_sell")) / (1 + C("model_buy")) - 1) - 0.2
-    real = lambda g: real_net(C(g), C("cost_buy"), C("cost_sell"), C("clip_eth"))
-    lat = lambda g: F.when(C("fallback"), F.least(real("gross_trig"), F.lit(0.0))).otherwise(real(g))
-    hop = lambda net, b="hop_buy", s="hop_sell": hop_apply(net, C("clip_eth"), C(b), C(s))
+
+    def hop(net: str, sell: str, tail: str = "") -> Column:
+        left = F.greatest(F.lit(0.01), (C(net) + 100) / 100)  # the exit's size in clips
+        leg = hop_exit_mult(C(sell), C(f"hop_fee{tail}"), C(f"hop_impact{tail}"), left)
+        return F.when(C("quoted"), hop_apply(C(net), C("clip_eth"), C(f"hop_buy{tail}"), leg)).otherwise(C(net))
+
+    real = lambda g: real_net(C(g), C("cost_buy"), C("impact_buy"), C("cost_sell"), C("impact_sell"), C("clip_eth"))
+    nets = {"_60": real("gross"), "_trig": real("gross_trig"), "_lat": real("gross_lat"), "_lat90": real("gross_lat90")}
+    wide = df.withColumns(nets)
+    late = lambda n: F.when(C("fallback"), F.least(C("_trig"), F.lit(0.0))).otherwise(C(n))
+    wide = wide.withColumns({"_lat": late("_lat"), "_lat90": late("_lat90")})
     out = {
         "meas": model("gross"), "meas_trig": model("gross_trig"),
         "heavy": heavy(C("gross"), F.lit(1.0), C("model_buy"), C("model_sell"), C("hook_buy"), C("hook_sell")),
-        "real60": real("gross"), "realtrig": real("gross_trig"), "lat": lat("gross_lat"), "lat90": lat("gross_lat90"),
-        "real60h": hop(real("gross")), "realtrigh": hop(real("gross_trig")), "lath": hop(lat("gross_lat")), "lat90h": hop(lat("gross_lat90")),
-        "real60u": hop(real("gross"), "hop_buy_u", "hop_sell_u"),
+        "real60": C("_60"), "realtrig": C("_trig"), "lat": C("_lat"), "lat90": C("_lat90"),
+        "real60h": hop("_60", "hop_sell_60"), "realtrigh": hop("_trig", "hop_sell_trig"), "lath": hop("_lat", "hop_sell_lat"),
+        "lat90h": hop("_lat90", "hop_sell_lat90"), "real60u": hop("_60", "hop_sell_u", "_u"),
     }
-    wide = df.withColumn("_v", F.explode(F.array(*[F.struct(F.lit(n).alias("view"), cap(x).alias("ret")) for n, x in out.items()])))
-    return wide.select(*df.columns, C("_v.view").alias("view"), C("_v.ret").alias("ret"))
+    flat = wide.select(*df.columns, *[cap(x).cast("double").alias(n) for n, x in out.items()])
+    return flat.unpivot(df.columns, list(out), "view", "ret")
 
 
 def real_vs_old(df: DataFrame, booked: str, recomputed: Column, tol: float = 2e-4) -> DataFrame:

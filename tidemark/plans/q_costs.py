@@ -119,16 +119,19 @@ def _states(spark, sf):
 
 
 @query("cst_07_hop_route", "WITH " + ROUTE.format(s1=repr(S1), agg="min", x="b") + """
-SELECT id, round(CASE WHEN direct IS NULL THEN via WHEN via IS NULL THEN direct ELSE least(direct, via) END, 9) AS mult, CASE WHEN direct IS NOT NULL AND (via IS NULL OR direct <= via) THEN 'direct' ELSE 'via_usdg' END AS route FROM rt""")
+SELECT id, round(CASE WHEN direct IS NULL THEN via WHEN via IS NULL THEN direct ELSE least(direct, via) END, 9) AS mult,
+  CASE WHEN direct IS NOT NULL AND (via IS NULL OR direct <= via) THEN 'direct' WHEN via IS NOT NULL THEN 'via_usdg' END AS route, round(direct, 9) AS mult_direct FROM rt""")
 def _(spark, sf):
-    return rnd(K.hop_route(_states(spark, sf), ["id"], "buy", "size"), 9, "mult").select("id", "mult", "route")
+    both = K.hop_route(_states(spark, sf), ["id"], "buy", "size", allow_usdg=True)
+    one = K.hop_route(_states(spark, sf), ["id"], "buy", "size").select("id", F.col("mult").alias("mult_direct"))
+    return rnd(both.join(one, "id"), 9, "mult", "mult_direct").select("id", "mult", "route", "mult_direct")
 
 
 @query("cst_08_hop_apply", "WITH " + ROUTE.format(s1=repr(S1), agg="max", x="s") + f"""
 SELECT o_orderkey, round((net + {GAS2!r} / 0.02 + 100) * CASE WHEN direct IS NULL THEN via WHEN via IS NULL THEN direct ELSE greatest(direct, via) END / 1.011 - 100 - {GAS2!r} / 0.02 - 100 * 8.97e-06 / 0.02, 6) AS net_hop
 FROM (SELECT o_orderkey, (o_totalprice - 240000) / 2503 AS net FROM orders) LEFT JOIN rt ON id = o_orderkey""")
 def _(spark, sf):
-    rt = K.hop_route(_states(spark, sf), ["id"], "sell", "size").select(F.col("id").alias("o_orderkey"), "mult")
+    rt = K.hop_route(_states(spark, sf), ["id"], "sell", "size", allow_usdg=True).select(F.col("id").alias("o_orderkey"), "mult")
     o = table(spark, sf, "orders").select("o_orderkey", ((F.col("o_totalprice") - 240000) / 2503).alias("net")).join(rt, "o_orderkey", "left")
     return o.select("o_orderkey", F.round(K.hop_apply(F.col("net"), F.lit(0.02), F.lit(1.011), F.col("mult")), 6).alias("net_hop"))
 
@@ -160,16 +163,20 @@ def _(spark, sf):
     return rnd(K.eth_booking(pos, series, "ts", "xt", "px", "xp"), 6, "gross_eth").select("blk", "gross_eth")
 
 
+_NET = "100 * ({g} * (1 - (cs - si)) / (1 + si) / ((1 + (cb - bi)) * (1 + bi)) - 1) - gas"
+_HOP = ("CASE WHEN q THEN ({n} + gas + 100) * coalesce({s}, (1 - hf{u}) / (1 + hi{u} * greatest(0.01, ({n} + 100) / 100))) / hob{u} - 100 - gas - hg ELSE {n} END")
 VIEW = f"""v AS (SELECT o_orderkey, 1 + (o_totalprice - 240000) / 250300 AS g, 1 + (o_totalprice - 200000) / 250300 AS gt, 1 + (o_totalprice - 220000) / 250300 AS gl, 1 + (o_totalprice - 210000) / 250300 AS gl9,
-  0.01 + (o_custkey % 7) / 500.0 AS cb, 0.012 + (o_custkey % 5) / 400.0 AS cs, 0.011 AS mb, 0.016 AS ms, o_orderstatus = 'F' AS hb, o_orderstatus = 'P' AS hs, 0.02 AS clip,
-  CASE WHEN o_custkey % 6 > 0 THEN 1.004 END AS hob, CASE WHEN o_custkey % 6 > 0 THEN 0.993 END AS hos, 1.003 AS hbu, 0.994 AS hsu, o_orderpriority = '5-LOW' AS fb FROM orders),
+  0.01 + (o_custkey % 7) / 500.0 AS cb, (o_custkey % 3) / 400.0 AS bi, 0.012 + (o_custkey % 5) / 400.0 AS cs, (o_custkey % 4) / 500.0 AS si, 0.011 AS mb, 0.016 AS ms,
+  o_orderstatus = 'F' AS hb, o_orderstatus = 'P' AS hs, 0.02 AS clip, o_custkey % 9 > 0 AS q, o_orderpriority = '5-LOW' AS fb,
+  CASE WHEN o_custkey % 6 > 0 THEN 1.004 END AS hob, 0.003 AS hf, 0.001 AS hi, CASE WHEN o_custkey % 5 > 0 THEN 0.993 END AS s60, CASE WHEN o_custkey % 5 > 1 THEN 0.992 END AS str,
+  CASE WHEN o_custkey % 5 > 2 THEN 0.991 END AS sl, 0.99 AS sl9, 1.003 AS hob_u, 0.002 AS hf_u, 0.0005 AS hi_u, CASE WHEN o_custkey % 4 > 0 THEN 0.994 END AS su FROM orders),
 gs AS (SELECT *, {GAS2!r} / clip AS gas, 100 * 8.97e-06 / clip AS hg FROM v),
-r AS (SELECT *, 100 * (g * (1 - cs) / (1 + cb) - 1) - gas AS r60, 100 * (gt * (1 - cs) / (1 + cb) - 1) - gas AS rt, 100 * (gl * (1 - cs) / (1 + cb) - 1) - gas AS l0, 100 * (gl9 * (1 - cs) / (1 + cb) - 1) - gas AS l9 FROM gs),
-q AS (SELECT *, CASE WHEN fb THEN least(rt, 0) ELSE l0 END AS lat, CASE WHEN fb THEN least(rt, 0) ELSE l9 END AS lat90 FROM r),
+r AS (SELECT *, {_NET.format(g='g')} AS r60, {_NET.format(g='gt')} AS rt, {_NET.format(g='gl')} AS l0, {_NET.format(g='gl9')} AS l9 FROM gs),
+z AS (SELECT *, CASE WHEN fb THEN least(rt, 0) ELSE l0 END AS lat, CASE WHEN fb THEN least(rt, 0) ELSE l9 END AS lat90 FROM r),
 x AS (SELECT *, 100 * (g * (1 - ms) / (1 + mb) - 1) - 0.2 AS meas, 100 * (gt * (1 - ms) / (1 + mb) - 1) - 0.2 AS meas_trig,
   100 * (g * (1 - greatest(ms, 0.014) - hs::INT * 0.01) / (1 + greatest(mb, 0.014) + hb::INT * 0.01) - 1) - 0.2 AS heavy, r60 AS real60, rt AS realtrig,
-  (r60 + gas + 100) * hos / hob - 100 - gas - hg AS real60h, (rt + gas + 100) * hos / hob - 100 - gas - hg AS realtrigh, (lat + gas + 100) * hos / hob - 100 - gas - hg AS lath,
-  (lat90 + gas + 100) * hos / hob - 100 - gas - hg AS lat90h, (r60 + gas + 100) * hsu / hbu - 100 - gas - hg AS real60u FROM q)"""
+  {_HOP.format(n='r60', s='s60', u='')} AS real60h, {_HOP.format(n='rt', s='str', u='')} AS realtrigh, {_HOP.format(n='lat', s='sl', u='')} AS lath,
+  {_HOP.format(n='lat90', s='sl9', u='')} AS lat90h, {_HOP.format(n='r60', s='su', u='_u')} AS real60u FROM z)"""
 NAMES = ["meas", "meas_trig", "heavy", "real60", "realtrig", "lat", "lat90", "real60h", "realtrigh", "lath", "lat90h", "real60u"]
 
 
@@ -178,12 +185,15 @@ NAMES = ["meas", "meas_trig", "heavy", "real60", "realtrig", "lat", "lat90", "re
 def _(spark, sf):
     c, p = F.col("o_custkey"), F.col("o_totalprice")
     g = lambda z: 1 + (p - z) / 250300
-    hop = lambda v: F.when(c % 6 > 0, v)
+    if_over = lambda m, k, v: F.when(c % m > k, v)
     df = table(spark, sf, "orders").select(
         "o_orderkey", g(240000).alias("gross"), g(200000).alias("gross_trig"), g(220000).alias("gross_lat"), g(210000).alias("gross_lat90"),
-        (0.01 + (c % 7) / 500.0).alias("cost_buy"), (0.012 + (c % 5) / 400.0).alias("cost_sell"), F.lit(0.011).alias("model_buy"), F.lit(0.016).alias("model_sell"),
-        (F.col("o_orderstatus") == "F").alias("hook_buy"), (F.col("o_orderstatus") == "P").alias("hook_sell"), F.lit(0.02).alias("clip_eth"), hop(1.004).alias("hop_buy"),
-        hop(0.993).alias("hop_sell"), F.lit(1.003).alias("hop_buy_u"), F.lit(0.994).alias("hop_sell_u"), (F.col("o_orderpriority") == "5-LOW").alias("fallback"))
+        (0.01 + (c % 7) / 500.0).alias("cost_buy"), ((c % 3) / 400.0).alias("impact_buy"), (0.012 + (c % 5) / 400.0).alias("cost_sell"), ((c % 4) / 500.0).alias("impact_sell"),
+        F.lit(0.011).alias("model_buy"), F.lit(0.016).alias("model_sell"), (F.col("o_orderstatus") == "F").alias("hook_buy"), (F.col("o_orderstatus") == "P").alias("hook_sell"),
+        F.lit(0.02).alias("clip_eth"), (c % 9 > 0).alias("quoted"), (F.col("o_orderpriority") == "5-LOW").alias("fallback"),
+        if_over(6, 0, 1.004).alias("hop_buy"), F.lit(0.003).alias("hop_fee"), F.lit(0.001).alias("hop_impact"), if_over(5, 0, 0.993).alias("hop_sell_60"),
+        if_over(5, 1, 0.992).alias("hop_sell_trig"), if_over(5, 2, 0.991).alias("hop_sell_lat"), F.lit(0.99).alias("hop_sell_lat90"),
+        F.lit(1.003).alias("hop_buy_u"), F.lit(0.002).alias("hop_fee_u"), F.lit(0.0005).alias("hop_impact_u"), if_over(4, 0, 0.994).alias("hop_sell_u"))
     return K.views(df).select("o_orderkey", "view", F.round("ret", 6).alias("ret"))
 
 
