@@ -103,11 +103,11 @@ def _(spark, sf):
     return out.select("id", F.round("mult_a", 6).alias("mult_a"), F.round("mult_b", 6).alias("mult_b"), "jump")
 
 
-HOLES = "h AS (SELECT p AS from_ts, ts AS to_ts FROM (SELECT ts, lag(ts) OVER (ORDER BY ts) AS p FROM (SELECT DISTINCT ts FROM tape WHERE pool = 'click' AND usd > 70)) WHERE ts - p >= 10800)"
+HOLES = "h AS (SELECT p AS from_ts, ts AS to_ts FROM (SELECT ts, lag(ts) OVER (ORDER BY ts) AS p FROM (SELECT DISTINCT ts FROM tape)) WHERE ts - p >= 900)"
 
 
 def _holes(spark, sf):
-    return C.stream_holes(tape(spark, sf).filter("pool = 'click' and usd > 70"), 10800)
+    return C.stream_holes(tape(spark, sf), 900)
 
 
 @query("cln_06_stream_holes", ctes(TAPE, HOLES) + "SELECT from_ts, to_ts FROM h")

@@ -75,20 +75,17 @@ def _(spark, sf):
     return C.table_changes(b, a.withColumn("s", F.when(F.col("s") != "O", F.col("s"))), "k", "s")
 
 
-FAM = """st AS (SELECT DISTINCT l_orderkey AS pt, l_linenumber || '|' || l_returnflag AS it FROM lineitem), n AS (SELECT pt, count(*) AS n FROM st GROUP BY pt),
-cm AS (SELECT x.pt AS a, y.pt AS b, count(*) AS c FROM st x JOIN st y ON x.it = y.it AND x.pt < y.pt WHERE x.pt IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 440000)
-  AND y.pt IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 440000) GROUP BY ALL),
+FAM = """st AS (SELECT DISTINCT l_orderkey AS pt, l_partkey AS it FROM lineitem), n AS (SELECT pt, count(*) AS n FROM st GROUP BY pt),
+cm AS (SELECT x.pt AS a, y.pt AS b, count(*) AS c FROM st x JOIN st y ON x.it = y.it AND x.pt < y.pt GROUP BY ALL),
 e AS (SELECT a, b FROM cm JOIN n na ON na.pt = a JOIN n nb ON nb.pt = b WHERE c / greatest(na.n, nb.n) >= 0.8)"""
 
 
 def _sets(spark, sf):
-    big = table(spark, sf, "orders").filter("o_totalprice > 440000").select(F.col("o_orderkey").alias("pt"))
-    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pt"), F.concat_ws("|", "l_linenumber", "l_returnflag").alias("it"))
-    return li.join(big, "pt", "left_semi")
+    return table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pt"), F.col("l_partkey").alias("it"))
 
 
 @query("set_06_overlap_families", "WITH RECURSIVE " + FAM + """,
-nd AS (SELECT DISTINCT pt FROM st WHERE pt IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 440000)),
+nd AS (SELECT DISTINCT pt FROM st),
 ed AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT pt, pt AS root FROM nd UNION SELECT ed.b, r.root FROM r JOIN ed ON ed.a = r.pt)
 SELECT pt, min(root) AS family FROM r GROUP BY pt""")
 def _(spark, sf):

@@ -248,12 +248,12 @@ def _(spark, sf):
 
 
 @query("cst_18_median_with_fallback", """
-WITH rc AS (SELECT l_partkey AS pool, p_type AS type, l_tax + l_discount / 7 AS v FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49 AND p_type <> 'SMALL'),
+WITH rc AS (SELECT l_partkey AS pool, p_type AS type, l_tax + l_discount / 7 AS v FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_type <> 'SMALL'),
 a AS (SELECT pool, median(v) AS v FROM rc GROUP BY 1), b AS (SELECT type, median(v) AS v FROM rc GROUP BY 1)
 SELECT p_partkey AS pool, round(coalesce(a.v, b.v, 0.01), 9) AS value, CASE WHEN a.v IS NOT NULL THEN 'pool' WHEN b.v IS NOT NULL THEN 'type' ELSE 'constant' END AS value_src
 FROM part LEFT JOIN a ON a.pool = p_partkey LEFT JOIN b ON b.type = p_type""")
 def _(spark, sf):
     c = F.col
     p = table(spark, sf, "part").select(c("p_partkey").alias("pool"), c("p_type").alias("type"))
-    rc = table(spark, sf, "lineitem").filter("l_quantity > 49").select(c("l_partkey").alias("pool"), (c("l_tax") + c("l_discount") / 7).alias("v")).join(p.filter("type <> 'SMALL'"), "pool")
+    rc = table(spark, sf, "lineitem").select(c("l_partkey").alias("pool"), (c("l_tax") + c("l_discount") / 7).alias("v")).join(p.filter("type <> 'SMALL'"), "pool")
     return rnd(K.median_with_fallback(p, rc, "v", 0.01), 9, "value").select("pool", "value", "value_src")

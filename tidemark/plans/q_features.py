@@ -349,12 +349,12 @@ def _(spark, sf):
 SELECT c.id, round(100 * (now.px / coalesce(old.px, CASE WHEN ins.ts < c.ts THEN ins.px END) - 1), 6) AS runup_pct,
        coalesce(now.px, CASE WHEN aft.ts - c.ts <= {D} THEN aft.px END) AS px_at_call
 FROM calls c
-LEFT JOIN LATERAL (SELECT px FROM tape t WHERE t.tok = c.tok AND t.pool = 'click' AND t.ts < c.ts ORDER BY blk DESC LIMIT 1) now ON true
-LEFT JOIN LATERAL (SELECT px FROM tape t WHERE t.tok = c.tok AND t.pool = 'click' AND t.ts < c.ts - {3 * D} ORDER BY blk DESC LIMIT 1) old ON true
-LEFT JOIN LATERAL (SELECT px, ts FROM tape t WHERE t.tok = c.tok AND t.pool = 'click' AND t.ts >= c.ts - {3 * D} ORDER BY blk LIMIT 1) ins ON true
-LEFT JOIN LATERAL (SELECT px, ts FROM tape t WHERE t.tok = c.tok AND t.pool = 'click' AND t.ts >= c.ts ORDER BY blk LIMIT 1) aft ON true""")
+LEFT JOIN LATERAL (SELECT px FROM tape t WHERE t.tok = c.tok AND t.ts < c.ts ORDER BY blk DESC LIMIT 1) now ON true
+LEFT JOIN LATERAL (SELECT px FROM tape t WHERE t.tok = c.tok AND t.ts < c.ts - {3 * D} ORDER BY blk DESC LIMIT 1) old ON true
+LEFT JOIN LATERAL (SELECT px, ts FROM tape t WHERE t.tok = c.tok AND t.ts >= c.ts - {3 * D} ORDER BY blk LIMIT 1) ins ON true
+LEFT JOIN LATERAL (SELECT px, ts FROM tape t WHERE t.tok = c.tok AND t.ts >= c.ts ORDER BY blk LIMIT 1) aft ON true""")
 def _(spark, sf):
-    out = W.runup(calls(spark, sf).select("id", "tok", "ts"), tape(spark, sf).filter("pool = 'click'"), ["tok"], 3 * D, D)
+    out = W.runup(calls(spark, sf).select("id", "tok", "ts"), tape(spark, sf), ["tok"], 3 * D, D)
     return out.select("id", F.round("runup_pct", 6).alias("runup_pct"), "px_at_call")
 
 
@@ -397,13 +397,13 @@ def _(spark, sf):
 
 @query("win_25_at_call_features", ctes(TAPE, CALLS) + f"""
 SELECT c.id, round(100 * (n.px / o.px - 1), 6) AS move_pct,
-       coalesce((SELECT sum(usd) FROM tape t WHERE t.tok = c.tok AND t.pool = 'view' AND t.ts < c.ts AND t.ts >= c.ts - {4 * D}), 0) AS vol_back,
+       coalesce((SELECT sum(usd) FROM tape t WHERE t.tok = c.tok AND t.ts < c.ts AND t.ts >= c.ts - {4 * D}), 0) AS vol_back,
        CASE WHEN c.ts - n.ts <= {3 * D} THEN n.usd END AS depth
 FROM calls c
-LEFT JOIN LATERAL (SELECT px, ts, usd FROM tape t WHERE t.tok = c.tok AND t.pool = 'view' AND t.ts < c.ts ORDER BY blk DESC LIMIT 1) n ON true
-LEFT JOIN LATERAL (SELECT px FROM tape t WHERE t.tok = c.tok AND t.pool = 'view' AND t.ts < c.ts - {4 * D} ORDER BY blk DESC LIMIT 1) o ON true""")
+LEFT JOIN LATERAL (SELECT px, ts, usd FROM tape t WHERE t.tok = c.tok AND t.ts < c.ts ORDER BY blk DESC LIMIT 1) n ON true
+LEFT JOIN LATERAL (SELECT px FROM tape t WHERE t.tok = c.tok AND t.ts < c.ts - {4 * D} ORDER BY blk DESC LIMIT 1) o ON true""")
 def _(spark, sf):
-    out = W.at_call_features(calls(spark, sf).select("id", "tok", "ts"), tape(spark, sf).filter("pool = 'view'"), ["tok"], "id", 4 * D, 3 * D)
+    out = W.at_call_features(calls(spark, sf).select("id", "tok", "ts"), tape(spark, sf), ["tok"], "id", 4 * D, 3 * D)
     return out.select("id", F.round("move_pct", 6).alias("move_pct"), "vol_back", "depth")
 
 
@@ -426,7 +426,7 @@ def _(spark, sf):
 SELECT c.id, count(DISTINCT CASE WHEN t.ts // {D} > c.ts // {D} THEN t.ts // {D} END) AS data_days,
        max(CASE WHEN t.ts // {D} > c.ts // {D} THEN t.ts END) AS last_print,
        count(CASE WHEN t.ts > c.ts + {7 * D} THEN 1 END) AS after_d7, count(CASE WHEN t.ts > c.ts + {7 * D} THEN 1 END) = 0 AS dead_by_d7
-FROM calls c LEFT JOIN tape t ON t.tok = c.tok AND t.pool = 'purchase' GROUP BY c.id""")
+FROM calls c LEFT JOIN tape t ON t.tok = c.tok GROUP BY c.id""")
 def _(spark, sf):
-    out = W.life_of_window(calls(spark, sf).select("id", "tok", "ts"), tape(spark, sf).filter("pool = 'purchase'"), ["tok"], "id")
+    out = W.life_of_window(calls(spark, sf).select("id", "tok", "ts"), tape(spark, sf), ["tok"], "id")
     return out.select("id", "data_days", "last_print", "after_d7", "dead_by_d7")

@@ -173,11 +173,11 @@ def _(spark, sf):
     return A.prepass_histograms(g, {"buyers": band(F.col("b"), [2, 4]), "volume": band(F.col("v"), [50, 100, 200])})
 
 
-@query("agg_27_lag_cdf", ctes(TAPE, CALLS, "l AS (SELECT c.chat, (SELECT min(t.ts) FROM tape t WHERE t.tok = c.tok AND t.pool = 'click' AND t.ts >= c.ts) - c.ts AS lag FROM calls c)") + f"""
+@query("agg_27_lag_cdf", ctes(TAPE, CALLS, "l AS (SELECT c.chat, (SELECT min(t.ts) FROM tape t WHERE t.tok = c.tok AND t.ts >= c.ts) - c.ts AS lag FROM calls c)") + f"""
 SELECT chat, count(*) AS n, round(avg(coalesce(lag <= {D}, false)::INT), 9) AS within_{D}, round(avg(coalesce(lag <= {3 * D}, false)::INT), 9) AS within_{3 * D},
   round(avg((lag IS NULL)::INT), 9) AS never FROM l GROUP BY chat""")
 def _(spark, sf):
-    c = J.asof_forward(calls(spark, sf), tape(spark, sf).filter("pool = 'click'"), ["tok"], columns=["ts"]).withColumn("lag", F.col("r.ts") - F.col("ts"))
+    c = J.asof_forward(calls(spark, sf), tape(spark, sf), ["tok"], columns=["ts"]).withColumn("lag", F.col("r.ts") - F.col("ts"))
     return rnd(A.lag_cdf(c, ["chat"], "lag", [D, 3 * D]), 9, f"within_{D}", f"within_{3 * D}", "never")
 
 

@@ -289,11 +289,11 @@ RULES_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{r['rule']}', {r[
 
 @query("trd_16_exit_overlays", ctes(TAPE, V4, ENTRY_SQL, PRINTS, RULES_SQL, f"""
 pos AS (SELECT id, tok, pool, entry_ts, entry_px, rule, entry_ts + hold AS deadline, entry_px * CAST(tp AS DOUBLE) AS tp_line FROM en, rules
-        WHERE status = 'ok' AND entry_ts <= {END} AND pool = 'click')""", exit_sql("pos", "ex")) + """
+        WHERE status = 'ok' AND entry_ts <= {END})""", exit_sql("pos", "ex")) + """
 SELECT rule, reason, count(*) AS n, round(avg(100 * (exit_px / entry_px - 1)), 4) AS mean FROM ex GROUP BY ALL""")
 def _(spark, sf):
     p, en = _entries(spark, sf)
-    pos = en.filter((F.col("status") == "ok") & (F.col("entry_ts") <= END) & (F.col("pool") == "click")).select("id", "tok", "pool", "entry_ts", "entry_px")
+    pos = en.filter((F.col("status") == "ok") & (F.col("entry_ts") <= END)).select("id", "tok", "pool", "entry_ts", "entry_px")
     ex = X.exit_first_hit(X.exit_overlays(pos, RULES), p, ["tok", "pool"], ["id", "rule"], END, 3600, 3 * D, 30.0, 0.25, FINE, COARSE)
     return ex.groupBy("rule", "reason").agg(F.count("*").alias("n"), F.round(F.avg(100 * (F.try_divide("exit_px", "entry_px") - 1)), 4).alias("mean"))
 
