@@ -271,6 +271,22 @@ def test_slice_width_falls_with_density(spark):
     assert pick_slice_width(df, ["tok"], "ts", 50) <= 3600
 
 
+def test_layout_is_measured_and_bounds_the_fullest_slice(spark):
+    """A hot coin: the layout taken from the tape keeps every window partition below the row target."""
+    from tidemark.operators import slicing as S
+    df, _ = hot_tape(spark, 1200)
+    before = S.width_or_layout(None)
+    try:
+        width = S.use_layout(df, ["tok"], "ts", 60)
+        assert S.width_or_layout(None) == width < 20_000 and S.width_or_layout(7) == 7
+        assert df.groupBy("tok", bucket("ts", width).alias("b")).count().agg(F.max("count")).first()[0] <= 60
+        narrow = sorted(map(str, J.asof_backward(df.select("tok", "ts"), df, ["tok"], tie=("blk",), columns=("ts", "px")).collect()))
+        S.use_layout(df.limit(10), ["tok"], "ts")
+        assert narrow == sorted(map(str, J.asof_backward(df.select("tok", "ts"), df, ["tok"], tie=("blk",), columns=("ts", "px")).collect()))
+    finally:
+        S._layout["width"] = before
+
+
 def test_scalars(spark):
     r = spark.range(1).select(signif(F.lit(0.0012345678), 3).alias("a"), signif(F.lit(-98765.4), 2).alias("b"), signif(F.lit(0.0), 2).alias("c"),
                               normal_cdf(F.lit(1.96)).alias("p"), normal_cdf(F.lit(-1.0)).alias("q")).first()

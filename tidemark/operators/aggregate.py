@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import DAY, bucket
-from tidemark.operators.slicing import quantiles_linear, running, upper_median
+from tidemark.operators.slicing import quantiles_linear, running, upper_median, width_or_layout
 
 
 def concentration(df: DataFrame, group: Sequence[str], coin: str, day: str, value: str, hit: float = 50.0) -> DataFrame:
@@ -151,10 +151,10 @@ def outliers(df: DataFrame, group: Sequence[str], value: str, row_id: str, k: in
     return side(F.desc(value), "best").unionByName(side(F.asc(value), "worst"))
 
 
-def overlap_share(df: DataFrame, group: Sequence[str], coin: str, start: str, end: str, row_id: str, slice_width: int = 30 * DAY) -> DataFrame:
+def overlap_share(df: DataFrame, group: Sequence[str], coin: str, start: str, end: str, row_id: str, slice_width: int | None = None) -> DataFrame:
     """AGG-24: share of trades still open when the coin's next entry begins."""
     neg = df.withColumn("_ns", -F.col(start)).withColumn("_ni", -F.col(row_id))
-    nxt = running(neg, [*group, coin], ["_ns", "_ni"], {"_next": ("last", F.col(start))}, bucket("_ns", slice_width), False)
+    nxt = running(neg, [*group, coin], ["_ns", "_ni"], {"_next": ("last", F.col(start))}, bucket("_ns", width_or_layout(slice_width)), False)
     return nxt.groupBy(*group).agg(F.count("*").alias("n"), F.avg(F.coalesce(F.col("_next") < F.col(end), F.lit(False)).cast("int")).alias("overlap"))
 
 

@@ -144,7 +144,7 @@ def guard_with_main_pool(
 
 
 def main_pool_consistency(df: DataFrame, main: str = "main", ratio: float = 2.0, ref_age: int = 3600,
-                          slice_width: int = 5 * DAY) -> DataFrame:
+                          slice_width: int | None = None) -> DataFrame:
     """CLN-3, feed-forward: compare side-pool prints with the main pool's last print. ``main`` names the main pool."""
     ref = df.select("tok", F.col("pool").alias(main), "ts", "blk", "px")
     got = J.asof_backward(df, ref, ["tok", main], "_m", ref_age, left_ts="ts", tie=("blk",), columns=("ts", "px"),
@@ -156,7 +156,7 @@ def main_pool_consistency(df: DataFrame, main: str = "main", ratio: float = 2.0,
 
 
 def mislabelled_pools(rows: DataFrame, prints: DataFrame, row_id: str, liq: str, truth: str, max_age: int,
-                      slice_width: int = 5 * DAY) -> DataFrame:
+                      slice_width: int | None = None) -> DataFrame:
     """CLN-4: per row, whether the liquidity it shows belongs to another pool of the token, against the truth.
 
     Suspect when the labelled pool's last liquidity differs and a sibling pool last showed exactly this value;
@@ -199,7 +199,7 @@ def stream_holes(df: DataFrame, gap: int, width: int = 3600, slice_len: int = 24
     return holes.filter(F.col("to_ts") - F.col("from_ts") >= gap)
 
 
-def truncate_at_holes(pos: DataFrame, holes: DataFrame, entry: str, exit_: str, slice_width: int = 30 * DAY) -> DataFrame:
+def truncate_at_holes(pos: DataFrame, holes: DataFrame, entry: str, exit_: str, slice_width: int | None = None) -> DataFrame:
     """CLN-6: positions that a hole begins inside of get status ``trunc`` and end where the hole begins."""
     h = holes.select(F.lit(0).alias("_k"), F.col("from_ts"))
     got = J.asof_forward(pos.withColumn("_k", F.lit(0)), h, ["_k"], "_h", left_ts=entry, right_ts="from_ts", slice_width=slice_width)

@@ -212,7 +212,7 @@ def cost_source_counts(df: DataFrame, group: Sequence[str], sources: dict[str, s
 
 
 def static_route_medians(tokens: DataFrame, states: DataFrame, step: int, lo: int, hi: int, fee: Column, depth: str, size: float, max_age: int,
-                         slice_width: int = 5 * DAY) -> DataFrame:
+                         slice_width: int | None = None) -> DataFrame:
     """CST-17: per token the median, over moments ``step`` apart, of its cheapest fresh route; the fallback is the median over tokens."""
     spine = tokens.select("tok", F.explode(F.sequence(F.lit(lo), F.lit(hi), F.lit(step))).alias("ts")).withColumn("ts", F.col("ts").cast("long"))
     st = J.state_by_pool_at(spine, states, max_age=max_age, tie=("blk",), slice_width=slice_width)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import DAY, HOUR, bucket, float32
 from tidemark.operators import joins as J
 from tidemark.operators.ranges import first_crossing, range_extreme
-from tidemark.operators.slicing import last_n, ordered_fold, quantiles_linear, running, trailing
+from tidemark.operators.slicing import last_n, ordered_fold, quantiles_linear, running, trailing, width_or_layout
 
 ORDER = ("ts", "blk", "li")
 
@@ -32,14 +32,14 @@ def bucket_ohlcv(df: DataFrame, key: Sequence[str], width: int) -> DataFrame:
 
 
 def pool_lifecycle(df: DataFrame, end: int, liq: str, silent: int = 24 * HOUR, low_share: float = 0.01,
-                   slice_width: int = 5 * DAY) -> DataFrame:
+                   slice_width: int | None = None) -> DataFrame:
     """AGG-2: life record of each pool, with the start of its current low-liquidity run.
 
     A run is low while liquidity is at most ``low_share`` of the running peak; the current run starts after the
     last print that was not low.
     """
     key, pos = ["tok", "pool"], F.struct(*ORDER)
-    peak = running(df, key, ORDER, {"peak_so_far": ("max", F.col(liq))}, bucket("ts", slice_width))
+    peak = running(df, key, ORDER, {"peak_so_far": ("max", F.col(liq))}, bucket("ts", width_or_layout(slice_width)))
     low = F.col(liq) <= F.col("peak_so_far") * low_share
     flagged = peak.withColumn("_low", low)
     life = flagged.groupBy(*key).agg(
@@ -134,7 +134,7 @@ def hot(df: DataFrame, key: Sequence[str], width: int = HOUR, short: int = 6, lo
     return got.select(*key, (F.col("b") + 1).alias("t_bucket"), (F.col("a") / short > F.col("z") / long).cast("int").alias("hot"))
 
 
-def decayed_volume(df: DataFrame, key: Sequence[str], half_life: int = 6 * HOUR, slice_width: int = 5 * DAY,
+def decayed_volume(df: DataFrame, key: Sequence[str], half_life: int = 6 * HOUR, slice_width: int | None = None,
                    name: str = "dvol") -> DataFrame:
     """WIN-1: volume with a half-life, including the current print.
 
@@ -152,20 +152,20 @@ def decayed_volume(df: DataFrame, key: Sequence[str], half_life: int = 6 * HOUR,
     before = F.collect_list(F.struct("_era", "t")).over(w.rangeBetween(-(1100 // ERA + 1), -1))  # a handful of eras
     carry = per_era.select(*part, F.aggregate(before, F.lit(0.0), lambda a, x: a + F.coalesce(x["t"], F.lit(0.0)) * F.pow(
         F.lit(2.0), (x["_era"] - F.col("_era")) * float(ERA))).alias("_c"), F.min("f").over(w.rowsBetween(Window.unboundedPreceding, 0))["blk"].alias("_seen"))
-    out = running(d, part, ORDER, {"_s": ("sum", up)}, bucket("ts", slice_width)).join(carry, part)
+    out = running(d, part, ORDER, {"_s": ("sum", up)}, bucket("ts", width_or_layout(slice_width))).join(carry, part)
     score = F.coalesce("_s", F.lit(0.0)) + F.col("_c")
     return out.withColumn(name, score * F.pow(F.lit(2.0), -(F.col("ts") - start) / half_life)).withColumn(
         f"{name}_log", F.coalesce(F.log2(score), F.lit(-1e9)) + F.col("_era") * float(ERA)).drop("_s", "_c", "_era")
 
 
-def main_pool(df: DataFrame, half_life: int = 6 * HOUR, slice_width: int = 5 * DAY) -> DataFrame:
+def main_pool(df: DataFrame, half_life: int = 6 * HOUR, slice_width: int | None = None) -> DataFrame:
     """WIN-2: the coin's pool with the largest decayed volume before the current print; first seen wins ties.
 
     Decay scales all pools alike, so the running maximum of the undecayed score decides; scores within 1e-9 of each other are ties.
     """
     s = decayed_volume(df, ["tok", "pool"], half_life, slice_width)
     best = F.struct(F.round("dvol_log", 9), (-F.col("_seen")).alias("first"), F.col("pool"))
-    out = running(s, ["tok"], ORDER, {"_m": ("max", best)}, bucket("ts", slice_width), include_current=False)
+    out = running(s, ["tok"], ORDER, {"_m": ("max", best)}, bucket("ts", width_or_layout(slice_width)), include_current=False)
     return out.withColumn("main", F.col("_m.pool")).drop("_m", "_seen", "dvol", "dvol_log")
 
 
@@ -231,7 +231,7 @@ def history_hours(df: DataFrame, key: Sequence[str], min_usd: float = 10.0, hour
 
 
 def recent_prints(df: DataFrame, key: Sequence[str], lookback: int = HOUR, min_usd: float = 10.0,
-                  slice_width: int = 5 * DAY, name: str = "n10") -> DataFrame:
+                  slice_width: int | None = None, name: str = "n10") -> DataFrame:
     """WIN-9: prints of at least ``min_usd`` in (t - lookback, t]."""
     return trailing(df, key, "ts", lookback, {name: F.count(F.when(F.col("usd") >= min_usd, 1))}, slice_width)
 
@@ -284,7 +284,7 @@ def dip_episodes(prints: DataFrame, dips: DataFrame, gap: int = 6 * HOUR, recove
     return got.withColumn("rec_ts", F.col("rec.ts")).drop("_lo", "_hi", "_line", "rec")
 
 
-def recovered_before(signals: DataFrame, episodes: DataFrame, look: int = 7 * DAY, slice_width: int = 5 * DAY,
+def recovered_before(signals: DataFrame, episodes: DataFrame, look: int = 7 * DAY, slice_width: int | None = None,
                      row_id: Sequence[str] = ("blk",)) -> DataFrame:
     """WIN-13, count: episodes that began in [t - look, t) and had recovered by t.
 
@@ -299,13 +299,13 @@ def recovered_before(signals: DataFrame, episodes: DataFrame, look: int = 7 * DA
 
 
 def sell_flags(df: DataFrame, key: Sequence[str], lookback: int = HOUR, last: int = 80, min_usd: float = 10.0,
-               slice_width: int = 5 * DAY) -> DataFrame:
+               slice_width: int | None = None) -> DataFrame:
     """WIN-14: over the last ``last`` prints within the look-back: a large sell, sells, and the ratio of upper medians."""
     from tidemark.operators.slicing import SLICE, with_halo
     w = Window.partitionBy(*key, SLICE).orderBy(*ORDER).rowsBetween(-(last - 1), 0)
     rng = Window.partitionBy(*key, SLICE).orderBy("ts").rangeBetween(-lookback + 1, 0)
     big = F.max(F.when((F.col("side") == "sell") & (F.col("usd") >= min_usd), 1).otherwise(0)).over(rng)
-    wide = with_halo(df, "ts", max(slice_width, lookback), lookback)
+    wide = with_halo(df, "ts", max(width_or_layout(slice_width), lookback), lookback)
     got = wide.select("*", F.collect_list(F.struct("ts", "side", "px")).over(w).alias("_a"), big.alias("sell_big")).filter("_own")
     recent = F.filter("_a", lambda s: s["ts"] > F.col("ts") - lookback)
     got = got.withColumn("_r", recent)
@@ -318,22 +318,22 @@ def sell_flags(df: DataFrame, key: Sequence[str], lookback: int = HOUR, last: in
 
 
 def fee_estimate(df: DataFrame, key: Sequence[str], price: str, amount_token: str, amount_quote: str,
-                 slice_width: int = 5 * DAY) -> DataFrame:
+                 slice_width: int | None = None) -> DataFrame:
     """WIN-15: fee implied by each swap against the geometric mean of its price and the previous one, and the upper
     median of the last five valid estimates."""
-    prev = running(df, key, ORDER, {"_lp": ("last", F.col(price))}, bucket("ts", slice_width), include_current=False)
+    prev = running(df, key, ORDER, {"_lp": ("last", F.col(price))}, bucket("ts", width_or_layout(slice_width)), include_current=False)
     mid = F.sqrt(F.col(price) * F.col("_lp"))
     ratio = F.try_divide(F.col(amount_quote), F.col(amount_token) * mid)
     f = F.when(F.col("side") == "buy", ratio - 1).otherwise(1 - ratio)
     ok = (F.col("_lp") > 0) & (F.col(price) > 0) & (F.col(amount_token) > 0) & (F.col(amount_quote) > 0)
     est = prev.withColumn("fee", F.when(ok & (f > -0.001) & (f < 0.99), F.greatest(f, F.lit(0.0)))).drop("_lp")
-    out = last_n(est, key, ORDER, F.col("fee"), 5, bucket("ts", slice_width), "_fees")
+    out = last_n(est, key, ORDER, F.col("fee"), 5, bucket("ts", width_or_layout(slice_width)), "_fees")
     a = F.sort_array("_fees")
     return out.withColumn("fee_est", F.get(a, F.floor(F.size("_fees") / 2).cast("int"))).drop("_fees")
 
 
 def signal_features(signals: DataFrame, prints: DataFrame, key: Sequence[str], row_id: str, lookback: int = HOUR,
-                    fine: int = HOUR, coarse: int = DAY, slice_width: int = 5 * DAY) -> DataFrame:
+                    fine: int = HOUR, coarse: int = DAY, slice_width: int | None = None) -> DataFrame:
     """WIN-16: earliest and latest print at the maximum of [t - lookback, t], their number, and sells since each."""
     pos = signals.withColumn("_lo", F.col("ts") - lookback).withColumn("_hi", F.col("ts"))
     top = range_extreme(pos, prints, key, [row_id], float32(F.col("px")), "_lo", "_hi", ("ts", "px"), fine=fine,
@@ -373,15 +373,15 @@ def age_at(signals: DataFrame, births: DataFrame, first_seen: DataFrame, ts: str
     return got.withColumn("age", F.greatest(F.col(ts) - F.least("birth_ts", "first_ts"), F.lit(0)))
 
 
-def rank_on_key(df: DataFrame, key: str, name: str, row_id: str = "id", slice_width: int = 5 * DAY) -> DataFrame:
+def rank_on_key(df: DataFrame, key: str, name: str, row_id: str = "id", slice_width: int | None = None) -> DataFrame:
     """WIN-19: position of the row among the rows of its key."""
-    return running(df, [key], ["ts", row_id], {name: ("count", F.col(row_id))}, bucket("ts", slice_width))
+    return running(df, [key], ["ts", row_id], {name: ("count", F.col(row_id))}, bucket("ts", width_or_layout(slice_width)))
 
 
-def follower_lag(df: DataFrame, key: str, edges: Sequence[int], row_id: str = "id", slice_width: int = 5 * DAY) -> DataFrame:
+def follower_lag(df: DataFrame, key: str, edges: Sequence[int], row_id: str = "id", slice_width: int | None = None) -> DataFrame:
     """WIN-20: lag to the key's first call as a band; the first call is ``first``."""
     got = running(df, [key], ["ts", row_id], {"_f": ("first", F.struct("ts", row_id)), "rank": ("count", F.col(row_id))},
-                  bucket("ts", slice_width))
+                  bucket("ts", width_or_layout(slice_width)))
     lag = F.col("ts") - F.col("_f.ts")
     out = F.lit(f">{edges[-1]}")
     for e in reversed(edges):
@@ -390,7 +390,7 @@ def follower_lag(df: DataFrame, key: str, edges: Sequence[int], row_id: str = "i
 
 
 def runup(signals: DataFrame, prints: DataFrame, key: Sequence[str], back: int = HOUR, after: int = 360,
-          slice_width: int = 5 * DAY) -> DataFrame:
+          slice_width: int | None = None) -> DataFrame:
     """WIN-21: move from the last print before t - back (else the first inside the window) to the last before t, and
     the price at the call (else the first within ``after``)."""
     s = signals.withColumn("_t0", F.col("ts") - back)
@@ -405,7 +405,7 @@ def runup(signals: DataFrame, prints: DataFrame, key: Sequence[str], back: int =
 
 
 def race(calls: DataFrame, candles: DataFrame, key: Sequence[str], row_id: str, steps: Sequence[tuple[int, int]],
-         base_px: str, max_age: int, slice_width: int = 5 * DAY) -> DataFrame:
+         base_px: str, max_age: int, slice_width: int | None = None) -> DataFrame:
     """WIN-22: percent path at growing steps, one row per point; (step, until) pairs give the grid.
 
     ``candles`` has a close and the time it became known (``ts``).
@@ -441,7 +441,7 @@ def first_multiple(calls: DataFrame, candles: DataFrame, key: Sequence[str], row
 
 
 def at_call_features(calls: DataFrame, prints: DataFrame, key: Sequence[str], row_id: str, back: int = HOUR,
-                     depth_age: int = DAY, slice_width: int = 5 * DAY) -> DataFrame:
+                     depth_age: int = DAY, slice_width: int | None = None) -> DataFrame:
     """WIN-25: move and volume over the look-back before the call, and the last depth if fresh."""
     s = calls.withColumn("_t0", F.col("ts") - back)
     s = J.prefix_at(s, prints, key, {"_n": ("last", F.struct("ts", "px", "usd")), "_v1": ("sum", F.col("usd"))},

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import DAY, bucket, hash_u32, round_half_up
-from tidemark.operators.slicing import running
+from tidemark.operators.slicing import running, width_or_layout
 
 
 def prefix_at(
@@ -25,7 +25,7 @@ def prefix_at(
     tie: Sequence[str] = (),
     strict: bool = False,
     forward: bool = False,
-    slice_width: int = 5 * DAY,
+    slice_width: int | None = None,
 ) -> DataFrame:
     """For each left row, aggregates over all right rows of its key up to its time (or from it, ``forward``).
 
@@ -45,14 +45,14 @@ def prefix_at(
     both = probes.unionByName(facts, allowMissingColumns=True)
     got = running(
         both, by, ["_t", "_side", *[f"_o{i}" for i in range(len(tie))]],
-        {n: (k, F.col(f"_v_{n}")) for n, (k, _) in aggs.items()}, bucket("_t", slice_width))
+        {n: (k, F.col(f"_v_{n}")) for n, (k, _) in aggs.items()}, bucket("_t", width_or_layout(slice_width)))
     return got.filter(F.col("__left").isNotNull()).select("__left.*", *aggs)
 
 
 def asof_backward(
     left: DataFrame, right: DataFrame, by: Sequence[str], name: str = "r", tol: int | None = None,
     strict: bool = False, left_ts: str = "ts", right_ts: str = "ts", tie: Sequence[str] = (),
-    columns: Sequence[str] | None = None, slice_width: int = 5 * DAY,
+    columns: Sequence[str] | None = None, slice_width: int | None = None,
 ) -> DataFrame:
     """JON-1: struct ``name`` of the last right row at or before (``strict``: before) the left time."""
     return _asof(left, right, by, name, tol, strict, left_ts, right_ts, tie, columns, slice_width, False)
@@ -61,7 +61,7 @@ def asof_backward(
 def asof_forward(
     left: DataFrame, right: DataFrame, by: Sequence[str], name: str = "r", tol: int | None = None,
     strict: bool = False, left_ts: str = "ts", right_ts: str = "ts", tie: Sequence[str] = (),
-    columns: Sequence[str] | None = None, slice_width: int = 5 * DAY,
+    columns: Sequence[str] | None = None, slice_width: int | None = None,
 ) -> DataFrame:
     """JON-2: struct ``name`` of the first right row at or after the left time; null when later than ``tol``."""
     return _asof(left, right, by, name, tol, strict, left_ts, right_ts, tie, columns, slice_width, True)
@@ -81,7 +81,7 @@ def _asof(left, right, by, name, tol, strict, left_ts, right_ts, tie, columns, s
 
 def interp_linear(
     left: DataFrame, series: DataFrame, by: Sequence[str] = (), left_ts: str = "ts", x: str = "ts", y: str = "v",
-    name: str = "interp", outside: str = "clamp", slice_width: int = 5 * DAY, step: int | None = None,
+    name: str = "interp", outside: str = "clamp", slice_width: int | None = None, step: int | None = None,
 ) -> DataFrame:
     """JON-3: linear value between the neighbouring points; outside the series clamp, or extend the end line.
 
@@ -92,7 +92,7 @@ def interp_linear(
         return _interp_global(left, series, left_ts, x, y, name, outside, step or 600)
     keys = list(by)
     pts = series.select(*keys, F.col(x).alias("x"), F.col(y).cast("double").alias("y")).withColumn("nx", -F.col("x"))
-    nxt = running(pts, keys, ["nx"], {"n": ("last", F.struct("x", "y"))}, bucket("nx", slice_width), False)
+    nxt = running(pts, keys, ["nx"], {"n": ("last", F.struct("x", "y"))}, bucket("nx", width_or_layout(slice_width)), False)
     point = "struct<x:bigint,y:double>"
     head = pts.groupBy(*keys).agg(F.min_by(F.struct("x", "y"), "x").alias("n")).select(
         *keys, F.lit(-(2 ** 40)).alias("x"), F.lit(None).cast("double").alias("y"), F.col("n").cast(point).alias("n"))
@@ -154,7 +154,7 @@ def block_time(left: DataFrame, anchors: DataFrame, blk: str = "blk", name: str
 def asof_multires(
     left: DataFrame, prints: DataFrame, by: Sequence[str], at: str, now: str,
     rings: Sequence[tuple[int, int]] = ((60, 60), (600, 150), (3600, 52)), order: Sequence[str] = ("ts", "blk", "li"),
-    px: str = "px", name: str = "px_at", slice_width: int = 5 * DAY,
+    px: str = "px", name: str = "px_at", slice_width: int | None = None,
 ) -> DataFrame:
     """JON-4: close of the last strictly earlier bucket, finest ring first; a ring reaches ``n`` buckets back of now.
 
@@ -191,7 +191,7 @@ def range_join(
 
 def range_sums(
     left: DataFrame, right: DataFrame, by: Sequence[str], lo: Column, hi: Column,
-    aggs: dict[str, tuple[str, Column]], row_id: Sequence[str], right_ts: str = "ts", slice_width: int = 5 * DAY,
+    aggs: dict[str, tuple[str, Column]], row_id: Sequence[str], right_ts: str = "ts", slice_width: int | None = None,
 ) -> DataFrame:
     """Counts and sums of the right rows in [lo, hi] per left row: prefix at hi minus prefix before lo, no pairs."""
     names = list(aggs)
@@ -208,7 +208,7 @@ def range_sums(
 def state_by_pool_at(
     left: DataFrame, prints: DataFrame, tok: str = "tok", pool: str = "pool", left_ts: str = "ts",
     max_age: int = 1800, tie: Sequence[str] = ("blk", "li"), columns: Sequence[str] = ("ts", "px", "usd"),
-    strict: bool = False, slice_width: int = 5 * DAY,
+    strict: bool = False, slice_width: int | None = None,
 ) -> DataFrame:
     """JON-7: one row per (left row, pool of its token) with the pool's last state, if fresh enough."""
     pools = prints.select(tok, pool).distinct()
@@ -252,7 +252,7 @@ def best_route(left, direct: DataFrame, via: DataFrame, row_id: Sequence[str], r
 
 def distinct_others_within(
     df: DataFrame, by: str, who: str, row_id: str, w: int, ts: str = "ts", name: str = "others",
-    slice_width: int = 5 * DAY,
+    slice_width: int | None = None,
 ) -> DataFrame:
     """JON-13: distinct other ``who`` of the same key within +-w of each row, by a sweep instead of a self-join.
 
@@ -260,8 +260,8 @@ def distinct_others_within(
     cover the row, less its own.
     """
     base = df.select(row_id, by, who, F.col(ts).alias("t"), (-F.col(ts)).alias("nt"), (-F.col(row_id)).alias("nid"))
-    prev = running(base, [by, who], ["t", row_id], {"p": ("last", F.col("t"))}, bucket("t", slice_width), False)
-    both = running(prev, [by, who], ["nt", "nid"], {"n": ("last", F.col("t"))}, bucket("nt", slice_width), False)
+    prev = running(base, [by, who], ["t", row_id], {"p": ("last", F.col("t"))}, bucket("t", width_or_layout(slice_width)), False)
+    both = running(prev, [by, who], ["nt", "nid"], {"n": ("last", F.col("t"))}, bucket("nt", width_or_layout(slice_width)), False)
     opens = both.filter(F.col("p").isNull() | (F.col("t") - F.col("p") > 2 * w)).select(
         by, (F.col("t") - w).alias("at"), F.lit(1).alias("d"))
     closes = both.filter(F.col("n").isNull() | (F.col("n") - F.col("t") > 2 * w)).select(
@@ -273,7 +273,7 @@ def distinct_others_within(
 
 
 def prior_events(
-    df: DataFrame, by: str, who: str, row_id: str, ts: str = "ts", slice_width: int = 5 * DAY,
+    df: DataFrame, by: str, who: str, row_id: str, ts: str = "ts", slice_width: int | None = None,
 ) -> DataFrame:
     """JON-14: strictly earlier rows of the key, and distinct other ``who`` among them."""
     first = df.groupBy(by, who).agg(F.min(ts).alias("_first"))
@@ -341,7 +341,7 @@ def audit_join(trades: DataFrame, flags: DataFrame, keys: Sequence[str], flag: s
 
 
 def interval_flag(df: DataFrame, intervals: DataFrame, by: Sequence[str], name: str = "flag", ts: str = "ts",
-                  lo: str = "s", hi: str = "e", slice_width: int = 5 * DAY) -> DataFrame:
+                  lo: str = "s", hi: str = "e", slice_width: int | None = None) -> DataFrame:
     """PRJ-11: whether some interval of the key has lo <= ts < hi: the furthest end among those begun is past ts."""
     got = prefix_at(df, intervals, by, {"_e": ("max", F.col(hi))}, ts, lo, slice_width=slice_width)
     return got.withColumn(name, F.coalesce(F.col("_e") > F.col(ts), F.lit(False))).drop("_e")
@@ -356,7 +356,7 @@ def twin_pairs(trades: DataFrame, twins: DataFrame, pair: str, role: str, value:
 
 
 def closed_before(events: DataFrame, outcomes: DataFrame, by: str, closed: str, value: str, ts: str = "ts",
-                  slice_width: int = 5 * DAY) -> DataFrame:
+                  slice_width: int | None = None) -> DataFrame:
     """JON-15: per event, count, sum, best and log-sum of the key's outcomes closed at or before it."""
     v = F.col(value)
     return prefix_at(events, outcomes, [by], {

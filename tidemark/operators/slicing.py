@@ -49,6 +49,26 @@ def pick_slice_width(df: DataFrame, key: Sequence[str], ts: str, max_rows: int =
     return width
 
 
+_measured: dict[int, int] = {}
+_layout = {"width": LADDER[1]}
+
+
+def use_layout(df: DataFrame, key: Sequence[str], ts: str, max_rows: int = 2_000_000) -> int:
+    """Measure a tape once and make its slice width that of all operators that are not given one.
+
+    The same tape (by its plan) is measured once a session. Results never depend on the width, only the size of the largest task does.
+    """
+    plan = df.semanticHash()
+    if plan not in _measured:
+        _measured[plan] = pick_slice_width(df, key, ts, max_rows)
+    _layout["width"] = _measured[plan]
+    return _layout["width"]
+
+
+def width_or_layout(width: int | None) -> int:
+    return width or _layout["width"]
+
+
 def _local(kind: str, x: Column) -> Column:
     return {
         "sum": lambda: F.sum(x), "count": lambda: F.count(x), "max": lambda: F.max(x), "min": lambda: F.min(x),
@@ -131,7 +151,7 @@ def trailing(
     include_now: bool = True,
 ) -> DataFrame:
     """Aggregates over the trailing time range of each row: (t - lookback, t], or [.. when not ``lo_open``."""
-    width = max(slice_width, lookback)
+    width = max(width_or_layout(slice_width), lookback)
     w = Window.partitionBy(*key, SLICE).orderBy(ts).rangeBetween(
         -lookback + (1 if lo_open else 0), 0 if include_now else -1)
     wide = with_halo(df, ts, width, lookback)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import DAY, bucket, hash_u32, hash_unit, normal_sf, poisson1
-from tidemark.operators.slicing import quantiles_linear, running
+from tidemark.operators.slicing import quantiles_linear, running, width_or_layout
 
 
 def mean_se(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:
@@ -60,10 +60,10 @@ def block_bootstrap(df: DataFrame, group: Sequence[str], x: str, unit: str, b: i
 
 
 def moving_block_se(df: DataFrame, group: Sequence[str], x: str, order: Sequence[str], b: int, seed: str = "mb",
-                    slice_width: int = 30 * DAY) -> DataFrame:
+                    slice_width: int | None = None) -> DataFrame:
     """STA-4: non-circular blocks of ceil(sqrt(n)) trades in time order; block sums are prefix-sum differences."""
     g = list(group)
-    p = running(df, g, order, {"i": ("count", F.col(x)), "pre": ("sum", F.col(x))}, bucket(order[0], slice_width)).select(*g, "i", "pre")
+    p = running(df, g, order, {"i": ("count", F.col(x)), "pre": ("sum", F.col(x))}, bucket(order[0], width_or_layout(slice_width))).select(*g, "i", "pre")
     n = df.groupBy(*g).agg(F.count(x).alias("n"))
     size = F.ceil(F.sqrt(F.col("n"))).cast("long")
     d = n.withColumn("L", size).withColumn("nb", F.ceil(F.col("n") / F.col("L"))).withColumn(

@@ -16,7 +16,7 @@ from tidemark.functions.scalar import DAY, HOUR, bucket, hash_u32
 from tidemark.operators import joins as J
 from tidemark.operators.features import thin
 from tidemark.operators.ranges import first_crossing, last_below, range_extreme
-from tidemark.operators.slicing import SLICE, ordered_fold, running, with_halo
+from tidemark.operators.slicing import SLICE, ordered_fold, running, with_halo, width_or_layout
 from tidemark.session import cut_lineage
 
 ORDER = ("ts", "blk", "li")
@@ -65,18 +65,18 @@ def priceable(min_usd: float) -> Column:
     return (F.col("kind") == "v4") | (F.col("usd") >= min_usd)
 
 
-def with_next_priceable(prints: DataFrame, by: Sequence[str], min_usd: float = 10.0, slice_width: int = 5 * DAY) -> DataFrame:
+def with_next_priceable(prints: DataFrame, by: Sequence[str], min_usd: float = 10.0, slice_width: int | None = None) -> DataFrame:
     """Adds ``nx``, the next print of the pool that can be priced. Between a time and the next print nothing changes, so
     "the last print at t" and "the first priceable print after t" come from one as-of on such prints."""
     cols = [c for c in ("ts", "blk", "px", "usd", "kind", "depth1_eth") if c in prints.columns]
     neg = prints.select("*", *[(-F.col(c)).alias(f"_n{c}") for c in ORDER])
     nx = F.when(priceable(min_usd), F.struct(*cols))
-    return running(neg, by, [f"_n{c}" for c in ORDER], {"nx": ("last", nx)}, bucket("_nts", slice_width), False).drop(
+    return running(neg, by, [f"_n{c}" for c in ORDER], {"nx": ("last", nx)}, bucket("_nts", width_or_layout(slice_width)), False).drop(
         *[f"_n{c}" for c in ORDER])
 
 
 def entry_last_state(cands: DataFrame, prints: DataFrame, by: Sequence[str], lat: int = 60, wait: int = HOUR,
-                     min_usd: float = 10.0, depth_floor: float = 0.001, slice_width: int = 5 * DAY) -> DataFrame:
+                     min_usd: float = 10.0, depth_floor: float = 0.001, slice_width: int | None = None) -> DataFrame:
     """TRD-5: enter at the pool's last state at sig + lat; if that cannot be priced, at the next print within ``wait`` that can.
 
     ``prints`` carries kind, usd, px and depth1_eth, and ``nx`` if it was prepared. Status: ok, nofill, skipDepth.
@@ -100,7 +100,7 @@ def entry_last_state(cands: DataFrame, prints: DataFrame, by: Sequence[str], lat
 
 
 def entry_first_print(cands: DataFrame, prints: DataFrame, row_id: Sequence[str], delay: str, tol: int = 300,
-                      cost: Column | None = None, fresh: int = 1800, slice_width: int = 5 * DAY) -> DataFrame:
+                      cost: Column | None = None, fresh: int = 1800, slice_width: int | None = None) -> DataFrame:
     """TRD-6: first print of the coin at or after call + delay within ``tol``; bought on the cheapest fresh pool then."""
     c = cands.withColumn("_at", F.col("ts") + F.col(delay))
     got = J.asof_forward(c, prints, ["tok"], "_f", tol, left_ts="_at", tie=("blk",), columns=("ts", "px", "pool"), slice_width=slice_width)
@@ -113,7 +113,7 @@ def entry_first_print(cands: DataFrame, prints: DataFrame, row_id: Sequence[str]
 
 
 def other_extreme(prints: DataFrame, by: Sequence[str], tx: str, lookback: int, high: bool, name: str,
-                  slice_width: int = DAY) -> DataFrame:
+                  slice_width: int | None = None) -> DataFrame:
     """Extreme price of the other transactions in (t - lookback, t], as a property of the print.
 
     Prints of one transaction share their second, so earlier seconds are other transactions; within the second the
@@ -122,7 +122,7 @@ def other_extreme(prints: DataFrame, by: Sequence[str], tx: str, lookback: int,
     pick = F.max if high else F.min
     far = Window.partitionBy(*by, SLICE).orderBy("ts").rangeBetween(-lookback + 1, -1)
     sec = Window.partitionBy(*by, SLICE, "ts")
-    wide = with_halo(prints, "ts", max(slice_width, lookback), lookback)
+    wide = with_halo(prints, "ts", max(width_or_layout(slice_width), lookback), lookback)
     one = wide.withColumn("_f", pick("px").over(far)).withColumn("_b", pick(F.struct("px", tx)).over(sec))
     two = one.withColumn("_r", pick(F.when(F.col(tx) != F.col(f"_b.{tx}"), F.col("px"))).over(sec))
     near = F.when(F.col(tx) == F.col(f"_b.{tx}"), F.col("_r")).otherwise(F.col("_b.px"))
@@ -132,7 +132,7 @@ def other_extreme(prints: DataFrame, by: Sequence[str], tx: str, lookback: int,
 
 def exit_first_hit(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id: Sequence[str], data_end: int,
                    tp_lat: int = 60, wait: int = DAY, min_usd: float = 10.0, drain: float = 0.05, fine: int = HOUR,
-                   coarse: int | None = DAY, slice_width: int = 5 * DAY) -> DataFrame:
+                   coarse: int | None = DAY, slice_width: int | None = None) -> DataFrame:
     """TRD-7: earliest of drain, target and deadline, searched on the entry pool only.
 
     ``pos``: entry_ts, entry_px, deadline, tp_line. ``prints``: px, usd, kind, ``low_other`` (lowest price of other
@@ -216,7 +216,7 @@ def cluster_fixed_origin(events: DataFrame, key: Sequence[str], ts: str = "ts",
 
 
 def marks(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id: str, holds: Sequence[int], tp: float, end: int,
-          rug: float = 0.05, hi: float = 20.0, sale: int = 60, fine: int = HOUR, coarse: int = DAY, slice_width: int = 5 * DAY) -> DataFrame:
+          rug: float = 0.05, hi: float = 20.0, sale: int = 60, fine: int = HOUR, coarse: int = DAY, slice_width: int | None = None) -> DataFrame:
     """TRD-10: one row per hold with the booked mark and how it came about (rug, tp, hold, noprint, oow).
 
     ``pos``: ets, epx. ``prints``: ``ok_hi`` says that a price far above any entry is believable; other prints above
@@ -338,7 +338,7 @@ def clip_shadows(pos: DataFrame, clips: Sequence[float], depth: str, s1: float =
         "ret_clip", 100 * ((1 + F.col("ret") / 100) / ((1 + u) * (1 + u)) - 1))
 
 
-def latency_probes(pos: DataFrame, prints: DataFrame, by: Sequence[str], tags: dict[str, int], slice_width: int = 5 * DAY) -> DataFrame:
+def latency_probes(pos: DataFrame, prints: DataFrame, by: Sequence[str], tags: dict[str, int], slice_width: int | None = None) -> DataFrame:
     """TRD-18: state of the pool at the signal plus each measured latency."""
     arr = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(s).alias("lat")) for t, s in tags.items()])
     p = pos.withColumn("_t", F.explode(arr)).withColumn("tag", F.col("_t.tag")).withColumn("at", F.col("ts") + F.col("_t.lat")).drop("_t")
@@ -356,7 +356,7 @@ def unsellable(df: DataFrame, ret: str = "ret") -> DataFrame:
     return df.withColumn("ret_a", lose(a)).withColumn("ret_b", lose(b)).withColumn("ret_c", lose(a & b))
 
 
-def peak_concurrency(pos: DataFrame, cell: Sequence[str], start: str, end: str, slice_width: int = 30 * DAY) -> DataFrame:
+def peak_concurrency(pos: DataFrame, cell: Sequence[str], start: str, end: str, slice_width: int | None = None) -> DataFrame:
     """TRD-21: largest number of positions open at once; one that ends when another starts does not overlap it.
 
     Open counts only change at event times, so +1 / -1 are summed per time first.
@@ -364,7 +364,7 @@ def peak_concurrency(pos: DataFrame, cell: Sequence[str], start: str, end: str,
     ev = pos.select(*cell, F.explode(F.array(
         F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("e")).groupBy(
         *cell, F.col("e.t").alias("t")).agg(F.sum("e.d").alias("d"))
-    run = running(ev, cell, ["t"], {"open": ("sum", F.col("d"))}, bucket("t", slice_width))
+    run = running(ev, cell, ["t"], {"open": ("sum", F.col("d"))}, bucket("t", width_or_layout(slice_width)))
     return run.groupBy(*cell).agg(F.max("open").alias("peak_open"))
 
 

@@ -147,8 +147,8 @@ def _(spark, sf):
 f AS (SELECT blk, ts, lag(px) OVER (PARTITION BY tok, pool ORDER BY blk) AS p FROM tape), c AS (SELECT blk, lag(px) OVER (PARTITION BY tok, pool ORDER BY blk) AS p FROM tape WHERE ts >= {T0 + 15 * D})""") + f"""
 SELECT CASE WHEN f.p IS DISTINCT FROM c.p THEN 'differ' ELSE 'same' END AS status, count(*) AS n, count(*) FILTER (c.p IS NULL) AS null_only FROM f JOIN c USING (blk) WHERE f.ts >= {T0 + 15 * D} GROUP BY 1""")
 def _(spark, sf):
-    from tidemark.operators.slicing import running
-    op = lambda d: running(d, ["tok", "pool"], ["ts", "blk", "li"], {"p": ("last", F.col("px"))}, bucket("ts", 5 * D), False)
+    from tidemark.operators.slicing import running, width_or_layout
+    op = lambda d: running(d, ["tok", "pool"], ["ts", "blk", "li"], {"p": ("last", F.col("px"))}, bucket("ts", width_or_layout(None)), False)
     d = C.warmup_diff(op, tape(spark, sf), T0 + 15 * D, "ts", ["blk"], ["p"])
     return d.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("_b.p").isNull()).alias("null_only"))
 

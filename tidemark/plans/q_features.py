@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import DAY, bucket
 from tidemark.operators import features as W
 from tidemark.operators import joins as J
-from tidemark.operators.slicing import quantiles_linear, rank_select, upper_median
+from tidemark.operators.slicing import quantiles_linear, rank_select, upper_median, width_or_layout
 from tidemark.plans.registry import query
 from tidemark.plans.standins import CALLS, TAPE, calls, ctes, table, tape
 
@@ -250,7 +250,7 @@ def _episodes(spark, sf):
     t = tape(spark, sf)
     from tidemark.functions.scalar import float32
     from tidemark.operators.slicing import running
-    hi = running(t, ["tok"], W.ORDER, {"hi": ("max", float32(F.col("px")))}, bucket("ts", 5 * D))
+    hi = running(t, ["tok"], W.ORDER, {"hi": ("max", float32(F.col("px")))}, bucket("ts", width_or_layout(None)))
     dips = hi.filter(W.dip(F.col("px"), F.col("hi")) >= 0.3).drop("hi")
     return t, W.dip_episodes(t, dips, 2 * D, 1.2, 6 * D, FINE, COARSE)
 

@@ -255,7 +255,7 @@ mb AS (SELECT cell, stddev_samp(m) AS se FROM mm GROUP BY cell)"""
 
 @query("sta_04_moving_block_se", ctes(TRADES, T2, MB) + "SELECT cell, round(se, 6) AS se_block FROM mb")
 def _(spark, sf):
-    return rnd(S.moving_block_se(t2(spark, sf), ["cell"], "ret", ["ts", "pair"], B, slice_width=30 * D), 6, "se_block")
+    return rnd(S.moving_block_se(t2(spark, sf), ["cell"], "ret", ["ts", "pair"], B), 6, "se_block")
 
 
 def _pois(expr: str) -> str:
@@ -306,7 +306,7 @@ def _(spark, sf):
     g = ["cell"]
     parts = (S.mean_se(d, g, "ret").join(S.cluster_se(d, g, "ret", "caller", "se_caller"), g).join(S.cluster_se(d, g, "ret", "tok", "se_coin"), g)
              .join(S.cluster_se(d, g, "ret", "mon", "se_day"), g).join(S.pigeonhole_se(d, g, "ret", "tok", "mon", 60), g)
-             .join(S.moving_block_se(d, g, "ret", ["ts", "pair"], B, slice_width=30 * D), g))
+             .join(S.moving_block_se(d, g, "ret", ["ts", "pair"], B), g))
     return rnd(S.widest_error(parts), 6, "mean", "se", "ci_lo", "ci_hi").select("cell", "n", "mean", "se", "se_winner", "ci_lo", "ci_hi")
 
 

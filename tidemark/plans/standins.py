@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import epoch_s
+from tidemark.operators.slicing import use_layout
 from tidemark.session import use_utc
 
 SPLIT = 883612800  # 1998-01-01, first second of the second half
@@ -21,13 +22,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def tape(spark: SparkSession, sf: str) -> DataFrame:
+    """The prints; operators that are not told a slice width take the one measured on them, once a session."""
     e = table(spark, sf, "events")
-    return e.select(
+    out = e.select(
         epoch_s("ts").alias("ts"), F.col("event_id").alias("blk"), F.lit(0).alias("li"),
         F.col("user_id").alias("tok"), F.col("event_type").alias("pool"), F.col("value").alias("px"),
         F.get_json_object("props", "$.k").cast("double").alias("usd"),
         F.when(F.col("event_type").isin("error", "view"), "sell").otherwise("buy").alias("side"),
     )
+    use_layout(out, ["tok"], "ts")
+    return out
 
 
 TAPE = """tape AS (
