@@ -219,12 +219,12 @@ def train_on(net: GRU, docs: list[np.ndarray], end: int, rate: float = RATE, win
     h = np.zeros((ids.shape[1], net.p["wh"].shape[0]), np.float32)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
-    step = 0
+    step, active = 0, np.arange(ids.shape[1])
     for lo in range(0, len(ids), window):
         s = slice(lo, lo + window)
-        if not live[s].any():
-            break
-        _, g, h = net.gradients(ids[s], target[s], live[s], reset[s], h)
+        some = live[s, active].any(axis=0)  # slots that have run out leave the window; they have no gradient
+        active, h = active[some], h[some]
+        _, g, h = net.gradients(ids[s, active], target[s, active], live[s, active], reset[s, active], h)
         step += 1
         norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         scale = min(1.0, 5.0 / (norm + 1e-9))
