@@ -4,7 +4,7 @@ Token counts over all training documents give the base: a smoothed unigram model
 own state and predicts the next token in two steps, its class and its place in the class (words of like frequency share a class). Its
 vocabulary is the most frequent ``vocabulary`` tokens and one entry for all others; another token's probability is that entry's times the
 token's smoothed share among those others, so every text has a probability. Training is truncated backpropagation through windows of
-``WINDOW`` steps: each partition trains from the common weights on its share of the training documents (every ``every``-th by hash), the
+``WINDOW`` steps: each partition trains from the common weights on its share of the training documents (all of them by default), the
 weights are averaged by tokens seen, and this is done ``rounds`` times. In scoring the state is carried from window to window to the end
 of the document, so whole texts of any length are scored.
 
@@ -40,7 +40,7 @@ WINDOW = 24
 SLOTS = 128
 SCORE_SLOTS = 512
 SCORE_WINDOW = 64
-EVERY = 8
+EVERY = 1
 ROUNDS = 2
 RATE = 0.01
 CHUNK = 1 << 13
