@@ -23,8 +23,8 @@ COLUMNS = {
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
-    assert all(n in SQL for n in ("op2_quality_rules", "op8_licenses", "op9_tool_calls"))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+    assert all(n in SQL for n in ("op2_quality_rules", "op8_licenses", "op9_tool_calls", "op11_exact_copies"))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
