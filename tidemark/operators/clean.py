@@ -103,7 +103,7 @@ def bad_print_guard(
         flags = np.array(flags)
         flags[flags] = g.flags(rows["px"].to_numpy(dtype=float)[flags])
         return {"guard": g.state(), "quote": first}, {"accepted": flags.tolist()}
-    return ordered_fold(df, key, order, kernel, [("accepted", "boolean")], **fold)
+    return ordered_fold(df, key, order, kernel, [("accepted", "boolean")], reads=["px", "usd", *([quote] if quote else [])], **fold)
 
 
 def bad_print_guard_absorbing(df: DataFrame, key: Sequence[str], **kw) -> DataFrame:

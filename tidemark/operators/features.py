@@ -265,12 +265,12 @@ def thin(df: DataFrame, key: Sequence[str], order: Sequence[str], ts: str, gap:
         last = state["t"] if state else None
         flags = []
         for t in rows[ts].tolist():
-            ok = last is None or t >= last + gap
+            ok = t is not None and (last is None or t >= last + gap)
             if ok:
                 last = int(t)
             flags.append(ok)
         return {"t": last}, {name: flags}
-    return ordered_fold(df, key, order, kernel, [(name, "boolean")], **kw)
+    return ordered_fold(df, key, order, kernel, [(name, "boolean")], reads=[ts], **kw)
 
 
 def dip_episodes(prints: DataFrame, dips: DataFrame, gap: int = 6 * HOUR, recover: float = 1.2, within: int = DAY,

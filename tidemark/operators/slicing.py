@@ -20,6 +20,7 @@ import json
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,6 +164,7 @@ def trailing(
 # sequential rules
 
 Kernel = Callable[[dict | None, pd.DataFrame], tuple[dict, dict[str, list]]]
+ARROW = {"boolean": pa.bool_(), "string": pa.string(), "double": pa.float64(), "long": pa.int64(), "int": pa.int32()}
 
 
 def ordered_fold(
@@ -174,21 +176,24 @@ def ordered_fold(
     partitions: int | None = None,
     rows_per_partition: int = 2_000_000,
     cut: bool = False,
+    reads: Sequence[str] | None = None,
 ) -> DataFrame:
     """Fold each key's rows in order with a small carried state, for keys of any size.
 
     ``kernel(state, rows)`` gets the state left by the rows before (None at the start of a key) and a block of
     consecutive rows of one key; it returns the new state (a small JSON-able dict) and the output columns.
-    Blocks are cut at Arrow batch boundaries, so no key is ever held whole.
+    Blocks are cut at Arrow batch boundaries, so no key is ever held whole. Only the columns in ``reads`` (all by default) are turned
+    into pandas, integers beside nulls as Python integers; every column of ``df`` itself is carried as it is, in Arrow.
 
     The rows are range-partitioned by (key, order) and written to the checkpoint folder, so a key larger than a
-    partition runs over several. Only keys that cross a partition boundary need a start state: their part in the
-    partition before is folded first, from a guess, and folded again where the guess was wrong, until every start
+    partition runs over several. Only keys that cross a partition boundary need a start state: one pass folds the last key of
+    every partition from a guess, and partitions whose guess was wrong are folded again, until every start
     state equals the end state before it. The driver sees one (first key, last key, state) row per partition.
     ``cut`` writes the input first; use it when the input is costly, as it is read three times (count, range
     sample, shuffle).
     """
-    key, order = list(key), list(order)
+    key, order, names = list(key), list(order), df.columns
+    need = list(reads) if reads is not None else names
     if cut:
         df = cut_lineage(df)
     spark = df.sparkSession
@@ -198,72 +203,84 @@ def ordered_fold(
         df.repartitionByRange(partitions, *key, *order).sortWithinPartitions(*key, *order)
         .withColumn("_pid", F.spark_partition_id()))
 
-    def fold(pdf: pd.DataFrame, starts: dict[int, str], carry: list):
-        """Run the kernel over the key blocks of one batch; ``carry`` holds [key, state] between batches."""
-        keys = list(zip(*[pdf[c].tolist() for c in key]))
-        cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
-        pid = int(pdf["_pid"].iloc[0])
-        for a, b in zip(cuts, cuts[1:]):
-            if not carry:
-                carry[:] = [keys[a], json.loads(starts[pid]) if pid in starts else None]
-            elif carry[0] != keys[a]:
-                carry[:] = [keys[a], None]
-            carry[1], out = kernel(carry[1], pdf.iloc[a:b])
-            yield out
-
-    # first and last key of every partition: one row each
-    k = F.struct(*key)
-    spans = rows.groupBy("_pid").agg(F.min(k).alias("a"), F.max(k).alias("z")).orderBy("_pid").collect()
-    crossing = [(p, q) for p, q in zip(spans, spans[1:]) if p["z"] == q["a"]]
+    def blocks(batch: pa.RecordBatch) -> tuple[int, list[tuple], list[int]]:
+        """Partition, key of every row, and the cuts between keys."""
+        keys = list(zip(*[batch.column(names.index(c)).to_pylist() for c in key], strict=True))
+        return batch.column(len(names))[0].as_py(), keys, [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+
+    def frame(batch: pa.RecordBatch) -> pd.DataFrame:
+        return pa.Table.from_batches([batch]).select(need).to_pandas(integer_object_nulls=True)
+
+    def enter(carry: list, at: tuple, pid: int, starts: dict[int, str]) -> None:
+        """``carry`` holds [key, state] between batches; a partition's first key may go on from the partition before."""
+        if not carry:
+            carry[:] = [at, json.loads(starts[pid]) if pid in starts else None]
+        elif carry[0] != at:
+            carry[:] = [at, None]
+
+    def ends(starts: dict[int, str]):
+        """First and last key of a partition and the state after its last key; keys that end inside a batch are passed over."""
+        def run(batches):
+            carry, first, pid, kinds = [], None, None, None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                pid, keys, cuts = blocks(batch)
+                if first is None:
+                    first, kinds = keys[0], [batch.schema.field(names.index(c)).type for c in key]
+                if len(cuts) > 2 and not carry:
+                    carry[:] = [keys[0], None]  # no longer the first key
+                enter(carry, keys[-1], pid, starts)
+                carry[1], _ = kernel(carry[1], frame(batch.slice(cuts[-2])))
+            if first is not None:
+                ids = [pa.array([v], t) for side in (first, carry[0]) for v, t in zip(side, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), *ids, pa.array([json.dumps(carry[1])])],
+                                                 ["_pid", *[f"{s}{i}" for s in "az" for i in range(len(key))], "end"])
+        return run
+
+    def measure(pids: list[int] | None):
+        part = rows if pids is None else rows.filter(F.col("_pid").isin(pids))
+        kinds = [T.StructField(f"{s}{i}", df.schema[c].dataType) for s in "az" for i, c in enumerate(key)]
+        schema = T.StructType([T.StructField("_pid", T.IntegerType()), *kinds, T.StructField("end", T.StringType())])
+        return sorted(part.mapInArrow(ends(dict(starts)), schema).collect(), key=lambda r: r["_pid"])
+
     starts: dict[int, str] = {}
-    if crossing:
-        key_schema = T.StructType([T.StructField("_pid", T.IntegerType()), *[df.schema[c] for c in key]])
-        tails = spark.createDataFrame([(p["_pid"], *p["z"]) for p, _ in crossing], key_schema)
-        # at most one key per partition, so the broadcast is bounded by the partition count
-        tail_rows = rows.join(F.broadcast(tails), ["_pid", *key], "left_semi")
-
-        def ends(starts):
-            def run(batches):
-                carry, pid = [], None
-                for pdf in batches:
-                    if len(pdf):
-                        pid = int(pdf["_pid"].iloc[0])
-                        for _ in fold(pdf, starts, carry):
-                            pass
-                if pid is not None:
-                    yield pd.DataFrame({"_pid": [pid], "end": [json.dumps(carry[1])]})
-            return run
-
-        def measure(pids):
-            got = tail_rows.filter(F.col("_pid").isin(pids)).mapInPandas(ends(dict(starts)), "_pid int, end string")
-            return {r["_pid"]: r["end"] for r in got.collect()}
-
-        end_of = measure([p["_pid"] for p, _ in crossing])
-        while True:
-            stale = [q["_pid"] for p, q in crossing if starts.get(q["_pid"]) != end_of[p["_pid"]]]
-            if not stale:
-                break
-            starts.update({q["_pid"]: end_of[p["_pid"]] for p, q in crossing})
-            # a new start only changes the end of a partition that the key fills entirely
-            redo = [p["_pid"] for p, _ in crossing if p["_pid"] in stale and p["a"] == p["z"]]
-            if redo:
-                end_of.update(measure(redo))
+    n = len(key)
+    spans = measure(None)
+    first, last = {r["_pid"]: tuple(r)[1:1 + n] for r in spans}, {r["_pid"]: tuple(r)[1 + n:1 + 2 * n] for r in spans}
+    order_of = [r["_pid"] for r in spans]
+    crossing = [(p, q) for p, q in zip(order_of, order_of[1:]) if last[p] == first[q]]
+    end_of = {r["_pid"]: r["end"] for r in spans}
+    while True:
+        stale = [q for p, q in crossing if starts.get(q) != end_of[p]]
+        if not stale:
+            break
+        starts.update({q: end_of[p] for p, q in crossing})
+        # a new start only changes the end of a partition that the key fills entirely
+        redo = [p for p, _ in crossing if p in stale and first[p] == last[p]]
+        if redo:
+            end_of.update({r["_pid"]: r["end"] for r in measure(redo)})
 
     out_schema = T.StructType(list(df.schema.fields) + [
         T.StructField(n, T._parse_datatype_string(t)) for n, t in out_fields])
-    names = df.columns
 
     def emit(batches):
         carry: list = []
-        for pdf in batches:
-            if len(pdf):
-                parts: dict[str, list] = {n: [] for n, _ in out_fields}
-                for out in fold(pdf, starts, carry):
-                    for n in parts:
-                        parts[n].extend(out[n])
-                yield pdf[names].assign(**parts)
-
-    return rows.mapInPandas(emit, out_schema)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pid, keys, cuts = blocks(batch)
+            pdf = frame(batch)
+            parts: dict[str, list] = {name: [] for name, _ in out_fields}
+            for a, b in zip(cuts, cuts[1:]):
+                enter(carry, keys[a], pid, starts)
+                carry[1], out = kernel(carry[1], pdf.iloc[a:b])
+                for name in parts:
+                    parts[name].extend(out[name])
+            added = [pa.array(parts[name], ARROW[kind]) for name, kind in out_fields]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(names)], *added], [*names, *parts])
+
+    return rows.mapInArrow(emit, out_schema)
 
 
 # ---------------------------------------------------------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import DAY, HOUR, bucket, hash_u32
 from tidemark.operators import joins as J
 from tidemark.operators.features import thin
+from tidemark.operators.ladder import Ladder, with_ranks
 from tidemark.operators.ranges import first_crossing, last_below, range_extreme
 from tidemark.operators.slicing import SLICE, ordered_fold, running, with_halo, width_or_layout
 from tidemark.session import cut_lineage
@@ -66,36 +67,38 @@ def priceable(min_usd: float) -> Column:
 
 
 def with_next_priceable(prints: DataFrame, by: Sequence[str], min_usd: float = 10.0, slice_width: int | None = None) -> DataFrame:
-    """Adds ``nx``, the next print of the pool that can be priced. Between a time and the next print nothing changes, so
-    "the last print at t" and "the first priceable print after t" come from one as-of on such prints."""
+    """Adds ``nx``, the next print of the pool that can be priced, and ``rk``, the print's rank from the end of its pool.
+
+    Between a time and the next print nothing changes, so "the last print at t" and "the first priceable print after t" come from one
+    as-of on such prints. One pass from the end gives both columns.
+    """
     cols = [c for c in ("ts", "blk", "px", "usd", "kind", "depth1_eth") if c in prints.columns]
-    neg = prints.select("*", *[(-F.col(c)).alias(f"_n{c}") for c in ORDER])
-    nx = F.when(priceable(min_usd), F.struct(*cols))
-    return running(neg, by, [f"_n{c}" for c in ORDER], {"nx": ("last", nx)}, bucket("_nts", width_or_layout(slice_width)), False).drop(
-        *[f"_n{c}" for c in ORDER])
+    return with_ranks(prints, by, ORDER, {"nx": ("last", F.when(priceable(min_usd), F.struct(*cols)))}, slice_width)
 
 
 def entry_last_state(cands: DataFrame, prints: DataFrame, by: Sequence[str], lat: int = 60, wait: int = HOUR,
                      min_usd: float = 10.0, depth_floor: float = 0.001, slice_width: int | None = None) -> DataFrame:
     """TRD-5: enter at the pool's last state at sig + lat; if that cannot be priced, at the next print within ``wait`` that can.
 
-    ``prints`` carries kind, usd, px and depth1_eth, and ``nx`` if it was prepared. Status: ok, nofill, skipDepth.
+    ``prints`` carries kind, usd, px and depth1_eth, and ``nx`` and ``rk`` if it was prepared. Status: ok, nofill, skipDepth. ``entry_rk`` is the
+    rank of the last print at sig + lat: the exit rules search behind it, and behind the entry's own print.
     """
     cols = ("ts", "blk", "px", "usd", "kind", "depth1_eth")
     if "nx" not in prints.columns:
         prints = with_next_priceable(prints, by, min_usd, slice_width)
-    state = prints.select(*by, *ORDER, F.struct(*cols).alias("now"), priceable(min_usd).alias("ok"), "nx")
+    state = prints.select(*by, *ORDER, F.struct(*cols).alias("now"), priceable(min_usd).alias("ok"), "nx", "rk")
     # in front of a pool's first print there is no state, only the first priceable print to wait for
-    head = prints.filter(priceable(min_usd)).groupBy(*by).agg(F.min_by(F.struct(*cols), F.struct(*ORDER)).alias("nx")).withColumn(
+    first = F.min_by(F.struct(F.struct(*cols).alias("nx"), F.col("rk")), F.struct(*ORDER))
+    head = prints.filter(priceable(min_usd)).groupBy(*by).agg(first.alias("f")).select(*by, "f.nx", "f.rk").withColumn(
         "ts", F.lit(-(2 ** 40))).withColumn("ok", F.lit(False))
     c = J.asof_backward(cands.withColumn("_at", F.col("ts") + lat), state.unionByName(head, allowMissingColumns=True), by, "_l",
-                        left_ts="_at", tie=("blk",), columns=("ts", "now", "ok", "nx"), slice_width=slice_width)
+                        left_ts="_at", tie=("blk",), columns=("ts", "now", "ok", "nx", "rk"), slice_width=slice_width)
     now, later = F.coalesce(F.col("_l.ok"), F.lit(False)), F.col("_l.nx.ts") <= F.col("_at") + wait
     out = c.withColumn("_e", F.when(now, F.col("_l.now")).when(later, F.col("_l.nx")))
     thin_pool = (F.col("_e.kind") == "v4") & (F.col("_e.depth1_eth") < depth_floor)
     return out.withColumn("status", F.when(F.col("_e").isNull(), "nofill").when(thin_pool, "skipDepth").otherwise("ok")).withColumn(
         "entry_ts", F.greatest(F.col("_e.ts"), F.when(F.col("_e").isNotNull(), F.col("_at")))).withColumn(
-        "entry_blk", F.col("_e.blk")).withColumn("entry_px", F.col("_e.px")).withColumn(
+        "entry_blk", F.col("_e.blk")).withColumn("entry_px", F.col("_e.px")).withColumn("entry_rk", F.col("_l.rk")).withColumn(
         "entry_delay", F.when(now, F.lit(0)).otherwise(F.col("_e.ts") - F.col("_at"))).drop("_at", "_l", "_e")
 
 
@@ -130,39 +133,97 @@ def other_extreme(prints: DataFrame, by: Sequence[str], tx: str, lookback: int,
     return two.filter("_own").withColumn(name, best).drop("_f", "_b", "_r", "_own", SLICE)
 
 
-def exit_first_hit(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id: Sequence[str], data_end: int,
-                   tp_lat: int = 60, wait: int = DAY, min_usd: float = 10.0, drain: float = 0.05, fine: int = HOUR,
-                   coarse: int | None = DAY, slice_width: int | None = None) -> DataFrame:
-    """TRD-7: earliest of drain, target and deadline, searched on the entry pool only.
+DEEP = 0.10  # own impact up to which a print of a pool counts as deep
+
+
+def exit_first_hit(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id: Sequence[str], data_end: int, slopes: Sequence[float] = (0.0,),
+                   clips: Sequence[float] = (0.0,), tp_lat: int = 60, wait: int = DAY, min_usd: float = 10.0, drain: float = 0.05, deep: float = DEEP,
+                   markup: float = 1.5, slice_width: int | None = None) -> DataFrame:
+    """TRD-7: earliest of drain, target and deadline, on the entry pool only and among the prints after the entry's.
+
+    ``pos``: entry_ts, entry_blk, entry_rk, entry_px (what was paid), entry_raw (the price of the entry's print; entry_px if absent), deadline, tp_line and
+    clip (size; 0 if absent). ``prints``: px, usd, kind, ``impact`` (price move by a size of one, null where the pool has no depth), ``low_other``
+    (lowest price of other transactions in the half hour before), and nx and rk of ``with_next_priceable``.
 
-    ``pos``: entry_ts, entry_px, deadline, tp_line. ``prints``: px, usd, kind, ``low_other`` (lowest price of other
-    transactions in the half hour before) and ``deep`` (own size moves the pool little). A drain is a print below
-    ``drain`` of the entry that is deep or that another transaction confirmed below twice that level. A target is
-    booked at the last print up to ``tp_lat`` after its trigger, a deadline at the last print before it; a print that
-    cannot be priced waits up to ``wait`` for one that can, else the last print is a fallback.
+    A position's own sale moves a v4 pool by w = clip / entry_px * impact. The target is met by px / (1 + w) >= tp_line (w = 0 elsewhere, there the
+    print must be priceable). A drain is a print below ``drain`` of the entry that is deep (w up to ``deep``) or that another transaction confirmed
+    below twice that level. A target is booked at the last print up to ``tp_lat`` after its trigger, a deadline at the last print before it. If that cannot be
+    priced, the position waits up to ``wait`` for a print that can be, and may be drained meanwhile; then the last print is a fallback (fb). What is open at
+    ``data_end`` ends there. Reasons: drain, tp, time, fb, end.
+
+    Target and drain are one search on a ladder of ranks (``ladder.Ladder``), whatever the number of prints between. px / (1 + w) >= line means
+    px - k * impact >= line with k = line * clip / entry_px, which is the target multiple times the size and so takes as many values as there are
+    cells: ``slopes``. A bucket carries the maximum of px - k * impact for each, and for each of ``clips`` the least entry price that one of its prints
+    drains if a position paid up to ``markup`` times the raw price. For other slopes, sizes and mark-ups the next lower value gives a hopeful bound.
     """
-    if "nx" not in prints.columns:
+    if "nx" not in prints.columns or "rk" not in prints.columns:
         prints = with_next_priceable(prints, by, min_usd, slice_width)
-    p = prints.withColumn("_ok", priceable(min_usd))
+    ks, sizes = sorted({0.0, *map(float, slopes)}), sorted({0.0, *map(float, clips)})
+    v4 = F.col("kind") == "v4"
+    own = F.when(v4, F.col("impact")).otherwise(0.0)
     confirmed = F.greatest(F.col("px") / drain, F.col("low_other") / (2 * drain))
-    level = F.when(F.col("deep"), F.col("px") / drain).when(F.col("low_other").isNotNull(), confirmed)
-    # the searches below read the positions several times, and positions are few beside prints
-    base = cut_lineage(pos).withColumn("_lo", F.col("entry_ts") + 1).withColumn("_hi", F.col("deadline") - 1).withColumn(
-        "_dl", -F.col("entry_px"))
-    got = first_crossing(base, p.filter("_ok"), by, row_id, F.col("px"), "tp_line", "_lo", "_hi", ("ts", "blk", "px"), ORDER, fine, coarse, "_tp")
-    got = got.withColumn("_hi2", F.when(F.col("_tp").isNotNull(), F.col("_tp.ts") + tp_lat).otherwise(F.col("_hi")))
-    got = first_crossing(got, p, by, row_id, -level, "_dl", "_lo", "_hi2", ("ts", "blk", "px"), ORDER, fine, coarse, "_dr", above=True)
-    got = cut_lineage(got).withColumn("_plan", F.least(F.col("_hi2"), F.lit(data_end)))
-    got = J.asof_backward(got, p, by, "_l", left_ts="_plan", tie=("blk",), columns=("ts", "px", "_ok", "nx"), slice_width=slice_width)
-    late = F.col("_l.nx.ts") <= F.col("_hi2") + wait
-    why = F.when(F.col("_tp").isNotNull(), "tp").otherwise("time")
-    kind = (F.when(F.col("_dr").isNotNull(), "drain").when(F.col("_hi2") > data_end, "end").when(F.col("_l._ok"), why)
-            .when(late, why).otherwise("fb"))
-    use_now = (F.col("_hi2") > data_end) | F.col("_l._ok")
-    px = F.when(F.col("_dr").isNotNull(), F.col("_dr.px")).when(use_now, F.col("_l.px")).when(late, F.col("_l.nx.px")).otherwise(F.col("_l.px"))
-    at = F.when(F.col("_dr").isNotNull(), F.col("_dr.ts")).when(use_now, F.col("_plan")).when(late, F.col("_l.nx.ts")).otherwise(F.col("_hi2") + wait)
-    return got.withColumn("reason", kind).withColumn("exit_px", px).withColumn("exit_ts", at).withColumn(
-        "trigger_px", F.col("_tp.px")).drop("_lo", "_hi", "_hi2", "_dl", "_tp", "_dr", "_plan", "_l")
+    most = {f"_m{i}": F.when(priceable(min_usd), F.col("px") - k * own) for i, k in enumerate(ks)}
+    least = {f"_s{i}": F.when(v4 & F.col("impact").isNotNull(), F.greatest(F.col("px") / drain, F.col("impact") * (c / (deep * markup)))) for i, c in enumerate(sizes)}
+    least["_so"] = F.when(F.col("low_other").isNotNull(), confirmed)
+    columns = ("ts", "blk", "px", "rk")
+    ladder = Ladder(prints.withColumn("_ok", priceable(min_usd)).withColumn("_own", own), by, most, least,
+                    ["ts", "blk", "px", "kind", "impact", "low_other", "_ok", "_own"])
+    raw = F.col("entry_raw") if "entry_raw" in pos.columns else F.col("entry_px")
+    clip = F.col("clip").cast("double") if "clip" in pos.columns else F.lit(0.0)
+    base = cut_lineage(pos.withColumn("_clip", clip).withColumn("_raw", raw))
+    want = base.select(*dict.fromkeys([*by, *row_id]), "tp_line", "_raw", F.try_divide("_clip", "entry_px").alias("_c"), "_clip", (F.col("entry_rk") + 1).alias("lo"),
+                       F.col("entry_ts").alias("_ets"), F.col("entry_blk").alias("_eblk"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_what"))
+    want = want.withColumn("_k", F.col("_c") * F.col("tp_line")).withColumn("_size", F.when(F.col("_raw") * F.col("_c") * markup >= F.col("_clip"), F.col("_clip")).otherwise(0.0))
+    near = 1e-9  # the bounds are compared with this much room, the conditions themselves exactly
+
+    def lower(values: list[float], x: Column, name: str) -> Column:
+        """The bound of the largest value that ``x`` reaches; x is never below 0."""
+        case = F.col(f"{name}0")
+        for i, v in enumerate(values[1:], 1):
+            case = F.when(x >= v * (1 - 1e-12), F.col(f"{name}{i}")).otherwise(case)
+        return case
+
+    def may() -> Column:
+        up = lower(ks, F.col("_k"), "_m") >= F.col("tp_line") * (1 - near)
+        room = F.col("_raw") * (1 + near)
+        down = F.coalesce(lower(sizes, F.col("_size"), "_s") <= room, F.lit(False)) | F.coalesce(F.col("_so") <= room, F.lit(False))
+        return F.when(F.col("_what") == 0, up).otherwise(down)
+
+    def hit() -> Column:
+        up = F.col("_ok") & (F.col("px") / (1 + F.col("_c") * F.col("_own")) >= F.col("tp_line"))
+        is_deep = F.coalesce((F.col("kind") == "v4") & (F.col("_c") * F.col("impact") <= deep), F.lit(False))
+        below = F.coalesce(F.col("low_other") < 2 * drain * F.col("_raw"), F.lit(False))
+        later = (F.col("ts") > F.col("_ets")) | ((F.col("ts") == F.col("_ets")) & (F.col("blk") > F.col("_eblk")))
+        return later & F.when(F.col("_what") == 0, up).otherwise((F.col("px") < drain * F.col("_raw")) & (is_deep | below))
+
+    hits = ladder.first(want, [*row_id, "_what"], may, hit, columns).groupBy(*row_id).agg(
+        F.max(F.when(F.col("_what") == 0, F.col("hit"))).alias("_tp"), F.max(F.when(F.col("_what") == 1, F.col("hit"))).alias("_dr"))
+    got = base.join(hits, list(row_id), "left")
+    got = got.withColumn("_tp", F.when((F.col("_tp.ts") < F.col("deadline")) & (F.col("_tp.ts") <= data_end), F.col("_tp"))).withColumn(
+        "_dr", F.when(F.col("_dr.ts") <= data_end, F.col("_dr")))
+    is_tp = F.col("_tp").isNotNull()
+    got = got.withColumn("_plan", F.when(is_tp, F.col("_tp.ts") + tp_lat).otherwise(F.col("deadline"))).withColumn(
+        "_upto", F.least(F.when(is_tp, F.col("_plan")).otherwise(F.col("deadline") - 1), F.lit(data_end)))
+    got = J.asof_backward(got, prints.withColumn("_ok", priceable(min_usd)), by, "_l", left_ts="_upto", tie=("blk",), columns=("ts", "px", "_ok", "nx"), slice_width=slice_width)
+    got = cut_lineage(got.withColumn("_cut", F.when(is_tp, data_end <= F.col("_plan")).otherwise(data_end < F.col("_plan"))).withColumn(
+        "_till", F.least(F.col("_plan") + wait, F.lit(data_end))))
+    met = F.coalesce(F.col("_l.nx.ts") <= F.col("_till"), F.lit(False))
+    # nothing to price in the wait: the last print of the wait, for the few positions that need it
+    lost = J.asof_backward(got.filter(~F.col("_cut") & ~F.col("_l._ok") & ~met).select(*dict.fromkeys([*by, *row_id]), "_till"), prints, by, "_f", left_ts="_till",
+                           tie=("blk",), columns=("ts", "px"), slice_width=slice_width).select(*row_id, F.col("_f.px").alias("_fpx"))
+    got = got.join(lost, list(row_id), "left")
+    why = F.when(is_tp, "tp").otherwise("time")
+    now = F.col("_l._ok") | F.col("_cut")
+    ended = F.when(F.col("_cut") | (F.col("_plan") + wait >= data_end), "end").otherwise("fb")
+    reason = F.when(F.col("_l._ok") & ~F.col("_cut"), why).when(F.col("_cut"), "end").when(met, why).otherwise(ended)
+    px = F.when(now, F.col("_l.px")).when(met, F.col("_l.nx.px")).otherwise(F.col("_fpx"))
+    at = F.when(F.col("_cut"), F.lit(data_end)).when(F.col("_l._ok"), F.col("_plan")).when(met, F.col("_l.nx.ts")).otherwise(F.col("_till"))
+    # a drain counts if its print comes before the booking; in the wait up to and with the print that would be booked
+    open_ = F.when(now, F.col("_dr.ts") <= F.col("_upto")).when(met, F.struct("_dr.ts", "_dr.blk") <= F.struct("_l.nx.ts", "_l.nx.blk")).otherwise(F.col("_dr.ts") <= F.col("_till"))
+    drained = F.col("_dr").isNotNull() & open_
+    return got.withColumn("reason", F.when(drained, "drain").otherwise(reason)).withColumn("exit_px", F.when(drained, F.col("_dr.px")).otherwise(px)).withColumn(
+        "exit_ts", F.when(drained, F.col("_dr.ts")).otherwise(at)).withColumn("trigger_px", F.col("_tp.px")).drop(
+        "_clip", "_raw", "_tp", "_dr", "_plan", "_upto", "_l", "_cut", "_till", "_fpx")
 
 
 def trigger_book(pos: DataFrame) -> DataFrame:
@@ -171,18 +232,22 @@ def trigger_book(pos: DataFrame) -> DataFrame:
         "ret_booked", 100 * (F.try_divide("exit_px", "entry_px") - 1))
 
 
-def greedy_nonoverlap(cands: DataFrame, by: Sequence[str], order: Sequence[str], start: str, end: str, gap: int = 0, **fold) -> DataFrame:
-    """TRD-8: take a candidate only if none of its key is open and the cool-down since the last exit is over."""
+def greedy_nonoverlap(cands: DataFrame, by: Sequence[str], order: Sequence[str], start: str, end: str, gap: int = 0, once: str | None = None, **fold) -> DataFrame:
+    """TRD-8: take a candidate only if none of its key is open and the cool-down since the last exit is over.
+
+    ``once`` names a column (the hour of the signal) of which each value is spent by the first candidate taken: later ones of it are not taken, even
+    if the position is closed by then. A candidate that was not taken spends nothing. Candidates without start or end are not taken.
+    """
     def kernel(state, rows):
-        free = state["free"] if state else None
+        free, spent = (state["free"], state["spent"]) if state else (None, None)
         out = []
-        for s, e in zip(rows[start].tolist(), rows[end].tolist()):
-            ok = free is None or s >= free
+        for s, e, h in zip(rows[start].tolist(), rows[end].tolist(), rows[once].tolist() if once else [None] * len(rows), strict=True):
+            ok = s is not None and e is not None and (free is None or s >= free) and (once is None or h != spent)
             if ok:
-                free = int(e) + gap
+                free, spent = int(e) + gap, h
             out.append(ok)
-        return {"free": free}, {"taken": out}
-    return ordered_fold(cands, by, order, kernel, [("taken", "boolean")], **fold)
+        return {"free": free, "spent": spent}, {"taken": out}
+    return ordered_fold(cands, by, order, kernel, [("taken", "boolean")], reads=[c for c in (start, end, once) if c], **fold)
 
 
 def capacity_select(cands: DataFrame, cell: str, order: Sequence[str], tok: str, start: str, end: str, cap: int, gap: int = 0,
@@ -195,9 +260,11 @@ def capacity_select(cands: DataFrame, cell: str, order: Sequence[str], tok: str,
         open_, busy = list((state or {}).get("open", [])), dict((state or {}).get("busy", {}))
         out = []
         for k, s, e in zip(rows[tok].astype(str).tolist(), rows[start].tolist(), rows[end].tolist()):
-            while open_ and open_[0] <= s:
+            while s is not None and open_ and open_[0] <= s:
                 heapq.heappop(open_)
-            if busy.get(k, s) > s:
+            if s is None or e is None:
+                out.append("undated")
+            elif busy.get(k, s) > s:
                 out.append("held")
             elif len(open_) >= cap:
                 out.append("cap")
@@ -205,9 +272,9 @@ def capacity_select(cands: DataFrame, cell: str, order: Sequence[str], tok: str,
                 out.append("taken")
                 heapq.heappush(open_, int(e))
                 busy[k] = int(e) + gap
-        now = int(rows[start].iloc[-1])
+        now = max((int(s) for s in rows[start] if s is not None), default=0)
         return {"open": sorted(open_), "busy": {k: v for k, v in sorted(busy.items()) if v > now}}, {"status": out}
-    return ordered_fold(cands, [cell], order, kernel, [("status", "string")], **fold)
+    return ordered_fold(cands, [cell], order, kernel, [("status", "string")], reads=[tok, start, end], **fold)
 
 
 def cluster_fixed_origin(events: DataFrame, key: Sequence[str], ts: str = "ts", order: Sequence[str] = ("ts", "id"), gap: int = 180, **fold) -> DataFrame:

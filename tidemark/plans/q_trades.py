@@ -113,40 +113,62 @@ def _(spark, sf):
     return out.select("id", "fill_ts", "fill_lag", "fill_px", "best_pool", "best_px")
 
 
-PRINTS = f"""pr AS (SELECT l.*, l.kind = 'v4' OR l.usd >= 30 AS ok, l.usd >= 80 AS deep,
+#: Size of a position and the price move of a pool by a size of one: root of 1.01 less one over its depth, in the tape's own coin.
+CLIP = 200_000.0
+S1 = 1.01 ** 0.5 - 1
+PRINTS = f"""pr AS (SELECT l.*, l.kind = 'v4' OR l.usd >= 30 AS ok, CASE WHEN l.kind = 'v4' AND l.depth1_eth > 0 THEN l.price_eth * {S1!r}::DOUBLE / l.depth1_eth END AS impact,
   (SELECT min(r.px) FROM v4 r WHERE r.tok = l.tok AND r.pool = l.pool AND r.blk <> l.blk AND r.ts > l.ts - {5 * D} AND r.ts <= l.ts) AS low_other FROM v4 l)"""
 
 
 def _prints(p):
     """The prepared prints, written once: entries and every search of the exit rules read them."""
-    cols = p.select("tok", "pool", "ts", "blk", "li", "px", "usd", "kind", "side", "depth1_eth")
+    impact = F.when((F.col("kind") == "v4") & (F.col("depth1_eth") > 0), F.col("price_eth") * F.lit(S1) / F.col("depth1_eth"))
+    cols = p.select("tok", "pool", "ts", "blk", "li", "px", "usd", "kind", "side", "depth1_eth", impact.alias("impact"))
     low = X.other_extreme(cols, ["tok", "pool"], "blk", 5 * D, False, "low_other", 5 * D)
-    return cut_lineage(X.with_next_priceable(low, ["tok", "pool"], 30.0).withColumn("deep", F.col("usd") >= 80))
+    return cut_lineage(X.with_next_priceable(low, ["tok", "pool"], 30.0))
 
 
 def exit_sql(pos: str, out: str) -> str:
-    same = f"r.tok = {{a}}.tok AND r.pool = {{a}}.pool"
+    """The rule as it reads: target net of the own sale, drain before the booking or in the wait for it, deadline, fallback, end of the data."""
+    own = "r.tok = p.tok AND r.pool = p.pool"
+    w = f"{CLIP}::DOUBLE / p.entry_px * r.impact"
+    wait = 3 * D
     return f"""
-{out}1 AS (SELECT p.*, (SELECT min(blk) FROM pr r WHERE {same.format(a='p')} AND r.ok AND r.px >= p.tp_line AND r.ts > p.entry_ts AND r.ts < p.deadline) AS tpb FROM {pos} p),
-{out}2 AS (SELECT p.*, t.ts AS tpts, t.px AS trigger_px, coalesce(t.ts + 3600, deadline - 1) AS hi2 FROM {out}1 p LEFT JOIN pr t ON t.blk = tpb),
-{out}3 AS (SELECT p.*, (SELECT min(blk) FROM pr r WHERE {same.format(a='p')} AND r.ts > p.entry_ts AND r.ts <= p.hi2 AND
-    r.px / 0.25 < p.entry_px AND (r.deep OR r.low_other / 0.5 < p.entry_px)) AS drb,
-    (SELECT max(blk) FROM pr r WHERE {same.format(a='p')} AND r.ts <= least(p.hi2, {END})) AS lb,
-    (SELECT min(blk) FROM pr r WHERE {same.format(a='p')} AND r.ok AND r.ts > p.hi2) AS wb FROM {out}2 p),
-{out} AS (SELECT p.*, CASE WHEN drb IS NOT NULL THEN 'drain' WHEN hi2 > {END} THEN 'end' WHEN l.ok OR w.ts <= hi2 + {3 * D} THEN CASE WHEN tpb IS NOT NULL THEN 'tp' ELSE 'time' END ELSE 'fb' END AS reason,
-    CASE WHEN drb IS NOT NULL THEN d.px WHEN hi2 > {END} OR l.ok THEN l.px WHEN w.ts <= hi2 + {3 * D} THEN w.px ELSE l.px END AS exit_px,
-    CASE WHEN drb IS NOT NULL THEN d.ts WHEN hi2 > {END} OR l.ok THEN least(hi2, {END}) WHEN w.ts <= hi2 + {3 * D} THEN w.ts ELSE hi2 + {3 * D} END AS exit_ts
-  FROM {out}3 p LEFT JOIN pr d ON d.blk = drb LEFT JOIN pr l ON l.blk = lb LEFT JOIN pr w ON w.blk = wb)"""
+{out}1 AS (SELECT p.*, (SELECT min(blk) FROM pr r WHERE {own} AND r.blk > p.entry_blk AND r.ts < p.deadline AND r.ts <= {END} AND
+      CASE WHEN r.kind = 'v4' THEN r.px / (1 + {w}) >= p.tp_line ELSE r.ok AND r.px >= p.tp_line END) AS tpb,
+    (SELECT min(blk) FROM pr r WHERE {own} AND r.blk > p.entry_blk AND r.ts <= {END} AND r.px < 0.25 * p.entry_px AND
+      ((r.kind = 'v4' AND coalesce({w} <= 0.1, false)) OR coalesce(r.low_other < 2 * 0.25 * p.entry_px, false))) AS drb FROM {pos} p),
+{out}2 AS (SELECT p.*, t.px AS trigger_px, coalesce(t.ts + 3600, deadline) AS pl, least(coalesce(t.ts + 3600, deadline - 1), {END}) AS upto,
+    coalesce(t.ts + 3600 >= {END}, deadline > {END}) AS cut, CASE WHEN tpb IS NULL THEN 'time' ELSE 'tp' END AS why
+    FROM {out}1 p LEFT JOIN pr t ON t.blk = tpb),
+{out}3 AS (SELECT p.*, least(pl + {wait}, {END}) AS till, (SELECT max(blk) FROM pr r WHERE {own} AND r.ts <= p.upto) AS lb FROM {out}2 p),
+{out}4 AS (SELECT p.*, (SELECT min(blk) FROM pr r WHERE {own} AND r.ok AND r.ts > p.upto AND r.ts <= p.till) AS wb,
+    (SELECT max(blk) FROM pr r WHERE {own} AND r.ts <= p.till) AS fb FROM {out}3 p),
+{out}5 AS (SELECT p.*, CASE WHEN cut THEN 'end' WHEN l.ok OR wb IS NOT NULL THEN why WHEN pl + {wait} >= {END} THEN 'end' ELSE 'fb' END AS r0,
+    CASE WHEN cut OR l.ok THEN l.px WHEN wb IS NOT NULL THEN w.px ELSE f.px END AS px0,
+    CASE WHEN cut THEN {END} WHEN l.ok THEN pl WHEN wb IS NOT NULL THEN w.ts ELSE till END AS at0,
+    d.ts AS dts, d.px AS dpx, CASE WHEN cut OR l.ok THEN d.ts <= upto WHEN wb IS NOT NULL THEN drb <= wb ELSE d.ts <= till END AS first_drain
+    FROM {out}4 p LEFT JOIN pr d ON d.blk = drb LEFT JOIN pr l ON l.blk = lb LEFT JOIN pr w ON w.blk = wb LEFT JOIN pr f ON f.blk = fb),
+{out} AS (SELECT *, CASE WHEN coalesce(first_drain, false) THEN 'drain' ELSE r0 END AS reason, CASE WHEN coalesce(first_drain, false) THEN dpx ELSE px0 END AS exit_px,
+    CASE WHEN coalesce(first_drain, false) THEN dts ELSE at0 END AS exit_ts FROM {out}5)"""
 
 
-POS_SQL = f"pos AS (SELECT id, tok, pool, entry_ts, entry_px, entry_ts + {8 * D} AS deadline, entry_px * 2.0 AS tp_line FROM en WHERE status = 'ok' AND entry_ts <= {END})"
+POS_SQL = f"pos AS (SELECT id, tok, pool, entry_ts, entry_blk, entry_px, entry_ts + {8 * D} AS deadline, entry_px * 2.0 AS tp_line FROM en WHERE status = 'ok' AND entry_ts <= {END})"
+
+
+def _position(extra=()):
+    return ["id", "tok", "pool", "entry_ts", "entry_blk", "entry_rk", "entry_px", F.lit(CLIP).alias("clip"), *extra]
+
+
+def _exit(pos, p, row_id, tps):
+    return X.exit_first_hit(pos, p, ["tok", "pool"], row_id, END, [tp * CLIP for tp in tps], [CLIP], 3600, 3 * D, 30.0, 0.25)
 
 
 def _exits(spark, sf):
     p, en = _entries(spark, sf)
     pos = en.filter((F.col("status") == "ok") & (F.col("entry_ts") <= END)).select(
-        "id", "tok", "pool", "entry_ts", "entry_px", (F.col("entry_ts") + 8 * D).alias("deadline"), (F.col("entry_px") * 2.0).alias("tp_line"))
-    return X.exit_first_hit(pos, p, ["tok", "pool"], ["id"], END, 3600, 3 * D, 30.0, 0.25, 2 * D, None)
+        *_position([(F.col("entry_ts") + 8 * D).alias("deadline"), (F.col("entry_px") * 2.0).alias("tp_line")]))
+    return _exit(pos, p, ["id"], [2.0])
 
 
 @query("trd_07_exit_first_hit", ctes(TAPE, V4, ENTRY_SQL, PRINTS, POS_SQL, exit_sql("pos", "ex")) + "SELECT id, tok, reason, exit_px, exit_ts FROM ex")
@@ -288,13 +310,13 @@ RULES_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(f"('{r['rule']}', {r[
 
 
 @query("trd_16_exit_overlays", ctes(TAPE, V4, ENTRY_SQL, PRINTS, RULES_SQL, f"""
-pos AS (SELECT id, tok, pool, entry_ts, entry_px, rule, entry_ts + hold AS deadline, entry_px * CAST(tp AS DOUBLE) AS tp_line FROM en, rules
+pos AS (SELECT id, tok, pool, entry_ts, entry_blk, entry_px, rule, entry_ts + hold AS deadline, entry_px * CAST(tp AS DOUBLE) AS tp_line FROM en, rules
         WHERE status = 'ok' AND entry_ts <= {END})""", exit_sql("pos", "ex")) + """
 SELECT rule, reason, count(*) AS n, round(avg(100 * (exit_px / entry_px - 1)), 4) AS mean FROM ex GROUP BY ALL""")
 def _(spark, sf):
     p, en = _entries(spark, sf)
-    pos = en.filter((F.col("status") == "ok") & (F.col("entry_ts") <= END)).select("id", "tok", "pool", "entry_ts", "entry_px")
-    ex = X.exit_first_hit(X.exit_overlays(pos, RULES), p, ["tok", "pool"], ["id", "rule"], END, 3600, 3 * D, 30.0, 0.25, FINE, COARSE)
+    pos = en.filter((F.col("status") == "ok") & (F.col("entry_ts") <= END)).select(*_position())
+    ex = _exit(X.exit_overlays(pos, RULES), p, ["id", "rule"], sorted({r["tp"] for r in RULES}))
     return ex.groupBy("rule", "reason").agg(F.count("*").alias("n"), F.round(F.avg(100 * (F.try_divide("exit_px", "entry_px") - 1)), 4).alias("mean"))
 
 
@@ -355,14 +377,14 @@ STUDY = [{"cell": "shallow", "dip": 0.3, "tp": 1.5, "hold": 5 * D}, {"cell": "de
 @query("event_study", "WITH RECURSIVE " + ",\n".join([
     TAPE, V4, PRINTS, "h AS (" + HIGH_SQL.format(k="r.tok = l.tok AND r.pool = l.pool", q=Q, d=D) + ")",
     f"study AS (SELECT * FROM (VALUES ('shallow', 0.3, 1.5, {5 * D}), ('deep', 0.6, 2.0, {5 * D}), ('patient', 0.3, 3.0, {10 * D})) v(cell, dip, tp, hold))",
-    f"""pos AS (SELECT s.cell, t.blk AS id, t.tok, t.pool, t.ts + 60 AS entry_ts, l.px AS entry_px, t.ts + 60 + s.hold AS deadline, l.px * CAST(s.tp AS DOUBLE) AS tp_line
+    f"""pos AS (SELECT s.cell, t.blk AS id, t.tok, t.pool, t.ts + 60 AS entry_ts, l.blk AS entry_blk, l.px AS entry_px, t.ts // {D} AS hour, t.ts + 60 + s.hold AS deadline, l.px * CAST(s.tp AS DOUBLE) AS tp_line
       FROM tape t JOIN h ON h.blk = t.blk JOIN study s ON 1 - t.px / h.high_day >= s.dip
       JOIN pr l ON l.blk = (SELECT max(blk) FROM tape r WHERE r.tok = t.tok AND r.pool = t.pool AND r.ts <= t.ts + 60) AND l.ok WHERE t.ts + 60 <= {END})""",
     exit_sql("pos", "ex"),
     """nn AS (SELECT *, row_number() OVER (PARTITION BY cell, tok ORDER BY entry_ts, id) AS i FROM ex),
-sel AS (SELECT cell, tok, id, i, true AS taken, exit_ts + 3600 AS free FROM nn WHERE i = 1 UNION ALL
-  SELECT n.cell, n.tok, n.id, n.i, n.entry_ts >= r.free, CASE WHEN n.entry_ts >= r.free THEN n.exit_ts + 3600 ELSE r.free END
-  FROM sel r JOIN nn n ON n.cell = r.cell AND n.tok = r.tok AND n.i = r.i + 1)"""]) + """
+sel AS (SELECT cell, tok, id, i, true AS taken, exit_ts + 3600 AS free, hour AS spent FROM nn WHERE i = 1 UNION ALL
+  SELECT cell, tok, id, i, ok, CASE WHEN ok THEN exit_ts + 3600 ELSE free END, CASE WHEN ok THEN hour ELSE spent END FROM (
+    SELECT n.*, r.free, r.spent, n.entry_ts >= r.free AND n.hour <> r.spent AS ok FROM sel r JOIN nn n ON n.cell = r.cell AND n.tok = r.tok AND n.i = r.i + 1))"""]) + """
 SELECT nn.cell, count(*) AS trades, count(DISTINCT nn.tok) AS coins, round(avg(100 * (exit_px / entry_px - 1)), 4) AS mean_ret,
   round(avg(CASE WHEN reason = 'tp' THEN 1.0 ELSE 0.0 END), 6) AS tp_share FROM nn JOIN sel ON sel.cell = nn.cell AND sel.id = nn.id WHERE sel.taken GROUP BY nn.cell""")
 def _(spark, sf):
@@ -370,10 +392,9 @@ def _(spark, sf):
     hi = W.highs(p, ["tok", "pool"], Q, (2, 8), D, 5).withColumn("dip_now", W.dip(F.col("px"), F.col("high_day")))
     sig = P.with_cells(hi.select(F.col("blk").alias("id"), "tok", "pool", "ts", "dip_now"), STUDY).filter(F.col("dip_now") >= F.col("dip"))
     en = X.entry_last_state(sig, p, ["tok", "pool"], 60, 0, 30.0, 0.0).filter((F.col("status") == "ok") & (F.col("entry_ts") <= END))
-    pos = en.select("cell", "id", "tok", "pool", "entry_ts", "entry_px", (F.col("entry_ts") + F.col("hold")).alias("deadline"),
-                    (F.col("entry_px") * F.col("tp")).alias("tp_line"))
-    ex = X.exit_first_hit(pos, p, ["tok", "pool"], ["id", "cell"], END, 3600, 3 * D, 30.0, 0.25, 2 * D, None)
-    taken = X.greedy_nonoverlap(ex, ["cell", "tok"], ["entry_ts", "id"], "entry_ts", "exit_ts", 3600, cut=True).filter("taken")
+    pos = en.select("cell", *_position([bucket("ts", D).alias("hour"), (F.col("entry_ts") + F.col("hold")).alias("deadline"), (F.col("entry_px") * F.col("tp")).alias("tp_line")]))
+    ex = _exit(pos, p, ["id", "cell"], [c["tp"] for c in STUDY])
+    taken = X.greedy_nonoverlap(ex, ["cell", "tok"], ["entry_ts", "id"], "entry_ts", "exit_ts", 3600, once="hour", cut=True).filter("taken")
     return taken.groupBy("cell").agg(
         F.count("*").alias("trades"), F.count_distinct("tok").alias("coins"),
         F.round(F.avg(100 * (F.try_divide("exit_px", "entry_px") - 1)), 4).alias("mean_ret"),
