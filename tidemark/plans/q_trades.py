@@ -161,7 +161,7 @@ def _position(extra=()):
 
 
 def _exit(pos, p, row_id, tps):
-    return X.exit_first_hit(pos, p, ["tok", "pool"], row_id, END, [tp * CLIP for tp in tps], [CLIP], 3600, 3 * D, 30.0, 0.25)
+    return X.exit_first_hit(pos, p, ["tok", "pool"], row_id, END, [tp * CLIP for tp in tps], [CLIP], 3600, 3 * D, 30.0, 0.25, markup=1.0)
 
 
 def _exits(spark, sf):
