@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +43,19 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c in df.columns if c in DOCUMENT])
 
 
+def make_room(docs: DataFrame, results: Iterable[str]) -> DataFrame:
+    """``docs`` with columns named like a result renamed: they get the suffix ``_in``, as often as it takes to clash with nothing."""
+    taken, new = {*docs.columns, *results}, {}
+    for c in results:
+        if c in docs.columns:
+            to = f"{c}_in"
+            while to in taken:
+                to += "_in"
+            taken.add(to)
+            new[c] = to
+    return docs.withColumnsRenamed(new)
+
+
 def shielded(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``stage(docs)`` with the columns of ``docs``: those that are not document columns go through it under names that clash with none."""
     away = {c: f"__extra_{i}" for i, c in enumerate(docs.columns) if c not in DOCUMENT}

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, table
+from tidemark.llm.common import make_room, query, table
 from tidemark.llm.counted import ascii_lower, join_counted
 from tidemark.session import cut_lineage
 
@@ -23,19 +23,6 @@ PREFIX = 64
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def _renamed(docs: DataFrame) -> DataFrame:
-    taken = set(docs.columns)
-    new = {}
-    for c in RESULTS:
-        if c in taken:
-            to = f"{c}_in"
-            while to in taken:
-                to += "_in"
-            taken.add(to)
-            new[c] = to
-    return docs.withColumnsRenamed(new)
-
-
 def candidates(docs: DataFrame, prefix: int = PREFIX) -> tuple[DataFrame, DataFrame]:
     """``docs`` with ``_len`` and ``_pre``, and the table (_len, _pre, _n) of those pairs that two rows or more have."""
     text = F.coalesce("text", F.lit(""))
@@ -54,7 +41,7 @@ def mark_copies(docs: DataFrame, prefix: int = PREFIX, all_digests: bool = False
     The digest is null for texts that no step found a partner for, as they are never read whole; ``all_digests`` fills it in the same
     task for reports that want one for every row. It has no part in the grouping of those rows.
     """
-    docs = _renamed(docs)
+    docs = make_room(docs, RESULTS)
     keep = [c for c in docs.columns if c != "text"] if carry is None else carry
     rows, pairs = candidates(docs, prefix)
     rows = join_counted(rows.select(*dict.fromkeys([*keep, "text", "_len", "_pre"])), pairs, ["_len", "_pre"], "_n", "left")
@@ -74,7 +61,7 @@ def mark_copies(docs: DataFrame, prefix: int = PREFIX, all_digests: bool = False
 
 def drop_copies(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    renamed = _renamed(docs)
+    renamed = make_room(docs, RESULTS)
     out = mark_copies(docs, prefix, carry=renamed.columns).filter("kept").select(*renamed.columns)
     return out.withColumnsRenamed(dict(zip(renamed.columns, docs.columns, strict=True)))
 
