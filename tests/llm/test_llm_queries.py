@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidemark import llm
 from tidemark.session import cut_lineage
-from test_documents import WORD, families, plain_simhash
+from test_documents import WORD
+from test_similar import brute
 
 QUERIES, SQL = llm.load()
 COLUMNS = {
@@ -55,9 +56,7 @@ def test_pipeline_against_plain_stages(spark, sf):
     kept = {r["doc_id"] for r in QUERIES["op2_quality_rules"](spark, sf).filter("kept").collect()}
     assert {r["doc_id"] for r in got["quality_rules"].collect()} == kept
     order = sorted(kept)
-    fp = [plain_simhash(text[i]) for i in order]
-    fam = families(len(order), [(i, j) for i in range(len(order)) for j in range(i) if (fp[i] ^ fp[j]).bit_count() <= 2])
-    assert sorted(r["doc_id"] for r in got["near_dedup"].collect()) == [order[i] for i in sorted(set(fam))]
+    assert sorted(r["doc_id"] for r in got["near_dedup"].collect()) == brute([(i, text[i]) for i in order])
     masked = {r["doc_id"]: r["text"] for r in got["secret_scan"].collect()}
     for i, t in masked.items():
         assert t == re.sub(r'(?<=token = ")[0-9a-f]{40}|(?<=password=)[0-9a-f]{18}|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])', "<secret>", text[i])

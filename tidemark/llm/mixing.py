@@ -15,6 +15,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,14 +83,57 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+EXACT = 10**9  # numpy's own sampler goes so far
+
+
+def _log_step(z: int, d: int) -> float:
+    """log((z + d)! / z!) - d * log(z) for large z, without the cancellation of two large logarithms."""
+    x = d / z
+    rest = lambda v: 1 / (12 * v) - 1 / (360 * v ** 3)
+    return (z + d + 0.5) * (math.log1p(x) - x) + d * x + 0.5 * x + (rest(z + d) - rest(z)) if abs(x) < 0.5 else (
+        math.lgamma(z + d + 1) - math.lgamma(z + 1) - d * math.log(z))
+
+
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    """numpy's sampler takes up to 1e9; beyond that the normal limit, kept inside the support."""
-    if max(good, bad) < 10**9:
-        return int(rng.hypergeometric(good, bad, sample))
+    """Marked items among ``sample`` drawn without replacement. Beyond numpy's range: the ratio of uniforms under the same distribution.
+
+    The density's ratio to that of its mode is taken from steps of factorials around the mode in Python integers, so it keeps its
+    precision at any size.
+    """
+    lo, hi = max(sample - bad, 0), min(good, sample)
+    if max(good, bad) < EXACT or lo == hi:
+        return int(rng.hypergeometric(good, bad, sample)) if max(good, bad) < EXACT else lo
     n = good + bad
-    mean = sample * (good / n)
-    var = mean * (bad / n) * ((n - sample) / max(n - 1, 1))
-    return int(min(max(round(rng.normal(mean, math.sqrt(max(var, 0.0)))), sample - bad, 0), good, sample))
+    mode = (sample + 1) * (good + 1) // (n + 2)
+    sides = (mode, good - mode, sample - mode, bad - sample + mode)
+    if min(sides) < 1000:  # a narrow draw: item by item from the end that has few steps
+        return _by_inversion(rng, good, bad, sample, lo, hi)
+    log_ratio = math.log1p((sides[1] * sides[2] - sides[0] * sides[3]) / (sides[0] * sides[3]))
+
+    def height(d: int) -> float:
+        """log of the density at mode + d over that at the mode."""
+        return d * log_ratio - _log_step(sides[0], d) - _log_step(sides[3], d) - _log_step(sides[1], -d) - _log_step(sides[2], -d)
+
+    sd = math.sqrt(sample * (good / n) * (bad / n) * ((n - sample) / (n - 1)) + 0.5)
+    half = 2 * math.sqrt(2 / math.e) * sd / 2 + 1.5  # covers sqrt(density) * distance of a bell of this width
+    while True:
+        u, v = 1 - rng.random(), (2 * rng.random() - 1) * half * 1.1
+        d = math.floor(v / u + 0.5)
+        if lo <= mode + d <= hi and 2 * math.log(u) <= height(d):
+            return mode + d
+
+
+def _by_inversion(rng: np.random.Generator, good: int, bad: int, sample: int, lo: int, hi: int) -> int:
+    """Inversion from the end of the support that lies nearer to the mode; the ratio of neighbours is a ratio of integers."""
+    if 2 * ((sample + 1) * (good + 1) // (good + bad + 2) - lo) > hi - lo:
+        return sample - _by_inversion(rng, bad, good, sample, sample - hi, sample - lo)
+    logs, x, total = [0.0], lo, 0.0
+    while x < hi and logs[-1] > max(logs) - 60:
+        logs.append(logs[-1] + math.log((good - x) * (sample - x)) - math.log((x + 1) * (bad - sample + x + 1)))
+        x += 1
+    weights = np.exp(np.array(logs) - max(logs))
+    total = weights.sum()
+    return lo + int(np.searchsorted(np.cumsum(weights), rng.random() * total, side="right"))
 
 
 def _plan(spark, targets: DataFrame, shards: int, block: int, min_blocks: int, seed: int) -> DataFrame:
@@ -133,19 +177,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "pieces")]
     base = docs.select(*keep, n_words(F.col("text")).alias("size"), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("_k"),
                        F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"), F.col("source")).alias("_h"))
-    per = cut_lineage(base.groupBy("_k", "source", F.expr("shiftrightunsigned(_h, 44)").alias("_t")).agg(
-        F.sum("size").alias("w"), F.count("*").alias("n")))  # 2^20 thin slices at most; merged to slices below
-    top = per.agg(F.sum("n").alias("n")).first()["n"] or 0
-    bits = max(0, min(20, math.ceil(math.log2(max(1, top / slice_rows)))))
-    cut = lambda h: F.expr(f"shiftrightunsigned({h}, {20 - bits})")
-    slices = per.groupBy("_k", cut("_t").alias("_s")).agg(F.sum("w").alias("w"))
+    total = docs.count()
+    bits = max(0, math.ceil(math.log2(max(1, total / slice_rows))))
+    side = F.expr(f"shiftrightunsigned(_h, {64 - bits})") if bits else F.lit(0).cast("long")
+    per = cut_lineage(base.groupBy("_k", "source", side.alias("_s")).agg(F.sum("size").alias("w")))
+    slices = per.select("_k", "_s", "w")
     before = W.partitionBy("_k").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     carry = slices.select("_k", "_s", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("_before"))
     targets = cut_lineage(source_targets(per.groupBy("source").agg(F.sum("w").alias("source_size")), weights, share, cap))
     plan = _plan(spark, targets, shards, block, min_blocks, seed)
 
     within = W.partitionBy("_k", "_s").orderBy(F.col("_h") < 0, "_h").rowsBetween(W.unboundedPreceding, -1)
-    rows = base.withColumn("_s", F.expr(f"shiftrightunsigned(_h, {64 - bits})") if bits else F.lit(0).cast("long"))
+    rows = base.withColumn("_s", side)
     rows = rows.withColumn("_p", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(carry, ["_k", "_s"], "left")
     rows = rows.join(F.broadcast(plan), "_k", "left").withColumn("_p", F.col("_p") + F.col("_before"))
@@ -165,43 +208,50 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     return rows.select(*keep, "size", "source_size", "target", pieces.alias("pieces"))
 
 
-def _cut_text(frames):
-    """Rows (.., text, pieces of one pass) to the text of those pieces; neighbours run on, gaps become a line break."""
-    for pdf in frames:
-        texts = []
-        for text, size, pieces in zip(pdf["text"], pdf["size"], pdf["_one"], strict=True):
-            if sum(p["length"] for p in pieces) == size:
-                texts.append(text)
-                continue
-            at = [m.span() for m in re.finditer(WORD, text)]
-            runs: list[list[int]] = []
-            for p in sorted(pieces, key=lambda p: p["start"]):
-                if runs and runs[-1][1] == p["start"]:
-                    runs[-1][1] += p["length"]
-                else:
-                    runs.append([p["start"], p["start"] + p["length"]])
-            texts.append("\n".join(text[at[a][0]:at[b - 1][1]] for a, b in runs))
-        pdf["text"] = texts
-        if "n_chars" in pdf:
-            pdf["n_chars"] = [len(t) for t in texts]
-        yield pdf.drop(columns=["size", "_one"])  # _shard and _place stay for the shuffle
+def _cut_text(names: list[str], has_chars: bool):
+    """Arrow rows (.., text, .., size, _one: pieces of one pass and shard) to the text of those pieces; neighbours run on, gaps become a line break."""
+    def cut(text: str, size: int, pieces: list[dict]) -> str:
+        if sum(p["length"] for p in pieces) == size:
+            return text
+        at = [m.span() for m in re.finditer(WORD, text)]
+        runs: list[list[int]] = []
+        for p in sorted(pieces, key=lambda p: p["start"]):
+            if runs and runs[-1][1] == p["start"]:
+                runs[-1][1] += p["length"]
+            else:
+                runs.append([p["start"], p["start"] + p["length"]])
+        return "\n".join(text[at[a][0]:at[b - 1][1]] for a, b in runs)
+
+    def run(batches):
+        for b in batches:
+            columns = dict(zip(b.schema.names, b.columns, strict=True))
+            texts = [cut(*x) for x in zip(*[columns[c].to_pylist() for c in ("text", "size", "_one")], strict=True)]
+            columns["text"] = pa.array(texts, pa.string())
+            if has_chars:
+                columns["n_chars"] = pa.array([len(t) for t in texts], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)  # the other columns stay in Arrow
+    return run
 
 
 def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
-    """The mix as documents: a row per document and pass with the words drawn, placed by shard and shuffled inside it."""
-    return shielded(docs, lambda d: _mixed(d, **kwargs))
+    """The mix as documents: a row per document, pass and shard with the words drawn, placed by shard and shuffled inside it.
+
+    Every piece stays in the shard whose quota it fills, so the words of each shard follow ``split_quotas``.
+    """
+    return shielded(docs, lambda d: by_shard(d, **kwargs).select(*d.columns))
 
 
-def _mixed(docs: DataFrame, **kwargs) -> DataFrame:
+def by_shard(docs: DataFrame, **kwargs) -> DataFrame:
+    """``mixed_documents`` with ``_shard`` and ``_place``; ``docs`` has document columns only."""
     columns = docs.columns
-    rows = mix(docs, **kwargs).withColumn("_one", F.explode(F.map_values(F.aggregate(
-        "pieces", F.create_map().cast("map<bigint,array<struct<pass:bigint,shard:int,start:bigint,length:bigint,place:bigint>>>"),
-        lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["pass"]), F.create_map(p["pass"], F.concat(
-            F.coalesce(F.try_element_at(m, p["pass"]), F.array()), F.array(p))))))))
-    head = F.col("_one")[0]
-    rows = rows.select(*columns, head["shard"].alias("_shard"), head["place"].alias("_place"), "size", "_one")
-    cut = rows.mapInPandas(_cut_text, T.StructType([*docs.schema.fields, *rows.select("_shard", "_place").schema.fields]))
-    return cut.repartition("_shard", F.pmod("_place", F.lit(64))).sortWithinPartitions("_shard", "_place").select(*columns)
+    mixed = mix(docs, **kwargs)
+    homes = F.array_distinct(F.transform("pieces", lambda p: F.struct(p["pass"].alias("e"), p["shard"].alias("s"))))  # at most passes x shards
+    rows = mixed.withColumn("_home", F.explode(homes)).withColumn("_one", F.filter(
+        "pieces", lambda p: (p["pass"] == F.col("_home.e")) & (p["shard"] == F.col("_home.s"))))
+    rows = rows.select(*columns, F.col("_home.s").alias("_shard"), F.col("_one")[0]["place"].alias("_place"), "size", "_one")
+    names = [*columns, "_shard", "_place"]
+    cut = rows.mapInArrow(_cut_text(names, "n_chars" in columns), T.StructType([rows.schema[c] for c in names]))
+    return cut.repartition("_shard", F.pmod("_place", F.lit(64))).sortWithinPartitions("_shard", "_place")
 
 
 @query("op10_mixing")

@@ -21,7 +21,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, window: int = WINDOW, max_open: int = MAX_OPEN, ranks:
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
 
-    def run(frames: Iterable[pd.DataFrame]):
+    def run(batches: Iterable[pa.RecordBatch]):
         encode = encoder(ranks, vocabulary).encode
         end = np.array([END], dtype="<u4").tobytes()
         packer = SumOfSquares(window, max_open)
@@ -183,16 +183,16 @@ def pack(docs: DataFrame, window: int = WINDOW, max_open: int = MAX_OPEN, ranks:
                 sequence += 1
 
         def flush():
-            pdf = pd.DataFrame(out, columns=names)
-            if kind in ("bigint", "int"):
-                pdf["doc_id"] = pdf["doc_id"].astype("Int64")
+            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
             out.clear()
-            return pdf
+            return batch
 
-        for pdf in frames:
-            for doc_id, text in zip(pdf["doc_id"].array, pdf["text"], strict=True):
+        types = [pa.null(), *[pa.int64()] * 6] + [pa.binary()] * with_ids
+        for b in batches:
+            types[0] = b.column(0).type
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = encode(text or "") + end
-                known[row] = (None if pd.isna(doc_id) else doc_id, len(ids) // 4)
+                known[row] = (doc_id, len(ids) // 4)
                 emit(packer.add(row, ids))
                 row += 1
             if out:
@@ -201,7 +201,7 @@ def pack(docs: DataFrame, window: int = WINDOW, max_open: int = MAX_OPEN, ranks:
         if out:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 @query("op4_packing")

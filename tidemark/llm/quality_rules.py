@@ -5,7 +5,7 @@ rejects) are estimated; rules then run in descending order of rejection per cost
 it. The verdict does not depend on the order, only the work does.
 
 Defined results: a null or empty text has no words and fails the first rule; equal rows are judged alike; an empty table gives no rows;
-columns of the input are kept, and those named like a result are replaced.
+columns of the input are kept as they are, and one named like a result gets the suffix ``_in`` (``keep_good`` gives the columns it got).
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from collections import Counter
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import SPACES, query, shielded, table
+from tidemark.llm.common import SPACES, make_room, query, shielded, table
 
 SYMBOLS = "#*$%&|<>"
 SAMPLE_FRACTION = 0.05
@@ -92,7 +93,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def estimate(docs: DataFrame, rules: dict[str, Rule] = RULES, fraction: float = SAMPLE_FRACTION, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(rule, seconds, texts, rejected) over a sample of at most ``rows`` texts; each rule is timed on a fresh text."""
+    """(rule, seconds, texts, rejected) over a sample of about ``rows`` texts (at most ``fraction`` of all), each timed where it lies; each rule is
+    timed on a fresh text."""
     def measure(frames: Iterable[pd.DataFrame]):
         for pdf in frames:
             out = []
@@ -103,7 +105,7 @@ def estimate(docs: DataFrame, rules: dict[str, Rule] = RULES, fraction: float =
                 out.append((name, time.perf_counter() - began, len(fresh), rejected))
             yield pd.DataFrame(out, columns=["rule", "seconds", "texts", "rejected"])
 
-    sample = docs.select("text").sample(False, fraction, 7).limit(rows)
+    sample = docs.select("text").sample(False, min(fraction, rows / max(docs.count(), 1)), 7)  # bounded before anything is shuffled
     parts = sample.mapInPandas(measure, "rule string, seconds double, texts long, rejected long")
     return parts.groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("seconds", "texts", "rejected")])
 
@@ -119,14 +121,15 @@ def cascade(docs: DataFrame, rules: dict[str, Rule] = RULES, order: list[str] |
     """The columns ``carry`` of ``docs`` (all) with kept (boolean), rules_run (int) and the measures asked for."""
     order = order or best_order(docs, rules)
     added = ["kept", "rules_run", *measures]
-    keep = [c for c in carry or docs.columns if c not in added]
+    docs = make_room(docs, added)
+    keep = list(carry or docs.columns)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("kept", T.BooleanType()), T.StructField("rules_run", T.IntegerType())]
                           + [T.StructField(m, T.LongType()) for m in measures])
 
-    def judge(frames: Iterable[pd.DataFrame]):
-        for pdf in frames:
+    def judge(batches: Iterable[pa.RecordBatch]):
+        for b in batches:
             verdicts, runs, values = [], [], []
-            for x in pdf["text"]:
+            for x in b.column(len(keep)).to_pylist():
                 t, n, ok = Text(x), 0, True
                 for name in order:
                     n += 1
@@ -136,13 +139,10 @@ def cascade(docs: DataFrame, rules: dict[str, Rule] = RULES, order: list[str] |
                 verdicts.append(ok)
                 runs.append(n)
                 values.append([getattr(t, m) for m in measures])
-            out = pdf[keep].copy()
-            out["kept"], out["rules_run"] = verdicts, pd.Series(runs, dtype="int32", index=out.index)
-            for i, m in enumerate(measures):
-                out[m] = pd.Series([v[i] for v in values], dtype="int64", index=out.index)
-            yield out
+            own = [pa.array(verdicts, pa.bool_()), pa.array(runs, pa.int32()), *[pa.array([v[i] for v in values], pa.int64()) for i in range(len(measures))]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *own], [*keep, *added])  # carried columns stay in Arrow
 
-    return docs.mapInPandas(judge, schema)
+    return docs.select(*keep, F.col("text").alias("__judged")).mapInArrow(judge, schema)
 
 
 BASE_SQL = r"""
@@ -176,4 +176,4 @@ def op2_quality_rules(spark, sf_dir):
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that no rule rejects."""
-    return shielded(docs, lambda d: cascade(d).filter("kept"))
+    return shielded(docs, lambda d: cascade(d).filter("kept").drop("kept", "rules_run"))
