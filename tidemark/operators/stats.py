@@ -1,7 +1,8 @@
 """Inference over groups of trades (STA).
 
-Resampling works on sums per (group, day), (group, coin) or (group, coin, day), never on single trades. Random draws
-are md5-derived, so any engine can repeat them. Draw tables have B x units rows and come from ``explode``.
+Resampling works on sums per (group, day), (group, coin) or (group, coin, day), never on single trades (``resample``). Random draws
+are md5-derived, so any engine can repeat them. The numbers of resamples are the rule's own: 10,000 for day blocks, 4,000 for coins
+times days and for blocks of trades, 5,000 for coins and for the maximum over cells.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import DAY, bucket, hash_u32, hash_unit, normal_sf, poisson1
+from tidemark.functions.scalar import DAY, bucket, hash_u32, normal_sf
+from tidemark.operators.resample import circular_blocks, numbered, poisson_sums, resampled_sums, with_replacement
 from tidemark.operators.slicing import quantiles_linear, running, width_or_layout
+from tidemark.session import cut_lineage
 
 
 def mean_se(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:
@@ -33,33 +36,20 @@ def cluster_se(df: DataFrame, group: Sequence[str], x: str, key: str, name: str
 
 def unit_sums(df: DataFrame, group: Sequence[str], unit: str, x: str) -> DataFrame:
     """Sum, count and 0-based index of every unit (day, month, coin) of a group, with the number of units ``D``."""
-    w = Window.partitionBy(*group)
     u = df.groupBy(*group, unit).agg(F.sum(x).alias("s"), F.count(x).alias("c"))
-    return u.withColumn("i", F.row_number().over(w.orderBy(unit)) - 1).withColumn("D", F.count("*").over(w))
-
-
-def block_draws(sizes: DataFrame, b: int, length: int, seed: str) -> DataFrame:
-    """Circular blocks: per row with a size ``D``, resample ``b`` times ceil(D / length) blocks cut to D units in all."""
-    nb = F.ceil(F.col("D") / length)
-    d = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn(
-        "p", F.explode(F.sequence(F.lit(0), (F.col("D") - 1).cast("int"))))
-    k, j = F.floor(F.col("p") / length), F.col("p") % length
-    start = hash_u32(seed, F.col("b"), k) % F.col("D")
-    return d.withColumn("i", ((start + j) % F.col("D")).cast("int")).drop("p")
+    return u.join(numbered(u, group, unit), [*group, unit])
 
 
 def block_bootstrap(df: DataFrame, group: Sequence[str], x: str, unit: str, b: int = 10_000, length: int = 2, seed: str = "bb") -> DataFrame:
     """STA-3: circular block bootstrap of the mean over time units: se, 2.5 % and 97.5 % points, units."""
     g = list(group)
-    u = unit_sums(df, g, unit, x)
-    draws = block_draws(u.select(*g, "D").distinct(), b, length, seed)
-    bm = draws.join(u.select(*g, "i", "s", "c"), [*g, "i"]).groupBy(*g, "b").agg(
-        (F.sum("s") / F.greatest(F.sum("c"), F.lit(1))).alias("m"), F.first("D").alias("D"))
-    return bm.groupBy(*g).agg(F.stddev_samp("m").alias("se_boot"), F.percentile("m", 0.025).alias("boot_lo"),
-                              F.percentile("m", 0.975).alias("boot_hi"), F.first("D").alias("units"))
+    u = cut_lineage(unit_sums(df, g, unit, x).withColumn("_one", F.lit(0)))
+    bm = resampled_sums(u, g, "_one", b, circular_blocks(seed, length)).withColumn("m", F.col("s") / F.greatest(F.col("c"), F.lit(1)))
+    out = bm.groupBy(*g).agg(F.stddev_samp("m").alias("se_boot"), F.percentile("m", 0.025).alias("boot_lo"), F.percentile("m", 0.975).alias("boot_hi"))
+    return out.join(u.groupBy(*g).agg(F.first("D").alias("units")), g)
 
 
-def moving_block_se(df: DataFrame, group: Sequence[str], x: str, order: Sequence[str], b: int, seed: str = "mb",
+def moving_block_se(df: DataFrame, group: Sequence[str], x: str, order: Sequence[str], b: int = 4000, seed: str = "mb",
                     slice_width: int | None = None) -> DataFrame:
     """STA-4: non-circular blocks of ceil(sqrt(n)) trades in time order; block sums are prefix-sum differences."""
     g = list(group)
@@ -77,24 +67,21 @@ def moving_block_se(df: DataFrame, group: Sequence[str], x: str, order: Sequence
     return bm.groupBy(*g).agg(F.stddev_samp("m").alias("se_block"))
 
 
-def pigeonhole_se(df: DataFrame, group: Sequence[str], x: str, coin: str, day: str, b: int, seed: str = "pg") -> DataFrame:
-    """STA-5: Poisson(1) weights per coin times per day. The expansion over b is reduced map-side to b rows per group."""
+def pigeonhole_se(df: DataFrame, group: Sequence[str], x: str, coin: str, day: str, b: int = 4000, seed: str = "pg") -> DataFrame:
+    """STA-5: Poisson(1) weights per coin times per day, drawn once for all groups."""
     g = list(group)
-    u = df.groupBy(*g, coin, day).agg(F.sum(x).alias("s"), F.count(x).alias("c"))
-    e = u.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    w = poisson1(hash_unit(seed, "c", F.col("b"), F.col(coin))) * poisson1(hash_unit(seed, "d", F.col("b"), F.col(day)))
-    bm = e.groupBy(*g, "b").agg(F.sum(w * F.col("s")).alias("s"), F.sum(w * F.col("c")).alias("c")).filter("c > 0")
-    return bm.groupBy(*g).agg(F.stddev_samp(F.col("s") / F.col("c")).alias("se_pigeon"))
+    u = df.groupBy(F.struct(*g).alias("_g"), coin, day).agg(F.sum(x).alias("s"), F.count(x).alias("c"))
+    ids = u.select("_g").distinct().withColumn("_cell", F.to_json("_g"))
+    bm = poisson_sums(u.withColumn("_cell", F.to_json("_g")), "_cell", coin, day, b, seed).filter("c > 0")
+    out = bm.groupBy("_cell").agg(F.stddev_samp(F.col("s") / F.col("c")).alias("se_pigeon"))
+    return out.join(ids, "_cell").select("_g.*", "se_pigeon")
 
 
-def coin_bootstrap(df: DataFrame, group: Sequence[str], x: str, coin: str, b: int, seed: str = "cb") -> DataFrame:
+def coin_bootstrap(df: DataFrame, group: Sequence[str], x: str, coin: str, b: int = 5000, seed: str = "cb") -> DataFrame:
     """STA-6: coins drawn with replacement, each with all its trades; 2.5 % and 97.5 % points."""
     g = list(group)
-    u = unit_sums(df, g, coin, x)
-    d = u.select(*g, "D", F.col("i").alias("k")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    d = d.withColumn("i", (hash_u32(seed, F.col("b"), F.col("k")) % F.col("D")).cast("int"))
-    w = d.groupBy(*g, "b", "i").agg(F.count("*").alias("w"))
-    bm = w.join(u.select(*g, "i", "s", "c"), [*g, "i"]).groupBy(*g, "b").agg((F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("c")))).alias("m"))
+    u = unit_sums(df, g, coin, x).withColumn("_one", F.lit(0))
+    bm = resampled_sums(u, g, "_one", b, with_replacement(seed)).withColumn("m", F.col("s") / F.greatest(F.col("c"), F.lit(1)))
     return bm.groupBy(*g).agg(F.percentile("m", 0.025).alias("coin_lo"), F.percentile("m", 0.975).alias("coin_hi"))
 
 
@@ -112,7 +99,7 @@ def inference(df: DataFrame, group: Sequence[str], x: str, coin: str, day: str,
         "upper95", m + 1.645 * F.col("se"))
 
 
-def summarize_calls(df: DataFrame, group: Sequence[str], x: str, caller: str, coin: str, day: str, order: Sequence[str], b: int = 2000) -> DataFrame:
+def summarize_calls(df: DataFrame, group: Sequence[str], x: str, caller: str, coin: str, day: str, order: Sequence[str], b: int = 4000) -> DataFrame:
     """STA-8: the largest of six standard errors and which one it was; below three rows only the mean."""
     g = list(group)
     out = (mean_se(df, g, x).join(cluster_se(df, g, x, caller, "se_caller"), g).join(cluster_se(df, g, x, coin, "se_coin"), g)
@@ -143,28 +130,17 @@ def paired_delta(pairs: DataFrame, group: Sequence[str], ret: str, twin: str, co
 def reality_check(df: DataFrame, cell: str, x: str, coin: str, day: str, b: int = 5000, seed: str = "rc") -> DataFrame:
     """STA-10: adjusted p per cell from the maximum over all cells, resampling day blocks and coins.
 
-    One set of weights per resample serves every cell; weights join sums per (cell, unit).
+    One set of weights per resample serves every cell. A cell without trades in the drawn units has mean 0.
     """
-    stat = mean_se(df, [cell], x).withColumn("t", F.try_divide("mean", "se_iid"))
+    stat = cut_lineage(mean_se(df, [cell], x).withColumn("t", F.try_divide("mean", "se_iid")))
     out = stat
-    for name, unit in (("day", day), ("coin", coin)):
-        units = df.select(unit).distinct().withColumn("_k", F.lit(0))
-        order = running(units, ["_k"], [unit], {"i": ("count", F.col(unit))}, bucket(unit, 4096)).select(unit, (F.col("i") - 1).alias("i"))
-        size = units.groupBy("_k").agg(F.count("*").alias("D"))
-        if name == "day":
-            w = block_draws(size, b, 2, seed).groupBy("b", "i").agg(F.count("*").alias("w"))
-        else:
-            spread = order.withColumnRenamed("i", "k").withColumn("D", size.select("D").scalar()).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-            w = spread.withColumn("i", hash_u32(seed, "c", F.col("b"), F.col("k")) % F.col("D")).groupBy("b", "i").agg(F.count("*").alias("w"))
-        sums = df.groupBy(cell, unit).agg(F.sum(x).alias("s"), F.count(x).alias("c")).join(order, unit)
-        # a cell without trades in the drawn units still has mean 0, so every (cell, b) pair must exist
-        hit = sums.join(w, "i").groupBy(cell, "b").agg(F.sum(F.col("w") * F.col("s")).alias("s"), F.sum(F.col("w") * F.col("c")).alias("c"))
-        grid = stat.select(cell, "mean", "se_iid").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-        full = grid.join(hit, [cell, "b"], "left")
-        bm = F.coalesce("s", F.lit(0.0)) / F.greatest(F.coalesce("c", F.lit(0)), F.lit(1))
-        peak = full.groupBy("b").agg(F.max(F.try_divide(bm - F.col("mean"), F.col("se_iid"))).alias("mx"))
+    for name, unit, weights in (("day", day, circular_blocks(seed, 2)), ("coin", coin, with_replacement(f"{seed}|c"))):
+        sums = df.groupBy(cell, unit).agg(F.sum(x).alias("s"), F.count(x).alias("c")).join(numbered(df, [], unit), unit).withColumn("_all", F.lit(0))
+        bm = resampled_sums(sums, ["_all"], cell, b, weights).join(stat.select(cell, "mean", "se_iid"), cell)
+        peak = cut_lineage(bm.groupBy("b").agg(F.max(F.try_divide(F.col("s") / F.greatest(F.col("c"), F.lit(1)) - F.col("mean"), F.col("se_iid"))).alias("mx")))
         tests = stat.select(cell, "t").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).join(peak, "b")
-        out = out.join(tests.groupBy(cell).agg(F.avg((F.col("mx") >= F.col("t")).cast("int")).alias(f"p_{name}")), cell)
+        tests = tests.groupBy(cell).agg(F.avg((F.col("mx") >= F.col("t")).cast("int")).alias("p"))
+        out = out.join(tests.withColumnRenamed("p", f"p_{name}"), cell)
     return out
 
 

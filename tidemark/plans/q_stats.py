@@ -208,7 +208,8 @@ def _(spark, sf):
 
 # ---- inference ----------------------------------------------------------------------------------------------
 
-B = 200
+#: Resamples, as the rule has them: day blocks; blocks of trades, coins times days; coins; maximum over cells.
+B, B_TRADES, B_COINS, B_MAX = 10_000, 4000, 5000, 5000
 
 
 def _cl(key: str, name: str, src: str = "t", x: str = "ret") -> str:
@@ -248,14 +249,14 @@ def _(spark, sf):
 MB = f"""o AS (SELECT cell, ret, row_number() OVER (PARTITION BY cell ORDER BY ts, pair) AS i FROM t), nn AS (SELECT cell, count(*) AS n FROM t GROUP BY cell),
 pf AS (SELECT cell, i, sum(ret) OVER (PARTITION BY cell ORDER BY i) AS P FROM o UNION ALL SELECT cell, 0, 0 FROM nn),
 bl AS (SELECT cell, n, L, b, k, ('0x' || substr(md5('mb|' || b || '|' || k), 1, 8))::BIGINT % (n - L + 1) AS st, least(L, n - k * L) AS len
-  FROM (SELECT cell, n, CAST(ceil(sqrt(n)) AS BIGINT) AS L FROM nn) q, range({B}) x(b), LATERAL (SELECT unnest(range(CAST(ceil(n / L) AS BIGINT))) AS k)),
+  FROM (SELECT cell, n, CAST(ceil(sqrt(n)) AS BIGINT) AS L FROM nn) q, range({B_TRADES}) x(b), LATERAL (SELECT unnest(range(CAST(ceil(n / L) AS BIGINT))) AS k)),
 mm AS (SELECT bl.cell, b, sum(z.P - a.P) / any_value(n) AS m FROM bl JOIN pf a ON a.cell = bl.cell AND a.i = st JOIN pf z ON z.cell = bl.cell AND z.i = st + len GROUP BY ALL),
 mb AS (SELECT cell, stddev_samp(m) AS se FROM mm GROUP BY cell)"""
 
 
 @query("sta_04_moving_block_se", ctes(TRADES, T2, MB) + "SELECT cell, round(se, 6) AS se_block FROM mb")
 def _(spark, sf):
-    return rnd(S.moving_block_se(t2(spark, sf), ["cell"], "ret", ["ts", "pair"], B), 6, "se_block")
+    return rnd(S.moving_block_se(t2(spark, sf), ["cell"], "ret", ["ts", "pair"], B_TRADES), 6, "se_block")
 
 
 def _pois(expr: str) -> str:
@@ -264,25 +265,25 @@ def _pois(expr: str) -> str:
     return "CASE " + " ".join(f"WHEN {u} < {c}::DOUBLE THEN {i}" for i, c in enumerate(cdf)) + " ELSE 8 END"
 
 
-PG = f"""pw AS (SELECT tok, b, {_pois("'pg|c|' || b || '|' || tok")} AS w FROM (SELECT DISTINCT tok FROM t), range(60) x(b)),
-pd AS (SELECT mon, b, {_pois("'pg|d|' || b || '|' || mon")} AS w FROM (SELECT DISTINCT mon FROM t), range(60) x(b)),
+PG = f"""pw AS (SELECT tok, b, {_pois("'pg|c|' || b || '|' || tok")} AS w FROM (SELECT DISTINCT tok FROM t), range({B_TRADES}) x(b)),
+pd AS (SELECT mon, b, {_pois("'pg|d|' || b || '|' || mon")} AS w FROM (SELECT DISTINCT mon FROM t), range({B_TRADES}) x(b)),
 pm AS (SELECT cell, b, sum(pw.w * pd.w * ret) / sum(pw.w * pd.w) AS m FROM t JOIN pw USING (tok) JOIN pd USING (mon, b) GROUP BY cell, b HAVING sum(pw.w * pd.w) > 0),
 pg AS (SELECT cell, stddev_samp(m) AS se FROM pm GROUP BY cell)"""
 
 
 @query("sta_05_pigeonhole_se", ctes(TRADES, T2, PG) + "SELECT cell, round(se, 6) AS se_pigeon FROM pg")
 def _(spark, sf):
-    return rnd(S.pigeonhole_se(t2(spark, sf), ["cell"], "ret", "tok", "mon", 60), 6, "se_pigeon")
+    return rnd(S.pigeonhole_se(t2(spark, sf), ["cell"], "ret", "tok", "mon", B_TRADES), 6, "se_pigeon")
 
 
 CB = f"""cu AS (SELECT cell, tok, sum(ret) AS s, count(*) AS c, row_number() OVER (PARTITION BY cell ORDER BY tok) - 1 AS i, count(*) OVER (PARTITION BY cell) AS D FROM t GROUP BY cell, tok),
-cd AS (SELECT cell, b, ('0x' || substr(md5('cb|' || b || '|' || i), 1, 8))::BIGINT % D AS i FROM cu, range(60) x(b)),
-cm AS (SELECT cd.cell, b, sum(s) / sum(c) AS m FROM cd JOIN cu ON cu.cell = cd.cell AND cu.i = cd.i GROUP BY ALL)"""
+cd AS (SELECT cell, b, ('0x' || substr(md5('cb|' || b || '|' || i), 1, 8))::BIGINT % D AS i FROM cu, range({B_COINS}) x(b)),
+cm AS (SELECT cd.cell, b, sum(s) / greatest(sum(c), 1) AS m FROM cd JOIN cu ON cu.cell = cd.cell AND cu.i = cd.i GROUP BY ALL)"""
 
 
 @query("sta_06_coin_bootstrap", ctes(TRADES, T2, CB) + "SELECT cell, round(quantile_cont(m, 0.025), 6) AS coin_lo, round(quantile_cont(m, 0.975), 6) AS coin_hi FROM cm GROUP BY cell")
 def _(spark, sf):
-    return rnd(S.coin_bootstrap(t2(spark, sf), ["cell"], "ret", "tok", 60), 6, "coin_lo", "coin_hi")
+    return rnd(S.coin_bootstrap(t2(spark, sf), ["cell"], "ret", "tok", B_COINS), 6, "coin_lo", "coin_hi")
 
 
 @query("sta_07_inference", ctes(TRADES, T2, _cl("tok", "sc"), _cl("mon", "sd"), BOOT, """
@@ -302,12 +303,8 @@ g AS (SELECT *, greatest(s0, s1, s2, s3, s4, s5) AS se FROM k)""") + """
 SELECT cell, n, round(m, 6) AS mean, round(se, 6) AS se, CASE se WHEN s0 THEN 'iid' WHEN s1 THEN 'caller' WHEN s2 THEN 'coin' WHEN s3 THEN 'day' WHEN s4 THEN 'pigeon' ELSE 'block' END AS se_winner,
   round(m - 1.96 * se, 6) AS ci_lo, round(m + 1.96 * se, 6) AS ci_hi FROM g""")
 def _(spark, sf):
-    d = t2(spark, sf)
-    g = ["cell"]
-    parts = (S.mean_se(d, g, "ret").join(S.cluster_se(d, g, "ret", "caller", "se_caller"), g).join(S.cluster_se(d, g, "ret", "tok", "se_coin"), g)
-             .join(S.cluster_se(d, g, "ret", "mon", "se_day"), g).join(S.pigeonhole_se(d, g, "ret", "tok", "mon", 60), g)
-             .join(S.moving_block_se(d, g, "ret", ["ts", "pair"], B), g))
-    return rnd(S.widest_error(parts), 6, "mean", "se", "ci_lo", "ci_hi").select("cell", "n", "mean", "se", "se_winner", "ci_lo", "ci_hi")
+    out = S.summarize_calls(t2(spark, sf), ["cell"], "ret", "caller", "tok", "mon", ["ts", "pair"], B_TRADES)
+    return rnd(out, 6, "mean", "se", "ci_lo", "ci_hi").select("cell", "n", "mean", "se", "se_winner", "ci_lo", "ci_hi")
 
 
 @query("sta_09_paired_delta", ctes(TRADES, T2, TWINS, TW, "dd AS (SELECT *, ret - twin_a AS d FROM tp WHERE twin_a IS NOT NULL)", _cl("tok", "sc", "dd", "d")) + """
@@ -321,16 +318,16 @@ def _(spark, sf):
 st AS (SELECT cell, avg(ret) AS m, stddev_samp(ret) / sqrt(count(*)) AS se FROM t GROUP BY cell),
 di AS (SELECT mon, row_number() OVER (ORDER BY mon) - 1 AS i, count(*) OVER () AS D FROM (SELECT DISTINCT mon FROM t)),
 ci AS (SELECT tok, row_number() OVER (ORDER BY tok) - 1 AS i, count(*) OVER () AS D FROM (SELECT DISTINCT tok FROM t)),
-wd AS (SELECT b, (('0x' || substr(md5('rc|' || b || '|' || (i // 2)), 1, 8))::BIGINT % D + i % 2) % D AS i, count(*) AS w FROM di, range(100) x(b) GROUP BY ALL),
-wc AS (SELECT b, ('0x' || substr(md5('rc|c|' || b || '|' || i), 1, 8))::BIGINT % D AS i, count(*) AS w FROM ci, range(100) x(b) GROUP BY ALL),
+wd AS (SELECT b, (('0x' || substr(md5('rc|' || b || '|' || (i // 2)), 1, 8))::BIGINT % D + i % 2) % D AS i, count(*) AS w FROM di, range({B_MAX}) x(b) GROUP BY ALL),
+wc AS (SELECT b, ('0x' || substr(md5('rc|c|' || b || '|' || i), 1, 8))::BIGINT % D AS i, count(*) AS w FROM ci, range({B_MAX}) x(b) GROUP BY ALL),
 bd AS (SELECT cell, b, sum(w * ret) AS s, sum(w) AS c FROM t JOIN di USING (mon) JOIN wd USING (i) GROUP BY ALL),
 bc AS (SELECT cell, b, sum(w * ret) AS s, sum(w) AS c FROM t JOIN ci USING (tok) JOIN wc USING (i) GROUP BY ALL),
-gr AS (SELECT cell, m, se, b FROM st, range(100) x(b)),
+gr AS (SELECT cell, m, se, b FROM st, range({B_MAX}) x(b)),
 md AS (SELECT gr.b, max((coalesce(s, 0) / greatest(coalesce(c, 0), 1) - m) / se) AS mx FROM gr LEFT JOIN bd ON bd.cell = gr.cell AND bd.b = gr.b GROUP BY gr.b),
 mc AS (SELECT gr.b, max((coalesce(s, 0) / greatest(coalesce(c, 0), 1) - m) / se) AS mx FROM gr LEFT JOIN bc ON bc.cell = gr.cell AND bc.b = gr.b GROUP BY gr.b)""") + """
 SELECT cell, round(m / se, 6) AS t, round((SELECT avg((mx >= m / se)::INT) FROM md), 6) AS p_day, round((SELECT avg((mx >= m / se)::INT) FROM mc), 6) AS p_coin FROM st""")
 def _(spark, sf):
-    return rnd(S.reality_check(t2(spark, sf), "cell", "ret", "tok", "mon", 100), 6, "t", "p_day", "p_coin").select("cell", "t", "p_day", "p_coin")
+    return rnd(S.reality_check(t2(spark, sf), "cell", "ret", "tok", "mon", B_MAX), 6, "t", "p_day", "p_coin").select("cell", "t", "p_day", "p_coin")
 
 
 CELLP = f"""cp AS (SELECT mon AS cell, count(*) AS n, avg(ret) AS m, stddev_samp(ret) / sqrt(count(*)) AS se FROM t GROUP BY mon),
