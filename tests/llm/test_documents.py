@@ -252,7 +252,7 @@ def test_language_model_base_and_known(spark, odd):
     want = sorted((str(r[0]), held, len(w), sum(c[x] > 0 for x in w), n, round(float(sum(np.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)), 4))
                   for r, w, held in zip(rows, words, out, strict=True))
     for head in (50, 1 << 16):  # most tokens through the join, or none
-        got = LM.score_documents(df, head=head, vocabulary=40, every=1, rounds=1).collect()
+        got = LM.score_documents(df, head=head, vocabulary=40, rounds=1).collect()
         assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == want
         assert all(r["score"] < 0 for r in got)
 

@@ -33,6 +33,12 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def texts(column, rows: int = 256):
+    """The Python values of an Arrow column, made a few rows at a time, so that a task never holds those of a whole batch."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def fold(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text modulo ``folds``; a null id counts as the empty text (0)."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")

@@ -4,8 +4,8 @@ Token counts over all training documents give the base: a smoothed unigram model
 own state and predicts the next token in two steps, its class and its place in the class (words of like frequency share a class). Its
 vocabulary is the most frequent ``vocabulary`` tokens and one entry for all others; another token's probability is that entry's times the
 token's smoothed share among those others, so every text has a probability. Training is truncated backpropagation through windows of
-``WINDOW`` steps: each partition trains from the common weights on its share of the training documents (all of them by default), the
-weights are averaged by tokens seen, and this is done ``rounds`` times. In scoring the state is carried from window to window to the end
+``WINDOW`` steps: each partition trains from the common weights on its share of the training documents, the
+weights are averaged by tokens seen, and this is done ``rounds`` times; scores depend on how the files are split, within what averaging evens out. In scoring the state is carried from window to window to the end
 of the document, so whole texts of any length are scored.
 
 Up to ``head`` of the most frequent tokens (of up to 64 bytes) are known to every task, so they are counted in place and no hot key is shuffled;
@@ -27,23 +27,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fold, query, table
+from tidemark.llm.common import fold, query, table, texts
 from tidemark.session import cut_lineage
 
 HELD_OUT = 1
 HEAD = 1 << 16
 STEPS = 16
-VOCABULARY = 4096
-WIDTH = 32
-CLASSES = 64
-WINDOW = 24
-SLOTS = 128
-SCORE_SLOTS = 512
-SCORE_WINDOW = 64
-EVERY = 1
-ROUNDS = 2
+VOCABULARY = 1024
+WIDTH = 16
+CLASSES = 32
+WINDOW = 16
+SLOTS = 512
+SCORE_SLOTS = 1024
+SCORE_WINDOW = 32
+LENGTHS = (512, 2048, 8192)  # tokens; documents between two of these are scored together
+ROUNDS = 1
 RATE = 0.01
 CHUNK = 1 << 13
+PIECE = 512
+FAN = 256  # weights averaged in one group
 FLUSH = 400_000
 END = ""  # no word is empty
 
@@ -60,7 +62,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
         seen: Counter[bytes] = Counter()
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text in texts(b.column(0)):
                 seen.update(words_of(text))
                 seen[b""] += 1
                 if len(seen) > FLUSH:
@@ -113,9 +115,14 @@ class GRU:
         tape = []
         for t in range(len(ids)):
             if reset[t].any():
-                h = np.where(reset[t][:, None], np.float32(0), h)
+                h = h.copy() if not t else h
+                h[reset[t]] = 0
             gh = h @ p["wh"]
-            gates = 1.0 / (1.0 + np.exp(-(gx[t, :, :2 * w] + gh[:, :2 * w])))
+            gates = gx[t, :, :2 * w] + gh[:, :2 * w]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += np.float32(1)
+            np.reciprocal(gates, out=gates)
             r, z = gates[:, :w], gates[:, w:]
             n = np.tanh(gx[t, :, 2 * w:] + r * gh[:, 2 * w:])
             if keep:
@@ -141,24 +148,30 @@ class GRU:
             grads["wc"], grads["bc"] = h.T @ d, d.sum(axis=0)
             dh = d @ p["wc"].T
             grads["ww"], grads["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
+        # one sort by class, then every class is a run of rows
         order = np.argsort(c, kind="stable")
         cut = np.searchsorted(c[order], np.arange(len(self.bounds)))
+        sorted_h, sorted_t, inner = h[order], target[order], np.zeros(len(h), np.float32)
+        back = np.zeros_like(h) if grads is not None else None
         for k in range(len(self.bounds) - 1):
-            lo, hi = self.bounds[k], self.bounds[k + 1]
-            at = order[cut[k]:cut[k + 1]]
-            if not len(at) or hi - lo == 1:
+            lo, hi, a, z = self.bounds[k], self.bounds[k + 1], cut[k], cut[k + 1]
+            if a == z or hi - lo == 1:
                 continue
-            g = h[at] @ p["ww"][lo:hi].T + p["bw"][lo:hi]
+            g = sorted_h[a:z] @ p["ww"][lo:hi].T + p["bw"][lo:hi]
             g -= g.max(axis=1, keepdims=True)
-            e = np.exp(g)
+            j, r = sorted_t[a:z] - lo, np.arange(z - a)
+            own = g[r, j]
+            e = np.exp(g, out=g)
             total = e.sum(axis=1)
-            j, r = target[at] - lo, np.arange(len(at))
-            out[at] += g[r, j] - np.log(total)
+            inner[a:z] = own - np.log(total)
             if grads is not None:
                 d = e / total[:, None]
                 d[r, j] -= 1.0
-                grads["ww"][lo:hi], grads["bw"][lo:hi] = d.T @ h[at], d.sum(axis=0)
-                dh[at] += d @ p["ww"][lo:hi]
+                grads["ww"][lo:hi], grads["bw"][lo:hi] = d.T @ sorted_h[a:z], d.sum(axis=0)
+                back[a:z] = d @ p["ww"][lo:hi]
+        out[order] += inner
+        if grads is not None:
+            dh[order] += back
         return out, dh
 
     def gradients(self, ids, target, live, reset, h):
@@ -187,7 +200,9 @@ class GRU:
         flat_in, flat_g = ids.ravel(), dgx.reshape(-1, 3 * w)
         g["wx"], g["b"] = p["emb"][flat_in].T @ flat_g, flat_g.sum(axis=0)
         g["emb"] = np.zeros_like(p["emb"])
-        np.add.at(g["emb"], flat_in, flat_g @ p["wx"].T)
+        order = np.argsort(flat_in, kind="stable")
+        first = np.flatnonzero(np.diff(flat_in[order], prepend=-1))
+        g["emb"][flat_in[order[first]]] = np.add.reduceat((flat_g @ p["wx"].T)[order], first, axis=0)
         return -float(lp.sum()), {k: v / n for k, v in g.items()}, last
 
 
@@ -213,33 +228,62 @@ def lay_out(docs: list[np.ndarray], slots: int, end: int):
     return ids, target, live, reset, place
 
 
-def train_on(net: GRU, docs: list[np.ndarray], end: int, rate: float = RATE, window: int = WINDOW, slots: int = SLOTS) -> int:
-    """One pass of Adam with truncated backpropagation; returns the tokens seen."""
-    ids, target, live, reset, _ = lay_out(docs, slots, end)
+class Adam:
+    """Adam's moments, kept over all the texts of a partition. Embeddings of items that a window does not hold wait."""
+
+    def __init__(self, net: GRU, rate: float = RATE):
+        self.rate, self.step = rate, 0
+        self.m = {k: np.zeros_like(v) for k, v in net.p.items()}
+        self.v = {k: np.zeros_like(v) for k, v in net.p.items()}
+
+    def update(self, net: GRU, grads: dict[str, np.ndarray], held: np.ndarray, share: float = 1.0) -> None:
+        """One step; a window of which only a ``share`` of the slots is left takes a step so much shorter."""
+        self.step += 1
+        norm = np.sqrt(sum(float(np.vdot(x, x)) for x in grads.values()))
+        scale = np.float32(min(1.0, 5.0 / (norm + 1e-9)))
+        rate, root = np.float32(self.rate * share / (1 - 0.9**self.step)), np.float32(1 / np.sqrt(1 - 0.99**self.step))
+        for k, x in grads.items():
+            at = held if k == "emb" else slice(None)
+            x = x[at] * scale
+            m = self.m[k][at] * np.float32(0.9) + x * np.float32(0.1)
+            v = self.v[k][at] * np.float32(0.99) + x * x * np.float32(0.01)
+            self.m[k][at], self.v[k][at] = m, v
+            net.p[k][at] -= rate * m / (np.sqrt(v) * root + np.float32(1e-6))
+
+
+def train_on(net: GRU, docs: list[np.ndarray], end: int, adam: Adam | None = None, window: int = WINDOW, slots: int = SLOTS) -> int:
+    """One pass with truncated backpropagation; returns the tokens seen.
+
+    Texts are laid out in pieces of ``PIECE`` tokens that start from an empty state, so that no slot outlasts the others with a long text and
+    the last windows are as full as the first. Every token is a target once.
+    """
+    adam = adam or Adam(net)
+    pieces = [d[i:i + PIECE] for d in docs for i in range(0, len(d), PIECE)]
+    ids, target, live, reset, _ = lay_out(pieces, min(slots, max(1, sum(map(len, pieces)) // (8 * window))), end)
     h = np.zeros((ids.shape[1], net.p["wh"].shape[0]), np.float32)
-    m = {k: np.zeros_like(v) for k, v in net.p.items()}
-    v = {k: np.zeros_like(x) for k, x in net.p.items()}
-    step, active = 0, np.arange(ids.shape[1])
+    active = np.arange(ids.shape[1])
     for lo in range(0, len(ids), window):
         s = slice(lo, lo + window)
         some = live[s, active].any(axis=0)  # slots that have run out leave the window; they have no gradient
         active, h = active[some], h[some]
         _, g, h = net.gradients(ids[s, active], target[s, active], live[s, active], reset[s, active], h)
-        step += 1
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-        scale = min(1.0, 5.0 / (norm + 1e-9))
-        for k, x in g.items():
-            x = x * scale
-            m[k] = 0.9 * m[k] + 0.1 * x
-            v[k] = 0.99 * v[k] + 0.01 * x * x
-            net.p[k] -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+        adam.update(net, g, np.unique(ids[s, active]), len(active) / ids.shape[1])
     return int(live.sum())
 
 
 def score_all(net: GRU, docs: list[np.ndarray], end: int) -> np.ndarray:
-    """log10 probability of every document."""
-    if not docs:
-        return np.zeros(0)
+    """log10 probability of every document. Documents of like length are laid out together, so that few steps run with idle slots."""
+    out = np.zeros(len(docs))
+    size = np.array([len(d) for d in docs], dtype=np.int64)
+    for lo, hi in zip((0, *LENGTHS), (*LENGTHS, 1 << 62), strict=True):
+        at = np.flatnonzero((size > lo) & (size <= hi))
+        if len(at):
+            out[at] = _score(net, [docs[i] for i in at], end)
+    return out / np.log(10.0)
+
+
+def _score(net: GRU, docs: list[np.ndarray], end: int) -> np.ndarray:
+    """Natural log probability of every document of one layout; the state is carried from block to block."""
     ids, target, live, reset, place = lay_out(docs, SCORE_SLOTS, end)
     lp = np.zeros(ids.shape, np.float64)
     h = np.zeros((ids.shape[1], net.p["wh"].shape[0]), np.float32)
@@ -253,7 +297,7 @@ def score_all(net: GRU, docs: list[np.ndarray], end: int) -> np.ndarray:
         part = np.zeros(on.shape)
         part[on], _ = net.log_probs(states[on], target[lo:hi, active][on])
         lp[lo:hi, active] = part
-    return np.array([lp[at:at + len(d), i].sum() for d, (i, at) in zip(docs, place, strict=True)]) / np.log(10.0)
+    return np.array([lp[at:at + len(d), i].sum() for d, (i, at) in zip(docs, place, strict=True)])
 
 
 class Lexicon:
@@ -298,36 +342,46 @@ def lexicon(counts: DataFrame, head: int = HEAD, vocabulary: int = VOCABULARY) -
     return Lexicon(rows, s["n"] or 0, s["v"], vocabulary)
 
 
-def train(docs: DataFrame, lex: Lexicon, every: int = EVERY, rounds: int = ROUNDS) -> np.ndarray:
-    """Averaged weights after ``rounds`` rounds over every ``every``-th training document."""
-    sample = docs.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(every)) == 0).select("text")
+def train(docs: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> np.ndarray:
+    """Averaged weights after ``rounds`` rounds over all training documents. Every partition trains from the common weights on its texts, in the
+    order and Arrow batches they come in; the optimiser's state lasts for the partition."""
     flat = GRU(lex.mass).flat()
+    parts = docs.select("text")
 
     for _ in range(rounds):
         start = flat
 
         def fit(batches: Iterable[pa.RecordBatch], start=start):
             net, seen = GRU(lex.mass).load(start), 0
+            adam = Adam(net)
             for b in batches:
-                docs = [lex.targets(words_of(t)) for t in b.column(0).to_pylist()]
+                docs = [lex.targets(words_of(t)) for t in texts(b.column(0))]
                 if docs:
-                    seen += train_on(net, docs, lex.end)
+                    seen += train_on(net, docs, lex.end, adam)
             if seen:
                 out = net.flat().astype(np.float32)
                 parts = [out[i:i + CHUNK].tobytes() for i in range(0, len(out), CHUNK)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())],
-                                                 ["chunk", "seen", "part"])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([TaskContext.get().partitionId()] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()),
+                    pa.array([float(seen)] * len(parts)), pa.array(parts, pa.binary())], ["pid", "chunk", "seen", "part"])
 
         def average(pdf: pd.DataFrame) -> pd.DataFrame:
             total, weight = 0.0, 0.0
             for seen, part in zip(pdf["seen"], pdf["part"], strict=True):
                 total = total + np.frombuffer(part, np.float32).astype(np.float64) * seen
                 weight += seen
-            return pd.DataFrame({"chunk": [int(pdf["chunk"].iloc[0])], "part": [(total / weight).astype(np.float32).tobytes()]})
-
-        parts = sample.mapInArrow(fit, "chunk int, seen double, part binary").groupBy("chunk").applyInPandas(average, "chunk int, part binary").collect()
-        if parts:
-            flat = np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(parts, key=lambda r: r["chunk"])])
+            return pd.DataFrame({"pid": [int(pdf["pid"].iloc[0]) // FAN], "chunk": [int(pdf["chunk"].iloc[0])], "seen": [weight],
+                                 "part": [(total / weight).astype(np.float32).tobytes()]})
+
+        schema = "pid long, chunk int, seen double, part binary"
+        weights = cut_lineage(parts.mapInArrow(fit, schema))
+        most = weights.agg(F.max("pid").alias("p")).first()["p"]
+        while most:  # no group averages the weights of more than ``FAN`` partitions
+            weights = cut_lineage(weights.groupBy("chunk", F.expr(f"pid div {FAN}").alias("_g")).applyInPandas(lambda _, pdf: average(pdf), schema))
+            most //= FAN
+        rows = weights.collect()  # one model
+        if rows:
+            flat = np.concatenate([np.frombuffer(r["part"], np.float32) for r in sorted(rows, key=lambda r: r["chunk"])])
     return flat
 
 
@@ -343,7 +397,7 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, flat: np.ndarray) ->
         lift = lex.log_count - lex.rest_norm  # log10 share of a head word outside the vocabulary among the others
         for b in batches:
             targets, base, known, rest, n, tail_w, tail_n = [], [], [], [], [], [], []
-            for text in b.column("text").to_pylist():
+            for text in texts(b.column("text")):
                 words = words_of(text)
                 words.append(b"")
                 at = np.fromiter((index(w, -1) for w in words), np.int64, len(words))
@@ -382,12 +436,12 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, flat: np.ndarray) ->
         (F.col("own") + F.col("log") - F.col("k") * lex.rest_norm).alias("score"))
 
 
-def score_documents(docs: DataFrame, head: int = HEAD, vocabulary: int = VOCABULARY, every: int = EVERY, rounds: int = ROUNDS) -> DataFrame:
+def score_documents(docs: DataFrame, head: int = HEAD, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
     """Counts, training and scoring of one table of documents."""
     train_docs = docs.filter(fold(F.col("doc_id")) != HELD_OUT)
     counts = cut_lineage(token_counts(train_docs))
     lex = lexicon(counts, head, vocabulary)
-    return score(docs, counts, lex, train(train_docs, lex, every, rounds))
+    return score(docs, counts, lex, train(train_docs, lex, rounds))
 
 
 @query("op5_language_model")

@@ -208,28 +208,40 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     return rows.select(*keep, "size", "source_size", "target", pieces.alias("pieces"))
 
 
-def _cut_text(names: list[str], has_chars: bool):
-    """Arrow rows (.., text, .., size, _one: pieces of one pass and shard) to the text of those pieces; neighbours run on, gaps become a line break."""
-    def cut(text: str, size: int, pieces: list[dict]) -> str:
-        if sum(p["length"] for p in pieces) == size:
-            return text
-        at = [m.span() for m in re.finditer(WORD, text)]
-        runs: list[list[int]] = []
-        for p in sorted(pieces, key=lambda p: p["start"]):
-            if runs and runs[-1][1] == p["start"]:
-                runs[-1][1] += p["length"]
-            else:
-                runs.append([p["start"], p["start"] + p["length"]])
-        return "\n".join(text[at[a][0]:at[b - 1][1]] for a, b in runs)
+def _cut_text(names: list[str]):
+    """Arrow rows (.., text, size, pieces) to a row per pass and shard with the text of its pieces; neighbours run on, gaps become a line break.
+
+    A text's words are found once, however many pieces it has; the other columns stay in Arrow and are repeated as they are.
+    """
+    def cut(text: str, size: int, pieces: list[dict]):
+        homes: dict[tuple, list[dict]] = {}
+        for p in pieces:
+            homes.setdefault((p["pass"], p["shard"]), []).append(p)
+        at = None
+        for (_, shard), some in homes.items():
+            if sum(p["length"] for p in some) == size:
+                yield shard, some[0]["place"], text
+                continue
+            at = at or [m.span() for m in re.finditer(WORD, text)]
+            runs: list[list[int]] = []
+            for p in sorted(some, key=lambda p: p["start"]):
+                if runs and runs[-1][1] == p["start"]:
+                    runs[-1][1] += p["length"]
+                else:
+                    runs.append([p["start"], p["start"] + p["length"]])
+            yield shard, some[0]["place"], "\n".join(text[at[a][0]:at[b - 1][1]] for a, b in runs)
 
     def run(batches):
         for b in batches:
-            columns = dict(zip(b.schema.names, b.columns, strict=True))
-            texts = [cut(*x) for x in zip(*[columns[c].to_pylist() for c in ("text", "size", "_one")], strict=True)]
-            columns["text"] = pa.array(texts, pa.string())
-            if has_chars:
-                columns["n_chars"] = pa.array([len(t) for t in texts], columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)  # the other columns stay in Arrow
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                columns = dict(zip(part.schema.names, part.columns, strict=True))
+                rows = [(i, *x) for i, r in enumerate(zip(*[columns[c].to_pylist() for c in ("text", "size", "pieces")], strict=True)) for x in cut(*r)]
+                take = pa.array([r[0] for r in rows], pa.int64())
+                made = {"_shard": pa.array([r[1] for r in rows], pa.int32()), "_place": pa.array([r[2] for r in rows], pa.int64()), "text": pa.array([r[3] for r in rows], pa.string())}
+                if "n_chars" in names:
+                    made["n_chars"] = pa.array([len(r[3]) for r in rows], columns["n_chars"].type)
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else columns[c].take(take) for c in names], names)
     return run
 
 
@@ -244,13 +256,10 @@ def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
 def by_shard(docs: DataFrame, **kwargs) -> DataFrame:
     """``mixed_documents`` with ``_shard`` and ``_place``; ``docs`` has document columns only."""
     columns = docs.columns
-    mixed = mix(docs, **kwargs)
-    homes = F.array_distinct(F.transform("pieces", lambda p: F.struct(p["pass"].alias("e"), p["shard"].alias("s"))))  # at most passes x shards
-    rows = mixed.withColumn("_home", F.explode(homes)).withColumn("_one", F.filter(
-        "pieces", lambda p: (p["pass"] == F.col("_home.e")) & (p["shard"] == F.col("_home.s"))))
-    rows = rows.select(*columns, F.col("_home.s").alias("_shard"), F.col("_one")[0]["place"].alias("_place"), "size", "_one")
+    rows = mix(docs, **kwargs).filter(F.size("pieces") > 0).select(*columns, "size", "pieces")
     names = [*columns, "_shard", "_place"]
-    cut = rows.mapInArrow(_cut_text(names, "n_chars" in columns), T.StructType([rows.schema[c] for c in names]))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_shard", T.IntegerType()), T.StructField("_place", T.LongType())])
+    cut = rows.mapInArrow(_cut_text(names), schema)
     return cut.repartition("_shard", F.pmod("_place", F.lit(64))).sortWithinPartitions("_shard", "_place")
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import query, table
+from tidemark.llm.common import query, table, texts
 
 WINDOW = 1024
 END = 0
@@ -190,7 +190,7 @@ def pack(docs: DataFrame, window: int = WINDOW, max_open: int = MAX_OPEN, ranks:
         types = [pa.null(), *[pa.int64()] * 6] + [pa.binary()] * with_ids
         for b in batches:
             types[0] = b.column(0).type
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
                 ids = encode(text or "") + end
                 known[row] = (doc_id, len(ids) // 4)
                 emit(packer.add(row, ids))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import SPACES, make_room, query, shielded, table
+from tidemark.llm.common import SPACES, make_room, query, shielded, table, texts
 
 SYMBOLS = "#*$%&|<>"
 SAMPLE_FRACTION = 0.05
@@ -129,7 +129,7 @@ def cascade(docs: DataFrame, rules: dict[str, Rule] = RULES, order: list[str] |
     def judge(batches: Iterable[pa.RecordBatch]):
         for b in batches:
             verdicts, runs, values = [], [], []
-            for x in b.column(len(keep)).to_pylist():
+            for x in texts(b.column(len(keep))):
                 t, n, ok = Text(x), 0, True
                 for name in order:
                     n += 1
