@@ -199,10 +199,15 @@ def stream_holes(df: DataFrame, gap: int, width: int = 3600, slice_len: int = 24
     return holes.filter(F.col("to_ts") - F.col("from_ts") >= gap)
 
 
+SHARES = 64
+
+
 def truncate_at_holes(pos: DataFrame, holes: DataFrame, entry: str, exit_: str, slice_width: int | None = None) -> DataFrame:
     """CLN-6: positions that a hole begins inside of get status ``trunc`` and end where the hole begins."""
-    h = holes.select(F.lit(0).alias("_k"), F.col("from_ts"))
-    got = J.asof_forward(pos.withColumn("_k", F.lit(0)), h, ["_k"], "_h", left_ts=entry, right_ts="from_ts", slice_width=slice_width)
+    # holes are few; each is copied to every share of the positions, so that no task holds all positions of a time
+    h = holes.select(F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("_k"), F.col("from_ts"))
+    share = F.pmod(F.xxhash64(*[F.col(c) for c in pos.columns]), F.lit(SHARES)).cast("int")
+    got = J.asof_forward(pos.withColumn("_k", share), h, ["_k"], "_h", left_ts=entry, right_ts="from_ts", slice_width=slice_width)
     cut = F.col("_h.from_ts") < F.col(exit_)
     return got.withColumn("status", F.when(cut, "trunc").otherwise("ok")).withColumn(
         "end_ts", F.when(cut, F.col("_h.from_ts")).otherwise(F.col(exit_))).drop("_k", "_h")

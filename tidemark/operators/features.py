@@ -15,6 +15,7 @@ from tidemark.functions.scalar import DAY, HOUR, bucket, float32
 from tidemark.operators import joins as J
 from tidemark.operators.ranges import first_crossing, range_extreme
 from tidemark.operators.slicing import last_n, ordered_fold, quantiles_linear, running, trailing, width_or_layout
+from tidemark.session import cut_lineage
 
 ORDER = ("ts", "blk", "li")
 
@@ -69,8 +70,9 @@ def unknown_pools(df: DataFrame, known: DataFrame, key: str, ks: Sequence[int] =
     """AGG-4: ids missing from the table with counts and first / last block, and the share the biggest ``ks`` hold."""
     miss = df.join(known.select(key).distinct(), key, "left_anti").groupBy(key).agg(
         F.count("*").alias("n"), F.min("blk").alias("first_blk"), F.max("blk").alias("last_blk"))
-    ranked = running(miss.withColumn("_neg", -F.col("n")), [], ["_neg", key], {"_rk": ("count", F.col("n"))},
-                     -F.floor(F.log2(F.col("n")) * 8))
+    # slices are ranges of (n, id), so the long tail of ids seen once is many of them
+    parts = cut_lineage(miss.withColumn("_neg", -F.col("n")).repartitionByRange("_neg", key).withColumn("_s", F.spark_partition_id().cast("long")))
+    ranked = running(parts, [], ["_neg", key], {"_rk": ("count", F.col("n"))}, F.col("_s")).drop("_s")
     share = ranked.agg(*[F.try_divide(F.sum(F.when(F.col("_rk") <= k, F.col("n"))), F.sum("n")).alias(f"s{k}") for k in ks])
     return ranked.drop("_neg").withColumnRenamed("_rk", "rank").select(
         key, "n", "first_blk", "last_blk", "rank", *[share.select(f"s{k}").scalar().alias(f"top{k}_share") for k in ks])

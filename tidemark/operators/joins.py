@@ -210,9 +210,14 @@ def state_by_pool_at(
     max_age: int = 1800, tie: Sequence[str] = ("blk", "li"), columns: Sequence[str] = ("ts", "px", "usd"),
     strict: bool = False, slice_width: int | None = None,
 ) -> DataFrame:
-    """JON-7: one row per (left row, pool of its token) with the pool's last state, if fresh enough."""
-    pools = prints.select(tok, pool).distinct()
-    probes = left.drop(pool).join(pools, tok)
+    """JON-7: one row per (left row, pool of its token that printed within ``max_age``) with the pool's last state.
+
+    A presence index (token, interval of ``max_age``, pool) says which pools can be fresh at a time: those that printed in its interval or the one
+    before. So a row meets the live pools only, however many dead ones its token has.
+    """
+    at = F.explode(F.array(bucket("ts", max_age), bucket("ts", max_age) + 1)).alias("_at")
+    present = prints.select(tok, pool, at).distinct()
+    probes = left.drop(pool).withColumn("_at", bucket(left_ts, max_age)).join(present, [tok, "_at"]).drop("_at")
     got = asof_backward(probes, prints, [tok, pool], "state", max_age, strict, left_ts, "ts", tie, columns, slice_width)
     return got.filter(F.col("state").isNotNull())
 

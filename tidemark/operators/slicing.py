@@ -34,20 +34,11 @@ LADDER = (30 * 86400, 5 * 86400, 86400, 6 * 3600, 3600, 600, 60, 10, 1)
 
 def pick_slice_width(df: DataFrame, key: Sequence[str], ts: str, max_rows: int = 2_000_000) -> int:
     """Widest step of ``LADDER`` whose fullest (key, slice) stays below ``max_rows`` (one bounded job)."""
-    width = LADDER[-1]
-    fine = df.groupBy(*key, bucket(ts, LADDER[-2]).alias("_b")).count()
-    maxima = [
-        fine.groupBy(*key, F.floor(F.col("_b") * LADDER[-2] / w).alias("_w")).agg(F.sum("count").alias("n"))
-        .agg(F.max("n").alias("n")).select(F.lit(w).alias("w"), "n")
-        for w in LADDER[:-1]
-    ]
-    table = maxima[0]
-    for m in maxima[1:]:
-        table = table.unionByName(m)
-    for row in table.orderBy(F.desc("w")).collect():
-        if (row["n"] or 0) <= max_rows:
-            return int(row["w"])
-    return width
+    steps = F.array(*[F.struct(F.lit(w).alias("w"), F.floor(F.col("_b") * LADDER[-2] / w).alias("at")) for w in LADDER[:-1]])
+    fine = df.groupBy(*key, bucket(ts, LADDER[-2]).alias("_b")).count().select(*key, "count", F.explode(steps).alias("_s"))
+    full = fine.groupBy(*key, "_s").agg(F.sum("count").alias("n")).groupBy(F.col("_s.w").alias("w")).agg(F.max("n").alias("n"))
+    rows = full.collect()  # a row a step
+    return int(max((r["w"] for r in rows if r["n"] <= max_rows), default=LADDER[-1] if rows else LADDER[0]))
 
 
 _measured: dict[int, int] = {}
@@ -286,36 +277,51 @@ def ordered_fold(
 # ---------------------------------------------------------------------------------------------------------
 # order statistics
 
+def _narrow(vals: DataFrame, parent: list[str], part: str, targets: DataFrame) -> DataFrame:
+    """Targets (parent, n, _lo, _name, _pos) moved down to the ``part`` of the parent that holds their position; ``_lo`` counts what lies before it.
+
+    Also gives ``_mn`` and ``_mx`` of the part.
+    """
+    hist = vals.groupBy(*parent, part).agg(F.sum("_c").alias("_c"), F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
+    upto = Window.partitionBy(*parent).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)
+    hist = hist.select(*parent, part, "_mn", "_mx", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), "_c")
+    got = hist.join(targets, parent) if parent else hist.crossJoin(F.broadcast(targets))  # as many rows as ranks are asked for
+    at = F.col("_lo") + F.col("_before")
+    return got.filter((F.col("_pos") >= at) & (F.col("_pos") < at + F.col("_c"))).select(*parent, part, "n", at.alias("_lo"), "_name", "_pos", "_mn", "_mx")
+
+
+PARTS = 1 << 14  # parts that the bucket of a rank is cut into before anything is ordered
+
+
 def rank_select(df: DataFrame, group: Sequence[str], x: str, ranks: dict[str, Column]) -> DataFrame:
     """Exact elements of each group's ascending order; ``ranks`` maps names to 0-based positions in terms of ``n``.
 
-    Equal values are counted before anything is shuffled by group, a histogram of order-preserving buckets
-    finds the bucket of each position, and only those buckets are ordered. No group is collected.
+    Equal values are counted before anything is shuffled by group. A histogram of order-preserving buckets (about 1 % wide) finds the
+    bucket of each position, a second one of ``PARTS`` parts between the bucket's least and largest value finds the part, and only those parts are
+    ordered: a price pegged within one percent is not one window. No group is collected.
     """
     group = list(group)
     vals = df.filter(F.col(x).isNotNull()).groupBy(*group, F.col(x).alias("_x")).agg(F.count("*").alias("_c"))
     vals = vals.withColumn("_b", monotone_bucket(F.col("_x").cast("double")))
-    hist = vals.groupBy(*group, "_b").agg(F.sum("_c").alias("_c"))
-    wg = Window.partitionBy(*group)
-    wb = wg.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    hist = hist.select(*group, "_b", F.sum("_c").over(wg).alias("n"), F.sum("_c").over(wb).alias("_hi"), "_c")
-    hist = hist.withColumn("_lo", F.col("_hi") - F.col("_c"))
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), r.cast("long").alias("pos")) for name, r in ranks.items()])
-    targets = (hist.withColumn("_t", F.explode(wanted))
-               .filter((F.col("_t.pos") >= F.col("_lo")) & (F.col("_t.pos") < F.col("_hi")))
-               .select(*group, "_b", "n", "_lo", F.col("_t.name").alias("_name"), F.col("_t.pos").alias("_pos")))
-    per_bucket = targets.groupBy(*group, "_b", "n", "_lo").agg(
-        F.collect_list(F.struct("_name", "_pos")).alias("_want"))  # at most len(ranks) entries
-    cum = Window.partitionBy(*group, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    inside = (vals.join(per_bucket, [*group, "_b"])
-              .withColumn("_end", F.col("_lo") + F.sum("_c").over(cum))
-              .withColumn("_w", F.explode("_want"))
-              .filter((F.col("_w._pos") < F.col("_end")) & (F.col("_w._pos") >= F.col("_end") - F.col("_c"))))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), r.cast("long").alias("pos")) for name, r in ranks.items()])
+    sizes = vals.groupBy(*group).agg(F.sum("_c").alias("n")).withColumn("_t", F.explode(wanted))
+    targets = sizes.select(*group, "n", F.lit(0).cast("long").alias("_lo"), F.col("_t.name").alias("_name"), F.col("_t.pos").alias("_pos"))
+    first = _narrow(vals, group, "_b", targets)
+    bounds = first.select(*group, "_b", "_mn", "_mx").distinct()  # at most as many as ranks a group
+    span = F.col("_mx").cast("double") - F.col("_mn").cast("double")
+    part = F.when(span > 0, F.floor((F.col("_x").cast("double") - F.col("_mn").cast("double")) / span * (PARTS - 1))).otherwise(0).cast("int")
+    inside = vals.join(bounds, [*group, "_b"]).withColumn("_p", part).drop("_mn", "_mx")
+    second = _narrow(inside, [*group, "_b"], "_p", first.drop("_mn", "_mx")).drop("_mn", "_mx")
+    want = second.groupBy(*group, "_b", "_p", "n", "_lo").agg(F.collect_list(F.struct("_name", "_pos")).alias("_want"))  # at most len(ranks) entries
+    cum = Window.partitionBy(*group, "_b", "_p").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    found = (inside.join(want, [*group, "_b", "_p"])
+             .withColumn("_end", F.col("_lo") + F.sum("_c").over(cum))
+             .withColumn("_w", F.explode("_want"))
+             .filter((F.col("_w._pos") < F.col("_end")) & (F.col("_w._pos") >= F.col("_end") - F.col("_c"))))
     picks = [F.max(F.when(F.col("_w._name") == name, F.col("_x"))).alias(name) for name in ranks]
     if not group:
-        return inside.agg(F.max("n").alias("n"), *picks)
-    return inside.groupBy(*group).agg(F.max("n").alias("n"), *picks)
+        return found.agg(F.max("n").alias("n"), *picks)
+    return found.groupBy(*group).agg(F.max("n").alias("n"), *picks)
 
 
 def quantiles_linear(df: DataFrame, group: Sequence[str], x: str, ps: dict[str, float]) -> DataFrame:

@@ -31,9 +31,14 @@ def _(spark, sf):
     return X.run_available(stape(spark, sf).select("blk", "ts", "tok", "pool", "px", "usd"))
 
 
-@query("str_01_watermarked_tape", ctes(TAPE) + "SELECT blk, ts FROM tape")
+#: Rows that the watermark has passed when the stream has read all there is.
+DUE = "due AS (SELECT event_id AS blk FROM events WHERE epoch_us(ts) < (SELECT us FROM wm))"
+
+
+@query("str_01_watermarked_tape", ctes(TAPE, WM, DUE) + """
+SELECT blk, ts, row_number() OVER (PARTITION BY tok ORDER BY ts, blk) - 1 AS seq FROM tape WHERE blk IN (SELECT blk FROM due)""")
 def _(spark, sf):
-    return X.run_available(X.watermarked_tape(stape(spark, sf)).select("blk", "ts"))
+    return X.run_available(X.ordered_tape(stape(spark, sf), ["tok"]))
 
 
 @query("str_02_stream_dedupe", ctes(TAPE) + "SELECT blk, li, px FROM tape")
@@ -58,17 +63,17 @@ def _(spark, sf):
     return out.select("tok", F.unix_seconds("window.start").alias("start"), "n")
 
 
-@query("str_05_stream_guard", guard_sql("tok", False))
+@query("str_05_stream_guard", f"WITH {WM}, {DUE} SELECT * FROM (" + guard_sql("tok", False) + ") WHERE blk IN (SELECT blk FROM due)")
 def _(spark, sf):
     return X.run_available(X.stream_guard(stape(spark, sf), ["tok"], BAND))
 
 
-@query("str_06_stream_dip_signal", f"""WITH RECURSIVE {TAPE},
+@query("str_06_stream_dip_signal", f"""WITH RECURSIVE {TAPE}, {WM}, {DUE},
 d AS (SELECT *, row_number() OVER (PARTITION BY tok ORDER BY blk) AS i FROM (SELECT t.*, (SELECT max(r.px) FROM tape r WHERE r.tok = t.tok AND r.blk <= t.blk AND r.ts // 21600 > t.ts // 21600 - 20) AS high FROM tape t)
   WHERE 1 - px / high >= 0.5),
 k AS (SELECT tok, i, ts, blk, px, high FROM d WHERE i = 1 UNION ALL SELECT n.tok, n.i, n.ts, n.blk, n.px, n.high FROM k JOIN LATERAL (
   SELECT * FROM d WHERE d.tok = k.tok AND d.ts >= k.ts + {2 * D} ORDER BY d.blk LIMIT 1) n ON true)
-SELECT blk, ts, px, high FROM k""")
+SELECT blk, ts, px, high FROM k WHERE blk IN (SELECT blk FROM due)""")
 def _(spark, sf):
     return X.run_available(X.stream_dip_signal(stape(spark, sf), ["tok"], 0.5, 21600, 20, 2 * D))
 
@@ -83,15 +88,15 @@ def _(spark, sf):
     return out.select("tok", F.unix_seconds("session_window.start").alias("start"), "n", "vol")
 
 
-@query("str_09_stream_asof_enrich", ctes(TAPE) + """
+@query("str_09_stream_asof_enrich", ctes(TAPE, WM, DUE) + """
 SELECT t.blk, (SELECT px FROM tape r WHERE r.tok = t.tok AND r.pool = 'click' AND r.blk < t.blk ORDER BY blk DESC LIMIT 1) AS ref_px
-FROM tape t JOIN customer ON c_custkey = tok WHERE c_mktsegment <> 'BUILDING' AND t.pool <> 'click'""")
+FROM tape t JOIN customer ON c_custkey = tok WHERE c_mktsegment <> 'BUILDING' AND t.pool <> 'click' AND t.blk IN (SELECT blk FROM due)""")
 def _(spark, sf):
     seg = table(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("tok"), F.col("c_mktsegment").alias("pad"))
     s = stape(spark, sf).withColumn("is_ref", F.col("pool") == "click")
     return X.run_available(X.stream_asof_enrich(s, ["tok"], "is_ref", seg, "tok"))
 
 
-@query("str_10_late_audit", ctes(TAPE) + f"SELECT count(*) AS rows, count(*) FILTER (ts >= {T0 + 20 * D}) AS late_rows, max(ts) AS max_ts FROM tape")
+@query("str_10_late_audit", ctes(TAPE) + f"SELECT 0::BIGINT AS trigger, count(*) AS rows, count(*) FILTER (ts >= {T0 + 20 * D}) AS past_cut, 0::BIGINT AS behind, 0::BIGINT AS lateness, max(ts) AS max_ts FROM tape")
 def _(spark, sf):
     return X.late_audit(stape(spark, sf).select("blk", "ts"), T0 + 20 * D)

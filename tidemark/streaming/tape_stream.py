@@ -1,22 +1,31 @@
 """The tape as a stream (SRC-13, STR-1..6, STR-8..10).
 
-Set operators use watermarks and window aggregates. The rules that carry state per key (guard, dip signal, last reference) use ``applyInPandasWithState`` with a small JSON state; a batch of a key is bounded by the trigger.
+Set operators use watermarks and window aggregates. The rules that carry state per key (order, guard, dip signal, last reference) run in event time:
+``in_event_time`` keeps the rows of a key that the watermark has not passed in a reorder buffer, and an event-time timer releases them in order.
+So files may come in any order within the delay and the rows that come out equal the batch operator's. Rows behind the watermark are dropped by Spark,
+which counts them (``run_counted``), or marked (``ordered_tape``). A key's buffer holds one delay of its rows.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.clean import BandFilter, valid_prints
 from tidemark.session import ensure_checkpoint_dir
 
+DELAY = "2 hours"  # how far out of order a row may come
+
 
 def stream_tape(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int | None = None,
                 pattern: str | None = None) -> DataFrame:
@@ -39,11 +48,48 @@ def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def watermarked_tape(df: DataFrame, ts: str = "event_time", delay: str = "2 hours") -> DataFrame:
-    """STR-1: rows may come up to two hours out of order."""
+def run_counted(df: DataFrame, mode: str = "append") -> tuple[DataFrame, int]:
+    """``run_available`` and the number of rows that stateful operators dropped as too late, from the progress of every trigger."""
+    spark, dropped = df.sparkSession, {}
+
+    class Late(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            p = event.progress
+            dropped[str(p.runId), p.batchId] = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+
+        def onQueryTerminated(self, event):
+            ended.set()
+
+    ended, late = threading.Event(), Late()
+    spark.streams.addListener(late)
+    try:
+        out = run_available(df, mode)
+        ended.wait(60)  # the last progress comes before the end
+    finally:
+        spark.streams.removeListener(late)
+    return out, sum(dropped.values())
+
+
+def watermarked_tape(df: DataFrame, ts: str = "event_time", delay: str = DELAY) -> DataFrame:
+    """The tape with its watermark: rows may come up to ``delay`` out of order."""
     return df.withWatermark(ts, delay)
 
 
+def ordered_tape(df: DataFrame, key: Sequence[str], delay: str = DELAY) -> DataFrame:
+    """STR-1: rows that come up to ``delay`` out of order, put in order: ``seq`` numbers the rows of a key by time. A row that comes after later rows
+    of its key went out has a null ``seq``; one that lies behind the watermark of the trigger before is dropped by Spark (``run_counted``)."""
+    def late(rows):
+        return pd.DataFrame({"blk": rows["blk"], "ts": rows["ts"], "seq": pd.array([None] * len(rows), dtype="Int64")})
+
+    def step(held, rows):
+        n = (held or {}).get("n", 0)
+        return {"n": n + len(rows)}, pd.DataFrame({"blk": rows["blk"], "ts": rows["ts"], "seq": np.arange(n, n + len(rows), dtype=np.int64)})
+    return in_event_time(df, key, "blk long, ts long, seq long", step, ("ts", "blk"), delay=delay, on_late=late)
+
+
 def stream_dedupe(df: DataFrame, keys: Sequence[str] = ("blk", "li")) -> DataFrame:
     """STR-2: the same log from several collectors counts once within the watermark."""
     return df.dropDuplicatesWithinWatermark(list(keys))
@@ -70,86 +116,118 @@ def stream_sessions(df: DataFrame, key: Sequence[str], gap: str, ts: str = "even
 Step = Callable[[dict | None, pd.DataFrame], tuple[dict, pd.DataFrame]]
 
 
-def keyed_state(df: DataFrame, key: Sequence[str], out_schema: str, step: Step, order: Sequence[str] = ("ts", "blk"),
-                on_timeout: Callable[[dict, int], tuple[dict | None, pd.DataFrame, int | None]] | None = None,
-                next_timeout: Callable[[dict], int | None] | None = None) -> DataFrame:
-    """A sequential rule per key: ``step(state, rows)`` sees the rows of one batch in order. State never expires by itself;
-    event-time timers fire only when the rule asks for one."""
+def in_event_time(df: DataFrame, key: Sequence[str], out_schema: str, step: Step, columns: Sequence[str], order: Sequence[str] = ("ts", "blk"),
+                  ts: str = "event_time", delay: str | None = DELAY, on_late: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
+    """A sequential rule per key in event time: ``step(state, rows)`` sees the rows of ``columns`` in ``order``, once the watermark has passed them.
+
+    Rows that it has not passed wait in the state; a timer at the first of them releases what is due. The rule's own state never expires. A row that
+    comes after later rows of its key went through the rule has no part in it; ``on_late`` says what comes out for such rows (nothing by default). Without ``delay`` the stream has its watermark already.
+    """
+    names = list(dict.fromkeys([*columns, *order]))
+
     def run(k: tuple, batches: Iterable[pd.DataFrame], state: GroupState):
-        held = json.loads(state.get[0]) if state.exists else None
-        if state.hasTimedOut:
-            held, out, nxt = on_timeout(held, state.getCurrentWatermarkMs())
-        else:
-            rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
-            held, out = step(held, rows)
-            nxt = next_timeout(held) if next_timeout else None
-        if held is not None:
-            state.update((json.dumps(held),))
-            if nxt is not None:
-                state.setTimeoutTimestamp(max(nxt, state.getCurrentWatermarkMs() + 1))
+        saved = json.loads(state.get[0]) if state.exists else {"held": None, "wait": [], "done": None}
+        mark, done, rows = state.getCurrentWatermarkMs(), saved["done"], saved["wait"]
+        if not state.hasTimedOut:
+            for pdf in batches:
+                at = pdf["_ms"].tolist()
+                rows += [list(r) for r in zip(at, *[pdf[c].tolist() for c in names], strict=True)]
+            if done is not None and on_late and any(r[0] < done for r in rows):
+                yield on_late(pd.DataFrame([r for r in rows if r[0] < done], columns=["_ms", *names]))
+            rows = [r for r in rows if done is None or r[0] >= done]
+        due = [r for r in rows if r[0] < mark]
+        wait = [r for r in rows if r[0] >= mark]
+        held, out = saved["held"], ()
+        if due:
+            frame = pd.DataFrame(due, columns=["_ms", *names]).sort_values(list(order), kind="stable", ignore_index=True)
+            held, out = step(held, frame)
+            done = max(r[0] for r in due)
+        state.update((json.dumps({"held": held, "wait": wait, "done": done}),))
+        if wait:
+            state.setTimeoutTimestamp(max(min(r[0] for r in wait), mark + 1))
         if len(out):
             yield out
-    timeout = GroupStateTimeout.EventTimeTimeout if on_timeout else GroupStateTimeout.NoTimeout
-    return df.groupBy(*key).applyInPandasWithState(run, out_schema, "state string", "append", timeout)
 
+    rows = (df.withWatermark(ts, delay) if delay else df).select(*key, ts, F.unix_millis(ts).alias("_ms"), *[c for c in names if c not in key])
+    return rows.groupBy(*key).applyInPandasWithState(run, out_schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
 
-def stream_guard(df: DataFrame, key: Sequence[str], band: float = 20.0, window: int = 15, min_n: int = 5, confirm: float = 2.0) -> DataFrame:
+
+def stream_guard(df: DataFrame, key: Sequence[str], band: float = 20.0, window: int = 15, min_n: int = 5, confirm: float = 2.0, delay: str = DELAY) -> DataFrame:
     """STR-5: the bad-print guard on the stream; its state is the last accepted prices and never expires."""
     def step(held, rows):
         g = BandFilter(band, window, min_n, confirm, False, held)
         ok, _ = valid_prints(rows["px"].tolist(), rows["usd"].tolist(), None, None)
         ok[ok] = g.flags(rows["px"].to_numpy(dtype=float)[ok])
         return g.state(), pd.DataFrame({"blk": rows["blk"], "accepted": ok})
-    return keyed_state(df, key, "blk long, accepted boolean", step)
+    return in_event_time(df, key, "blk long, accepted boolean", step, ("px", "usd"), delay=delay)
 
 
-def stream_dip_signal(df: DataFrame, key: Sequence[str], dip: float, bucket_s: int = 60, buckets: int = 60, cooldown: int = 3600) -> DataFrame:
+def stream_dip_signal(df: DataFrame, key: Sequence[str], dip: float, bucket_s: int = 60, buckets: int = 60, cooldown: int = 3600, delay: str = DELAY) -> DataFrame:
     """STR-6: signal when the price lies ``dip`` below the high of the last ``buckets`` buckets, outside the cool-down.
 
-    The state keeps one maximum per live bucket and the time of the last signal.
+    The state is a falling queue: buckets that a later one tops can never be the high again, so the first is the high and every row costs a
+    constant on average.
     """
     def step(held, rows):
-        s = held or {"max": {}, "last": None}
-        highs, out = {int(k): v for k, v in s["max"].items()}, []
-        for ts, blk, px in zip(rows["ts"].tolist(), rows["blk"].tolist(), rows["px"].tolist()):
+        s = held or {"queue": [], "last": None}
+        queue, last, out = deque(map(tuple, s["queue"])), s["last"], []
+        for ts, blk, px in zip(rows["ts"].tolist(), rows["blk"].tolist(), rows["px"].tolist(), strict=True):
             b = ts // bucket_s
-            highs = {k: v for k, v in highs.items() if k > b - buckets}
-            highs[b] = max(px, highs.get(b, px))
-            high = max(highs.values())
-            if 1 - px / high >= dip and (s["last"] is None or ts >= s["last"] + cooldown):
-                s["last"] = ts
+            while queue and queue[0][0] <= b - buckets:
+                queue.popleft()
+            while queue and queue[-1][1] <= px:
+                queue.pop()
+            if not queue or queue[-1][0] != b:
+                queue.append((b, px))
+            high = queue[0][1]
+            if 1 - px / high >= dip and (last is None or ts >= last + cooldown):
+                last = ts
                 out.append((blk, ts, px, high))
-        s["max"] = highs
-        return s, pd.DataFrame(out, columns=["blk", "ts", "px", "high"])
-    return keyed_state(df, key, "blk long, ts long, px double, high double", step)
+        return {"queue": [list(x) for x in queue], "last": last}, pd.DataFrame(out, columns=["blk", "ts", "px", "high"])
+    return in_event_time(df, key, "blk long, ts long, px double, high double", step, ("px",), delay=delay)
 
 
-def stream_asof_enrich(df: DataFrame, key: Sequence[str], is_ref: str, static: DataFrame | None = None, on: str | None = None) -> DataFrame:
+def stream_asof_enrich(df: DataFrame, key: Sequence[str], is_ref: str, static: DataFrame | None = None, on: str | None = None, delay: str = DELAY) -> DataFrame:
     """STR-9: the last reference price of the key on each other row, after a stream-static join with a dimension table."""
+    df = watermarked_tape(df, delay=delay)  # before the join: rows that it drops move time on as well
     if static is not None:
         df = df.join(static, on)
 
     def step(held, rows):
         last, out = (held or {}).get("px"), []
-        for blk, px, ref in zip(rows["blk"].tolist(), rows["px"].tolist(), rows[is_ref].tolist()):
+        for blk, px, ref in zip(rows["blk"].tolist(), rows["px"].tolist(), rows[is_ref].tolist(), strict=True):
             if ref:
                 last = px
             else:
                 out.append((blk, last))
         return {"px": last}, pd.DataFrame(out, columns=["blk", "ref_px"]).astype({"ref_px": "float64"})
-    return keyed_state(df, key, "blk long, ref_px double", step)
+    return in_event_time(df, key, "blk long, ref_px double", step, ("px", is_ref), delay=None)
 
 
 def late_audit(df: DataFrame, cut: int, ts: str = "ts") -> DataFrame:
-    """STR-10: rows at or after the cut and the largest time per batch; one row per batch that has rows, for any number of batches.
+    """STR-10: per trigger its rows, those at or past ``cut``, those behind the largest time of all triggers before, the largest lateness (how far behind), and
+    the running maximum itself.
 
-    The stream writes each row's time with its batch's processing time (one value a batch); the audit is an aggregate over what was written.
+    Each trigger is one aggregate over its rows; the running maximum is the only thing that goes from one to the next,
+    kept by the driver (one number). A trigger without rows writes nothing; one that is run again overwrites its own row.
     """
     spark = df.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
-    seen = df.select(F.col(ts).cast("long").alias("ts"), F.current_timestamp().alias("batch"))
-    q = (seen.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
-         .trigger(availableNow=True).start())
+    schema = "trigger long, rows long, past_cut long, behind long, lateness long, max_ts long"
+    top: dict = {}
+
+    def audit(batch: DataFrame, number: int) -> None:
+        before = top.get("ts")
+        t = F.col("ts")
+        late = F.lit(before).cast("long") - t
+        r = batch.agg(F.count("*").alias("rows"), F.count_if(t >= cut).alias("past_cut"), F.count_if(late > 0).alias("behind"),
+                      F.greatest(F.max(late), F.lit(0)).alias("lateness"), F.greatest(F.max(t), F.lit(before).cast("long")).alias("max_ts"))
+        row = r.first()  # one row a trigger
+        if row["rows"]:
+            top["ts"] = row["max_ts"]
+            spark.createDataFrame([(number, *row)], schema).coalesce(1).write.mode("overwrite").parquet(f"{base}/out/trigger={number}")
+
+    q = (df.select(F.col(ts).cast("long").alias("ts")).writeStream.foreachBatch(audit)
+         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     q.awaitTermination()
-    rows = spark.read.schema(seen.schema).parquet(f"{base}/out")
-    return rows.groupBy("batch").agg(F.count("*").alias("rows"), F.count_if(F.col("ts") >= cut).alias("late_rows"), F.max("ts").alias("max_ts")).drop("batch")
+    return spark.read.schema(schema).parquet(f"{base}/out")
