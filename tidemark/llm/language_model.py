@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterable
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,7 @@ PIECE = 512
 FAN = 256  # weights averaged in one group
 FLUSH = 400_000
 END = ""  # no word is empty
+FAR = 60.0  # logits are kept within this, far beyond what any text reaches; the exponential is finite there
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -136,9 +138,9 @@ class GRU:
         p = self.p
         c = self.cls[target]
         logits = h @ p["wc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
+        np.clip(logits, -FAR, FAR, out=logits)
         e = np.exp(logits)
-        total = e.sum(axis=1)
+        total = e @ np.ones(e.shape[1], np.float32)  # a product is faster than a sum over short rows
         rows = np.arange(len(h))
         out = logits[rows, c] - np.log(total)
         dh = None
@@ -158,11 +160,11 @@ class GRU:
             if a == z or hi - lo == 1:
                 continue
             g = sorted_h[a:z] @ p["ww"][lo:hi].T + p["bw"][lo:hi]
-            g -= g.max(axis=1, keepdims=True)
+            np.clip(g, -FAR, FAR, out=g)
             j, r = sorted_t[a:z] - lo, np.arange(z - a)
             own = g[r, j]
             e = np.exp(g, out=g)
-            total = e.sum(axis=1)
+            total = e @ np.ones(hi - lo, np.float32)
             inner[a:z] = own - np.log(total)
             if grads is not None:
                 d = e / total[:, None]
@@ -323,7 +325,10 @@ class Lexicon:
 
     def targets(self, words: list[bytes]) -> np.ndarray:
         get, item, other = self.item.get, self.item, self.other
-        return np.array([get(w, other) for w in words] + [item[b""]], dtype=np.int32)
+        out = np.empty(len(words) + 1, np.int32)
+        out[:-1] = np.fromiter(map(get, words, repeat(other)), np.int32, len(words))
+        out[-1] = item[b""]
+        return out
 
 
 def lexicon(counts: DataFrame, head: int = HEAD, vocabulary: int = VOCABULARY) -> Lexicon:
@@ -400,7 +405,7 @@ def score(docs: DataFrame, counts: DataFrame, lex: Lexicon, flat: np.ndarray) ->
             for text in texts(b.column("text")):
                 words = words_of(text)
                 words.append(b"")
-                at = np.fromiter((index(w, -1) for w in words), np.int64, len(words))
+                at = np.fromiter(map(index, words, repeat(-1)), np.int64, len(words))
                 inside = at >= 0
                 here = at[inside]
                 item = np.full(len(words), other, np.int32)
