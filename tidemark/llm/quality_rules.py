@@ -126,10 +126,12 @@ def cascade(docs: DataFrame, rules: dict[str, Rule] = RULES, order: list[str] |
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("kept", T.BooleanType()), T.StructField("rules_run", T.IntegerType())]
                           + [T.StructField(m, T.LongType()) for m in measures])
 
+    at = keep.index("text") if "text" in keep else len(keep)
+
     def judge(batches: Iterable[pa.RecordBatch]):
         for b in batches:
             verdicts, runs, values = [], [], []
-            for x in texts(b.column(len(keep))):
+            for x in texts(b.column(at)):
                 t, n, ok = Text(x), 0, True
                 for name in order:
                     n += 1
@@ -142,7 +144,7 @@ def cascade(docs: DataFrame, rules: dict[str, Rule] = RULES, order: list[str] |
             own = [pa.array(verdicts, pa.bool_()), pa.array(runs, pa.int32()), *[pa.array([v[i] for v in values], pa.int64()) for i in range(len(measures))]]
             yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *own], [*keep, *added])  # carried columns stay in Arrow
 
-    return docs.select(*keep, F.col("text").alias("__judged")).mapInArrow(judge, schema)
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(judge, schema)
 
 
 BASE_SQL = r"""
