@@ -5,10 +5,11 @@ conversation then form a forest, and a call's level is its number of ancestors,
 of the longest chain). Sorted by (level, turn, call id) every call stands after what it builds on. Arguments are parsed once, checked
 against the tool's schema, and written as canonical JSON: keys sorted, no white space.
 
-Defined results: of several calls with one id the first by turn counts, and so for results (n_calls and n_results say how many there were);
-a call without a result is 'unanswered' and has result null; a result without a call is 'orphan_result' and has no level; a parent that
+Defined results: every turn is in some row. Of several calls with one id the first by turn is linked, and so for results (n_calls and n_results say
+how many there were); the others are rows of status 'duplicate_call' and 'duplicate_result'. Calls and results without a conversation or an id are rows of
+their own ('unkeyed_call', 'unkeyed_result'); turns of other roles are rows of status 'message' with their text. A call without a result is 'unanswered' and has result null; a result without a call is 'orphan_result' and has no level; a parent that
 does not exist counts as none; calls on a cycle of parents, or below one, get level -1; arguments that are null or no JSON object give the
-error 'not_json'; a null conversation, turn or call id is a value of its own; empty tables give no rows; extra columns are ignored.
+error 'not_json'; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,33 +67,74 @@ def _errors(name: Column, arguments: Column, parsed: Column, schemas) -> Column:
     return F.when(F.coalesce(F.json_object_keys(arguments), F.lit(None)).isNull() | parsed.isNull(), F.array(F.lit("not_json"))).otherwise(found)
 
 
+def _keyed(rows: DataFrame, body: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rows`` (conv_id, call_id, body) as the first of every key with its number ``n``, the other rows of a key, and rows without a key.
+
+    Rows that are equal in every column are counted first, so a row that comes a million times is one row until it is written out again.
+    """
+    key = ["conv_id", "call_id"]
+    known = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    each = cut_lineage(rows.filter(known).groupBy(*key, *body).agg(F.count("*").alias("_times")))
+    first = cut_lineage(each.groupBy(*key).agg(F.min(F.struct(*body)).alias("_first"), F.sum("_times").alias("n")))
+    more = each.join(first.filter("n > 1"), key)
+    is_first = F.struct(*body).eqNullSafe(F.col("_first"))
+    more = more.withColumn("_left", F.col("_times") - F.when(is_first, 1).otherwise(0)).filter("_left > 0")
+    more = more.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_left")))).select(*key, *body, "n")
+    return first.select(*key, "_first.*", "n"), more, rows.filter(~known).select(*key, *body, F.lit(1).cast("long").alias("n"))
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
     """``calls`` (conv_id, turn, call_id, parent_id, name, arguments) and ``results`` (conv_id, turn, call_id, content) to one row per call
-    and per orphan result: (conv_id, call_id, turn, result_turn, status, level, valid, errors, n_calls, n_results, json)."""
+    and per result that is not a call's: (conv_id, call_id, turn, result_turn, status, level, valid, errors, n_calls, n_results, json)."""
     key = ["conv_id", "call_id"]
-    first = F.min(F.struct("turn", "parent_id", "name", "arguments"))
-    c = calls.groupBy(*key).agg(first.alias("c"), F.count("*").alias("n_calls")).select(*key, "c.*", "n_calls")
-    r = results.groupBy(*key).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
-    r = r.select(F.col("conv_id").alias("_conv"), F.col("call_id").alias("_call"), F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), "n_results")
-    c = cut_lineage(c)
-    lv = levels(c.select(*key, "parent_id")).select(F.col("conv_id").alias("_c"), F.col("call_id").alias("_i"), "level")
-    c = c.join(lv, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("call_id").eqNullSafe(F.col("_i"))).drop("_c", "_i")
-    j = c.join(r, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("call_id").eqNullSafe(F.col("_call")), "full")
-    j = j.withColumn("conv_id", F.when(F.col("n_calls").isNull(), F.col("_conv")).otherwise(F.col("conv_id"))).withColumn(
-        "call_id", F.when(F.col("n_calls").isNull(), F.col("_call")).otherwise(F.col("call_id")))
-    j = j.withColumn("_v", F.try_parse_json("arguments"))
-    is_call = F.col("n_calls").isNotNull()
-    errors = F.when(is_call, _errors(F.col("name"), F.col("arguments"), F.col("_v"), schemas))
-    status = F.when(~is_call, "orphan_result").when(F.col("n_results").isNull(), "unanswered").otherwise("linked")
-    j = j.withColumn("errors", errors).withColumn("status", status)
+    c, c_more, c_free = _keyed(calls, ["turn", "parent_id", "name", "arguments"])
+    r, r_more, r_free = _keyed(results, ["turn", "content"])
+    c, r = c.withColumnRenamed("n", "n_calls"), r.select(*key, F.col("turn").alias("result_turn"), "content", F.col("n").alias("n_results"))
+    c = c.join(levels(c.select(*key, "parent_id")), key)
+    j = c.join(r, key, "full")
+    status = F.when(F.col("n_calls").isNull(), "orphan_result").when(F.col("n_results").isNull(), "unanswered").otherwise("linked")
+    linked = j.withColumn("status", status).withColumn("_call", F.col("n_calls").isNotNull())
+    none = lambda kind, *cs: {x: F.lit(None).cast(kind) for x in cs}
+
+    def calls_as(rows: DataFrame, status: str) -> DataFrame:
+        return rows.withColumnRenamed("n", "n_calls").withColumns({**none("long", "result_turn"), **none("string", "content"), **none("int", "level")}).withColumn(
+            "n_results", F.lit(0).cast("long")).withColumn("status", F.lit(status)).withColumn("_call", F.lit(True))
+
+    def results_as(rows: DataFrame, status: str) -> DataFrame:
+        return rows.withColumnsRenamed({"n": "n_results", "turn": "result_turn"}).withColumns({**none("long", "turn"), **none("string", "parent_id", "name", "arguments"), **none("int", "level")}
+                                       ).withColumn("n_calls", F.lit(0).cast("long")).withColumn("status", F.lit(status)).withColumn("_call", F.lit(False))
+
+    order = linked.columns
+    out = linked
+    for part in (calls_as(c_more, "duplicate_call"), results_as(r_more, "duplicate_result"), calls_as(c_free, "unkeyed_call"), results_as(r_free, "unkeyed_result")):
+        out = out.unionByName(part.select(*order))
+    out = out.withColumn("_v", F.try_parse_json("arguments"))
+    is_call = F.col("_call")
+    out = out.withColumn("errors", F.when(is_call, _errors(F.col("name"), F.col("arguments"), F.col("_v"), schemas)))
     text = F.to_json(F.struct(
         F.col("_v").alias("arguments"), "call_id", "conv_id", "level", "name", F.col("content").alias("result"), "status"), {"ignoreNullFields": "false"})
-    return j.select(
+    return out.select(
         "conv_id", "call_id", "turn", "result_turn", "status", "level", F.when(is_call, F.size("errors") == 0).alias("valid"),
         F.array_join("errors", ",").alias("errors"), F.coalesce("n_calls", F.lit(0)).cast("long").alias("n_calls"),
         F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), text.alias("json"))
 
 
+def messages(rows: DataFrame) -> DataFrame:
+    """Turns that are neither call nor result (conv_id, turn, role, text), as rows of ``link_calls`` with status 'message'."""
+    text = F.to_json(F.struct(F.col("text").alias("content"), "conv_id", "role", F.lit("message").alias("status"), "turn"), {"ignoreNullFields": "false"})
+    return rows.select(
+        "conv_id", F.lit(None).cast("string").alias("call_id"), "turn", F.lit(None).cast("long").alias("result_turn"), F.lit("message").alias("status"),
+        F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("valid"), F.lit(None).cast("string").alias("errors"),
+        F.lit(0).cast("long").alias("n_calls"), F.lit(0).cast("long").alias("n_results"), text.alias("json"))
+
+
+def format_conversations(conversations: DataFrame) -> DataFrame:
+    """Every turn of plain conversations in a row: calls with their results, and all other turns as messages."""
+    calls, results = calls_of(conversations)
+    other = ~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))
+    return link_calls(calls, results).unionByName(messages(conversations.filter(other).select("conv_id", "turn", "role", "text")))
+
+
 def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tool calls of plain conversations (conv_id, turn, role, text): a user's turn calls a tool chosen by its length, the assistant's
     turn after it is the result, and a call builds on the user's turn two before."""
@@ -129,9 +171,13 @@ select conv_id, call_id, turn, result_turn, status, level, case when is_call the
   '{"arguments":' || coalesce(arguments, 'null') || ',"call_id":' || to_json(call_id) || ',"conv_id":' || conv_id || ',"level":' || coalesce(cast(level as varchar), 'null')
   || ',"name":' || coalesce(to_json(name), 'null') || ',"result":' || coalesce(to_json(content), 'null') || ',"status":' || to_json(status) || '}' as json
 from j
+union all
+select conv_id, null, turn, null, 'message', null, null, null, 0, 0, '{"content":' || coalesce(to_json(text), 'null') || ',"conv_id":' || coalesce(cast(conv_id as varchar), 'null')
+  || ',"role":' || coalesce(to_json(role), 'null') || ',"status":"message","turn":' || coalesce(cast(turn as varchar), 'null') || '}'
+from conversations where role is null or role not in ('user', 'assistant')
 """
 
 
 @query("op9_tool_calls", SQL)
 def op9_tool_calls(spark, sf_dir):
-    return link_calls(*calls_of(table(spark, sf_dir, "conversations")))
+    return format_conversations(table(spark, sf_dir, "conversations"))
