@@ -167,6 +167,19 @@ def _(spark, sf):
     return t.groupBy("cell").agg(F.count_if(F.col("ret") <= -F.col("dip")).alias("n"))
 
 
+@query("grd_01_stack_grids", ctes(TRADES) + f"""
+, a AS (SELECT 0 AS list, dip, {LABEL} AS cell FROM (VALUES (10), (20), (40)) a(dip), (VALUES (900), (3600), (86400)) b(hold), (VALUES ('1.25'), ('1.5')) c(tp)),
+b AS (SELECT 1 AS list, dip, {LABEL} AS cell FROM (VALUES (20), (30)) a(dip), (VALUES (3600)) b(hold), (VALUES ('1.5'), ('2.0')) c(tp)), s AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+SELECT s.cell, list, list > (SELECT min(list) FROM s f WHERE f.cell = s.cell) AS reread, count(*) FILTER (ret <= -dip) AS n FROM s, trades GROUP BY s.cell, list""")
+def _(spark, sf):
+    from tidemark.operators.project import with_cells
+    more = {"dip": [20, 30], "hold": [3600], "tp": ["1.5", "2.0"]}
+    stacked = G.stack_grids(G.cell_grid(spark, DIALS), G.cell_grid(spark, more)).select("cell", "list", "reread", "dip")
+    cells = [r.asDict() for r in stacked.collect()]  # a fixed parameter list of 22 rows
+    t = with_cells(trades(spark, sf).select("ret"), cells)
+    return t.groupBy("cell", "list", "reread").agg(F.count_if(F.col("ret") <= -F.col("dip")).alias("n"))
+
+
 MEAS = f"""lg AS (SELECT p_size AS dip, p_type AS hold, 'dip=' || p_size || '|hold=' || p_type AS cell FROM part GROUP BY ALL),
 ms AS (SELECT DISTINCT 'dip=' || p_size || '|hold=' || p_type AS cell FROM part WHERE p_retailprice > 1065), lr AS (SELECT DISTINCT 'dip=' || p_size || '|hold=' || p_type AS cell FROM part WHERE p_brand = 'Brand#7'),
 th AS (SELECT 'dip' AS dial, p_size::VARCHAR AS level FROM part GROUP BY p_size HAVING count(*) < 33 UNION ALL SELECT 'hold', p_type FROM part GROUP BY p_type HAVING count(*) < 330),

@@ -344,6 +344,17 @@ def _(spark, sf):
     return got.groupBy("key", F.col("value")[0].alias("a"), F.col("value")[1].alias("b")).agg(F.count("*").alias("n"))
 
 
+@query("src_09_read_kv_json", ctes(TAPE) + f"""
+SELECT CAST(blk AS VARCHAR) AS key, usd AS a, px AS b FROM tape""")
+def _(spark, sf):
+    path = f"{ensure_checkpoint_dir(spark)}/kv-{uuid.uuid4().hex}"
+    by = F.floor(F.col("blk") / 1000)  # an object a file, of at most a thousand keys
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("blk").cast("string"), F.array("usd", "px"))))
+    objects = tape(spark, sf).groupBy(by.alias("f")).agg(F.to_json(pairs).alias("value"))
+    objects.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return V.read_kv_json(spark, path, "array<double>").select("key", F.col("value")[0].alias("a"), F.col("value")[1].alias("b"))
+
+
 @query("src_10_min_birth", """
 SELECT tok, min(b) AS birth_ts FROM (SELECT o_custkey AS tok, epoch_us(o_orderdate) // 1000000 AS b FROM orders
   UNION ALL SELECT user_id, epoch_us(ts) // 1000000 FROM events
@@ -362,6 +373,14 @@ def _(spark, sf):
     return spark.read.parquet(path).groupBy("cell").agg(F.count("*").alias("n"), F.round(F.sum("ret"), 4).alias("ret_sum"))
 
 
+@query("src_11_write_results", ctes(TRADES) + "SELECT cell, half, count(*) AS n, count(DISTINCT tok) AS coins FROM trades GROUP BY ALL")
+def _(spark, sf):
+    path = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    R.write_results(trades(spark, sf).groupBy("cell", "half").agg(F.count("*").alias("n"), F.count_distinct("tok").alias("coins")), path, ["cell", "half"])
+    doc = F.from_json("value", "cell string, half string, result struct<n: bigint, coins: bigint>").alias("d")
+    return spark.read.text(path).select(doc).select("d.cell", "d.half", "d.result.n", "d.result.coins")
+
+
 @query("src_12_upsert_store", """
 WITH n AS (SELECT o_custkey AS fam, o_orderkey AS row, o_orderpriority AS batch FROM orders WHERE o_orderstatus = 'F'),
 l AS (SELECT n.fam, n.row FROM n JOIN (SELECT fam, max(batch) AS b FROM n GROUP BY fam) m ON m.fam = n.fam AND n.batch = m.b)
