@@ -102,12 +102,11 @@ def test_late_rows_are_seen_per_trigger(spark, days):
     assert all(r["behind"] > 0 and r["lateness"] > 0 for r in rows[1:]) and [r["max_ts"] for r in rows] == sorted(r["max_ts"] for r in rows)
 
 
-def test_late_audit_over_many_triggers(spark, con):
+def test_late_audit_over_many_triggers(spark, con, tmp_path):
     """More triggers than Spark keeps progress entries for, every seventh late: equal to SQL's running maximum."""
-    path = f"{ensure_checkpoint_dir(spark)}/many-{uuid.uuid4().hex}"
+    path = str(tmp_path)
     ts = [i - (40 + i % 11 if i % 7 == 3 else 0) for i in range(103)]
     for i, t in enumerate(ts):
-        os.makedirs(path, exist_ok=True)
         pq.write_table(pa.table({"ts": pa.array([t], pa.int64())}), f"{path}/part-{i:04d}.parquet")
         os.utime(f"{path}/part-{i:04d}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
     rows = X.late_audit(X.stream_tape(spark, path, "ts long", files_per_trigger=1), 90).collect()
