@@ -164,6 +164,7 @@ def stream_guard(df: DataFrame, key: Sequence[str], band: float = 20.0, window:
 
 def stream_dip_signal(df: DataFrame, key: Sequence[str], dip: float, bucket_s: int = 60, buckets: int = 60, cooldown: int = 3600, delay: str = DELAY) -> DataFrame:
     """STR-6: signal when the price lies ``dip`` below the high of the last ``buckets`` buckets, outside the cool-down.
+    A price of zero below a high of zero counts as a full loss, as in the SQL (0/0 is NaN there, above every number).
 
     The state is a falling queue: buckets that a later one tops can never be the high again, so the first is the high and every row costs a
     constant on average.
@@ -180,7 +181,8 @@ def stream_dip_signal(df: DataFrame, key: Sequence[str], dip: float, bucket_s: i
             if not queue or queue[-1][0] != b:
                 queue.append((b, px))
             high = queue[0][1]
-            if 1 - px / high >= dip and (last is None or ts >= last + cooldown):
+            lost = 1 - px / high if high else 1.0
+            if lost >= dip and (last is None or ts >= last + cooldown):
                 last = ts
                 out.append((blk, ts, px, high))
         return {"queue": [list(x) for x in queue], "last": last}, pd.DataFrame(out, columns=["blk", "ts", "px", "high"])
