@@ -292,7 +292,7 @@ l AS (SELECT n.blk, list_sort(list(m.fee)) AS fs FROM n JOIN n m ON m.tok = n.to
       AND m.rk BETWEEN n.rk - 4 AND n.rk GROUP BY n.blk)""") + """
 SELECT g.blk, g.tok, g.pool, round(fee, 6) AS fee, round(fs[len(fs) // 2 + 1], 6) AS fee_est FROM g LEFT JOIN l USING (blk)""")
 def _(spark, sf):
-    t = tape(spark, sf).withColumn("aq", F.col("usd") + 1).withColumn("at", F.col("aq") / (F.col("px") * 1.05))
+    t = tape(spark, sf).withColumn("aq", F.col("usd") + 1).withColumn("at", F.try_divide("aq", F.col("px") * 1.05))
     out = W.fee_estimate(t, ["tok", "pool"], "px", "at", "aq")
     return out.select("blk", "tok", "pool", F.round("fee", 6).alias("fee"), F.round("fee_est", 6).alias("fee_est"))
 
