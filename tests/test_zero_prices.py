@@ -28,6 +28,7 @@ def zeros(sf, tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "str_06_stream_dip_signal",
     "win_15_fee_estimate",
+    "cln_03_main_pool_consistency",
 ])
 def test_zero_prices(spark, zeros, name):
     df = QUERIES[name](spark, zeros)

@@ -145,7 +145,10 @@ def guard_with_main_pool(
 
 def main_pool_consistency(df: DataFrame, main: str = "main", ratio: float = 2.0, ref_age: int = 3600,
                           slice_width: int | None = None) -> DataFrame:
-    """CLN-3, feed-forward: compare side-pool prints with the main pool's last print. ``main`` names the main pool."""
+    """CLN-3, feed-forward: compare side-pool prints with the main pool's last print. ``main`` names the main pool.
+
+    A last price of zero gives no ratio: the print is not checked and stays.
+    """
     ref = df.select("tok", F.col("pool").alias(main), "ts", "blk", "px")
     got = J.asof_backward(df, ref, ["tok", main], "_m", ref_age, left_ts="ts", tie=("blk",), columns=("ts", "px"),
                           slice_width=slice_width)

@@ -72,8 +72,8 @@ def _(spark, sf):
 p AS (SELECT l.blk, r.pool, sum(r.usd * pow(2.0, (r.ts - l.ts) / 432000.0)) AS v, min(r.blk) AS seen FROM tape l JOIN tape r ON r.tok = l.tok AND r.blk < l.blk GROUP BY ALL),
 m AS (SELECT t.*, (SELECT arg_max(p.pool, (round(p.v, 9), -p.seen)) FROM p WHERE p.blk = t.blk) AS main FROM tape t),
 x AS (SELECT m.*, l.px AS mpx, l.ts AS mts FROM m LEFT JOIN tape l ON l.blk = (SELECT max(blk) FROM tape r WHERE r.tok = m.tok AND r.pool = m.main AND r.ts <= m.ts))""") + f"""
-SELECT blk, coalesce(main <> pool AND ts - mts <= {3 * D}, false) AS checked,
-  CASE WHEN main <> pool AND ts - mts <= {3 * D} THEN px / mpx BETWEEN 0.25 AND 4 ELSE true END AS keep FROM x""")
+SELECT blk, coalesce(main <> pool AND ts - mts <= {3 * D} AND mpx > 0, false) AS checked,
+  CASE WHEN main <> pool AND ts - mts <= {3 * D} AND mpx > 0 THEN px / mpx BETWEEN 0.25 AND 4 ELSE true END AS keep FROM x""")
 def _(spark, sf):
     m = W.main_pool(tape(spark, sf), 5 * D)
     return C.main_pool_consistency(m, ratio=4.0, ref_age=3 * D).select("blk", F.coalesce("checked", F.lit(False)).alias("checked"), "keep")
