@@ -29,6 +29,7 @@ def zeros(sf, tmp_path_factory):
     "str_06_stream_dip_signal",
     "win_15_fee_estimate",
     "cln_03_main_pool_consistency",
+    "cln_05_quote_ref_jump",
 ])
 def test_zero_prices(spark, zeros, name):
     df = QUERIES[name](spark, zeros)

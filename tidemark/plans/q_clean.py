@@ -94,8 +94,8 @@ def _(spark, sf):
 
 
 @query("cln_05_quote_ref_jump", ctes(TAPE, CALLS, f"""
-w AS (SELECT c.id, max(t.px) / c.call_px AS a, max(t.px / (t.usd + 1)) / (c.call_px / 10) AS b FROM calls c LEFT JOIN tape t ON t.tok = c.tok AND t.ts > c.ts AND t.ts <= c.ts + {6 * D} GROUP BY c.id, c.call_px)""") + """
-SELECT id, round(a, 6) AS mult_a, round(b, 6) AS mult_b, greatest(a / b, b / a) > 3 AS jump FROM w""")
+w AS (SELECT c.id, max(t.px) / nullif(c.call_px, 0) AS a, max(t.px / (t.usd + 1)) / nullif(c.call_px / 10, 0) AS b FROM calls c LEFT JOIN tape t ON t.tok = c.tok AND t.ts > c.ts AND t.ts <= c.ts + {6 * D} GROUP BY c.id, c.call_px)""") + """
+SELECT id, round(a, 6) AS mult_a, round(b, 6) AS mult_b, greatest(a / nullif(b, 0), b / nullif(a, 0)) > 3 AS jump FROM w""")
 def _(spark, sf):
     t = tape(spark, sf).withColumn("pxq", F.col("px") / (F.col("usd") + 1))
     c = calls(spark, sf).withColumn("base_a", F.col("call_px")).withColumn("base_b", F.col("call_px") / 10)
