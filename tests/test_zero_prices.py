@@ -30,6 +30,7 @@ def zeros(sf, tmp_path_factory):
     "win_15_fee_estimate",
     "cln_03_main_pool_consistency",
     "cln_05_quote_ref_jump",
+    "cst_11_eth_booking",
 ])
 def test_zero_prices(spark, zeros, name):
     df = QUERIES[name](spark, zeros)

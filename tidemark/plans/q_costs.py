@@ -155,7 +155,7 @@ n AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS
 pos AS (SELECT blk, ts, ts + 200000 AS xt, px, px * 1.1 + usd / 100 AS xp FROM tape WHERE pool = 'view'),
 e AS (SELECT blk, CASE WHEN n.x IS NULL THEN (SELECT arg_min(y, x) FROM se) WHEN x1 IS NULL THEN y ELSE y + (y1 - y) * (ts - n.x) / (x1 - n.x) END AS ee FROM pos ASOF LEFT JOIN n ON pos.ts >= n.x),
 z AS (SELECT blk, CASE WHEN n.x IS NULL THEN (SELECT arg_min(y, x) FROM se) WHEN x1 IS NULL THEN y ELSE y + (y1 - y) * (xt - n.x) / (x1 - n.x) END AS ez FROM pos ASOF LEFT JOIN n ON pos.xt >= n.x)""") + """
-SELECT blk, round(xp / px * ee / ez, 6) AS gross_eth FROM pos JOIN e USING (blk) JOIN z USING (blk)""")
+SELECT blk, round(xp / nullif(px, 0) * ee / ez, 6) AS gross_eth FROM pos JOIN e USING (blk) JOIN z USING (blk)""")
 def _(spark, sf):
     t = tape(spark, sf)
     series = t.filter("pool = 'click'").groupBy((bucket("ts", 21600) * 21600).alias("ts")).agg((1800 + F.avg("px")).alias("v"))
