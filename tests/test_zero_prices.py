@@ -31,6 +31,7 @@ def zeros(sf, tmp_path_factory):
     "cln_03_main_pool_consistency",
     "cln_05_quote_ref_jump",
     "cst_11_eth_booking",
+    "win_05_dip",
 ])
 def test_zero_prices(spark, zeros, name):
     df = QUERIES[name](spark, zeros)

@@ -207,7 +207,7 @@ def highs(df: DataFrame, key: Sequence[str], minute: int = 60, ks: Sequence[int]
 
 
 def dip(px: Column, high: Column) -> Column:
-    """WIN-5: share lost from the high."""
+    """WIN-5: share lost from the high; null below a high of zero."""
     return F.lit(1.0) - F.try_divide(px, high)
 
 

@@ -173,7 +173,7 @@ def _(spark, sf):
 
 
 @query("win_05_dip", ctes(TAPE, "h AS (" + HIGH_SQL.format(k="r.tok = l.tok AND r.pool = l.pool", q=Q, d=D) + ")") + """
-SELECT t.blk, t.tok, round(1 - t.px / h.high_day, 6) AS dip FROM tape t JOIN h USING (blk) WHERE 1 - t.px / h.high_day >= 0.3""")
+SELECT t.blk, t.tok, round(1 - t.px / nullif(h.high_day, 0), 6) AS dip FROM tape t JOIN h USING (blk) WHERE 1 - t.px / nullif(h.high_day, 0) >= 0.3""")
 def _(spark, sf):
     out = W.highs(tape(spark, sf), ["tok", "pool"], Q, (2, 8), D, 5).withColumn("dip", W.dip(F.col("px"), F.col("high_day")))
     return out.filter("dip >= 0.3").select("blk", "tok", F.round("dip", 6).alias("dip"))
