@@ -32,6 +32,7 @@ def zeros(sf, tmp_path_factory):
     "cln_05_quote_ref_jump",
     "cst_11_eth_booking",
     "win_05_dip",
+    "win_07_coin_stats",
 ])
 def test_zero_prices(spark, zeros, name):
     df = QUERIES[name](spark, zeros)

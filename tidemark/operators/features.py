@@ -95,10 +95,15 @@ def log_bands(df: DataFrame, x: str, ps: Sequence[float] = (0.2, 0.4, 0.6, 0.8))
 
 
 def hour_returns(df: DataFrame, key: Sequence[str], width: int, slice_len: int = 240) -> DataFrame:
-    """Close and volume per key and bucket, with the log return against the key's previous bucket."""
+    """Close and volume per key and bucket, with the log return against the key's previous bucket and ``none``, the buckets since then that have no return.
+
+    A return needs two positive closes: a bucket that closes at zero has none, nor has any bucket after it up to the next close.
+    """
     h = bucket_ohlcv(df, key, width).select(*key, "b", "close", "vol", "n")
-    prev = running(h, key, ["b"], {"p": ("last", F.col("close"))}, F.floor(F.col("b") / slice_len), False)
-    return prev.withColumn("r", F.log(F.try_divide("close", "p"))).drop("p")
+    prev = running(h, key, ["b"], {"p": ("last", F.struct("b", "close"))}, F.floor(F.col("b") / slice_len), False)
+    p, both = F.col("p.close"), (F.col("close") > 0) & (F.col("p.close") > 0)
+    return prev.withColumn("r", F.when(both, F.log(F.try_divide("close", p)))).withColumn(
+        "none", F.when(~(p > 0), F.col("b") - F.col("p.b")).when(~(F.col("close") > 0), 1).otherwise(0)).drop("p")
 
 
 def coin_stats(df: DataFrame, key: Sequence[str], width: int = HOUR, vol_n: int = 24, ret_n: int = 49,
@@ -107,7 +112,7 @@ def coin_stats(df: DataFrame, key: Sequence[str], width: int = HOUR, vol_n: int
     sample deviation of bucket log returns over ``ret_n`` buckets.
 
     A bucket without prints repeats the last close seen inside the window, so its return is 0: it adds to the count
-    and not to the sums. The first bucket of the window has no return.
+    and not to the sums. The first bucket of the window has no return, nor has one whose close or the close before it is zero.
     """
     h = hour_returns(df, key, width)
     span = max(vol_n, ret_n)
@@ -117,8 +122,9 @@ def coin_stats(df: DataFrame, key: Sequence[str], width: int = HOUR, vol_n: int
     got = wide.select(
         *key, "b", "_own", "r", F.sum("vol").over(w(vol_n)).alias("vol_prior"),
         F.first("b").over(w(ret_n)).alias("_b0"), F.first(F.coalesce("r", F.lit(0.0))).over(w(ret_n)).alias("_r0"),
+        (F.sum("none").over(w(ret_n)) - F.first("none").over(w(ret_n))).alias("_none"),
         F.sum("r").over(w(ret_n)).alias("_s"), F.sum(F.col("r") * F.col("r")).over(w(ret_n)).alias("_q")).filter("_own")
-    n = F.col("b") - F.col("_b0")
+    n = F.col("b") - F.col("_b0") - F.col("_none")
     s, q = F.coalesce("_s", F.lit(0.0)) - F.col("_r0"), F.coalesce("_q", F.lit(0.0)) - F.col("_r0") * F.col("_r0")
     sd = F.sqrt(F.greatest(q - s * s / n, F.lit(0.0)) / (n - 1))
     return got.select(*key, (F.col("b") + 1).alias("t_bucket"), "vol_prior", n.alias("n_ret"),

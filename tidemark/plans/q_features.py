@@ -116,7 +116,7 @@ f AS (SELECT tok, t, min(b) AS b0, sum(CASE WHEN b >= t - 5 THEN vol END) AS vol
 sp AS (SELECT f.tok, f.t, f.vol_prior, f.b0, i.b, (SELECT 1) AS one FROM f, range(0, 15) r(k), LATERAL (SELECT f.b0 + r.k AS b) i WHERE i.b < f.t),
 cl AS (SELECT sp.tok, sp.t, sp.vol_prior, sp.b0, sp.b, last_value(w.close IGNORE NULLS) OVER (PARTITION BY sp.tok, sp.t ORDER BY sp.b) AS c
        FROM sp LEFT JOIN w ON w.tok = sp.tok AND w.t = sp.t AND w.b = sp.b),
-r AS (SELECT tok, t, vol_prior, ln(c / lag(c) OVER (PARTITION BY tok, t ORDER BY b)) AS r FROM cl)""") + """
+r AS (SELECT tok, t, vol_prior, CASE WHEN c > 0 AND p > 0 THEN ln(c / p) END AS r FROM (SELECT *, lag(c) OVER (PARTITION BY tok, t ORDER BY b) AS p FROM cl))""") + """
 SELECT tok, t AS t_bucket, max(vol_prior) AS vol_prior, count(r) AS n_ret,
        CASE WHEN count(r) >= 6 THEN round(stddev_samp(r), 6) END AS sd FROM r GROUP BY tok, t""")
 def _(spark, sf):
