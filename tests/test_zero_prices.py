@@ -33,6 +33,7 @@ def zeros(sf, tmp_path_factory):
     "cst_11_eth_booking",
     "win_05_dip",
     "win_07_coin_stats",
+    "win_11_trend",
 ])
 def test_zero_prices(spark, zeros, name):
     df = QUERIES[name](spark, zeros)

@@ -253,7 +253,8 @@ def distinct_buyers(df: DataFrame, key: Sequence[str], buyer: str, min_usd: floa
 
 def trend(df: DataFrame, prints: DataFrame, key: Sequence[str], w: int, day: int, rings, up: float = -0.09,
           away: float = -0.30) -> DataFrame:
-    """WIN-11: change over the day that ends ``w`` before now, from two multi-resolution look-ups."""
+    """WIN-11: change over the day that ends ``w`` before now, from two multi-resolution look-ups; both prices
+    have to be above zero."""
     a = J.asof_multires(df.withColumn("_t1", F.col("ts") - w), prints, key, "_t1", "ts", rings, name="p_w")
     b = J.asof_multires(a.withColumn("_t2", F.col("ts") - w - day), prints, key, "_t2", "ts", rings, name="p_wd")
     chg = F.when((F.col("p_w") > 0) & (F.col("p_wd") > 0), F.col("p_w") / F.col("p_wd") - 1)

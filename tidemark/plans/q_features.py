@@ -218,9 +218,10 @@ CB = f"""cb AS (SELECT tok, w, ts // w AS b, arg_max(px, blk) AS c FROM tape, (V
 
 
 @query("win_11_trend", ctes(TAPE, CB, f"""
-x AS (SELECT l.blk, l.tok, {_px_at(f'l.ts - {D}')} AS a, {_px_at(f'l.ts - {3 * D}')} AS z FROM tape l WHERE l.pool = 'purchase')""") + """
-SELECT blk, tok, round(a / z - 1, 6) AS chg, CASE WHEN a / z - 1 >= -0.09 THEN 'up' WHEN a / z - 1 <= -0.30 THEN 'away'
-  WHEN a / z IS NOT NULL THEN 'flat' END AS trend FROM x""")
+x AS (SELECT l.blk, l.tok, {_px_at(f'l.ts - {D}')} AS a, {_px_at(f'l.ts - {3 * D}')} AS z FROM tape l WHERE l.pool = 'purchase'),
+c AS (SELECT blk, tok, CASE WHEN a > 0 AND z > 0 THEN a / z - 1 END AS chg FROM x)""") + """
+SELECT blk, tok, round(chg, 6) AS chg, CASE WHEN chg >= -0.09 THEN 'up' WHEN chg <= -0.30 THEN 'away'
+  WHEN chg IS NOT NULL THEN 'flat' END AS trend FROM c""")
 def _(spark, sf):
     t = tape(spark, sf)
     out = W.trend(t.filter("pool = 'purchase'").select("blk", "tok", "ts"), t, ["tok"], D, 2 * D, RINGS)
