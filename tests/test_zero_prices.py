@@ -34,6 +34,7 @@ def zeros(sf, tmp_path_factory):
     "win_05_dip",
     "win_07_coin_stats",
     "win_11_trend",
+    "win_12_lookback_return",
 ])
 def test_zero_prices(spark, zeros, name):
     df = QUERIES[name](spark, zeros)

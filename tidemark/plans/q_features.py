@@ -229,7 +229,8 @@ def _(spark, sf):
 
 
 @query("win_12_lookback_return", ctes(TAPE, CB) + f"""
-SELECT blk, tok, round(px / {_px_at(f'l.ts - {D}')} - 1, 6) AS ret_back FROM tape l WHERE l.pool = 'purchase'""")
+SELECT blk, tok, round(CASE WHEN p > 0 THEN px / p - 1 END, 6) AS ret_back
+FROM (SELECT l.*, {_px_at(f'l.ts - {D}')} AS p FROM tape l WHERE l.pool = 'purchase')""")
 def _(spark, sf):
     t = tape(spark, sf)
     out = W.lookback_return(t.filter("pool = 'purchase'").select("blk", "tok", "ts", "px"), t, ["tok"], D, RINGS)
