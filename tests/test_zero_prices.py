@@ -35,6 +35,7 @@ def zeros(sf, tmp_path_factory):
     "win_07_coin_stats",
     "win_11_trend",
     "win_12_lookback_return",
+    "win_13_dip_episodes",
 ])
 def test_zero_prices(spark, zeros, name):
     df = QUERIES[name](spark, zeros)

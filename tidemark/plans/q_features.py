@@ -239,7 +239,7 @@ def _(spark, sf):
 
 EPISODES = f"""RECURSIVE tape AS MATERIALIZED ({TAPE.split('AS (', 1)[1][:-1]}),
 d AS (SELECT *, row_number() OVER (PARTITION BY tok ORDER BY blk) AS i FROM (
-  SELECT t.*, max(CAST(px AS FLOAT)) OVER (PARTITION BY tok ORDER BY blk) AS hi FROM tape t) WHERE 1 - px / hi >= 0.3),
+  SELECT t.*, max(CAST(px AS FLOAT)) OVER (PARTITION BY tok ORDER BY blk) AS hi FROM tape t) WHERE 1 - px / nullif(hi, 0) >= 0.3),
 k AS (SELECT tok, i, ts, blk, pool, px FROM d WHERE i = 1
   UNION ALL
   SELECT n.tok, n.i, n.ts, n.blk, n.pool, n.px FROM k JOIN LATERAL (
