@@ -36,6 +36,7 @@ def zeros(sf, tmp_path_factory):
     "win_11_trend",
     "win_12_lookback_return",
     "win_13_dip_episodes",
+    "win_13_recovered_before",
 ])
 def test_zero_prices(spark, zeros, name):
     df = QUERIES[name](spark, zeros)
