@@ -278,7 +278,7 @@ a AS (SELECT blk, tok, max(CASE WHEN side = 'sell' AND usd >= 60 THEN 1 ELSE 0 E
         list_sort(list(px) FILTER (side = 'sell' AND rk <= 5)) AS s, list_sort(list(px) FILTER (side = 'buy' AND rk <= 5)) AS b
       FROM w GROUP BY ALL)""") + """
 SELECT blk, tok, CAST(sell_big AS INT) AS sell_big, CAST(coalesce(len(s), 0) AS INT) AS n_sells,
-       round(s[len(s) // 2 + 1] / b[len(b) // 2 + 1], 6) AS sell_buy_ratio FROM a""")
+       round(s[len(s) // 2 + 1] / nullif(b[len(b) // 2 + 1], 0), 6) AS sell_buy_ratio FROM a""")
 def _(spark, sf):
     out = W.sell_flags(tape(spark, sf), ["tok"], 3 * D, 5, 60)
     return out.select("blk", "tok", "sell_big", "n_sells", F.round("sell_buy_ratio", 6).alias("sell_buy_ratio"))
