@@ -348,7 +348,7 @@ def _(spark, sf):
 
 
 @query("win_21_runup", ctes(TAPE, CALLS) + f"""
-SELECT c.id, round(100 * (now.px / coalesce(old.px, CASE WHEN ins.ts < c.ts THEN ins.px END) - 1), 6) AS runup_pct,
+SELECT c.id, round(100 * (now.px / nullif(coalesce(old.px, CASE WHEN ins.ts < c.ts THEN ins.px END), 0) - 1), 6) AS runup_pct,
        coalesce(now.px, CASE WHEN aft.ts - c.ts <= {D} THEN aft.px END) AS px_at_call
 FROM calls c
 LEFT JOIN LATERAL (SELECT px FROM tape t WHERE t.tok = c.tok AND t.ts < c.ts ORDER BY blk DESC LIMIT 1) now ON true
