@@ -39,6 +39,7 @@ def zeros(sf, tmp_path_factory):
     "win_13_recovered_before",
     "win_14_sell_flags",
     "win_21_runup",
+    "win_22_race",
 ])
 def test_zero_prices(spark, zeros, name):
     df = QUERIES[name](spark, zeros)

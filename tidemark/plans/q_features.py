@@ -370,7 +370,7 @@ def _candles(spark, sf):
 @query("win_22_race", ctes(TAPE, CALLS, CANDLES, f"""
 g AS (SELECT c.id, c.tok, c.ts, c.call_px, o.off FROM calls c,
       (SELECT unnest(range({Q}, {4 * Q} + 1, {Q})) AS off UNION ALL SELECT unnest(range({4 * Q + D}, {11 * D} + 1, {D}))) o)""") + f"""
-SELECT g.id, g.tok, CAST(g.off AS INT) AS off, round(100 * (k.close / call_px - 1), 5) AS pct
+SELECT g.id, g.tok, CAST(g.off AS INT) AS off, round(100 * (k.close / nullif(call_px, 0) - 1), 5) AS pct
 FROM g ASOF JOIN candles k ON k.tok = g.tok AND g.ts + g.off >= k.ts
 WHERE k.ts > g.ts AND g.ts + g.off - k.ts <= {2 * D}""")
 def _(spark, sf):
