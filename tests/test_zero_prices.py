@@ -40,6 +40,7 @@ def zeros(sf, tmp_path_factory):
     "win_14_sell_flags",
     "win_21_runup",
     "win_22_race",
+    "win_23_peak_after",
 ])
 def test_zero_prices(spark, zeros, name):
     df = QUERIES[name](spark, zeros)

@@ -379,7 +379,7 @@ def _(spark, sf):
 
 
 @query("win_23_peak_after", ctes(TAPE, CALLS, CANDLES) + f"""
-SELECT c.id, round(p.high / call_px, 6) AS peak_x, p.ts - c.ts AS peak_s, round(l.high / call_px, 6) AS late_x, l.ts - c.ts AS late_s FROM calls c
+SELECT c.id, round(p.high / nullif(call_px, 0), 6) AS peak_x, p.ts - c.ts AS peak_s, round(l.high / nullif(call_px, 0), 6) AS late_x, l.ts - c.ts AS late_s FROM calls c
 LEFT JOIN LATERAL (SELECT high, ts FROM candles k WHERE k.tok = c.tok AND k.ts > c.ts AND k.ts <= c.ts + {5 * D} ORDER BY high DESC, ts LIMIT 1) p ON true
 LEFT JOIN LATERAL (SELECT high, ts FROM candles k WHERE k.tok = c.tok AND k.ts > c.ts + {7 * D} AND k.ts <= c.ts + {20 * D} ORDER BY high DESC, ts LIMIT 1) l ON true""")
 def _(spark, sf):
