@@ -41,6 +41,7 @@ def zeros(sf, tmp_path_factory):
     "win_21_runup",
     "win_22_race",
     "win_23_peak_after",
+    "win_25_at_call_features",
 ])
 def test_zero_prices(spark, zeros, name):
     df = QUERIES[name](spark, zeros)

@@ -398,7 +398,7 @@ def _(spark, sf):
 
 
 @query("win_25_at_call_features", ctes(TAPE, CALLS) + f"""
-SELECT c.id, round(100 * (n.px / o.px - 1), 6) AS move_pct,
+SELECT c.id, round(100 * (n.px / nullif(o.px, 0) - 1), 6) AS move_pct,
        coalesce((SELECT sum(usd) FROM tape t WHERE t.tok = c.tok AND t.ts < c.ts AND t.ts >= c.ts - {4 * D}), 0) AS vol_back,
        CASE WHEN c.ts - n.ts <= {3 * D} THEN n.usd END AS depth
 FROM calls c
