@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import DAY, HOUR, bucket
+from tidemark.operators.slicing import multiplied
 
 
 def _units(lo: str, hi: str, fine: int, coarse: int | None) -> Column:
@@ -55,7 +56,7 @@ def first_crossing(
     want = pos.select(*rid, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.col(line).alias("_line"))
     units = want.withColumn("_u", F.explode(_units("_lo", "_hi", fine, coarse))).select(
         *at, F.col("_u.level").alias("_lv"), F.col("_u.b").alias("_b"))
-    alive = units.join(highs, [*by, "_lv", "_b"]).filter(reach(F.col("_m")))
+    alive = multiplied(units).join(highs, [*by, "_lv", "_b"]).filter(reach(F.col("_m")))
     head = (F.col("_lv") == 1) & (F.col("_b") == bucket("_lo", fine))
     tail = (F.col("_lv") == 1) & (F.col("_b") == bucket("_hi", fine))
     start = F.when(F.col("_lv") == 1, F.col("_b") * fine).otherwise(F.col("_b") * (coarse or fine))
@@ -78,7 +79,7 @@ def _drill(found, h1, by, at, fine, r, reach):
     inner = F.when(F.col("_w.lv") == 1, F.array(F.col("_w.b"))).when(
         F.col("_w.lv") == 2, F.sequence(F.col("_w.b") * r, F.col("_w.b") * r + (r - 1))).otherwise(F.array().cast("array<bigint>"))
     opened = found.withColumn("_b", F.explode(F.array_distinct(F.concat(F.array_compact(F.array("_head", "_tail")), inner))))
-    kept = opened.join(h1, [*by, "_b"]).filter(reach(F.col("_m")))
+    kept = multiplied(opened).join(h1, [*by, "_b"]).filter(reach(F.col("_m")))
     edge = (F.col("_b") == bucket("_lo", fine)) | (F.col("_b") == bucket("_hi", fine))
     few = kept.groupBy(*at).agg(
         F.collect_set(F.when(edge, F.col("_b"))).alias("_e"), F.min(F.when(~edge, F.col("_b"))).alias("_f"))  # two edges at most
@@ -105,7 +106,7 @@ def range_extreme(
         *rid, "_lo", "_hi", F.col("_u.level").alias("_lv"), F.col("_u.b").alias("_b"))
     edge = (F.col("_lv") == 1) & ((F.col("_b") == bucket("_lo", fine)) | (F.col("_b") == bucket("_hi", fine)))
     units = units.withColumn("_lv", F.when(edge, F.lit(0)).otherwise(F.col("_lv")))  # edge buckets read prints
-    best = (units.join(table, [*by, "_lv", "_b"])
+    best = (multiplied(units).join(table, [*by, "_lv", "_b"])
             .filter(F.col("_ts").isNull() | ((F.col("_ts") >= F.col("_lo")) & (F.col("_ts") <= F.col("_hi"))))
             .groupBy(*row_id).agg(F.max("_k").alias("_k")))
     return pos.join(best, row_id, "left").withColumn(name, F.col("_k.p")).drop("_k")

@@ -122,6 +122,14 @@ def running(
         _merge(k, F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n, (k, _) in aggs.items()])
 
 
+def multiplied(df: DataFrame) -> DataFrame:
+    """Rows that an explode has multiplied, about to be joined: shuffled, never broadcast.
+
+    Spark takes their size for that of the rows before the explode, so it would send them through the driver however many they are.
+    """
+    return df.hint("merge")
+
+
 def with_halo(df: DataFrame, ts: str, width: int, lookback: int) -> DataFrame:
     """Copy each row into every later slice it can reach within ``lookback``; ``_own`` marks the original.
 
