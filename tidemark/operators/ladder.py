@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import bucket
-from tidemark.operators.slicing import running, width_or_layout
+from tidemark.operators.slicing import multiplied, running, width_or_layout
 from tidemark.session import cut_lineage
 
 BITS = 3  # eight children a bucket
@@ -55,7 +55,8 @@ class Ladder:
             below = below.groupBy(*self.by, F.shiftright("_b", BITS).alias("_b")).agg(*bounds)
             below = cut_lineage(below) if level < self.levels else below
             steps.append(below.withColumn("_lv", F.lit(level)))
-        all_ = self.table.withColumn("_b", F.col(RANK)).withColumn("_lv", F.lit(0))
+        # single prints are asked for the condition itself, so they need no bounds
+        all_ = self.table.select(*self.by, F.col(RANK).alias("_b"), *[c for c in columns if c != RANK]).withColumn("_lv", F.lit(0))
         for s in steps:
             all_ = all_.unionByName(s, allowMissingColumns=True)
         self.all = cut_lineage(all_) if steps else all_
@@ -72,13 +73,19 @@ class Ladder:
             a = up
         return F.when(lo < 0, F.concat(*parts))
 
-    def _alive(self, rows: DataFrame, units: Column, otherwise: Column | None, may: Callable[[], Column], hit: Callable[[], Column], columns: list[str]) -> DataFrame:
-        """``rows`` with ``_u``, the first of their ``units`` that may hold a hit (at level 0: is one), else ``otherwise``; without that such rows drop out."""
+    def _alive(self, rows: DataFrame, units: Column, otherwise: Column | None, may: Callable[[], Column], hit: Callable[[], Column], columns: list[str],
+               asks: str | None = None) -> DataFrame:
+        """``rows`` with ``_u``, the first of their ``units`` that may hold a hit (at level 0: is one), else ``otherwise``; without that such rows drop out.
+        ``asks``: an array of structs, a row for each once its units have met the ladder."""
         keep = [c for c in rows.columns if c != "_u"]
         each = rows.select(*keep, *([] if otherwise is None else [otherwise.alias("_o")]), F.explode(
             units if otherwise is None else F.concat(units, F.array(F.struct(F.lit(-1).alias("lv"), F.lit(0).cast("long").alias("b"))))).alias("_w"))
         each = each.withColumn("_lv", F.col("_w.lv")).withColumn("_b", F.col("_w.b"))
-        got = each.join(self.all, [*self.by, "_lv", "_b"], "inner" if otherwise is None else "left")
+        got = multiplied(each).join(self.all, [*self.by, "_lv", "_b"], "inner" if otherwise is None else "left")
+        if asks:
+            fields = rows.schema[asks].dataType.elementType.names
+            got = got.withColumn("_ask", F.explode(asks)).select("*", "_ask.*").drop("_ask", asks)
+            keep = [c for c in keep if c != asks] + fields
         ok = F.when(F.col("_lv") == 0, hit()).when(F.col("_lv") > 0, may())
         got = got.filter(ok if otherwise is None else F.coalesce(ok, F.col("_lv") == -1))
         start = F.col("_b") * F.element_at(F.array(*[F.lit(1 << (BITS * v)) for v in range(self.levels + 1)]), F.greatest(F.col("_lv"), F.lit(0)) + 1)
@@ -86,10 +93,11 @@ class Ladder:
         return got.groupBy(*keep).agg(F.min(unit if otherwise is None else F.when(F.col("_lv") == -1, F.col("_o")).otherwise(unit)).alias("_u"))
 
     def first(self, pos: DataFrame, row_id: Sequence[str], may: Callable[[], Column], hit: Callable[[], Column], columns: Sequence[str],
-              lo: str = "lo", name: str = "hit") -> DataFrame:
+              lo: str = "lo", name: str = "hit", asks: str | None = None) -> DataFrame:
         """``row_id`` with ``name``: struct ``columns`` of the first print of rank ``lo`` or more for which ``hit()`` holds; rows without one are absent.
 
-        ``pos`` holds the key, ``row_id`` (unique), ``lo`` and what the conditions ask for. ``hit()`` and ``may()`` are over columns of ``pos`` and of the
+        ``pos`` holds the key, ``row_id`` (unique), ``lo`` and what the conditions ask for; ``asks`` names an array of structs of it, searches that share
+        all else: the result has a row for each that finds one, with the struct's fields that ``row_id`` names. ``hit()`` and ``may()`` are over columns of ``pos`` and of the
         ladder; ``may()`` must be true of a bucket's bounds whenever ``hit()`` is true of one of its prints.
         """
         rid, columns = list(row_id), list(columns)
@@ -97,7 +105,7 @@ class Ladder:
         size = F.element_at(F.array(*[F.lit(1 << (BITS * v)) for v in range(self.levels + 1)]), F.col("_u.lv") + 1).cast("long")
         none = F.lit(None).cast(self.all.select(F.struct(*columns).alias("p")).schema["p"].dataType)
         while True:
-            got = self._alive(todo, self._units(F.col("_lo")), None, may, hit, columns)
+            got = self._alive(todo, self._units(F.col("_lo")), None, may, hit, columns, asks if done is None else None)
             for _ in range(self.levels):
                 # an open bucket gives its children, or the rank behind it (level -1) if none of them is alive; found prints stay
                 deep = F.col("_u.lv") > 0

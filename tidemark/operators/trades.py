@@ -7,7 +7,7 @@ that depend on other positions (held, cool-down, capacity) then select among the
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,7 +138,7 @@ DEEP = 0.10  # own impact up to which a print of a pool counts as deep
 
 def exit_first_hit(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id: Sequence[str], data_end: int, slopes: Sequence[float] = (0.0,),
                    clips: Sequence[float] = (0.0,), tp_lat: int = 60, wait: int = DAY, min_usd: float = 10.0, drain: float = 0.05, deep: float = DEEP,
-                   markup: float = 1.5, slice_width: int | None = None) -> DataFrame:
+                   markup: float = 1.5, slice_width: int | None = None, each: str | None = None) -> DataFrame:
     """TRD-7: earliest of drain, target and deadline, on the entry pool only and among the prints after the entry's.
 
     ``pos``: entry_ts, entry_blk, entry_rk, entry_px (what was paid), entry_raw (the price of the entry's print; entry_px if absent), deadline, tp_line and
@@ -155,6 +155,10 @@ def exit_first_hit(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id:
     px - k * impact >= line with k = line * clip / entry_px, which is the target multiple times the size and so takes as many values as there are
     cells: ``slopes``. A bucket carries the maximum of px - k * impact for each, and for each of ``clips`` the least entry price that one of its prints
     drains if a position paid up to ``markup`` times the raw price. For other slopes, sizes and mark-ups the next lower value gives a hopeful bound.
+
+    ``each`` names an array of ``pos``: structs of tp_line, deadline and what else tells apart the rules that share an entry (a short, fixed list). The
+    result has a row for each, with the struct's fields as columns. Rules share what they have in common: one search for the drain, one for each target, one
+    state for each time of booking. Searches end where no rule of the entry can use a hit any more.
     """
     if "nx" not in prints.columns or "rk" not in prints.columns:
         prints = with_next_priceable(prints, by, min_usd, slice_width)
@@ -165,15 +169,21 @@ def exit_first_hit(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id:
     most = {f"_m{i}": F.when(priceable(min_usd), F.col("px") - k * own) for i, k in enumerate(ks)}
     least = {f"_s{i}": F.when(v4 & F.col("impact").isNotNull(), F.greatest(F.col("px") / drain, F.col("impact") * (c / (deep * markup)))) for i, c in enumerate(sizes)}
     least["_so"] = F.when(F.col("low_other").isNotNull(), confirmed)
-    columns = ("ts", "blk", "px", "rk")
+    least["_t"] = F.col("ts")
+    columns = ("ts", "blk", "px")
     ladder = Ladder(prints.withColumn("_ok", priceable(min_usd)).withColumn("_own", own), by, most, least,
                     ["ts", "blk", "px", "kind", "impact", "low_other", "_ok", "_own"])
     raw = F.col("entry_raw") if "entry_raw" in pos.columns else F.col("entry_px")
     clip = F.col("clip").cast("double") if "clip" in pos.columns else F.lit(0.0)
-    base = cut_lineage(pos.withColumn("_clip", clip).withColumn("_raw", raw))
-    want = base.select(*dict.fromkeys([*by, *row_id]), "tp_line", "_raw", F.try_divide("_clip", "entry_px").alias("_c"), "_clip", (F.col("entry_rk") + 1).alias("lo"),
-                       F.col("entry_ts").alias("_ets"), F.col("entry_blk").alias("_eblk"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_what"))
-    want = want.withColumn("_k", F.col("_c") * F.col("tp_line")).withColumn("_size", F.when(F.col("_raw") * F.col("_c") * markup >= F.col("_clip"), F.col("_clip")).otherwise(0.0))
+    own_rule = [each] if each else ["deadline", "tp_line"]
+    base = cut_lineage(pos.withColumn("_clip", clip).withColumn("_raw", raw).withColumn("_each", F.col(each) if each else F.array(F.struct(*own_rule))).drop(*own_rule))
+    until = F.array_max(F.transform("_each", lambda r: r["deadline"]))
+    targets = F.array_distinct(F.transform("_each", lambda r: r["tp_line"].cast("double")))
+    asks = F.concat(F.transform(targets, lambda x: F.struct(F.lit(0).alias("_what"), x.alias("_line"), F.least(until - 1, F.lit(data_end)).alias("_end"))), F.array(
+        F.struct(F.lit(1).alias("_what"), F.lit(None).cast("double").alias("_line"), F.least(until + max(tp_lat, 0) + wait, F.lit(data_end)).alias("_end"))))
+    want = base.select(*dict.fromkeys([*by, *row_id]), "_raw", F.try_divide("_clip", "entry_px").alias("_c"), "_clip", (F.col("entry_rk") + 1).alias("lo"),
+                       F.col("entry_ts").alias("_ets"), F.col("entry_blk").alias("_eblk"), asks.alias("_asks"))
+    want = want.withColumn("_size", F.when(F.col("_raw") * F.col("_c") * markup >= F.col("_clip"), F.col("_clip")).otherwise(0.0))
     near = 1e-9  # the bounds are compared with this much room, the conditions themselves exactly
 
     def lower(values: list[float], x: Column, name: str) -> Column:
@@ -184,34 +194,43 @@ def exit_first_hit(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id:
         return case
 
     def may() -> Column:
-        up = lower(ks, F.col("_k"), "_m") >= F.col("tp_line") * (1 - near)
+        up = lower(ks, F.col("_c") * F.col("_line"), "_m") >= F.col("_line") * (1 - near)
         room = F.col("_raw") * (1 + near)
         down = F.coalesce(lower(sizes, F.col("_size"), "_s") <= room, F.lit(False)) | F.coalesce(F.col("_so") <= room, F.lit(False))
-        return F.when(F.col("_what") == 0, up).otherwise(down)
+        return (F.col("_t") <= F.col("_end")) & F.when(F.col("_what") == 0, up).otherwise(down)
 
     def hit() -> Column:
-        up = F.col("_ok") & (F.col("px") / (1 + F.col("_c") * F.col("_own")) >= F.col("tp_line"))
+        up = F.col("_ok") & (F.col("px") / (1 + F.col("_c") * F.col("_own")) >= F.col("_line"))
         is_deep = F.coalesce((F.col("kind") == "v4") & (F.col("_c") * F.col("impact") <= deep), F.lit(False))
         below = F.coalesce(F.col("low_other") < 2 * drain * F.col("_raw"), F.lit(False))
         later = (F.col("ts") > F.col("_ets")) | ((F.col("ts") == F.col("_ets")) & (F.col("blk") > F.col("_eblk")))
-        return later & F.when(F.col("_what") == 0, up).otherwise((F.col("px") < drain * F.col("_raw")) & (is_deep | below))
+        return later & (F.col("ts") <= F.col("_end")) & F.when(F.col("_what") == 0, up).otherwise((F.col("px") < drain * F.col("_raw")) & (is_deep | below))
+
+    hits = ladder.first(want, [*row_id, "_what", "_line"], may, hit, columns, asks="_asks").groupBy(*row_id).agg(
+        F.max(F.when(F.col("_what") == 1, F.col("hit"))).alias("_dr"),
+        F.collect_list(F.when(F.col("_what") == 0, F.struct("_line", "hit"))).alias("_tps"))  # as many as targets
+    got = base.drop("_clip", "_raw").join(hits, list(row_id), "left").withColumn("_dr", F.when(F.col("_dr.ts") <= data_end, F.col("_dr")))
+
+    def reached(r: Column) -> Column:
+        tp = F.get(F.filter("_tps", lambda t: t["_line"] == r["tp_line"]), F.lit(0))["hit"]
+        return F.struct(r.alias("r"), F.when((tp["ts"] < r["deadline"]) & (tp["ts"] <= data_end), tp).alias("tp"))
 
-    hits = ladder.first(want, [*row_id, "_what"], may, hit, columns).groupBy(*row_id).agg(
-        F.max(F.when(F.col("_what") == 0, F.col("hit"))).alias("_tp"), F.max(F.when(F.col("_what") == 1, F.col("hit"))).alias("_dr"))
-    got = base.join(hits, list(row_id), "left")
-    got = got.withColumn("_tp", F.when((F.col("_tp.ts") < F.col("deadline")) & (F.col("_tp.ts") <= data_end), F.col("_tp"))).withColumn(
-        "_dr", F.when(F.col("_dr.ts") <= data_end, F.col("_dr")))
+    def upto(x: Column) -> Column:
+        return F.least(F.when(x["tp"].isNotNull(), x["tp"]["ts"] + tp_lat).otherwise(x["r"]["deadline"] - 1), F.lit(data_end))
+
+    got = got.withColumn("_due", F.transform("_each", reached)).drop("_each", "_tps")
+    got = got.withColumn("_upto", F.explode(F.array_distinct(F.transform("_due", upto)))).withColumn("_due", F.filter("_due", lambda x: upto(x) == F.col("_upto")))
+    states = prints.select(*by, *ORDER, "px", priceable(min_usd).alias("_ok"), F.struct("nx.ts", "nx.blk", "nx.px").alias("nx"))
+    got = cut_lineage(J.asof_backward(got, states, by, "_l", left_ts="_upto", tie=("blk",), columns=("ts", "px", "_ok", "nx"), slice_width=slice_width))
+    got = got.withColumn("_x", F.explode("_due")).drop("_due").select("*", "_x.r.*", F.col("_x.tp").alias("_tp")).drop("_x")
     is_tp = F.col("_tp").isNotNull()
-    got = got.withColumn("_plan", F.when(is_tp, F.col("_tp.ts") + tp_lat).otherwise(F.col("deadline"))).withColumn(
-        "_upto", F.least(F.when(is_tp, F.col("_plan")).otherwise(F.col("deadline") - 1), F.lit(data_end)))
-    got = J.asof_backward(got, prints.withColumn("_ok", priceable(min_usd)), by, "_l", left_ts="_upto", tie=("blk",), columns=("ts", "px", "_ok", "nx"), slice_width=slice_width)
-    got = cut_lineage(got.withColumn("_cut", F.when(is_tp, data_end <= F.col("_plan")).otherwise(data_end < F.col("_plan"))).withColumn(
-        "_till", F.least(F.col("_plan") + wait, F.lit(data_end))))
+    got = got.withColumn("_plan", F.when(is_tp, F.col("_tp.ts") + tp_lat).otherwise(F.col("deadline"))).withColumn("_cut", F.when(is_tp, data_end <= F.col("_plan")).otherwise(data_end < F.col("_plan"))).withColumn(
+        "_till", F.least(F.col("_plan") + wait, F.lit(data_end)))
     met = F.coalesce(F.col("_l.nx.ts") <= F.col("_till"), F.lit(False))
     # nothing to price in the wait: the last print of the wait, for the few positions that need it
-    lost = J.asof_backward(got.filter(~F.col("_cut") & ~F.col("_l._ok") & ~met).select(*dict.fromkeys([*by, *row_id]), "_till"), prints, by, "_f", left_ts="_till",
-                           tie=("blk",), columns=("ts", "px"), slice_width=slice_width).select(*row_id, F.col("_f.px").alias("_fpx"))
-    got = got.join(lost, list(row_id), "left")
+    open_end = F.coalesce(~F.col("_cut") & ~F.col("_l._ok") & ~met, F.lit(False))
+    lost = J.asof_backward(got.filter(open_end), states, by, "_f", left_ts="_till", tie=("blk",), columns=("ts", "px"), slice_width=slice_width)
+    got = got.filter(~open_end).withColumn("_fpx", F.lit(None).cast("double")).unionByName(lost.withColumn("_fpx", F.col("_f.px").cast("double")).drop("_f"))
     why = F.when(is_tp, "tp").otherwise("time")
     now = F.col("_l._ok") | F.col("_cut")
     ended = F.when(F.col("_cut") | (F.col("_plan") + wait >= data_end), "end").otherwise("fb")
@@ -223,7 +242,7 @@ def exit_first_hit(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id:
     drained = F.col("_dr").isNotNull() & open_
     return got.withColumn("reason", F.when(drained, "drain").otherwise(reason)).withColumn("exit_px", F.when(drained, F.col("_dr.px")).otherwise(px)).withColumn(
         "exit_ts", F.when(drained, F.col("_dr.ts")).otherwise(at)).withColumn("trigger_px", F.col("_tp.px")).drop(
-        "_clip", "_raw", "_tp", "_dr", "_plan", "_upto", "_l", "_cut", "_till", "_fpx")
+        "_tp", "_dr", "_plan", "_upto", "_l", "_cut", "_till", "_fpx")
 
 
 def trigger_book(pos: DataFrame) -> DataFrame:
@@ -390,11 +409,17 @@ def draw(pool: DataFrame, group: Sequence[str], member: str, k: int, seed: str)
     return pool.withColumn("_h", h).withColumn("draw", F.row_number().over(w)).filter(F.col("draw") <= k).drop("_h")
 
 
-def exit_overlays(pos: DataFrame, rules: Sequence[dict]) -> DataFrame:
-    """TRD-16: every entry under every exit rule; sets deadline and tp_line for ``exit_first_hit``."""
-    from tidemark.operators.project import with_cells
-    out = with_cells(pos, rules)
-    return out.withColumn("deadline", F.col("entry_ts") + F.col("hold")).withColumn("tp_line", F.col("entry_px") * F.col("tp"))
+def exit_overlays(pos: DataFrame, rules: Sequence[dict], name: str = "rules", when: Callable[[Column], Column] | None = None) -> DataFrame:
+    """TRD-16: every entry under every exit rule: the array ``name`` for ``exit_first_hit``, with deadline, tp_line and the rule's own fields.
+
+    ``when`` says whether a rule holds for an entry; entries without a rule drop out. ``rules`` is a fixed parameter list.
+    """
+    cells = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.items()]) for r in rules])
+    if when is not None:
+        cells = F.filter(cells, when)
+    out = pos.withColumn(name, F.transform(cells, lambda r: F.struct(
+        *[r[n].alias(n) for n in rules[0] if n not in ("tp", "hold")], (F.col("entry_ts") + r["hold"]).alias("deadline"), (F.col("entry_px") * r["tp"]).alias("tp_line"))))
+    return out if when is None else out.filter(F.size(name) > 0)
 
 
 def clip_shadows(pos: DataFrame, clips: Sequence[float], depth: str, s1: float = 1.01 ** 0.5 - 1, limit: float = 0.10) -> DataFrame:
