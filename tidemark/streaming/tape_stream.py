@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.clean import BandFilter, valid_prints
+from tidemark.operators.clean import BandFilter
 from tidemark.session import ensure_checkpoint_dir
 
 DELAY = "2 hours"  # how far out of order a row may come
@@ -86,7 +86,8 @@ def ordered_tape(df: DataFrame, key: Sequence[str], delay: str = DELAY) -> DataF
 
     def step(held, rows):
         n = (held or {}).get("n", 0)
-        return {"n": n + len(rows)}, pd.DataFrame({"blk": rows["blk"], "ts": rows["ts"], "seq": np.arange(n, n + len(rows), dtype=np.int64)})
+        after = n + len(rows["blk"])
+        return {"n": after}, pd.DataFrame({"blk": rows["blk"], "ts": rows["ts"], "seq": np.arange(n, after, dtype=np.int64)})
     return in_event_time(df, key, "blk long, ts long, seq long", step, ("ts", "blk"), delay=delay, on_late=late)
 
 
@@ -113,35 +114,41 @@ def stream_sessions(df: DataFrame, key: Sequence[str], gap: str, ts: str = "even
     return df.groupBy(*key, F.session_window(ts, gap)).agg(F.count("*").alias("n"), F.sum("usd").alias("vol"))
 
 
-Step = Callable[[dict | None, pd.DataFrame], tuple[dict, pd.DataFrame]]
+Step = Callable[[dict | None, dict[str, list]], tuple[dict, pd.DataFrame]]
 
 
 def in_event_time(df: DataFrame, key: Sequence[str], out_schema: str, step: Step, columns: Sequence[str], order: Sequence[str] = ("ts", "blk"),
                   ts: str = "event_time", delay: str | None = DELAY, on_late: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
     """A sequential rule per key in event time: ``step(state, rows)`` sees the rows of ``columns`` in ``order``, once the watermark has passed them.
+    ``rows`` maps columns to plain lists: most keys have few rows, and a frame of its own for each would cost more than the rule.
 
     Rows that it has not passed wait in the state; a timer at the first of them releases what is due. The rule's own state never expires. A row that
     comes after later rows of its key went through the rule has no part in it; ``on_late`` says what comes out for such rows (nothing by default). Without ``delay`` the stream has its watermark already.
     """
     names = list(dict.fromkeys([*columns, *order]))
+    spots = [1 + names.index(c) for c in order]
+
+    def place(row: list) -> list:
+        """Where a row stands in the order; what is missing comes last."""
+        return [(v is None or v != v, 0 if v is None or v != v else v) for v in map(row.__getitem__, spots)]
 
     def run(k: tuple, batches: Iterable[pd.DataFrame], state: GroupState):
         saved = json.loads(state.get[0]) if state.exists else {"held": None, "wait": [], "done": None}
         mark, done, rows = state.getCurrentWatermarkMs(), saved["done"], saved["wait"]
         if not state.hasTimedOut:
             for pdf in batches:
-                at = pdf["_ms"].tolist()
-                rows += [list(r) for r in zip(at, *[pdf[c].tolist() for c in names], strict=True)]
-            if done is not None and on_late and any(r[0] < done for r in rows):
-                yield on_late(pd.DataFrame([r for r in rows if r[0] < done], columns=["_ms", *names]))
-            rows = [r for r in rows if done is None or r[0] >= done]
+                rows += map(list, zip(*[pdf[c].tolist() for c in ("_ms", *names)], strict=True))
+            if done is not None:
+                if on_late and any(r[0] < done for r in rows):
+                    yield on_late(pd.DataFrame([r for r in rows if r[0] < done], columns=["_ms", *names]))
+                rows = [r for r in rows if r[0] >= done]
         due = [r for r in rows if r[0] < mark]
-        wait = [r for r in rows if r[0] >= mark]
+        wait = [r for r in rows if r[0] >= mark] if len(due) < len(rows) else []
         held, out = saved["held"], ()
         if due:
-            frame = pd.DataFrame(due, columns=["_ms", *names]).sort_values(list(order), kind="stable", ignore_index=True)
-            held, out = step(held, frame)
             done = max(r[0] for r in due)
+            due.sort(key=place)
+            held, out = step(held, dict(zip(("_ms", *names), map(list, zip(*due, strict=True)), strict=True)))
         state.update((json.dumps({"held": held, "wait": wait, "done": done}),))
         if wait:
             state.setTimeoutTimestamp(max(min(r[0] for r in wait), mark + 1))
@@ -156,8 +163,9 @@ def stream_guard(df: DataFrame, key: Sequence[str], band: float = 20.0, window:
     """STR-5: the bad-print guard on the stream; its state is the last accepted prices and never expires."""
     def step(held, rows):
         g = BandFilter(band, window, min_n, confirm, False, held)
-        ok, _ = valid_prints(rows["px"].tolist(), rows["usd"].tolist(), None, None)
-        ok[ok] = g.flags(rows["px"].to_numpy(dtype=float)[ok])
+        px, usd = (np.array(rows[c], dtype=float) for c in ("px", "usd"))  # what is missing is not a number, so no valid print
+        ok = (px > 0) & (usd >= 1)
+        ok[ok] = g.flags(px[ok])
         return g.state(), pd.DataFrame({"blk": rows["blk"], "accepted": ok})
     return in_event_time(df, key, "blk long, accepted boolean", step, ("px", "usd"), delay=delay)
 
@@ -172,7 +180,7 @@ def stream_dip_signal(df: DataFrame, key: Sequence[str], dip: float, bucket_s: i
     def step(held, rows):
         s = held or {"queue": [], "last": None}
         queue, last, out = deque(map(tuple, s["queue"])), s["last"], []
-        for ts, blk, px in zip(rows["ts"].tolist(), rows["blk"].tolist(), rows["px"].tolist(), strict=True):
+        for ts, blk, px in zip(rows["ts"], rows["blk"], rows["px"], strict=True):
             b = ts // bucket_s
             while queue and queue[0][0] <= b - buckets:
                 queue.popleft()
@@ -197,12 +205,12 @@ def stream_asof_enrich(df: DataFrame, key: Sequence[str], is_ref: str, static: D
 
     def step(held, rows):
         last, out = (held or {}).get("px"), []
-        for blk, px, ref in zip(rows["blk"].tolist(), rows["px"].tolist(), rows[is_ref].tolist(), strict=True):
+        for blk, px, ref in zip(rows["blk"], rows["px"], rows[is_ref], strict=True):
             if ref:
                 last = px
             else:
                 out.append((blk, last))
-        return {"px": last}, pd.DataFrame(out, columns=["blk", "ref_px"]).astype({"ref_px": "float64"})
+        return {"px": last}, pd.DataFrame({"blk": [b for b, _ in out], "ref_px": np.array([p for _, p in out], dtype=float)})
     return in_event_time(df, key, "blk long, ref_px double", step, ("px", is_ref), delay=None)
 
 
