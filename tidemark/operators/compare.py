@@ -93,9 +93,13 @@ def overlap_pairs(sets: DataFrame, point: str, item: str, share: float, of: str
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
-    """SET-6: smallest node id of each component by label propagation with pointer jumping; a table is written per round."""
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    lab = cut_lineage(nodes.select(F.col(node).alias("id"), F.col(node).alias("l")))
+    """SET-6: smallest node id of each component by label propagation with pointer jumping; a table is written per round.
+
+    The edges are computed once, for both directions, and only nodes with an edge go through the rounds. Ends of edges are nodes.
+    """
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cut_lineage(edges.select(F.explode(ways).alias("_e")).select("_e.*"))
+    lab = cut_lineage(both.select(F.col("a").alias("id")).distinct().withColumn("l", F.col("id")))
     while True:  # pointer jumping: rounds grow with the logarithm of the longest path
         best = both.join(lab.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
         nxt = lab.join(best.withColumnRenamed("a", "id"), "id", "left").select("id", "l", F.least("l", F.coalesce("m", "l")).alias("n"))
@@ -103,7 +107,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str) -> DataF
             "id", "l", F.least("n", F.coalesce("r", "n")).alias("n"))
         step = cut_lineage(jump)
         if step.filter(F.col("l") != F.col("n")).isEmpty():
-            return step.select(F.col("id").alias(node), F.col("n").alias("family"))
+            found = step.select(F.col("id").alias(node), F.col("n").alias("family"))
+            return nodes.select(node).join(found, node, "left").select(node, F.coalesce("family", node).alias("family"))
         lab = step.select("id", F.col("n").alias("l"))
 
 
