@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
+import pytest
 from tidemark.llm import similar
+from tidemark.session import cut_lineage
 from test_documents import families
 
 
@@ -67,6 +70,45 @@ def test_hot_buckets(spark):
     assert sorted(got - {copies[0][0]}) == brute(rest)
 
 
+def edited(r, base, edits):
+    c = list(base)
+    for i in r.sample(range(len(base)), edits):
+        c[i] = f"w{r.randrange(50000)}"
+    return c
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_forest_joins_what_brute_force_joins(two):
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(80)]
+    sets = [similar.hashed(" ".join(edited(r, base, r.randrange(4))), {}).view(np.int64) for _ in range(120)]
+    at, side = np.array([i if i % 3 else 0 for i in range(120)]), np.array([i % 2 if two else 0 for i in range(120)])
+    true = [(i, j) for i in range(120) for j in range(i) if similar.jaccard({*sets[i]}, {*sets[j]}) >= 0.8 and (not two or side[i] != side[j])]
+    known = [(i, 0) for i in range(0, 120, 3)]
+    got = similar.forest(at, side, sets, 0.8)
+    assert 0 < len(got) < len({*at}) and {(max(p), min(p)) for p in got} <= {*true}
+    assert families(120, known + got) == families(120, known + true)
+
+
+@pytest.mark.parametrize("block", [similar.BLOCK, 4000])
+def test_family_just_below_the_similarity(spark, monkeypatch, block):
+    """Hundreds of texts of one family, few of them linked: rows stay below the number of texts, also if a bucket takes several blocks."""
+    r, made = random.Random(13), []
+    base = [f"b{i}" for i in range(150)]
+    rows = [(i, " ".join(edited(r, base, r.randrange(1, 5)))) for i in range(400)]
+    later = similar._later_links
+
+    def counted(*args):
+        made.append(cut_lineage(later(*args)))
+        return made[-1]
+
+    monkeypatch.setattr(similar, "_later_links", counted)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    got = similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x["doc_id"] for x in got.collect()) == brute(rows)
+    assert made[0].count() < len(rows)
+
+
 def test_stage_on_the_given_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(x["doc_id"], x["text"]) for x in docs.collect()]

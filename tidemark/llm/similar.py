@@ -5,11 +5,14 @@ groups. (``simhash`` has the fixed contract of its own query: three words, two b
 which no tree search of 64 bits narrows down, so candidates come from min-hashes: ``BANDS`` bands of ``ROWS`` values. A pair at 0.8 shares no
 band with probability (1 - 0.8^4)^24 = 3e-6. Texts of equal sets are one item first.
 
-Small buckets give all pairs. A large one gives a star, and in one band of ``CHAINED`` chains by size (cut into slices of ``SLICE`` members), so a large
-group of near copies costs a few pairs a member; what those leave in different components is dealt again by two bands together, and only members of different components
-are paired there. A pair is looked at if its sketches agree in more than ``SKETCH`` of their places (at 0.8, fewer do so with probability
-2e-7). Of a document's pairs the one with the best sketch is checked first; the others only if that leaves the two in different components. Every
-link is checked on the sets of 64-bit shingle hashes, in the JVM, pair by pair.
+Small buckets of a band give all pairs. A large one gives a star, and in one band of ``CHAINED`` chains by size (cut into slices of ``SLICE`` members),
+so a large group of near copies costs a few pairs a member. A pair is looked at if its sketches agree in more than ``SKETCH`` of their places (at 0.8,
+fewer do so with probability 2e-7). Of a document's pairs the one with the best sketch is checked first; the others only if that leaves the two in
+different components. Every link is checked on the sets of 64-bit shingle hashes, in the JVM, pair by pair.
+
+A large bucket whose members are in several components after that is compared in full, on the sets themselves, and gives a spanning forest of the links it
+finds, never its pairs. A task holds two blocks of a bucket, of about ``BLOCK`` shingles each. The comparisons inside such a bucket grow with the square of
+its members in the worst case (a large family of texts just below the similarity); the rows do not until it is larger than a block.
 
 Defined results: null, empty and blank texts are one group; a text of fewer than five words is one shingle; equal rows give one row; the row kept
 is that of the least doc_id, null only if all are; an empty table gives no rows; other columns are carried.
@@ -38,6 +41,7 @@ SKETCH = 0.6
 SMALL = 8  # members of a bucket that are paired in full
 SLICE = 4096  # members of a slice of a large bucket
 CHAINED = 6  # of so many bands one makes chains in its large buckets
+BLOCK = 1 << 19  # shingles of a block of a large bucket, on average at most
 BATCH = 1 << 15
 CACHE = 1 << 16
 DOCS = 512  # texts taken out of Arrow at a time
@@ -144,9 +148,9 @@ def _comparable(n: str, m: str):
 
 
 def _small_pairs(seats: DataFrame, bucket: str) -> DataFrame:
-    """All pairs of buckets of at most ``SMALL`` members (bucket, key, n, root): those of different roots."""
-    rows = seats.groupBy(bucket).agg(F.collect_list(F.struct("key", "n", "root")).alias("m"))
-    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["key"] < y["key"]) & (x["root"] != y["root"])), lambda y: F.struct(
+    """All pairs of buckets of at most ``SMALL`` members (bucket, key, n)."""
+    rows = seats.groupBy(bucket).agg(F.collect_list(F.struct("key", "n")).alias("m"))
+    pairs = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: x["key"] < y["key"]), lambda y: F.struct(
         x["key"].alias("a"), y["key"].alias("b"), x["n"].alias("n"), y["n"].alias("m")))))
     return rows.select(F.explode(pairs).alias("p")).select("p.*").filter(_comparable("n", "m")).select("a", "b")
 
@@ -214,38 +218,53 @@ def _links(scored: DataFrame, docs: DataFrame, items: DataFrame, similar: float)
     return cut_lineage(links.unionByName(_true(apart, sets, similar)))
 
 
-def _later_pairs(seats: DataFrame, items: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of different components inside large buckets, dealt again by a second band; sketches decide inside what is large even so."""
+def forest(at: np.ndarray, side: np.ndarray, sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join all that have the similarity, of members of different components ``at`` and, if there are two, of different sides."""
+    size = np.array([len(x) for x in sets], np.int64)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    at, two, found = at.copy(), side.min() != side.max(), []
+    mark = np.zeros(code.max() + 1, np.int32)
+    names, count = np.unique(at, return_counts=True)
+    for i in np.flatnonzero(at != names[count.argmax()]):  # of two components, one is not the most frequent
+        ok = (at != at[i]) & (np.minimum(size, size[i]) >= similar * np.maximum(size, size[i]))
+        if two:
+            ok &= side != side[i]
+        if not ok.any():
+            continue
+        own = code[start[i]:start[i] + size[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[code], start)
+        mark[own] = 0
+        hit = np.flatnonzero(ok & (both / (size + size[i] - both) >= similar))
+        other, j = np.unique(at[hit], return_index=True)
+        found += [(int(i), int(x)) for x in hit[j]]
+        at[np.isin(at, other)] = at[i]
+    return found
+
+
+def _later_links(seats: DataFrame, docs: DataFrame, items: DataFrame, links: DataFrame, similar: float) -> DataFrame:
+    """True pairs (a, b) that connect what ``links`` leaves in different components of a large bucket."""
     root = smallest_reachable(links).withColumnsRenamed({"id": "key"})
-    large = seats.filter(F.col("c") > SMALL).join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = cut_lineage(large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("band", "c"))
-    empty = seats.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    if mixed.isEmpty():
-        return empty
-    open_ = join_counted(large.drop("c"), mixed, ["band"], "c").select("band", "key", "n", "root")
-    again = open_.join(items.select("key", "bands"), "key").select("key", "n", "root", F.explode(F.array_except("bands", F.array("band"))).alias("_o"), "band")
-    deal = again.select(F.xxhash64(F.least("band", "_o"), F.greatest("band", "_o")).alias("pair"), "key", "n", "root").distinct()
-    sub = _seats(deal, "pair")
-    few = _small_pairs(sub.filter(F.col("c") <= SMALL), "pair")
-    many = sub.filter(F.col("c") > SMALL)
-    still = cut_lineage(many.groupBy("pair").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo <> hi").select("pair", "c"))
-    if still.isEmpty():
-        return few.distinct()
-
-    def pair(f: pd.DataFrame) -> pd.DataFrame:
-        key, n, at = f["key"].to_numpy(np.int64), f["n"].to_numpy(np.int64), f["root"].to_numpy(np.int64)
-        sketch = np.frombuffer(b"".join(f["sketch"]), np.uint8).reshape(len(f), -1)
-        names, count = np.unique(at, return_counts=True)
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in np.flatnonzero(at != names[count.argmax()]):
-            ok = np.flatnonzero((at != at[i]) & (np.minimum(n, n[i]) >= SIMILAR * np.maximum(n, n[i])))
-            ok = ok[_agree(sketch[ok], sketch[i]) >= SKETCH]
-            left.append(np.minimum(key[ok], key[i]))
-            right.append(np.maximum(key[ok], key[i]))
-        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
-
-    rest = join_counted(many.drop("c", "first"), still, ["pair"], "c").join(items.select("key", "sketch"), "key")
-    return few.unionByName(rest.select("pair", "key", "n", "root", "sketch").groupBy("pair").applyInPandas(pair, "a long, b long")).distinct()
+    large = cut_lineage(seats.filter(F.col("c") > SMALL).join(root, "key", "left").select("band", "key", "n", F.coalesce("root", "key").alias("root")))
+    blocks = F.floor(F.sum("n") / BLOCK).cast("int") + 1
+    mixed = cut_lineage(large.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), blocks.alias("blocks")).filter(
+        "lo <> hi").select("band", "c", "blocks"))
+    # a member of block x meets those of every block y: in the part (x, x) its own, in (x, y) or (y, x) the others
+    own = F.pmod(F.xxhash64("key", F.lit(SEED)), F.col("blocks")).cast("int")
+    open_ = join_counted(large, mixed, ["band"], "c").select("band", "key", "root", own.alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+    open_ = cut_lineage(open_.select("band", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "key", "root", F.col("x").alias("side")))
+    sets = _sets(open_.select(F.col("key").alias("a"), F.col("key").alias("b")), docs, items)
+
+    def link(f: pd.DataFrame) -> pd.DataFrame:
+        key, side = f["key"].to_numpy(np.int64), f["side"].to_numpy(np.int64)
+        if f["lo"].iloc[0] != f["hi"].iloc[0] and side.min() == side.max():
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        pairs = forest(f["root"].to_numpy(np.int64), side, f["set"].tolist(), similar)
+        return pd.DataFrame({"a": [key[i] for i, _ in pairs], "b": [key[j] for _, j in pairs]}, dtype="int64")
+
+    found = open_.join(sets.hint("merge"), "key").groupBy("band", "lo", "hi").applyInPandas(link, "a long, b long")
+    return found.select(*_ordered("a", "b")).distinct()
 
 
 def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -255,13 +274,9 @@ def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     items = cut_lineage(marked.groupBy("key").agg(least).select("key", "rep.n", "rep.sketch", "rep.bands", F.struct("rep.no", "rep.doc_id", "rep.row").alias("rep")))
     deal = items.select("key", "n", F.posexplode("bands").alias("_i", "band")).select("key", "n", "band", (F.col("_i") % CHAINED == 0).alias("chains"))
     seats = _seats(deal, "band")
-    alone = seats.withColumn("root", F.col("key"))
-    pairs = _small_pairs(alone.filter(F.col("c") <= SMALL), "band").unionByName(_star_and_chain(seats.filter(F.col("c") > SMALL), "band"))
-    first = cut_lineage(_scored(pairs.distinct(), items))
-    links = _links(first, docs, items, similar)
-    later = cut_lineage(_scored(_later_pairs(seats, items, links).join(first, ["a", "b"], "left_anti"), items))
-    if not later.isEmpty():
-        links = cut_lineage(links.unionByName(_links(later, docs, items, similar)))
+    pairs = _small_pairs(seats.filter(F.col("c") <= SMALL), "band").unionByName(_star_and_chain(seats.filter(F.col("c") > SMALL), "band"))
+    links = _links(cut_lineage(_scored(pairs.distinct(), items)), docs, items, similar)
+    links = cut_lineage(links.unionByName(_later_links(seats, docs, items, links, similar)))
     root = smallest_reachable(links).withColumnsRenamed({"id": "key"})
     cls = items.select("key", "rep").join(root, "key", "left").select(F.coalesce("root", "key").alias("root"), "rep")
     times = marked.groupBy("row").agg(F.count("*").alias("_n"))
