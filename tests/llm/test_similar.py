@@ -77,6 +77,25 @@ def edited(r, base, edits):
     return c
 
 
+def test_simhash_pairs_join_what_lies_within_two_bits(spark):
+    r = random.Random(5)
+    texts = []
+    for _ in range(8):
+        base = [f"w{r.randrange(50000)}" for _ in range(600)]
+        texts += [" ".join(edited(r, base, n)) for n in (0, 0, 1, 1, 1, 2, 3, 8)]
+    items = cut_lineage(similar.marks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).dropDuplicates(["key"]))
+    rows = items.select("doc_id", "key", "fp").collect()
+    for x in rows:
+        h = [int(v) for v in similar.hashed(texts[x["doc_id"]], {})]
+        assert x["fp"] % 2**64 == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
+    at = {x["key"]: i for i, x in enumerate(rows)}
+    far = lambda i, j: ((rows[i]["fp"] ^ rows[j]["fp"]) % 2**64).bit_count()
+    got = [(at[p["a"]], at[p["b"]]) for p in similar._fingerprint_pairs(items).collect()]
+    assert max(far(i, j) for i, j in got) in (1, 2)
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if far(i, j) <= 2]
+    assert families(len(rows), got) == families(len(rows), near)
+
+
 @pytest.mark.parametrize("two", [False, True])
 def test_forest_joins_what_brute_force_joins(two):
     r = random.Random(11)

@@ -1,9 +1,12 @@
 """Near-duplicates by exact Jaccard similarity of word-shingle sets, for pipeline stages.
 
 Two documents are linked if their sets of five-word shingles have a Jaccard similarity of ``SIMILAR`` or more; components of links are
-groups. (``simhash`` has the fixed contract of its own query: three words, two bits.) At similarity 0.8 about ten of 64 SimHash bits differ,
-which no tree search of 64 bits narrows down, so candidates come from min-hashes: ``BANDS`` bands of ``ROWS`` values. A pair at 0.8 shares no
-band with probability (1 - 0.8^4)^24 = 3e-6. Texts of equal sets are one item first.
+groups. Texts of equal sets are one item first. Candidates come from two places:
+
+- SimHash and BK-trees (``simhash``, whose own query has another contract: three words, two bits): fingerprints of the shingle hashes, those
+  within two bits found by a BK-tree per shard. Equal fingerprints give a star.
+- At similarity 0.8 about ten of 64 bits differ, which no tree search of 64 bits narrows down. What the trees cannot reach comes from
+  min-hashes: ``BANDS`` bands of ``ROWS`` values. A pair at 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6.
 
 Small buckets of a band give all pairs. A large one gives a star, and in one band of ``CHAINED`` chains by size (cut into slices of ``SLICE`` members),
 so a large group of near copies costs a few pairs a member. A pair is looked at if its sketches agree in more than ``SKETCH`` of their places (at 0.8,
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import row_hash, shielded
 from tidemark.llm.components import smallest_reachable
 from tidemark.llm.counted import join_counted
+from tidemark.llm.simhash import links as close_fingerprints
 from tidemark.session import cut_lineage
 
 SHINGLE = 5
@@ -101,8 +105,16 @@ def min_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of 64-bit hashes: bit i is set if it is in over half of them. An empty set has zero."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), BATCH):
+        ones += np.unpackbits(hashes[i:i + BATCH].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, key, n, sketch, bands): ``key`` and ``n`` are hash and size of the shingle set."""
+    """(doc_id, row, key, n, fp, sketch, bands): ``key`` and ``n`` are hash and size of the shingle set, ``fp`` its SimHash."""
     def read(batches: Iterable[pa.RecordBatch]):
         known: dict = {}
         for b in (whole.slice(at, DOCS) for whole in batches for at in range(0, whole.num_rows, DOCS)):
@@ -125,12 +137,13 @@ def marks(docs: DataFrame) -> DataFrame:
                 for j, i in enumerate(here):
                     low[i], bands[i] = short[j].tobytes(), of[j]
                 lo = hi
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key), pa.array([len(s) for s in sets], pa.int64()), pa.array(low, pa.binary()),
-                                              pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row", "key", "n", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key), pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array(low, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                                             ["doc_id", "row", "key", "n", "fp", "sketch", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", row_hash(docs).alias("row"), "text").mapInArrow(
-        read, f"doc_id {kind}, row long, key long, n long, sketch binary, bands array<long>")
+        read, f"doc_id {kind}, row long, key long, n long, fp long, sketch binary, bands array<long>")
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,6 +160,17 @@ def _comparable(n: str, m: str):
     return F.least(n, m) >= SIMILAR * F.greatest(n, m)
 
 
+def _fingerprint_pairs(items: DataFrame) -> DataFrame:
+    """Pairs of items by SimHash: those of one fingerprint with its least key, and the least keys of fingerprints that BK-trees link."""
+    some = items.filter("n > 0").select("key", "n", "fp")
+    first = cut_lineage(some.groupBy("fp").agg(F.count("*").alias("c"), F.min(F.struct("key", "n")).alias("first")))
+    same = join_counted(some, first, ["fp"], "c").select(F.col("first.key").alias("a"), F.col("key").alias("b"), F.col("first.n").alias("n"), F.col("n").alias("m"))
+    side = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}"))
+    near = close_fingerprints(first.select("fp"), stars=False).join(side("a"), "a").join(side("b"), "b").select(
+        *_ordered("_a.key", "_b.key"), F.col("_a.n").alias("n"), F.col("_b.n").alias("m"))
+    return same.filter("a <> b").unionByName(near).filter(_comparable("n", "m")).select("a", "b")
+
+
 def _small_pairs(seats: DataFrame, bucket: str) -> DataFrame:
     """All pairs of buckets of at most ``SMALL`` members (bucket, key, n)."""
     rows = seats.groupBy(bucket).agg(F.collect_list(F.struct("key", "n")).alias("m"))
@@ -269,12 +293,13 @@ def _later_links(seats: DataFrame, docs: DataFrame, items: DataFrame, links: Dat
 
 def groups(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(row, _n): hashes of the rows that stand for their group, and how often each is there. ``similar``: ``SIMILAR`` or more."""
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row", "n", "sketch", "bands")).alias("rep")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row", "n", "fp", "sketch", "bands")).alias("rep")
     marked = cut_lineage(marks(docs))
-    items = cut_lineage(marked.groupBy("key").agg(least).select("key", "rep.n", "rep.sketch", "rep.bands", F.struct("rep.no", "rep.doc_id", "rep.row").alias("rep")))
+    items = cut_lineage(marked.groupBy("key").agg(least).select("key", "rep.n", "rep.fp", "rep.sketch", "rep.bands", F.struct("rep.no", "rep.doc_id", "rep.row").alias("rep")))
     deal = items.select("key", "n", F.posexplode("bands").alias("_i", "band")).select("key", "n", "band", (F.col("_i") % CHAINED == 0).alias("chains"))
     seats = _seats(deal, "band")
-    pairs = _small_pairs(seats.filter(F.col("c") <= SMALL), "band").unionByName(_star_and_chain(seats.filter(F.col("c") > SMALL), "band"))
+    pairs = _fingerprint_pairs(items).unionByName(_small_pairs(seats.filter(F.col("c") <= SMALL), "band")).unionByName(
+        _star_and_chain(seats.filter(F.col("c") > SMALL), "band"))
     links = _links(cut_lineage(_scored(pairs.distinct(), items)), docs, items, similar)
     links = cut_lineage(links.unionByName(_later_links(seats, docs, items, links, similar)))
     root = smallest_reachable(links).withColumnsRenamed({"id": "key"})
