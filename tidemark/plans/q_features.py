@@ -262,7 +262,11 @@ def _(spark, sf):
     return _episodes(spark, sf)[1].select("tok", "blk", "ts", "rec_ts")
 
 
-@query("win_13_recovered_before", "WITH " + EPISODES + f"""
+#: The prints in the operator's order (ts, blk), whatever order their numbers have.
+EPISODES_IN_TIME = EPISODES.replace("ORDER BY blk", "ORDER BY ts, blk").replace("ORDER BY d.blk", "ORDER BY d.ts, d.blk")
+
+
+@query("win_13_recovered_before", "WITH " + EPISODES_IN_TIME + f"""
 SELECT s.blk, s.tok, (SELECT count(*) FROM ep WHERE ep.tok = s.tok AND ep.rec_ts <= s.ts AND ep.ts >= s.ts - {10 * D}) AS nrec
 FROM tape s WHERE s.pool = 'purchase'""")
 def _(spark, sf):
