@@ -39,6 +39,15 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5)).cast("long")
 
 
+def round_scaled(x: Column, digits: int) -> Column:
+    """Rounded as DuckDB does: the scaled double to its nearest integer, halves away from zero, scaled back.
+
+    Spark's ``round`` goes by the decimal text, so it differs where a tie such as 0.0628125 scales to just below one half.
+    """
+    scale = F.lit(10.0 ** digits)
+    return F.round(x * scale) / scale
+
+
 def signif(x: Column, digits: int) -> Column:
     """Round to ``digits`` significant digits; zero stays zero, null stays null."""
     scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(x))))

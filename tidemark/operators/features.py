@@ -309,11 +309,16 @@ def recovered_before(signals: DataFrame, episodes: DataFrame, look: int = 7 * DA
 
 def sell_flags(df: DataFrame, key: Sequence[str], lookback: int = HOUR, last: int = 80, min_usd: float = 10.0,
                slice_width: int | None = None) -> DataFrame:
-    """WIN-14: over the last ``last`` prints within the look-back: a large sell, sells, and the ratio of upper medians."""
+    """WIN-14: over the last ``last`` prints within the look-back: sells, and the ratio of upper medians; a large sell in all of the look-back.
+
+    Later prints of the same second have no part in a row.
+    """
     from tidemark.operators.slicing import SLICE, with_halo
     w = Window.partitionBy(*key, SLICE).orderBy(*ORDER).rowsBetween(-(last - 1), 0)
-    rng = Window.partitionBy(*key, SLICE).orderBy("ts").rangeBetween(-lookback + 1, 0)
-    big = F.max(F.when((F.col("side") == "sell") & (F.col("usd") >= min_usd), 1).otherwise(0)).over(rng)
+    rng = Window.partitionBy(*key, SLICE).orderBy("ts").rangeBetween(-lookback + 1, -1)
+    sec = Window.partitionBy(*key, SLICE, "ts").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    sold = F.max(F.when((F.col("side") == "sell") & (F.col("usd") >= min_usd), 1).otherwise(0))
+    big = F.greatest(sold.over(rng), sold.over(sec))
     wide = with_halo(df, "ts", max(width_or_layout(slice_width), lookback), lookback)
     got = wide.select("*", F.collect_list(F.struct("ts", "side", "px")).over(w).alias("_a"), big.alias("sell_big")).filter("_own")
     recent = F.filter("_a", lambda s: s["ts"] > F.col("ts") - lookback)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import DAY, bucket
+from tidemark.functions.scalar import DAY, bucket, round_scaled
 from tidemark.operators import features as W
 from tidemark.operators import joins as J
 from tidemark.operators.slicing import quantiles_linear, rank_select, upper_median, width_or_layout
@@ -285,7 +285,7 @@ SELECT blk, tok, CAST(sell_big AS INT) AS sell_big, CAST(coalesce(len(s), 0) AS
        round(s[len(s) // 2 + 1] / nullif(b[len(b) // 2 + 1], 0), 6) AS sell_buy_ratio FROM a""")
 def _(spark, sf):
     out = W.sell_flags(tape(spark, sf), ["tok"], 3 * D, 5, 60)
-    return out.select("blk", "tok", "sell_big", "n_sells", F.round("sell_buy_ratio", 6).alias("sell_buy_ratio"))
+    return out.select("blk", "tok", "sell_big", "n_sells", round_scaled(F.col("sell_buy_ratio"), 6).alias("sell_buy_ratio"))
 
 
 @query("win_15_fee_estimate", ctes(TAPE, """
