@@ -40,3 +40,13 @@ TIES = "CASE WHEN event_id % 4 = 0 THEN 32.0 ELSE event_id * 37 % 3200 / 100.0 E
 def test_sell_flags(spark, sf, tmp_path, columns):
     diff = differs(spark, tape_of(sf, tmp_path, **columns), "win_14_sell_flags")
     assert diff is None, diff
+
+
+@pytest.mark.parametrize("columns", [
+    {"value": "CASE WHEN event_id % 4 = 0 THEN 32.0 ELSE (1560 + event_id * 37 % 40) / 100.0 END"},
+    {"value": "CASE WHEN event_id % 7 = 0 OR user_id % 5 = 2 THEN 0.0 ELSE value END"},
+    {"ts": "date_trunc('day', ts)"},
+], ids=["half a millionth", "zeros", "equal seconds"])
+def test_dip_candidates(spark, sf, tmp_path, columns):
+    diff = differs(spark, tape_of(sf, tmp_path, **columns), "trd_03_dip_candidates")
+    assert diff is None, diff

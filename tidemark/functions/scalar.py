@@ -48,6 +48,11 @@ def round_scaled(x: Column, digits: int) -> Column:
     return F.round(x * scale) / scale
 
 
+def ieee_divide(x: Column, y: Column) -> Column:
+    """x / y of doubles where a division by zero gives NaN or an infinity, as in DuckDB, not an error or null."""
+    return F.when(y == 0, x * F.lit(math.inf)).otherwise(F.try_divide(x, y))
+
+
 def signif(x: Column, digits: int) -> Column:
     """Round to ``digits`` significant digits; zero stays zero, null stays null."""
     scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(F.abs(x))))
