@@ -135,7 +135,7 @@ def reality_check(df: DataFrame, cell: str, x: str, coin: str, day: str, b: int
     stat = cut_lineage(mean_se(df, [cell], x).withColumn("t", F.try_divide("mean", "se_iid")))
     out = stat
     for name, unit, weights in (("day", day, circular_blocks(seed, 2)), ("coin", coin, with_replacement(f"{seed}|c"))):
-        sums = df.groupBy(cell, unit).agg(F.sum(x).alias("s"), F.count(x).alias("c")).join(numbered(df, [], unit), unit).withColumn("_all", F.lit(0))
+        sums = cut_lineage(df.groupBy(cell, unit).agg(F.sum(x).alias("s"), F.count(x).alias("c")).join(numbered(df, [], unit), unit).withColumn("_all", F.lit(0)))
         bm = resampled_sums(sums, ["_all"], cell, b, weights).join(stat.select(cell, "mean", "se_iid"), cell)
         peak = cut_lineage(bm.groupBy("b").agg(F.max(F.try_divide(F.col("s") / F.greatest(F.col("c"), F.lit(1)) - F.col("mean"), F.col("se_iid"))).alias("mx")))
         tests = stat.select(cell, "t").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).join(peak, "b")
