@@ -80,7 +80,7 @@ def pigeonhole_se(df: DataFrame, group: Sequence[str], x: str, coin: str, day: s
 def coin_bootstrap(df: DataFrame, group: Sequence[str], x: str, coin: str, b: int = 5000, seed: str = "cb") -> DataFrame:
     """STA-6: coins drawn with replacement, each with all its trades; 2.5 % and 97.5 % points."""
     g = list(group)
-    u = unit_sums(df, g, coin, x).withColumn("_one", F.lit(0))
+    u = cut_lineage(unit_sums(df, g, coin, x).withColumn("_one", F.lit(0)))
     bm = resampled_sums(u, g, "_one", b, with_replacement(seed)).withColumn("m", F.col("s") / F.greatest(F.col("c"), F.lit(1)))
     return bm.groupBy(*g).agg(F.percentile("m", 0.025).alias("coin_lo"), F.percentile("m", 0.975).alias("coin_hi"))
 
