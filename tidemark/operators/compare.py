@@ -56,40 +56,53 @@ def table_changes(full: DataFrame, old: DataFrame, key: str, value: str) -> Data
     return j.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
+COMMON_ITEMS = 200_000  # items at most that are ranked by how common they are; the others count as equally rare
+
+
 def overlap_pairs(sets: DataFrame, point: str, item: str, share: float, of: str = "larger") -> DataFrame:
     """SET-6: pairs of points that share at least ``share`` of the larger (or smaller) one's items, without forming
     every pair of an item's points.
 
     Items are ranked from rare to common. Two sets of which the larger has n items can only share ceil(share * n) of
-    them if they meet within the first n - ceil(share * n) + 1 of each, so only that prefix is matched. Sets with the
-    same items form one class first and meet others once. The pairs kept are then counted exactly on their items.
+    them if they meet within the first n - ceil(share * n) + 1 of each, so only that prefix is matched, of sets whose size allows
+    a partner at all. Sets with the same items form one class first and meet others once. Each row of a prefix carries a 64-bit sketch of
+    its set: a bit of one that the other lacks is an item that they do not share, so most pairs end where they meet. The pairs kept are then
+    counted exactly on their items. The sets are shuffled once, by point, and written with their ranks.
     """
-    s = sets.select(point, item).distinct()
-    # identical sets: one representative each (order-independent 128-bit signature plus size)
-    sig = s.groupBy(point).agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64(item).cast("decimal(38,0)")).alias("h1"),
-        F.bit_xor(F.xxhash64(F.lit("b"), F.col(item))).alias("h2"))
-    cls = sig.groupBy("n", "h1", "h2").agg(F.min(point).alias("rep"))
-    member = sig.join(cls, ["n", "h1", "h2"]).select(point, "rep", "n")
-    reps = s.join(member.filter(F.col(point) == F.col("rep")).select(F.col("rep").alias(point), "n"), point)
-    freq = reps.groupBy(item).agg(F.count("*").alias("f"))
-    w = Window.partitionBy(point).orderBy("f", item)
-    ranked = reps.join(freq, item).withColumn("pos", F.row_number().over(w))
-    need = F.ceil(share * F.col("n"))
-    prefix = ranked.filter(F.col("pos") <= F.col("n") - need + 1)
-    a = prefix.select(item, F.col(point).alias("a"), F.col("n").alias("na"))
+    f = sets.groupBy(item).agg(F.count("*").alias("f"))
+    common_items = cut_lineage(f.filter(F.col("f") > sets.count() // COMMON_ITEMS))
+    whole, order = Window.partitionBy(point), Window.partitionBy(point).orderBy(F.coalesce("f", F.lit(0)), item)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(item), F.lit(64)).cast("int"))
+    # order-independent 128-bit signature, in a point's first row only
+    h1, h2 = F.sum(F.xxhash64(item).cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit("b"), F.col(item)))
+    ranked = sets.select(point, item).repartition(point).distinct().join(common_items, item, "left").select(
+        point, item, F.row_number().over(order).alias("pos"), F.count("*").over(whole).alias("n"), F.bit_or(bit).over(whole).alias("sketch"),
+        h1.over(whole).alias("h1"), h2.over(whole).alias("h2"))
+    first = F.col("pos") == 1
+    ranked = cut_lineage(ranked.withColumns({h: F.when(first, F.col(h)) for h in ("h1", "h2")}))
+    # identical sets: one representative each
+    sig = ranked.filter(first).select(point, "n", "h1", "h2")
+    cls = cut_lineage(sig.groupBy("n", "h1", "h2").agg(F.min(point).alias("rep"), F.count("*").alias("_m")).filter("_m > 1").drop("_m"))
+    same = cut_lineage(sig.join(cls, ["n", "h1", "h2"]).filter(F.col(point) != F.col("rep")).select(F.col("rep").alias("a"), F.col(point).alias("b")))
+    reps = ranked.select(point, item, "pos", "n", "sketch").join(same.select(F.col("b").alias(point)), point, "left_anti")
+    prefix = reps.filter(F.col("pos") <= F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1)
+    if of == "larger":
+        prefix = prefix.filter(F.col("n") / (F.col("n") + 1) >= share)
+    side = lambda d, x: d.select(item, F.col(point).alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+    a = side(prefix, "a")
     # the smaller set must meet the other within its own prefix; for the stricter share both must
-    b = (prefix if of == "larger" else reps).select(item, F.col(point).alias("b"), F.col("n").alias("nb"))
+    b = side(prefix if of == "larger" else reps, "b")
     lo, hi = F.least("na", "nb"), F.greatest("na", "nb")
     smaller_first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    fits = lo >= share * hi if of == "larger" else F.lit(True)
-    cand = a.join(b, item).filter(smaller_first & fits).select("a", "b", "na", "nb").distinct()
-    common = (cand.join(s.select(F.col(point).alias("a"), item), "a").join(s.select(F.col(point).alias("b"), item), ["b", item])
-              .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")))
     base = hi if of == "larger" else lo
-    close = common.filter(F.col("c") / base >= share).select("a", "b")
-    same = member.filter(F.col(point) != F.col("rep")).select(F.col("rep").alias("a"), F.col(point).alias("b"))
-    return close.unionByName(same)
+    lacks = lambda x, y: F.bit_count(F.col(f"k{x}").bitwiseAND(F.bitwise_not(F.col(f"k{y}"))))
+    most = F.least(F.col("na") - lacks("a", "b"), F.col("nb") - lacks("b", "a"))
+    cand = cut_lineage(a.join(b, item).filter(smaller_first & (most / base >= share)).select("a", "b", "na", "nb").distinct())
+    ends = cand.select(F.explode(F.array("a", "b")).alias(point)).distinct()
+    few = cut_lineage(ranked.select(point, item).join(cut_lineage(ends), point))
+    common = (cand.join(few.select(F.col(point).alias("a"), item), "a").join(few.select(F.col(point).alias("b"), item), ["b", item])
+              .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")))
+    return common.filter(F.col("c") / base >= share).select("a", "b").unionByName(same)
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
