@@ -50,3 +50,9 @@ def test_sell_flags(spark, sf, tmp_path, columns):
 def test_dip_candidates(spark, sf, tmp_path, columns):
     diff = differs(spark, tape_of(sf, tmp_path, **columns), "trd_03_dip_candidates")
     assert diff is None, diff
+
+
+def test_marks_of_prints_of_unknown_size(spark, sf, tmp_path):
+    folder = tape_of(sf, tmp_path, props="CASE WHEN event_id % 3 = 0 THEN '{}' ELSE props END", user_id="user_id % 4")
+    diff = differs(spark, folder, "trd_10_marks")
+    assert diff is None, diff

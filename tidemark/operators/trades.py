@@ -306,21 +306,25 @@ def marks(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id: str, hol
     """TRD-10: one row per hold with the booked mark and how it came about (rug, tp, hold, noprint, oow).
 
     ``pos``: ets, epx. ``prints``: ``ok_hi`` says that a price far above any entry is believable; other prints above
-    ``hi`` times the entry are ignored.
+    ``hi`` times the entry are ignored. The mark is the last print before the sale; only where that one is ignored, an earlier one is searched.
     """
-    hmax = max(holds)
-    base = (pos.withColumn("_lo", F.col("ets") + 1).withColumn("_hm", F.col("ets") + hmax).withColumn("_tpl", F.col("epx") * tp)
+    # holds that end out of the window have no mark, so nothing is searched behind the last one that does not
+    last_end = F.coalesce(*[F.when(F.col("ets") + h + sale <= end, F.col("ets") + h) for h in sorted(holds, reverse=True)], F.col("ets"))
+    prints = prints.withColumn("ok_hi", F.coalesce("ok_hi", F.lit(False)))
+    base = (pos.withColumn("_lo", F.col("ets") + 1).withColumn("_hm", last_end).withColumn("_tpl", F.col("epx") * tp)
             .withColumn("_rug", -F.col("epx") * rug).withColumn("_cap", F.col("epx") * hi))
     sure, other = prints.filter("ok_hi"), prints.filter("not ok_hi")
     # target: first believable print at the line. Prints without ok_hi must also stay below the cap.
     base = cut_lineage(base)
     a = first_crossing(base, sure, by, [row_id], F.col("px"), "_tpl", "_lo", "_hm", ("ts", "blk", "px"), ORDER, fine, coarse, "_t1")
-    # a print without ok_hi may reach the line yet pass the cap: those are found per fine price step below
-    b = a.join(_first_between(base, other, by, row_id, "_tpl", "_cap", "_lo", "_hm", fine, coarse, "_t2"), row_id, "left")
+    # a print without ok_hi may reach the line yet pass the cap: those are found per fine price step below, up to the target found so far
+    a = cut_lineage(a.withColumn("_till", F.coalesce("_t1.ts", "_hm")))
+    b = a.join(_first_between(a.select(*by, row_id, "_tpl", "_cap", "_lo", "_till"), other, by, row_id, "_tpl", "_cap", "_lo", "_till", fine, coarse, "_t2"), row_id, "left")
     first = F.least(F.struct("_t1.ts", "_t1.blk"), F.struct("_t2.ts", "_t2.blk"))
     c = b.withColumn("_tp_ts", F.when(F.col("_t1").isNull(), F.col("_t2.ts")).when(F.col("_t2").isNull(), F.col("_t1.ts")).otherwise(first["ts"]))
-    fall = first_crossing(base, prints, by, [row_id], -F.col("px"), "_rug", "_lo", "_hm", ("ts", "px"), ORDER, fine, coarse, "_r", above=True)
-    c = cut_lineage(c.join(fall.select(row_id, "_r"), row_id))
+    # a fall counts before the target only
+    c = cut_lineage(c.withColumn("_fall", F.coalesce(F.col("_tp_ts") - 1, "_hm")))
+    c = cut_lineage(first_crossing(c, prints, by, [row_id], -F.col("px"), "_rug", "_lo", "_fall", ("ts", "px"), ORDER, fine, coarse, "_r", above=True))
     h = c.withColumn("hold", F.explode(F.array(*[F.lit(x) for x in holds]))).withColumn("_end", F.col("ets") + F.col("hold"))
     is_tp = F.col("_tp_ts").isNotNull() & (F.col("_tp_ts") <= F.col("_end"))
     is_rug = F.col("_r").isNotNull() & (F.col("_r.ts") <= F.col("_end")) & (
@@ -328,12 +332,17 @@ def marks(pos: DataFrame, prints: DataFrame, by: Sequence[str], row_id: str, hol
     h = h.withColumn("_how", F.when(F.col("_end") + sale > end, "oow").when(is_rug, "rug").when(is_tp, "tp").otherwise("hold"))
     h = h.withColumn("_at", F.when(F.col("_how") == "tp", F.col("_tp_ts") + sale).otherwise(F.col("_end"))).withColumn(
         "_mid", F.concat_ws(":", row_id, "hold"))
-    h = J.asof_backward(h, sure, by, "_a", left_ts="_at", tie=("blk",), columns=("ts", "blk", "px"), slice_width=slice_width)
-    h = last_below(h, other, by, ["_mid"], F.col("px"), "_cap", "_lo", "_at", ("ts", "blk", "px"), ORDER, fine, coarse, "_b")
-    h = h.withColumn("_a", F.when(F.col("_a.ts") > F.col("ets"), F.col("_a")))
+    h = J.asof_backward(h, prints, by, "_a", left_ts="_at", tie=("blk",), columns=("ts", "blk", "px", "ok_hi"), slice_width=slice_width)
+    after = F.coalesce(F.col("_a.ts") > F.col("ets"), F.lit(False))
+    good = F.coalesce(F.col("_a.ok_hi") | (F.col("_a.px") <= F.col("_cap")), F.lit(False))
+    h = cut_lineage(h.withColumn("_open", after & ~good & F.col("_how").isin("tp", "hold")).withColumn(
+        "_m", F.when(after & good, F.struct("_a.ts", "_a.blk", "_a.px"))).drop("_a"))
+    rest = J.asof_backward(h.filter("_open").drop("_m"), sure, by, "_a", left_ts="_at", tie=("blk",), columns=("ts", "blk", "px"), slice_width=slice_width)
+    rest = last_below(rest, other, by, ["_mid"], F.col("px"), "_cap", "_lo", "_at", ("ts", "blk", "px"), ORDER, fine, coarse, "_b")
+    rest = rest.withColumn("_a", F.when(F.col("_a.ts") > F.col("ets"), F.col("_a")))
     later_b = F.col("_b").isNotNull() & (F.col("_a").isNull() | (F.struct("_b.ts", "_b.blk") > F.struct("_a.ts", "_a.blk")))
-    last = F.when(later_b, F.col("_b")).otherwise(F.col("_a"))
-    h = h.withColumn("_m", last)
+    rest = rest.withColumn("_m", F.when(later_b, F.col("_b")).otherwise(F.col("_a")))
+    h = h.filter("not _open").unionByName(rest.select(*h.columns))
     how = F.when((F.col("_how") == "hold") & F.col("_m").isNull(), "noprint").otherwise(F.col("_how"))
     px = F.when(F.col("_how") == "oow", None).when(F.col("_how") == "rug", F.col("_r.px")).otherwise(F.coalesce("_m.px", "epx"))
     mts = F.when(F.col("_how") == "oow", None).when(F.col("_how") == "rug", F.col("_r.ts")).otherwise(F.coalesce("_m.ts", "ets"))
@@ -345,13 +354,17 @@ def _first_between(pos, prints, by, row_id, lo_line, hi_line, lo, hi, fine, coar
     """First print whose price lies in [lo_line, hi_line].
 
     Both lines scale with the entry, so prices are cut into levels one log step wide: inside the levels that lie fully
-    between the lines every print counts, and the two edge levels are checked print by print.
+    between the lines every print counts, and the two edge levels are checked print by print. A level that no print of the key reaches
+    in the range is left out before the range is cut into buckets, and the range ends with the level's first and last print.
     """
     step = 0.25
     level = lambda c: F.floor(F.log2(F.greatest(c, F.lit(1e-300))) / step).cast("long")
     p = prints.withColumn("_lvl", level(F.col("px"))).withColumn("_one", F.lit(1.0))
     lv = pos.withColumn("_lvl", F.explode(F.sequence(level(F.col(lo_line)), level(F.col(hi_line)))))
     inner = (F.col("_lvl") > level(F.col(lo_line))) & (F.col("_lvl") < level(F.col(hi_line)))
+    seen = p.groupBy(*by, "_lvl").agg(F.min("ts").alias("_s0"), F.max("ts").alias("_s1"))
+    lv = lv.withColumnsRenamed({lo: "_from", hi: "_to"}).join(seen, [*by, "_lvl"]).withColumn(
+        lo, F.greatest("_from", "_s0")).withColumn(hi, F.least("_to", "_s1")).filter(F.col(lo) <= F.col(hi)).drop("_from", "_to", "_s0", "_s1")
     ids = lv.withColumn("_rid", F.concat_ws(":", F.col(row_id), F.col("_lvl"))).withColumn("_neg", -F.col(hi_line)).withColumn(
         "_zero", F.lit(0.0))
     mid = first_crossing(ids.filter(inner), p, [*by, "_lvl"], ["_rid"], F.col("_one"), "_zero", lo, hi, ("ts", "blk", "px"), ORDER, fine, coarse, "_c")
